@@ -93,20 +93,22 @@ def concept_choice(candidates: DataFrame) -> DataFrame:
 
 def annual_panel(facts: DataFrame) -> DataFrame:
     """One row per (ticker, fiscal_year) with a struct column per role: the input of all annual programs."""
-    chosen = concept_choice(with_role_priority(with_amount(annual(facts))))
+    found = conflicts(with_role_priority(with_amount(annual(facts))))
     cell = F.struct("concept", "conflict", F.col("fact.amount").alias("amount"), F.col("fact.value_status").alias("value_status"),
                     F.col("fact.unit").alias("unit"), F.col("fact.currency").alias("currency"), F.col("fact.path").alias("path"),
                     F.col("fact.id").alias("id"), F.col("fact.period_key").alias("period_key"),
                     F.col("fact.value").alias("value"), F.col("fact.scale").alias("scale"))
-    return chosen.groupBy("ticker", "fiscal_year").agg(
-        *[F.max(F.when(F.col("role") == r, cell)).alias(r) for r in fixed.ROLE_CONCEPTS]
+    # min_by skips rows without an ordering value, so each role's column sees only its own concepts
+    return found.select("ticker", "fiscal_year", "role", "priority", cell.alias("cell")).groupBy("ticker", "fiscal_year").agg(
+        *[F.min_by("cell", F.when(F.col("role") == r, F.col("priority"))).alias(r) for r in fixed.ROLE_CONCEPTS]
     )
 
 
-def _pick(intent: Column, side: int, field: str) -> Column:
+def _pick(intent: Column, side: int) -> Column:
+    """The struct column of an intent's first or second role."""
     c = F.lit(None)
     for name, roles in fixed.INTENT_ROLES.items():
-        c = F.when(intent == name, F.col(f"{roles[side]}.{field}")).otherwise(c)
+        c = F.when(intent == name, F.col(roles[side])).otherwise(c)
     return c
 
 
@@ -118,15 +120,14 @@ def annual_rows(requests: DataFrame, facts: DataFrame) -> DataFrame:
     req = requests.select("question_id", "ticker", "intent", F.explode("years").alias("fiscal_year"))
     x = req.join(annual_panel(facts), ["ticker", "fiscal_year"], "left")
     i = F.col("intent")
-    cols = {}
-    for side, name in ((0, "a"), (1, "b")):
-        for f in ("concept", "conflict", "amount", "value_status", "unit", "currency", "path", "period_key", "id", "value", "scale"):
-            cols[f"{name}_{f}"] = _pick(i, side, f)
     role = lambda side: F.element_at(
         F.create_map(*[v for k, r in fixed.INTENT_ROLES.items() for v in (F.lit(k), F.lit(r[side]))]), i
     )
     x = x.select("question_id", "ticker", "intent", "fiscal_year", role(0).alias("a_role"), role(1).alias("b_role"),
-                 *[c.alias(n) for n, c in cols.items()])
+                 _pick(i, 0).alias("a"), _pick(i, 1).alias("b"))
+    fields = ("concept", "conflict", "amount", "value_status", "unit", "currency", "path", "period_key", "id", "value", "scale")
+    x = x.select("question_id", "ticker", "intent", "fiscal_year", "a_role", "b_role",
+                 *[F.col(f"{s}.{f}").alias(f"{s}_{f}") for s in ("a", "b") for f in fields])
     usd = lambda c: (F.col(f"{c}_unit") == "USD") & (F.col(f"{c}_currency") == "USD")
     reason = (
         F.when(F.col("a_concept").isNull(), F.concat(F.lit("missing binding: "), F.col("a_role")))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factweave.functions import fixed
+from factweave.functions.columns import let
 
 
 def has_any(text: Column, terms: list[str]) -> Column:
@@ -51,33 +52,46 @@ def years_mentioned(q: Column) -> Column:
 
 def annual_years(q: Column) -> Column:
     """Requested years; two years with a range word are filled; none or more than five give NULL."""
-    y = years_mentioned(q)
-    filled = F.when((F.size(y) == 2) & rx(F.lower(q), fixed.YEAR_RANGE_PATTERN), F.sequence(y[0], F.element_at(y, -1))).otherwise(y)
-    return F.when(F.size(filled).between(1, fixed.MAX_YEARS), filled)
+    def fill(y):
+        ranged = (F.size(y) == 2) & rx(F.lower(q), fixed.YEAR_RANGE_PATTERN)
+        return F.when(ranged, F.sequence(y[0], F.element_at(y, -1))).otherwise(y)
+
+    filled = let(years_mentioned(q), fill)
+    return let(filled, lambda y: F.when(F.size(y).between(1, fixed.MAX_YEARS), y))
 
 
 def annual_intent(q: Column) -> Column:
     """One of five intents, or NULL where the wording asks for anything else."""
-    low = F.regexp_replace(F.lower(q), r"\bequity[- ](?:research|analyst)\b", "analyst")
-    raw = (
-        F.when(F.contains(low, F.lit("cash conversion")) | rx(low, fixed.CASH_CONVERSION_WORDING), "cash_conversion")
-        .when(has_any(low, ["incremental operating margin", "operating leverage"]), "operating_leverage")
-        .when(F.contains(low, F.lit("gross margin")), "gross_margin")
-        .when(F.contains(low, F.lit("operating margin")), "operating_margin")
-        .when(F.contains(low, F.lit("net margin")), "net_margin")
-    )
-    extra = F.lit(False)
-    for intent, permitted in fixed.INTENT_PERMITTED.items():
-        extra = F.when(raw == intent, has_any(low, [m for m in fixed.ANNUAL_METRICS if m not in permitted])).otherwise(extra)
-    ok = rx(low, fixed.ANNUAL_VERBS) & ~rx(low, fixed.ANNUAL_EXCLUDED) & ~extra
-    return F.when(ok, raw)
+
+    def named(low):
+        return (
+            F.when(F.contains(low, F.lit("cash conversion")) | rx(low, fixed.CASH_CONVERSION_WORDING), "cash_conversion")
+            .when(has_any(low, ["incremental operating margin", "operating leverage"]), "operating_leverage")
+            .when(F.contains(low, F.lit("gross margin")), "gross_margin")
+            .when(F.contains(low, F.lit("operating margin")), "operating_margin")
+            .when(F.contains(low, F.lit("net margin")), "net_margin")
+        )
+
+    def checked(low):
+        def allowed(intent):
+            extra = F.lit(False)
+            for name, permitted in fixed.INTENT_PERMITTED.items():
+                extra = F.when(intent == name, has_any(low, [m for m in fixed.ANNUAL_METRICS if m not in permitted])).otherwise(extra)
+            return F.when(intent.isNotNull() & rx(low, fixed.ANNUAL_VERBS) & ~rx(low, fixed.ANNUAL_EXCLUDED) & ~extra, intent)
+
+        return let(named(low), allowed)
+
+    return let(F.regexp_replace(F.lower(q), r"\bequity[- ](?:research|analyst)\b", "analyst"), checked)
 
 
 def annual_requests(questions: DataFrame) -> DataFrame:
     """(question_id, ticker, question) -> (…, intent, years) of the questions that an annual program can answer."""
-    x = questions.withColumn("intent", annual_intent(F.col("question"))).withColumn("years", annual_years(F.col("question")))
-    x = x.where(F.col("intent").isNotNull() & F.col("years").isNotNull())
-    return x.where((F.col("intent") != "operating_leverage") | (F.size("years") >= 2))
+    q = F.col("question")
+    answerable = lambda i: let(annual_years(q), lambda y: F.when(
+        i.isNotNull() & y.isNotNull() & ((i != "operating_leverage") | (F.size(y) >= 2)), F.struct(i.alias("intent"), y.alias("years"))))
+    # one expression for intent and years, so wording is read once per question
+    x = questions.withColumn("program", let(annual_intent(q), answerable)).where("program is not null")
+    return x.select(*questions.columns, "program.intent", "program.years")
 
 
 def scalar_program(q: Column) -> dict[str, Column]:

@@ -135,7 +135,7 @@ report AS (
   SELECT *, lag(fiscal_year) OVER w AS prior_year, (ratio - lag(ratio) OVER w) * CASE WHEN intent = 'cash_conversion' THEN 1.0::DOUBLE ELSE 100.0::DOUBLE END AS delta,
     CAST(fa.amount - lag(fa.amount) OVER w AS DOUBLE) AS d_a, CAST(fb.amount - lag(fb.amount) OVER w AS DOUBLE) AS d_b,
     min(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY question_id, ticker) AS question_hit,
-    first(reason ORDER BY fiscal_year) FILTER (reason IS NOT NULL) OVER (PARTITION BY question_id, ticker) AS question_reason
+    first_value(reason IGNORE NULLS) OVER (PARTITION BY question_id, ticker ORDER BY fiscal_year ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS question_reason
   FROM ratios WINDOW w AS (PARTITION BY question_id, ticker ORDER BY fiscal_year))
 """
 
