@@ -8,18 +8,11 @@ from pyspark.sql import functions as F
 from factweave.operators import facts as op
 from factweave.operators import questions as qop
 from factweave.plans import standins as st
+from factweave.plans.base import Area
 from factweave.sources.tables import table
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql:
-            ORACLES[name] = sql
-        return fn
-    return add
+area = Area()
+QUERIES, ORACLES, query = area.queries, area.oracles, area.query
 
 
 def dbl(c, n=6):

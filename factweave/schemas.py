@@ -1,33 +1,31 @@
 """Explicit schemas; no reader infers types."""
 
-from pyspark.sql import types as T
-
 PERIOD = "struct<start:date,end:date,kind:string,fiscal_year:int,fiscal_period:string>"
-FACTS = T.StructType.fromDDL(
+FACTS = (
     "id string, ticker string, concept string, roles array<string>, value string, scale string, unit string,"
     f" currency string, dimensions map<string,string>, period {PERIOD}, path string, content_hash string, ordinal long"
 )
-FACT_INDEX = T.StructType.fromDDL(
+FACT_INDEX = (
     "ticker string, facts array<struct<id:string,concept:string,roles:array<string>,value:string,scale:string,"
     f"unit:string,currency:string,dimensions:map<string,string>,period:{PERIOD},path:string,content_hash:string>>"
 )
-FILINGS = T.StructType.fromDDL(
+FILINGS = (
     "ticker string, company string, cik string, form string, fiscal_year int, filing_date date, report_date date,"
     " accession string, source_url string, source_sha256 string, page_count int, token_count int, element_count int, body string"
 )
-COMPANIES = T.StructType.fromDDL(
+COMPANIES = (
     "ticker string, sec_ticker string, cik string, title string, exchange string, sector string, industry string"
 )
-PRICES = T.StructType.fromDDL(
+PRICES = (
     "date string, open string, high string, low string, close string, adj_close string, volume string, dividend string,"
     " split_ratio string"
 )
-MACRO = T.StructType.fromDDL("date string, value string, realtime_start string, realtime_end string")
-QUESTION_METRICS = T.StructType.fromDDL(
+MACRO = ("date string, value string, realtime_start string, realtime_end string")
+QUESTION_METRICS = (
     "question_id string, agent string, question string, total_tokens int, elapsed_ms double, provider string,"
     " model string, status string, source_vault string, source_turn int"
 )
-QUESTION_SET = T.StructType.fromDDL(
+QUESTION_SET = (
     "source string, questions array<struct<id:string,title:string,"
     "subquestions:array<struct<id:string,label:string,prompt:string>>>>"
 )
