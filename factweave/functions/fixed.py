@@ -203,3 +203,73 @@ REUSE_SECONDS_WARNED = 60
 
 # Keys never stored with a result.
 SECRET_KEYS = ["api_key", "authorization", "headers"]
+
+# Filing tables: marks, scale words and wording patterns.
+INVISIBLE = "\u200b\ufeff\u2060"
+TOKEN_CELLS = ["$", "(", ")", ",", "%"]
+DASHES = ["—", "–", "-"]
+SCALE_WORDS = r"thousands?|millions?|billions?|trillions?"
+SCALE_LETTERS = {"thousand": "K", "million": "M", "billion": "B", "trillion": "T"}
+SCALE_PATTERNS = [
+    rf"(?i)\b(?:amounts?\s+|dollars?\s+|shares?\s+)?in\s+({SCALE_WORDS})\b",
+    rf"(?i)\b({SCALE_WORDS})\s+of\s+(?:dollars?|shares?)\b",
+    rf"(?i)\(\s*\$?\s*({SCALE_WORDS})\s*\)",
+]
+UNITS_CELL = (
+    rf"(?i)^\(?\s*(?:(?:amounts?|dollars?|shares?)\s+)?in\s+(?:{SCALE_WORDS})"
+    rf"(?:\s+of\s+(?:dollars?|shares?))?(?:\s*,?\s*except\b.+)?\s*\)?$"
+)
+UNITS_EXCEPTION_CLAUSE = (
+    rf"(?i)\(?\s*(?:(?:amounts?|dollars?|shares?)\s+)?in\s+(?:{SCALE_WORDS})"
+    rf"(?:\s+of\s+(?:dollars?|shares?))?\s*,?\s*except\b[^)]*(?:\)|$)"
+)
+ZERO_THOUSANDS = r"(?i)\(\s*0{3}(?:['’]?s)?\s*\)"
+SHARE_SCALE_PATTERNS = [
+    rf"\b(?:number\s+of\s+)?shares?[^.;:|)]{{0,90}}?(?:reflected\s+|reported\s+)?in\s+({SCALE_WORDS})\b",
+    rf"\b({SCALE_WORDS})\s+of\s+shares?\b",
+]
+CELL_VALUE = r"(?i)^(\s*(?:[-+]\s*)?(?:[$€£]\s*)?)(\d[\d,]*(?:\.\d+)?)(\s*[KMBT])?(\s*(?:\([A-Za-z0-9]+\)|\[[^\]]+\]|\*+))?\s*$"
+CELL_YEAR = r"^(?:19|20)\d{2}$"
+PERCENT = r"(?i)%|\bpercent(?:age)?s?\b|\bbasis\s+points?\b|\bbps\b"
+PER_SHARE = r"(?i)\bper[ -]?share\b|\bper\s+common\s+share\b|\beps\b"
+TIME_METRIC = (
+    r"(?i)\b(?:contractual\s+life|remaining\s+life|expected\s+term|term\s+in\s+years|"
+    r"maturity\s+date|expiration\s+date|grant\s+date|fiscal\s+period)\b"
+)
+CHANGE_COLUMN = r"(?i)(?:%\s*)?\bchange\b|\bvariance\b"
+SHARE_COUNT = (
+    r"(?i)\b(?:number\s+of\s+shares|shares\s+(?:used|purchased|outstanding|subject|acquired|"
+    r"issued|vested|nonvested)|share\s+count|stock\s+units?|"
+    r"(?:full[ -]value\s+)?awards?\s+(?:granted|outstanding|issued|vested))\b"
+)
+MONETARY = (
+    r"(?i)\b(?:revenue|sales|income|expense|cost|profit|loss|cash|asset|liabilit|equity|"
+    r"capital|debt|loan|deposit|receivable|payable|inventory|securit|investment|"
+    r"tax|fee|compensation|dividend|earnings|margin|value|amount|proceeds|aum|auc)\w*\b"
+)
+RATIO_WORDS = r"(?i)\b(?:ratios?|margins?|rates?|yields?|returns?|rotce|roe|roa)\b"
+RATIO_RELATION = (
+    r"(?i)\b(?:allowance|loans?|assets?|capital|income|loss(?:es)?|exposure|debt|equity)\b"
+    r".*\bto\b.*"
+    r"\b(?:allowance|loans?|assets?|capital|income|loss(?:es)?|exposure|debt|equity)\b"
+)
+RANKING_WORDS = r"(?i)\b(?:rank|ranked|ranking|quartile|star)\b"
+EMPLOYEE_WORDS = r"(?i)\b(?:employees?|advisors?|headcount|personnel)\b"
+EXCEPT_CLAUSE = r"(?i)\bexcept\b(.{0,180})"
+EXCEPTION_TERMS = {
+    "per_share": r"(?i)per[ -]?share|per common share",
+    "percentage": r"(?i)percent|percentage|basis point|\bbps\b",
+    "ratio": r"(?i)ratio|margin|rate|yield|return",
+    "ranking": r"(?i)rank|quartile|star",
+    "employee": r"(?i)employee|advisor|headcount|personnel",
+    "time": r"(?i)contractual life|years?|months?|days?",
+}
+DOLLAR_WORDING = r"(?i)\b(?:dollars?|[$€£])\b"
+ACCOUNTING_PERCENT = r"^\(\s*([+-]?[\d,]+(?:\.\d+)?)\s*\)\s*(%)$"
+ACCOUNTING_NUMBER = r"^([$€£])?\s*\(\s*([$€£])?\s*([+-]?[\d,]+(?:\.\d+)?)\s*\)$"
+ACCOUNTING_OPEN = r"^([$€£])?\s*\(\s*([$€£])?\s*([+-]?[\d,]+(?:\.\d+)?)\s*$"
+ACCOUNTING_TRAILING = r"([$€£])\s*\(\s*([+-]?[\d,]+(?:\.\d+)?)\s*$"
+CLOSING_TOKEN = r"^\)\s*(%)?$"
+NUMBER_FRAGMENT = r"^[+-]?\d+(?:\.\d+)?$"
+DELIMITER_CELL = r"^:?-{3,}:?$"
+CONTEXT_LINES = 8

@@ -383,7 +383,7 @@ def backfill_runs(spark, d):
 @query("research_reuse", """
 WITH RECURSIVE e AS (SELECT event_id, event_type AS key, epoch(date_trunc('second', ts))::BIGINT AS sec, ts, CASE WHEN value < 5 THEN 60 ELSE 900 END AS ttl FROM events),
 p AS (SELECT key, sec, arg_min(ttl, (ts, event_id)) AS ttl, arg_min(event_id, (ts, event_id)) AS id FROM e GROUP BY ALL),
-nx AS (SELECT a.key, a.sec, min(b.sec) AS next_sec FROM p a LEFT JOIN p b ON a.key = b.key AND a.sec + a.ttl <= b.sec GROUP BY ALL),
+nx AS MATERIALIZED (SELECT a.key, a.sec, min(b.sec) AS next_sec FROM p a LEFT JOIN p b ON a.key = b.key AND a.sec + a.ttl <= b.sec GROUP BY ALL),
 m AS (SELECT key, min(sec) AS sec FROM p GROUP BY key UNION ALL SELECT nx.key, nx.next_sec FROM m JOIN nx ON nx.key = m.key AND nx.sec = m.sec WHERE nx.next_sec IS NOT NULL)
 SELECT event_id AS request_id, e.key, CAST(event_id NOT IN (SELECT id FROM p JOIN m USING (key, sec)) AS INT) AS hit FROM e""")
 def research_reuse(spark, d):

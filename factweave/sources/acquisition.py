@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave import schemas
+from factweave.functions.columns import let
 
 
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:
@@ -116,14 +117,21 @@ def structured_facts(docs: DataFrame) -> DataFrame:
     """
     numeric = F.element_at(F.split(F.col("text"), r"(?m)^text_facts:", 2), 1)
     records = F.split(numeric, r"(?m)^  - fact_id:")
-    x = docs.select("path", F.posexplode(F.slice(records, 2, F.greatest(F.size(records) - 1, F.lit(1)))).alias("fact_no", "r"))
     unquote = lambda v: F.regexp_replace(F.trim(v), r'^"+|"+$', "")
     pair = lambda l, prefix: F.struct(F.concat(F.lit(prefix), F.regexp_extract(l, r"^\s*([A-Za-z0-9_.-]+):", 1)).alias("key"), unquote(F.regexp_extract(l, r"^[^:]*:\s*(.*)$", 1)).alias("value"))
-    lines = F.split("r", "\n")
-    top = F.transform(F.filter(lines, lambda l: F.regexp_like(l, F.lit(r"^\s{4}[A-Za-z0-9_.-]+:"))), lambda l: pair(l, ""))
-    per = F.transform(F.filter(lines, lambda l: F.regexp_like(l, F.lit(r"^\s{6}(end|instant|fiscal_year):"))), lambda l: pair(l, "period."))
-    allp = F.concat(top, per)
-    # a repeated key keeps its last value
-    keys = F.transform(allp, lambda p: p["key"])
-    last = F.filter(allp, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["key"]))
-    return x.select("path", "fact_no", F.map_from_entries(last).alias("fields"))
+
+    def fields(r):
+        def pairs(lines):
+            top = F.transform(F.filter(lines, lambda l: F.regexp_like(l, F.lit(r"^\s{4}[A-Za-z0-9_.-]+:"))), lambda l: pair(l, ""))
+            per = F.transform(F.filter(lines, lambda l: F.regexp_like(l, F.lit(r"^\s{6}(end|instant|fiscal_year):"))), lambda l: pair(l, "period."))
+            return F.concat(top, per)
+
+        def last_wins(all_pairs):
+            keys = F.transform(all_pairs, lambda p: p["key"])
+            return F.map_from_entries(F.filter(all_pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["key"])))
+
+        return let(let(F.split(r, "\n"), pairs), last_wins)
+
+    # parsed inside the generator, so that no later expression parses a record again
+    parsed = F.transform(F.slice(records, 2, F.greatest(F.size(records) - 1, F.lit(1))), fields)
+    return docs.select("path", F.posexplode(parsed).alias("fact_no", "fields"))
