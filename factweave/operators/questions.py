@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factweave.functions import fixed
-from factweave.functions.columns import let
+from factweave.functions.columns import let, pin
 
 
 def has_any(text: Column, terms: list[str]) -> Column:
@@ -90,7 +90,7 @@ def annual_requests(questions: DataFrame) -> DataFrame:
     answerable = lambda i: let(annual_years(q), lambda y: F.when(
         i.isNotNull() & y.isNotNull() & ((i != "operating_leverage") | (F.size(y) >= 2)), F.struct(i.alias("intent"), y.alias("years"))))
     # one expression for intent and years, so wording is read once per question
-    x = questions.withColumn("program", let(annual_intent(q), answerable)).where("program is not null")
+    x = pin(questions, program=let(annual_intent(q), answerable)).where("program is not null")
     return x.select(*questions.columns, "program.intent", "program.years")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import cells as ce
 from factweave.functions import fixed
-from factweave.functions.columns import let
+from factweave.functions.columns import let, pin
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
@@ -49,7 +49,8 @@ def context_of(text_lines: Column) -> Column:
 
 def with_context(segs: DataFrame) -> DataFrame:
     w = W.partitionBy("doc_id").orderBy("seg_no")
-    return segs.withColumn("context", F.when(F.col("is_table"), context_of(F.lag("lines").over(w))))
+    above = segs.withColumn("_above", F.lag("lines").over(w))
+    return pin(above, context=F.when(F.col("is_table"), context_of(F.col("_above")))).drop("_above")
 
 
 def row_cells(line: Column) -> Column:
@@ -62,7 +63,7 @@ def row_cells(line: Column) -> Column:
 
 def parse_tables(segs: DataFrame) -> DataFrame:
     """Adds rows, width and the reason why a table is left alone (NULL if it is sound)."""
-    t = segs.where("is_table").withColumn("rows", F.transform("lines", row_cells))
+    t = pin(segs.where("is_table"), rows=F.transform("lines", row_cells))
     whole = ~F.exists("rows", lambda r: r.isNull())
     width = F.size(F.col("rows")[0])
     same = F.forall("rows", lambda r: F.size(r) == width)
@@ -72,7 +73,7 @@ def parse_tables(segs: DataFrame) -> DataFrame:
         F.when(~whole, "not a complete pipe table row").when(~same, "inconsistent source row widths")
         .when((width < 2) | (F.size("rows") < 3), "not a complete Markdown table").when(~only_second, "missing or nonstandard delimiter row")
     )
-    return t.withColumn("width", width).withColumn("reason", reason)
+    return pin(t, width=width, reason=reason)
 
 
 def spread_units(row: Column) -> Column:
@@ -100,50 +101,49 @@ def merged_header(target: Column, sources: Column) -> Column:
 
 def repair_structure(tables: DataFrame) -> DataFrame:
     """Sound tables: units spread, tokens merged, negatives rewritten, empty columns removed with their headers kept."""
-    t = tables.where("reason is null").withColumn("rows", F.transform("rows", lambda r, i: F.when(i == 1, r).otherwise(spread_units(r))))
-    t = t.withColumn("m", ce.merge_tokens("rows")).withColumn("merged", F.col("m.rows"))
-    t = t.withColumn("rows2", F.transform("merged", lambda r, i: F.when(i == 1, r).otherwise(F.transform(r, ce.accounting_negative))))
-    turned = F.aggregate(F.zip_with("merged", "rows2", lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda d: d))), F.lit(0), lambda a, n: a + n)
-    t = t.withColumn("start", first_data_row(F.col("rows2"))).withColumn("negatives", F.col("m.negatives") + turned).withColumn("moved", F.col("m.moved"))
+    spread = F.transform("rows", lambda r, i: F.when(i == 1, r).otherwise(spread_units(r)))
+    # pinned, as a Python function takes plain columns only
+    t = pin(tables.where("reason is null"), spread=spread).drop("rows")
+    t = t.withColumn("m", ce.merge_tokens("spread")).select("doc_id", "seg_no", "lines", "context", "width", "m.*")
+    t = pin(t, rows2=F.transform("rows", lambda r, i: F.when(i == 1, r).otherwise(F.transform(r, ce.accounting_negative))))
+    turned = F.aggregate(F.zip_with("rows", "rows2", lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda d: d))), F.lit(0), lambda a, n: a + n)
+    t = pin(t, start=first_data_row(F.col("rows2")), negatives=F.col("negatives") + turned)
     body = F.when(F.col("start") < F.size("rows2"), F.slice("rows2", F.col("start") + 1, F.size("rows2"))).otherwise(F.slice("rows2", 3, F.size("rows2")))
-    empty = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda c: (c > 0) & (F.size("body") > 0) & F.forall("body", lambda r: F.get(r, c) == ""))
-    t = t.withColumn("body", body).withColumn("empty", empty)
-    index = F.sequence(F.lit(0), F.col("width") - 1)
-    kept = F.filter(index, lambda c: ~F.get(F.col("empty"), c))
+    t = pin(t, body=body, index=F.sequence(F.lit(0), F.col("width") - 1))
+    t = pin(t, kept=F.filter("index", lambda c: (c == 0) | F.exists("body", lambda r: F.get(r, c) != "")))
     # a removed column goes to the next kept one on its right, else to the last kept one
-    goes_to = F.transform(index, lambda c: F.coalesce(F.get(F.filter(F.col("kept"), lambda k: k >= c), F.lit(0)), F.element_at("kept", -1)))
-    t = t.withColumn("kept", kept).withColumn("goes_to", goes_to)
+    t = pin(t, goes_to=F.transform("index", lambda c: F.coalesce(F.get(F.filter("kept", lambda k: k >= c), F.lit(0)), F.element_at("kept", -1))))
 
     def squeeze(r, i):
         head = (i == 0) | ((i >= 2) & (i < F.col("start")))
-        gone = lambda k: F.transform(F.filter(index, lambda c: (c != k) & (F.get(F.col("goes_to"), c) == k)), lambda c: F.get(r, c))
+        gone = lambda k: F.transform(F.filter("index", lambda c: (c != k) & (F.get(F.col("goes_to"), c) == k)), lambda c: F.get(r, c))
         return F.transform("kept", lambda k: F.when(head, merged_header(F.get(r, k), gone(k))).otherwise(F.get(r, k)))
 
-    t = t.withColumn("final", F.transform("rows2", lambda r, i: F.when(i == 1, F.transform("kept", lambda k: F.lit("---"))).otherwise(squeeze(r, i))))
-    return t.select("doc_id", "seg_no", "lines", "context", F.col("final").alias("rows"), (F.col("width") - F.size("kept")).alias("removed_columns"), "negatives", "moved")
+    final = F.transform("rows2", lambda r, i: F.when(i == 1, F.transform("kept", lambda k: F.lit("---"))).otherwise(squeeze(r, i)))
+    t = pin(t.drop("rows"), rows=final, removed_columns=F.col("width") - F.size("kept"))
+    return t.select("doc_id", "seg_no", "lines", "context", "rows", "removed_columns", "negatives", "moved")
 
 
 def with_policy(t: DataFrame) -> DataFrame:
     """Table-wide scale, share scale, exceptions, currency habit and one descriptor per column."""
-    t = t.withColumn("start", first_data_row(F.col("rows")))
-    heads = F.when(F.col("start") > 2, F.slice("rows", 3, F.col("start") - 2)).otherwise(F.slice("rows", 1, 0))
-    t = t.withColumn("heads", heads)
+    t = pin(t, start=first_data_row(F.col("rows")))
+    t = pin(t, heads=F.when(F.col("start") > 2, F.slice("rows", 3, F.col("start") - 2)).otherwise(F.slice("rows", 1, 0)))
     stubs = F.filter(F.transform("heads", lambda r: r[0]), lambda c: c != "")
     parts = F.concat(F.array("context", F.array_join(F.col("rows")[0], " ")), stubs)
     declared = F.filter(F.transform(F.concat(F.array(F.col("rows")[0][0]), stubs), ce.scale_in), lambda s: s.isNotNull())
-    t = t.withColumn("combined", F.array_join(parts, " ")).withColumn("default_scale", F.coalesce(F.when(F.size(declared) > 0, F.element_at(declared, -1)), ce.scale_in(F.col("context"))))
     describe = F.transform(F.sequence(F.lit(0), F.size(F.col("rows")[0]) - 1), lambda c: F.array_join(F.array_distinct(F.filter(
         F.transform(F.concat(F.array(F.col("rows")[0]), F.col("heads")), lambda r: ce.plain(F.get(r, c))), lambda v: v != "")), " "))
-    return t.select(
-        "doc_id", "seg_no", "rows", "start", "default_scale", ce.share_scale_in(F.col("combined")).alias("share_scale"), ce.exceptions_in(F.col("combined")).alias("exceptions"),
-        ce.like(F.col("combined"), fixed.DOLLAR_WORDING).alias("currency_default"), describe.alias("descriptors"))
+    t = pin(t, combined=F.array_join(parts, " "), declared=declared, descriptors=describe)
+    t = pin(t, default_scale=F.coalesce(F.when(F.size("declared") > 0, F.element_at("declared", -1)), ce.scale_in(F.col("context"))), share_scale=ce.share_scale_in(F.col("combined")),
+            exceptions=ce.exceptions_in(F.col("combined")), currency_default=ce.like(F.col("combined"), fixed.DOLLAR_WORDING))
+    return t.drop("context", "heads", "combined", "declared")
 
 
 def table_rows(t: DataFrame) -> DataFrame:
     """One row per table row with its label and the last label-only row above it (the section)."""
     x = t.select("*", F.posexplode("rows").alias("row_no", "cells")).drop("rows")
     some = F.exists(F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))), lambda c: ce.is_value(c) | (ce.like(c, r"\d") & ce.like(c, fixed.PERCENT)))
-    x = x.withColumn("label", ce.plain(F.col("cells")[0])).withColumn("has_values", some)
+    x = pin(x, label=ce.plain(F.col("cells")[0]), has_values=some)
     w = W.partitionBy("doc_id", "seg_no").orderBy("row_no").rowsBetween(W.unboundedPreceding, -1)
     opens = (F.col("row_no") >= 2) & (F.col("label") != "") & ~F.col("has_values")
     x = x.withColumn("opens", opens)
@@ -159,28 +159,42 @@ def table_cells(rows: DataFrame) -> DataFrame:
     x = x.withColumn("row_text", F.concat_ws(" ", F.nullif("section", F.lit("")), F.nullif("label", F.lit("")))).withColumn("col_text", F.get("descriptors", F.col("col_no")))
     policy = {n: F.col(n) for n in ("default_scale", "share_scale", "exceptions", "currency_default")}
     live = data & (F.col("row_no") >= 2) & ~F.col("opens")
-    x = x.withColumn("scale", F.when(live, ce.choose_scale(F.col("value"), F.col("row_text"), F.col("col_text"), policy)))
+    x = pin(x, scale=F.when(live, ce.choose_scale(F.col("value"), F.col("row_text"), F.col("col_text"), policy)))
     semantic = F.concat("row_text", F.lit(" "), "col_text")
     money = ~ce.like(semantic, fixed.SHARE_COUNT) & (F.col("currency_default") | F.col("currency_column") | ce.like(semantic, fixed.MONETARY))
-    return x.withColumn("new_value", F.when(F.col("scale").isNotNull(), ce.scaled(F.col("value"), F.col("scale"), money)).otherwise(F.col("value")))
+    return pin(x, new_value=F.when(F.col("scale").isNotNull(), ce.scaled(F.col("value"), F.col("scale"), money)).otherwise(F.col("value")))
+
+
+COUNTS = ["removed_columns", "negatives", "moved", "added_k", "added_m", "added_b", "added_t"]
+
+
+def repair_sound(sound: DataFrame) -> DataFrame:
+    """Sound tables -> (doc_id, seg_no, lines, new_lines, counts)."""
+    cells = table_cells(table_rows(with_policy(repair_structure(sound))))
+    count = lambda s: F.count_if((F.col("scale") == s) & (F.col("new_value") != F.col("value"))).alias(f"added_{s.lower()}")
+    # everything about the table rides along on its first cell
+    table = F.when((F.col("row_no") == 0) & (F.col("col_no") == 0), F.struct("lines", "removed_columns", "negatives", "moved"))
+    by_row = cells.groupBy("doc_id", "seg_no", "row_no").agg(
+        F.array_sort(F.collect_list(F.struct("col_no", "new_value"))).alias("c"), F.first(table, ignorenulls=True).alias("t"), *[count(s) for s in "KMBT"])
+    text = F.concat(F.lit("| "), F.array_join(F.transform("c", lambda c: F.regexp_replace(c["new_value"], r"(?U)^\s+|\s+$", "")), " | "), F.lit(" |"))
+    by_row = by_row.withColumn("text", text)
+    by_table = by_row.groupBy("doc_id", "seg_no").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("row_no", "text"))), lambda r: r["text"]).alias("new_lines"), F.first("t", ignorenulls=True).alias("t"),
+        *[F.sum(f"added_{s}").alias(f"added_{s}") for s in "kmbt"])
+    return by_table.select("doc_id", "seg_no", "t.*", "new_lines", *COUNTS[3:])
 
 
 def repair_tables(docs: DataFrame) -> DataFrame:
     """Every segment of every document with its old and new lines and the repair counts."""
     segs = with_context(segments(docs))
     parsed = parse_tables(segs)
-    fixed_t = repair_structure(parsed)
-    cells = table_cells(table_rows(with_policy(fixed_t)))
-    count = lambda s: F.count_if((F.col("scale") == s) & (F.col("new_value") != F.col("value")))
-    by_row = cells.groupBy("doc_id", "seg_no", "row_no").agg(
-        F.array_sort(F.collect_list(F.struct("col_no", "new_value"))).alias("c"), *[count(s).alias(f"added_{s.lower()}") for s in "KMBT"])
-    text = F.concat(F.lit("| "), F.array_join(F.transform("c", lambda c: F.regexp_replace(c["new_value"], r"(?U)^\s+|\s+$", "")), " | "), F.lit(" |"))
-    by_table = by_row.select("*", text.alias("t")).groupBy("doc_id", "seg_no").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("row_no", "t"))), lambda r: r["t"]).alias("new_lines"), *[F.sum(f"added_{s}").alias(f"added_{s}") for s in "kmbt"])
-    done = fixed_t.select("doc_id", "seg_no", "removed_columns", "negatives", "moved").join(by_table, ["doc_id", "seg_no"])
-    base = segs.select("doc_id", "seg_no", "is_table", "lines").join(parsed.select("doc_id", "seg_no", "reason"), ["doc_id", "seg_no"], "left")
-    out = base.join(done, ["doc_id", "seg_no"], "left")
-    return out.withColumn("new_lines", F.coalesce("new_lines", "lines")).withColumn("changed", F.col("new_lines") != F.col("lines"))
+    zero = [F.lit(0).alias(c) for c in COUNTS]
+    keep = lambda df, table, reason: df.select("doc_id", "seg_no", F.lit(table).alias("is_table"), "lines", reason.alias("reason"), F.col("lines").alias("new_lines"), *zero)
+    none = F.lit(None).cast("string")
+    out = keep(segs.where("not is_table"), False, none).unionByName(keep(parsed.where("reason is not null"), True, F.col("reason")))
+    done = repair_sound(parsed.where("reason is null"))
+    out = out.unionByName(done.select("doc_id", "seg_no", F.lit(True).alias("is_table"), "lines", none.alias("reason"), "new_lines", *COUNTS))
+    return out.withColumn("changed", F.col("new_lines") != F.col("lines"))
 
 
 def repair_documents(docs: DataFrame) -> DataFrame:
@@ -190,7 +204,7 @@ def repair_documents(docs: DataFrame) -> DataFrame:
     g = s.groupBy("doc_id").agg(
         F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "new_lines"))), lambda r: r["new_lines"])), "\n").alias("text"),
         F.count_if(F.col("changed") & F.col("is_table")).alias("changed_tables"), F.count_if(~F.col("changed") & F.col("reason").isNotNull()).alias("skipped_tables"),
-        *[if_changed(c).alias(c) for c in ("removed_columns", "negatives", "moved", "added_k", "added_m", "added_b", "added_t")],
+        *[if_changed(c).alias(c) for c in COUNTS],
         F.array_join(F.array_sort(F.collect_set(F.when(~F.col("changed"), F.col("reason")))), "; ").alias("skip_reasons"))
     x = docs.join(g, "doc_id", "left")
     new = F.coalesce(F.concat("text", F.when(F.col("body").endswith("\n"), "\n").otherwise("")), F.col("body"))
