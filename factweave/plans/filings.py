@@ -18,14 +18,15 @@ QUERIES, ORACLES, query = area.queries, area.oracles, area.query
 FORMS = {"1-URGENT": "10-K", "2-HIGH": "10-Q", "3-MEDIUM": "8-K", "4-NOT SPECIFIED": "10-K/A"}
 
 
-def filings(spark, d):
+def filings(spark, d, orders=None):
     p = F.col("o_orderpriority")
     form = F.lit("DEF-14A")
     for k, v in FORMS.items():
         form = F.when(p == k, v).otherwise(form)
     date = F.add_months(F.to_date("o_orderdate"), 240)
     text = lambda c, n: F.lpad(c.cast("string"), n, "0")
-    return table(spark, d, "orders").select(
+    orders = table(spark, d, "orders") if orders is None else orders
+    return orders.select(
         F.concat(F.lit("filing:"), "o_orderkey").alias("id"), F.concat(F.lit("C"), "o_custkey").alias("ticker"), form.alias("form"),
         (F.year("o_orderdate") + 20).alias("fiscal_year"), date.alias("filing_date"), F.trunc(date, "quarter").alias("report_date"),
         F.concat_ws("-", text(F.col("o_custkey"), 10), F.date_format("o_orderdate", "yy"), text(F.col("o_orderkey") % 1000000, 6)).alias("accession"),
