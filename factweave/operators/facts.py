@@ -20,7 +20,7 @@ def amount(value: Column = None, scale: Column = None) -> Column:
     value = F.col("value") if value is None else value
     scale = F.col("scale") if scale is None else scale
     finite = F.when(~F.lower(F.trim(value)).isin(NON_FINITE), value)
-    return finite.try_cast("decimal(24,4)") * F.coalesce(scale, F.lit("1")).try_cast("decimal(8,2)")
+    return finite.try_cast("decimal(20,4)") * F.coalesce(scale, F.lit("1")).try_cast("decimal(16,2)")
 
 
 def with_amount(facts: DataFrame) -> DataFrame:

@@ -363,3 +363,14 @@ def scalar_dates(spark, d):
     return f.select("id", sc.year_of(F.col("filing_date").cast("string")).alias("year"), sc.date_in_text(iso).cast("string").alias("iso"), sc.date_in_text(named).cast("string").alias("named"),
                     sc.fiscal_year_in_name(name).alias("fy_text"), sc.accession_in_name(name).alias("accession"), sc.form_in_name(name).alias("form"),
                     sc.run_stamp(F.col("filing_date").cast("timestamp")).alias("stamp"))
+
+
+@query("facts_scan", W_SQL + """
+SELECT upper(replace(ticker, 'C', 'c-')) AS ticker, id || suffix AS id, concept, value, fiscal_year, n AS ordinal FROM filings, (VALUES (0::BIGINT, 'a', 'us-gaap:Revenues'), (1::BIGINT, 'b', 'us-gaap:NetIncomeLoss')) v(n, suffix, concept), LATERAL (SELECT CAST(ordinal + n AS VARCHAR) AS value)""")
+def facts_scan(spark, d):
+    """One index document per filing with two facts; the ticker becomes an upper-case slug."""
+    f = filings(spark, d)
+    fact = lambda n, s, c: F.format_string('{"id":"%s' + s + '","concept":"' + c + '","roles":["x"],"value":"%d","scale":"1","unit":"USD","dimensions":{},"period":{"fiscal_year":%d,"kind":"duration"}}', "id", F.col("ordinal") + n, "fiscal_year")
+    js = F.concat(F.lit('{"ticker":"'), F.replace("ticker", F.lit("C"), F.lit("c/")), F.lit('","facts":['), fact(0, "a", "us-gaap:Revenues"), F.lit(","), fact(1, "b", "us-gaap:NetIncomeLoss"), F.lit("]}"))
+    x = acq.fact_index_rows(f.select(F.from_json(js, schemas.FACT_INDEX).alias("j")).select("j.*"))
+    return x.select("ticker", "id", "concept", "value", "period.fiscal_year", "ordinal")

@@ -27,7 +27,11 @@ def flatten_company_facts(raw: DataFrame) -> DataFrame:
 
 def read_fact_index(spark: SparkSession, path: str) -> DataFrame:
     """One JSON file per ticker -> canonical facts; load once and keep as Parquet by ticker (see sinks)."""
-    raw = spark.read.schema(schemas.FACT_INDEX).json(path, multiLine=True)
+    return fact_index_rows(spark.read.schema(schemas.FACT_INDEX).json(path, multiLine=True))
+
+
+def fact_index_rows(raw: DataFrame) -> DataFrame:
+    """(ticker, facts[]) -> one row per fact with its position in the index."""
     x = raw.select("ticker", F.posexplode_outer("facts").alias("ordinal", "f")).where("f is not null")
     return x.select(F.upper(F.regexp_replace("ticker", "[^A-Za-z0-9]+", "-")).alias("ticker"), "f.*", F.col("ordinal").cast("long").alias("ordinal"))
 
