@@ -18,9 +18,11 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, body) -> one row per line; a final line break opens no line."""
+    """docs(doc_id, body) -> one row per line; a final line break opens no line. The first line carries hash and final break."""
     body = F.regexp_replace("body", rf"(?:{LINE_BREAK})\z", "")
-    return docs.where("body <> ''").select("doc_id", F.posexplode(F.split(body, LINE_BREAK)).alias("line_no", "line"))
+    x = docs.withColumn("d", F.struct(F.sha2("body", 256).alias("source_sha256"), F.when(F.col("body").endswith("\n"), "\n").otherwise("").alias("tail")))
+    x = x.select("doc_id", "d", F.posexplode(F.split(body, LINE_BREAK)).alias("line_no", "line"))
+    return x.select("doc_id", "line_no", "line", F.when(F.col("line_no") == 0, F.col("d")).alias("doc"))
 
 
 def segments(docs: DataFrame) -> DataFrame:
@@ -29,8 +31,8 @@ def segments(docs: DataFrame) -> DataFrame:
     x = lines(docs).withColumn("is_table", F.regexp_like("line", F.lit(r"(?U)^\s*\|")))
     x = x.withColumn("_new", (~F.lag("is_table").over(w).eqNullSafe(F.col("is_table"))).cast("int"))
     x = x.withColumn("seg_no", F.sum("_new").over(w))
-    g = x.groupBy("doc_id", "seg_no", "is_table").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("r"))
-    return g.select("doc_id", "seg_no", "is_table", F.col("r")[0]["line_no"].alias("first_line"), F.transform("r", lambda r: r["line"]).alias("lines"))
+    g = x.groupBy("doc_id", "seg_no", "is_table").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("r"), F.first("doc", ignorenulls=True).alias("doc"))
+    return g.select("doc_id", "seg_no", "is_table", "doc", F.col("r")[0]["line_no"].alias("first_line"), F.transform("r", lambda r: r["line"]).alias("lines"))
 
 
 def context_of(text_lines: Column) -> Column:
@@ -62,18 +64,18 @@ def row_cells(line: Column) -> Column:
 
 
 def parse_tables(segs: DataFrame) -> DataFrame:
-    """Adds rows, width and the reason why a table is left alone (NULL if it is sound)."""
-    t = pin(segs.where("is_table"), rows=F.transform("lines", row_cells))
+    """Adds rows and width of sound tables, and the reason why a table is left alone. Text segments get neither."""
+    t = pin(segs, rows=F.when(F.col("is_table"), F.transform("lines", row_cells)))
     whole = ~F.exists("rows", lambda r: r.isNull())
     width = F.size(F.col("rows")[0])
     same = F.forall("rows", lambda r: F.size(r) == width)
     delim = F.transform("rows", lambda r: F.forall(r, lambda c: ce.like(ce.clean(c), fixed.DELIMITER_CELL)))
     only_second = F.forall(F.transform(delim, lambda d, i: d == (i == 1)), lambda ok: ok)
-    reason = (
-        F.when(~whole, "not a complete pipe table row").when(~same, "inconsistent source row widths")
-        .when((width < 2) | (F.size("rows") < 3), "not a complete Markdown table").when(~only_second, "missing or nonstandard delimiter row")
-    )
-    return pin(t, width=width, reason=reason)
+    reason = F.when(F.col("is_table"), F.when(~whole, "not a complete pipe table row").when(~same, "inconsistent source row widths")
+                    .when((width < 2) | (F.size("rows") < 3), "not a complete Markdown table").when(~only_second, "missing or nonstandard delimiter row"))
+    t = pin(t, width=width, reason=reason)
+    sound = F.col("is_table") & F.col("reason").isNull()
+    return t.withColumn("rows", F.when(sound, F.col("rows"))).withColumn("width", F.when(sound, F.col("width")))
 
 
 def spread_units(row: Column) -> Column:
@@ -100,11 +102,15 @@ def merged_header(target: Column, sources: Column) -> Column:
 
 
 def repair_structure(tables: DataFrame) -> DataFrame:
-    """Sound tables: units spread, tokens merged, negatives rewritten, empty columns removed with their headers kept."""
+    """Sound tables: units spread, tokens merged, negatives rewritten, empty columns removed with their headers kept.
+
+    Other segments pass through with NULL rows, so nothing has to be joined or united later.
+    """
+    keep = ["doc_id", "seg_no", "is_table", "reason", "doc", "lines", "context"]
     spread = F.transform("rows", lambda r, i: F.when(i == 1, r).otherwise(spread_units(r)))
     # pinned, as a Python function takes plain columns only
-    t = pin(tables.where("reason is null"), spread=spread).drop("rows")
-    t = t.withColumn("m", ce.merge_tokens("spread")).select("doc_id", "seg_no", "lines", "context", "width", "m.*")
+    t = pin(tables, spread=spread).drop("rows")
+    t = t.withColumn("m", ce.merge_tokens("spread")).select(*keep, "width", "m.*")
     t = pin(t, rows2=F.transform("rows", lambda r, i: F.when(i == 1, r).otherwise(F.transform(r, ce.accounting_negative))))
     turned = F.aggregate(F.zip_with("rows", "rows2", lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda d: d))), F.lit(0), lambda a, n: a + n)
     t = pin(t, start=first_data_row(F.col("rows2")), negatives=F.col("negatives") + turned)
@@ -121,18 +127,18 @@ def repair_structure(tables: DataFrame) -> DataFrame:
 
     final = F.transform("rows2", lambda r, i: F.when(i == 1, F.transform("kept", lambda k: F.lit("---"))).otherwise(squeeze(r, i)))
     t = pin(t.drop("rows"), rows=final, removed_columns=F.col("width") - F.size("kept"))
-    return t.select("doc_id", "seg_no", "lines", "context", "rows", "removed_columns", "negatives", "moved")
+    return t.select(*keep, "rows", "removed_columns", "negatives", "moved")
 
 
 def with_policy(t: DataFrame) -> DataFrame:
     """Table-wide scale, share scale, exceptions, currency habit and one descriptor per column."""
     t = pin(t, start=first_data_row(F.col("rows")))
     t = pin(t, heads=F.when(F.col("start") > 2, F.slice("rows", 3, F.col("start") - 2)).otherwise(F.slice("rows", 1, 0)))
-    stubs = F.filter(F.transform("heads", lambda r: r[0]), lambda c: c != "")
-    parts = F.concat(F.array("context", F.array_join(F.col("rows")[0], " ")), stubs)
-    declared = F.filter(F.transform(F.concat(F.array(F.col("rows")[0][0]), stubs), ce.scale_in), lambda s: s.isNotNull())
-    describe = F.transform(F.sequence(F.lit(0), F.size(F.col("rows")[0]) - 1), lambda c: F.array_join(F.array_distinct(F.filter(
-        F.transform(F.concat(F.array(F.col("rows")[0]), F.col("heads")), lambda r: ce.plain(F.get(r, c))), lambda v: v != "")), " "))
+    stubs = F.filter(F.transform("heads", lambda r: F.get(r, F.lit(0))), lambda c: c != "")
+    parts = F.concat(F.array("context", F.array_join(F.get("rows", F.lit(0)), " ")), stubs)
+    declared = F.filter(F.transform(F.concat(F.array(F.get(F.get("rows", F.lit(0)), F.lit(0))), stubs), ce.scale_in), lambda s: s.isNotNull())
+    describe = F.transform(F.sequence(F.lit(0), F.size(F.get("rows", F.lit(0))) - 1), lambda c: F.array_join(F.array_distinct(F.filter(
+        F.transform(F.concat(F.array(F.get("rows", F.lit(0))), F.col("heads")), lambda r: ce.plain(F.get(r, c))), lambda v: v != "")), " "))
     t = pin(t, combined=F.array_join(parts, " "), declared=declared, descriptors=describe)
     t = pin(t, default_scale=F.coalesce(F.when(F.size("declared") > 0, F.element_at("declared", -1)), ce.scale_in(F.col("context"))), share_scale=ce.share_scale_in(F.col("combined")),
             exceptions=ce.exceptions_in(F.col("combined")), currency_default=ce.like(F.col("combined"), fixed.DOLLAR_WORDING))
@@ -141,9 +147,14 @@ def with_policy(t: DataFrame) -> DataFrame:
 
 def table_rows(t: DataFrame) -> DataFrame:
     """One row per table row with its label and the last label-only row above it (the section)."""
-    x = t.select("*", F.posexplode("rows").alias("row_no", "cells")).drop("rows")
+    # what belongs to the whole segment rides on its first row, so it is not copied to every row and cell
+    ride = F.struct("is_table", "reason", "doc", "lines", "removed_columns", "negatives", "moved")
+    items = F.coalesce(F.transform("rows", lambda r, i: F.struct(r.alias("cells"), F.when(i == 0, ride).alias("segment"))),
+                       F.array(F.struct(F.lit(None).cast("array<string>").alias("cells"), ride.alias("segment"))))
+    policy = ["doc_id", "seg_no", "start", "default_scale", "share_scale", "exceptions", "currency_default", "descriptors"]
+    x = t.select(*policy, F.posexplode(items).alias("row_no", "r")).select(*policy, "row_no", "r.*")
     some = F.exists(F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))), lambda c: ce.is_value(c) | (ce.like(c, r"\d") & ce.like(c, fixed.PERCENT)))
-    x = pin(x, label=ce.plain(F.col("cells")[0]), has_values=some)
+    x = pin(x, label=ce.plain(F.get("cells", F.lit(0))), has_values=some)
     w = W.partitionBy("doc_id", "seg_no").orderBy("row_no").rowsBetween(W.unboundedPreceding, -1)
     opens = (F.col("row_no") >= 2) & (F.col("label") != "") & ~F.col("has_values")
     x = x.withColumn("opens", opens)
@@ -152,7 +163,10 @@ def table_rows(t: DataFrame) -> DataFrame:
 
 def table_cells(rows: DataFrame) -> DataFrame:
     """One row per cell with chosen scale and new text."""
-    x = rows.select("*", F.posexplode("cells").alias("col_no", "value"))
+    items = F.coalesce(F.transform("cells", lambda c, j: F.struct(c.alias("value"), F.when(j == 0, F.col("segment")).alias("segment"))),
+                       F.array(F.struct(F.lit(None).cast("string").alias("value"), F.col("segment").alias("segment"))))
+    rest = [c for c in rows.columns if c not in ("cells", "segment")]
+    x = rows.select(*rest, F.posexplode(items).alias("col_no", "v")).select(*rest, "col_no", "v.*")
     wc = W.partitionBy("doc_id", "seg_no", "col_no")
     data = (F.col("row_no") >= F.col("start")) & (F.col("col_no") >= 1)
     x = x.withColumn("currency_column", F.max((data & ce.has_currency(F.col("value"))).cast("int")).over(wc) == 1)
@@ -168,48 +182,34 @@ def table_cells(rows: DataFrame) -> DataFrame:
 COUNTS = ["removed_columns", "negatives", "moved", "added_k", "added_m", "added_b", "added_t"]
 
 
-def repair_sound(sound: DataFrame) -> DataFrame:
-    """Sound tables -> (doc_id, seg_no, lines, new_lines, counts)."""
-    cells = table_cells(table_rows(with_policy(repair_structure(sound))))
+def repair_tables(docs: DataFrame) -> DataFrame:
+    """Every segment of every document with its old and new lines and the repair counts."""
+    cells = table_cells(table_rows(with_policy(repair_structure(parse_tables(with_context(segments(docs)))))))
     count = lambda s: F.count_if((F.col("scale") == s) & (F.col("new_value") != F.col("value"))).alias(f"added_{s.lower()}")
-    # everything about the table rides along on its first cell
-    table = F.when((F.col("row_no") == 0) & (F.col("col_no") == 0), F.struct("lines", "removed_columns", "negatives", "moved"))
     by_row = cells.groupBy("doc_id", "seg_no", "row_no").agg(
-        F.array_sort(F.collect_list(F.struct("col_no", "new_value"))).alias("c"), F.first(table, ignorenulls=True).alias("t"), *[count(s) for s in "KMBT"])
+        F.array_sort(F.collect_list(F.struct("col_no", "new_value"))).alias("c"), F.first("segment", ignorenulls=True).alias("segment"), *[count(s) for s in "KMBT"])
     text = F.concat(F.lit("| "), F.array_join(F.transform("c", lambda c: F.regexp_replace(c["new_value"], r"(?U)^\s+|\s+$", "")), " | "), F.lit(" |"))
-    by_row = by_row.withColumn("text", text)
-    by_table = by_row.groupBy("doc_id", "seg_no").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("row_no", "text"))), lambda r: r["text"]).alias("new_lines"), F.first("t", ignorenulls=True).alias("t"),
+    by_table = by_row.withColumn("text", text).groupBy("doc_id", "seg_no").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("row_no", "text"))), lambda r: r["text"]).alias("new_lines"), F.first("segment", ignorenulls=True).alias("s"),
         *[F.sum(f"added_{s}").alias(f"added_{s}") for s in "kmbt"])
-    return by_table.select("doc_id", "seg_no", "t.*", "new_lines", *COUNTS[3:])
-
-
-def repair_tables(docs: DataFrame) -> DataFrame:
-    """Every segment of every document with its old and new lines and the repair counts."""
-    segs = with_context(segments(docs))
-    parsed = parse_tables(segs)
-    zero = [F.lit(0).alias(c) for c in COUNTS]
-    keep = lambda df, table, reason: df.select("doc_id", "seg_no", F.lit(table).alias("is_table"), "lines", reason.alias("reason"), F.col("lines").alias("new_lines"), *zero)
-    none = F.lit(None).cast("string")
-    out = keep(segs.where("not is_table"), False, none).unionByName(keep(parsed.where("reason is not null"), True, F.col("reason")))
-    done = repair_sound(parsed.where("reason is null"))
-    out = out.unionByName(done.select("doc_id", "seg_no", F.lit(True).alias("is_table"), "lines", none.alias("reason"), "new_lines", *COUNTS))
+    sound = F.col("s.is_table") & F.col("s.reason").isNull()
+    out = by_table.select("doc_id", "seg_no", "s.*", F.when(sound, F.col("new_lines")).otherwise(F.col("s.lines")).alias("new_lines"), *COUNTS[3:])
     return out.withColumn("changed", F.col("new_lines") != F.col("lines"))
 
 
 def repair_documents(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, body) -> repaired body and report columns; documents without lines come back as they are."""
+    """docs(doc_id, body) -> repaired text, hashes before and after, report columns."""
     s = repair_tables(docs)
-    if_changed = lambda c: F.sum(F.when(F.col("changed") & F.col("is_table"), F.col(c)).otherwise(0))
+    if_changed = lambda c: F.sum(F.when(F.col("changed") & F.col("is_table"), F.coalesce(c, F.lit(0))).otherwise(0))
     g = s.groupBy("doc_id").agg(
         F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "new_lines"))), lambda r: r["new_lines"])), "\n").alias("text"),
+        F.first("doc", ignorenulls=True).alias("doc"),
         F.count_if(F.col("changed") & F.col("is_table")).alias("changed_tables"), F.count_if(~F.col("changed") & F.col("reason").isNotNull()).alias("skipped_tables"),
         *[if_changed(c).alias(c) for c in COUNTS],
         F.array_join(F.array_sort(F.collect_set(F.when(~F.col("changed"), F.col("reason")))), "; ").alias("skip_reasons"))
-    x = docs.join(g, "doc_id", "left")
-    new = F.coalesce(F.concat("text", F.when(F.col("body").endswith("\n"), "\n").otherwise("")), F.col("body"))
-    counts = [c for c in g.columns if c not in ("doc_id", "text", "skip_reasons")]
-    return x.select("doc_id", "body", new.alias("new_body"), *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.coalesce("skip_reasons", F.lit("")).alias("skip_reasons"))
+    x = g.withColumn("new_body", F.concat("text", "doc.tail"))
+    x = x.withColumn("source_sha256", F.col("doc.source_sha256")).withColumn("output_sha256", F.sha2("new_body", 256))
+    return x.withColumn("changed", F.col("source_sha256") != F.col("output_sha256")).drop("text", "doc")
 
 
 def labelled_measures(repaired: DataFrame, labels: list[str]) -> DataFrame:

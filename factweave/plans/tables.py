@@ -65,7 +65,7 @@ def parsed(spark, d):
 
 
 def structure(spark, d):
-    return op.repair_structure(parsed(spark, d))
+    return op.repair_structure(parsed(spark, d)).where("rows is not null")
 
 
 def cells(spark, d):
@@ -94,13 +94,12 @@ def table_cells(spark, d):
 @query("table_validity", LINES_SQL + """
 SELECT doc_id, CAST(first_line AS INT) AS first_line, CASE WHEN kind = '5-LOW' THEN CASE WHEN block = 1 THEN 'inconsistent source row widths' ELSE 'not a complete Markdown table' END ELSE 'ok' END AS state FROM blocks""")
 def table_validity(spark, d):
-    t = parsed(spark, d)
-    return t.select("doc_id", "first_line", F.coalesce("reason", F.lit("ok")).alias("state"))
+    return parsed(spark, d).where("is_table").select("doc_id", "first_line", F.coalesce("reason", F.lit("ok")).alias("state"))
 
 
 @query("units_propagate", DOCS_SQL + "SELECT doc_id, '|(In millions)|(In millions)' AS units_row FROM docs WHERE kind = '1-URGENT'")
 def units_propagate(spark, d):
-    x = parsed(spark, d).where("reason is null").select("doc_id", F.explode("rows").alias("r")).select("doc_id", "r", F.explode(F.array(op.spread_units(F.col("r")))).alias("filled"))
+    x = parsed(spark, d).select("doc_id", F.explode("rows").alias("r")).select("doc_id", "r", F.explode(F.array(op.spread_units(F.col("r")))).alias("filled"))
     return x.where("filled <> r").select("doc_id", F.array_join("filled", "|").alias("units_row"))
 
 
@@ -178,13 +177,12 @@ SELECT CASE kind WHEN '5-LOW' THEN 'inconsistent source row widths; not a comple
 def repair_report(spark, d):
     x = op.repair_documents(docs(spark, d))
     total = lambda c: F.sum(c).cast("long").alias(c)
-    return x.groupBy("skip_reasons").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("body") != F.col("new_body")).alias("changed_files"), *[total(c) for c in ("changed_tables", "skipped_tables", "removed_columns", "negatives", "moved", "added_k", "added_m")])
+    return x.groupBy("skip_reasons").agg(F.count(F.lit(1)).alias("files"), F.count_if("changed").alias("changed_files"), *[total(c) for c in ("changed_tables", "skipped_tables", "removed_columns", "negatives", "moved", "added_k", "added_m")])
 
 
 @query("repair_delta", DOCS_SQL + "SELECT doc_id, sha256(body) AS source_sha256, sha256(repaired) AS output_sha256 FROM docs WHERE body <> repaired")
 def repair_delta(spark, d):
-    x = op.repair_documents(docs(spark, d)).where("body <> new_body")
-    return x.select("doc_id", F.sha2("body", 256).alias("source_sha256"), F.sha2("new_body", 256).alias("output_sha256"))
+    return op.repair_documents(docs(spark, d)).where("changed").select("doc_id", "source_sha256", "output_sha256")
 
 
 @query("table_measures", DOCS_SQL + "SELECT doc_id, 'Funds' AS label, CAST(replace(p, ',', '') AS DOUBLE) AS first_value, CAST(k AS DOUBLE) AS last_value, 0 AS conflict FROM docs WHERE kind = '1-URGENT'")
