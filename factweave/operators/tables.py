@@ -1,7 +1,8 @@
-"""Repair of pipe tables in filings and explicit measurement scales, as one job with one shuffle.
+"""Repair of pipe tables in filings and explicit measurement scales, as one flow without joins.
 
-Documents are cut into lines and shuffled once by doc_id. All later windows and groups are keyed by
-(doc_id, ...), which that partitioning already satisfies; a group is never larger than one document.
+Documents are cut into lines and shuffled by doc_id, which serves all windows and groups up to the one Python
+step. Spark forgets the partitioning there, so the row windows and the final grouping shuffle once more each.
+A group is never larger than one document.
 """
 
 from __future__ import annotations
