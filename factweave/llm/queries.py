@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factweave.llm.shingle_join import similar_groups
 from factweave.llm.substring_dedup import substring_dedup
 from factweave.plans.base import Area
 
@@ -17,7 +18,7 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 @AREA.query("op4_substring_dedup", r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 pos AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i FROM d),
 win AS (SELECT doc_id, i, md5(array_to_string(w[i:i+34], ' ')) AS g FROM pos JOIN d USING (doc_id)),
 rep AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
@@ -30,3 +31,17 @@ FROM d LEFT JOIN gone USING (doc_id)
 def op4_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
     out = substring_dedup(table(spark, root, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@AREA.query("op1_ngram_jaccard_join", r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o WHERE 100 * k >= 75 * (na + nb - k) UNION ALL SELECT b, a FROM o WHERE 100 * k >= 75 * (na + nb - k)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, min(y) AS component_id FROM s JOIN r ON s.doc_id = r.x GROUP BY s.doc_id, len(g)
+""")
+def op1_ngram_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
+    return similar_groups(table(spark, root, "documents"))

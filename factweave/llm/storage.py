@@ -26,7 +26,7 @@ def slot(key: Column) -> Column:
 def bitmap(df: DataFrame, key: str) -> np.ndarray:
     """Bits of the slots that the keys fall into; a superset of the keys, of fixed size."""
     s = df.select(slot(F.col(key)).alias("s"))
-    words = s.groupBy(F.shiftright("s", 5).alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("s").bitwiseAND(31))).alias("b"))
+    words = s.groupBy(F.shiftright("s", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, s & 31)")).alias("b"))
     out = np.zeros(BITMAP_BITS // 32, np.uint32)
     got = words.toArrow()  # BITMAP_BITS / 32 rows at most
     out[got["w"].to_numpy()] = got["b"].to_numpy().astype(np.uint32)
