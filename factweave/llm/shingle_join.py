@@ -78,12 +78,12 @@ def frequent_shingles(docs: DataFrame, k: int = SHINGLE, most: int = FREQUENT) -
 
 
 def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, f1, f2, prefix): set size, 128-bit fingerprint of the set, and the shingles that lead to its blocks."""
+    """(doc_id, n, f1, f2, point, prefix): set size, 128-bit fingerprint, count vector, and the shingles that lead to its blocks."""
     often = frequent_shingles(docs, k).toArrow()  # FREQUENT rows at most
     shingle, count = often["s"].to_numpy().view(np.uint64), often["n"].to_numpy()
     order = np.argsort(shingle)
     shingle, rank = shingle[order], (1 + np.log2(np.maximum(count, 1))).astype(np.uint8)[order]
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("point", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def prefix(s: np.ndarray) -> np.ndarray:
         keep = len(s) - (percent * len(s) + 99) // 100 + 1
@@ -102,28 +102,31 @@ def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 heads = [prefix(s) for s in sets]
                 offsets = np.append(0, np.cumsum([len(x) for x in heads])).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(heads).view(np.int64)))
-                yield pa.record_batch([ids.slice(c.rows.start, len(sets)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), f1, f2, lists], schema=schema)
+                yield pa.record_batch([ids.slice(c.rows.start, len(sets)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), f1, f2, _points(sets), lists], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, point binary, prefix array<long>")
 
 
-def _points(docs: DataFrame, wanted: DataFrame, k: int, with_set: bool) -> DataFrame:
-    """(id, n, point, shingles) of the documents in wanted(id); a bitmap of fixed size spares the others their hashing."""
+def _points(sets: list[np.ndarray]) -> pa.Array:
+    """Counts of each set's shingles in GROUPS groups, in one byte each where they fit."""
+    counts = [np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS) for s in sets]
+    return _binary([x.astype(np.uint8 if x.max() < 256 else np.uint32) for x in counts])
+
+
+def _shingles(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(id, shingles) of the documents in wanted(id); a bitmap of fixed size spares most others their hashing."""
     bits = bitmap(wanted, "id")
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("point", pa.binary()), *[("shingles", pa.binary())] * with_set])
+    schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
 
-    def point(batches):
+    def sets(batches):
         for batch in batches:
             batch = batch.filter(pa.array(in_bitmap(bits, batch.column(2).to_numpy())))
             for c in W.chunks(batch, lower=True):
-                sets = list(_sets(c, k))
-                counts = [np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS) for s in sets]
-                counts = [x.astype(np.uint8 if x.max() < 256 else np.uint32) for x in counts]
-                yield pa.record_batch([batch.column(0).slice(c.rows.start, len(sets)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _binary(counts), *[_binary(sets)] * with_set], schema=schema)
+                found = _binary(list(_sets(c, k)))
+                yield pa.record_batch([batch.column(0).slice(c.rows.start, len(found)).cast(pa.int64()), found], schema=schema)
 
     ids = docs.select(F.col("doc_id").alias("id"), "text", slot(F.col("doc_id").cast("long")).alias("s")).where("id IS NOT NULL")
-    out = ids.mapInArrow(point, "id long, n long, point binary" + ", shingles binary" * with_set)
-    return out.join(wanted, "id", "left_semi")
+    return ids.mapInArrow(sets, "id long, shingles binary").join(wanted, "id", "left_semi")
 
 
 def _matrix(points: pa.Array) -> np.ndarray:
@@ -226,23 +229,27 @@ def _search(percent: int):
     return search
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, bounded: bool) -> DataFrame:
-    """Pairs (a, b) whose sets reach the similarity. bounded: the candidates passed the bound already."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = save(_points(docs, ids, k, True), "sets")
-    side = lambda x, *cols: sets.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in cols])
-    if not bounded:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _near(pairs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and points allow the similarity."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-        def near(batches):
-            for t in batches:
-                i = {c: t.column(j) for j, c in enumerate(t.schema.names)}
-                shared = np.minimum(_matrix(i["a_point"]), _matrix(i["b_point"])).sum(1, dtype=np.int64) if t.num_rows else np.zeros(0)
-                ok = pa.array(_may_match(shared, i["a_n"].to_numpy() + i["b_n"].to_numpy(), percent))
-                yield pa.record_batch([i["a"].filter(ok), i["b"].filter(ok)], schema=schema)
+    def near(batches):
+        for t in batches:
+            i = {c: t.column(j) for j, c in enumerate(t.schema.names)}
+            shared = np.minimum(_matrix(i["a_point"]), _matrix(i["b_point"])).sum(1, dtype=np.int64) if t.num_rows else np.zeros(0)
+            ok = pa.array(_may_match(shared, i["a_n"].to_numpy() + i["b_n"].to_numpy(), percent))
+            yield pa.record_batch([i["a"].filter(ok), i["b"].filter(ok)], schema=schema)
+
+    side = lambda x: sized.select(F.col("doc_id").alias(x), F.col("n").alias(f"{x}_n"), F.col("point").alias(f"{x}_point"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * a_n >= {percent} * b_n AND 100 * b_n >= {percent} * a_n")
+    return both.select("a", "b", "a_n", "b_n", "a_point", "b_point").mapInArrow(near, "a long, b long").distinct()
 
-        sized = pairs.join(side("a", "n", "point"), "a").join(side("b", "n", "point"), "b").where(f"100 * a_n >= {percent} * b_n AND 100 * b_n >= {percent} * a_n")
-        pairs = sized.select("a", "b", "a_n", "b_n", "a_point", "b_point").mapInArrow(near, "a long, b long").distinct()
+
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sets reach the similarity."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = save(_shingles(docs, ids, k), "sets")
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"{x}_shingles"))
 
     def check(batches):
         for t in batches:
@@ -255,7 +262,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, bounded:
             ok = pa.array(ok, pa.bool_())
             yield pa.record_batch([i["a"].filter(ok), i["b"].filter(ok)], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    both = pairs.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     return save(both.select("a", "b", "a_shingles", "b_shingles").mapInArrow(check, "a long, b long").distinct(), "verified")
 
 
@@ -266,11 +273,13 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     first = sets.groupBy("f1", "f2").agg(F.min("doc_id").alias("a"))
     copies = sets.select("f1", "f2", F.col("doc_id").alias("b")).join(first, ["f1", "f2"]).where("a <> b").select("a", "b").distinct()
     copies = save(copies, "copies")
-    heads = sets.join(first.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    leads = heads.select("doc_id", F.explode("prefix").alias("token"))
+    leads = sets.select("doc_id", F.explode("prefix").alias("token"))
     stats = leads.groupBy("token").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    blocks = save(leads.join(stats, "token").select("token", F.col("doc_id").alias("id"), "a", "m"), "blocks")
-    stars = _verified(save(blocks.where("a <> id").select("a", F.col("id").alias("b")).distinct(), "stars"), docs, k, percent, False)
+    blocks = leads.join(stats, "token").select("token", F.col("doc_id").alias("id"), "a", "m")
+    # of equal sets the first is kept, which is the first of its blocks where any of them is
+    blocks = save(blocks.join(copies.select(F.col("b").alias("id")), "id", "left_anti"), "blocks")
+    stars = _near(blocks.where("a <> id").select("a", F.col("id").alias("b")).distinct(), sets, percent)
+    stars = _verified(save(stars, "stars"), docs, k, percent)
     label = stars.groupBy("b").agg(F.min("a").alias("l"))  # documents under one label are connected
     label = label.join(label.select(F.col("b").alias("l"), F.col("l").alias("up")), "l", "left").select(F.col("b").alias("id"), F.coalesce("up", "l").alias("label"))
     rows = blocks.select("token", "id", "m").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -279,11 +288,10 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     parts = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
     piece = F.pmod(F.xxhash64("id"), parts).cast("int")
     meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("piece", o).alias("p"), F.greatest("piece", o).alias("q")))
-    points = _points(docs, rows.select("id").distinct(), k, False)
-    rows = rows.join(points, "id").withColumn("parts", parts).withColumn("piece", piece)
+    rows = rows.join(sets.select(F.col("doc_id").alias("id"), "n", "point"), "id").withColumn("parts", parts).withColumn("piece", piece)
     rows = rows.select("token", "id", "label", "n", "point", "piece", F.inline(meet)).repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
     more = rows.select("token", "p", "q", "piece", "id", "n", "label", "point").mapInArrow(_search(percent), "a long, b long").distinct()
-    linked = _verified(save(more, "candidates"), docs, k, percent, True)
+    linked = _verified(save(more, "candidates"), docs, k, percent)
     found = connected_components(stars.union(linked).union(copies))
     out = signed.select("doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
