@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factweave.llm import bpe
+from factweave.llm.decontamination import decontamination
 from factweave.llm.shingle_join import similar_groups
 from factweave.llm.substring_dedup import substring_dedup
 from factweave.plans.base import Area
@@ -45,3 +48,15 @@ SELECT s.doc_id, len(g)::BIGINT AS n_shingles, min(y) AS component_id FROM s JOI
 """)
 def op1_ngram_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
     return similar_groups(table(spark, root, "documents"))
+
+
+@AREA.query("op8_bpe")
+def op8_bpe(spark: SparkSession, root: str) -> DataFrame:
+    out = bpe.encode(table(spark, root, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@AREA.query("op10_decontamination")
+def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    return decontamination(table(spark, root, "documents"), table(spark, root, "benchmark"))

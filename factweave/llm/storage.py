@@ -23,9 +23,9 @@ def slot(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS)).cast("int")
 
 
-def bitmap(df: DataFrame, key: str) -> np.ndarray:
-    """Bits of the slots that the keys fall into; a superset of the keys, of fixed size."""
-    s = df.select(slot(F.col(key)).alias("s"))
+def bitmap(df: DataFrame, key: str, slots: bool = False) -> np.ndarray:
+    """Bits of the slots that the keys fall into; a superset of the keys, of fixed size. slots: the keys are slots already."""
+    s = df.select((F.col(key).cast("int") if slots else slot(F.col(key))).alias("s"))
     words = s.groupBy(F.shiftright("s", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, s & 31)")).alias("b"))
     out = np.zeros(BITMAP_BITS // 32, np.uint32)
     got = words.toArrow()  # BITMAP_BITS / 32 rows at most
