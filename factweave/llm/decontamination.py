@@ -40,8 +40,6 @@ UNIT_WORDS = ["mm", "cm", "m", "km", "meter", "meters", "metre", "metres", "kilo
 _ARR = np.arange(256)
 _DIGIT = (_ARR >= 48) & (_ARR <= 57)
 _NUMERIC = _DIGIT | np.isin(_ARR, list(b".,-+$%/:"))
-_LETTER = ((_ARR | 32) >= 97) & ((_ARR | 32) <= 122) | (_ARR >= 128)
-_EDGE = ~(_LETTER | _DIGIT)
 _STOP = np.isin(_ARR, list(b".!?:"))
 _UPPER = (_ARR >= 65) & (_ARR <= 90)
 _LOWER = np.where(_UPPER, _ARR + 32, _ARR).astype(np.uint8)
@@ -62,14 +60,9 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def _templates(c: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per kept word: token (a slot type or a word hash), own hash, and row in the chunk."""
-    s, e, data = c.starts.copy(), c.ends.copy(), c.data
-    stop = _STOP[data[e - 1]] if len(e) else np.zeros(0, bool)
-    for edge, side in ((s, 0), (e, -1)):
-        todo = np.arange(len(s))
-        while len(todo):
-            todo = todo[(s[todo] < e[todo])]
-            todo = todo[_EDGE[data[edge[todo] + side]]]
-            edge[todo] += 1 if side == 0 else -1
+    data = c.data
+    stop = _STOP[data[c.ends - 1]]
+    s, e = W.stripped(c)
     row = W.rows_of(c, np.arange(len(s)))
     begins = np.ones(len(s), bool)  # a sentence begins after a stop, at a line's start and at a document's
     if len(s):
@@ -79,7 +72,7 @@ def _templates(c: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     s, e, row, begins = s[keep], e[keep], row[keep], begins[keep]
     if not len(s):
         return np.empty(0, np.uint64), np.empty(0, np.uint64), row
-    own = W._hashes(_LOWER[data], s, e)
+    own = W.hashes(_LOWER[data], s, e)
     digits, other = np.append(0, np.cumsum(_DIGIT[data])), np.append(0, np.cumsum(~_NUMERIC[data]))
     number = (digits[e] > digits[s]) & (other[e] == other[s]) | _among(own, _NUMBERS)
     head = data[s]

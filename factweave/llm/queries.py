@@ -10,6 +10,7 @@ from factweave.llm import bpe
 from factweave.llm.decontamination import decontamination
 from factweave.llm.shingle_join import similar_groups
 from factweave.llm.substring_dedup import substring_dedup
+from factweave.llm.toxicity import toxicity
 from factweave.plans.base import Area
 
 AREA = Area()
@@ -60,3 +61,8 @@ def op8_bpe(spark: SparkSession, root: str) -> DataFrame:
 @AREA.query("op10_decontamination")
 def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
     return decontamination(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
+@AREA.query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    return toxicity(table(spark, root, "documents"), table(spark, root, "labels"))

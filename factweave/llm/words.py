@@ -22,6 +22,9 @@ _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**63, 256, dtype=np.int64).view(U) * U(2) + U(1)
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
+_ARR = np.arange(256)
+#: Bytes that are neither ASCII letters or digits nor part of a character beyond ASCII.
+EDGE = ~(((_ARR | 32) >= 97) & ((_ARR | 32) <= 122) | (_ARR >= 128) | (_ARR >= 48) & (_ARR <= 57))
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
@@ -47,7 +50,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out, i = np.empty(len(starts), U), 0
     while i < len(starts):
         base = starts[i]
@@ -135,7 +138,7 @@ def split(data: np.ndarray, off: np.ndarray, rows: slice, lower: bool = False) -
     before[1:], after[:-1] = gap_and(gap, off), gap_and(gap, off, True)
     starts = np.flatnonzero(~gap & before[:-1])
     ends = np.flatnonzero(~gap & after[1:]) + 1
-    return Words(rows, _hashes(data, starts, ends), np.searchsorted(starts, off), data, starts, ends)
+    return Words(rows, hashes(data, starts, ends), np.searchsorted(starts, off), data, starts, ends)
 
 
 def gap_and(gap: np.ndarray, off: np.ndarray, following: bool = False) -> np.ndarray:
@@ -146,6 +149,16 @@ def gap_and(gap: np.ndarray, off: np.ndarray, following: bool = False) -> np.nda
     return edge
 
 
+def stripped(c: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the words without leading and trailing bytes that are neither letters nor digits; may be empty."""
+    s, e = c.starts.copy(), c.ends.copy()
+    for edge, place, step in ((s, 0, 1), (e, -1, -1)):
+        todo = np.arange(len(s))
+        while len(todo := todo[s[todo] < e[todo]]) and len(todo := todo[EDGE[c.data[edge[todo] + place]]]):
+            edge[todo] += step
+    return s, e
+
+
 def rows_of(words: Words, starts: np.ndarray) -> np.ndarray:
     """Row within the chunk of each word number."""
     return np.searchsorted(words.first, starts, side="right") - 1
