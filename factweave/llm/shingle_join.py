@@ -78,12 +78,12 @@ def frequent_shingles(docs: DataFrame, k: int = SHINGLE, most: int = FREQUENT) -
 
 
 def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, f1, f2, point, prefix): set size, 128-bit fingerprint, count vector, and the shingles that lead to its blocks."""
+    """(doc_id, n, f1, f2, point, fine, prefix): set size, 128-bit fingerprint, count vectors, and the shingles that lead to its blocks."""
     often = frequent_shingles(docs, k).toArrow()  # FREQUENT rows at most
     shingle, count = often["s"].to_numpy().view(np.uint64), often["n"].to_numpy()
     order = np.argsort(shingle)
     shingle, rank = shingle[order], (1 + np.log2(np.maximum(count, 1))).astype(np.uint8)[order]
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("point", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("point", pa.binary()), ("fine", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def prefix(s: np.ndarray) -> np.ndarray:
         keep = len(s) - (percent * len(s) + 99) // 100 + 1
@@ -102,9 +102,9 @@ def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 heads = [prefix(s) for s in sets]
                 offsets = np.append(0, np.cumsum([len(x) for x in heads])).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(heads).view(np.int64)))
-                yield pa.record_batch([ids.slice(c.rows.start, len(sets)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), f1, f2, _points(sets), lists], schema=schema)
+                yield pa.record_batch([ids.slice(c.rows.start, len(sets)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), f1, f2, _points(sets), _fine_points(sets), lists], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, point binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, point binary, fine binary, prefix array<long>")
 
 
 def _points(sets: list[np.ndarray]) -> pa.Array:
@@ -113,6 +113,25 @@ def _points(sets: list[np.ndarray]) -> pa.Array:
     return _binary([x.astype(np.uint8 if x.max() < 256 else np.uint32) for x in counts])
 
 
+def _fine_points(sets: list[np.ndarray]) -> pa.Array:
+    """Points of large sets with about three shingles a group, as a few hundred groups say little about them; else null."""
+    found: list[bytes | None] = []
+    for s in sets:
+        bits = min(16, max(len(s) // 3, 1).bit_length())
+        x = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if 1 << bits > GROUPS else None
+        found.append(x.astype(np.uint8).tobytes() if x is not None and x.max() < 256 else None)
+    return pa.array(found, pa.binary())
+
+
+def _shared_at_most(x: bytes | None, y: bytes | None, coarse: int) -> int:
+    """Bound of the overlap by fine points; the finer of the two is folded to the other."""
+    if x is None or y is None:
+        return coarse
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    g = min(len(a), len(b))
+    return int(np.minimum(a.reshape(g, -1).sum(1), b.reshape(g, -1).sum(1)).sum())
+
+
 def _shingles(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(id, shingles) of the documents in wanted(id); a bitmap of fixed size spares most others their hashing."""
     bits = bitmap(wanted, "id")
@@ -237,12 +256,13 @@ def _near(pairs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
         for t in batches:
             i = {c: t.column(j) for j, c in enumerate(t.schema.names)}
             shared = np.minimum(_matrix(i["a_point"]), _matrix(i["b_point"])).sum(1, dtype=np.int64) if t.num_rows else np.zeros(0)
+            shared = np.array([_shared_at_most(x, y, z) for x, y, z in zip(i["a_fine"].to_pylist(), i["b_fine"].to_pylist(), shared.tolist(), strict=True)], np.int64)
             ok = pa.array(_may_match(shared, i["a_n"].to_numpy() + i["b_n"].to_numpy(), percent))
             yield pa.record_batch([i["a"].filter(ok), i["b"].filter(ok)], schema=schema)
 
-    side = lambda x: sized.select(F.col("doc_id").alias(x), F.col("n").alias(f"{x}_n"), F.col("point").alias(f"{x}_point"))
+    side = lambda x: sized.select(F.col("doc_id").alias(x), F.col("n").alias(f"{x}_n"), F.col("point").alias(f"{x}_point"), F.col("fine").alias(f"{x}_fine"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * a_n >= {percent} * b_n AND 100 * b_n >= {percent} * a_n")
-    return both.select("a", "b", "a_n", "b_n", "a_point", "b_point").mapInArrow(near, "a long, b long").distinct()
+    return both.select("a", "b", "a_n", "b_n", "a_point", "b_point", "a_fine", "b_fine").mapInArrow(near, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -291,7 +311,7 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     rows = rows.join(sets.select(F.col("doc_id").alias("id"), "n", "point"), "id").withColumn("parts", parts).withColumn("piece", piece)
     rows = rows.select("token", "id", "label", "n", "point", "piece", F.inline(meet)).repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
     more = rows.select("token", "p", "q", "piece", "id", "n", "label", "point").mapInArrow(_search(percent), "a long, b long").distinct()
-    linked = _verified(save(more, "candidates"), docs, k, percent)
+    linked = _verified(save(_near(save(more, "candidates"), sets, percent), "near"), docs, k, percent)
     found = connected_components(stars.union(linked).union(copies))
     out = signed.select("doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
