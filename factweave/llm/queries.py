@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from factweave.llm import bpe
 from factweave.llm.decontamination import decontamination
+from factweave.llm.pii import pii
 from factweave.llm.shingle_join import similar_groups
 from factweave.llm.substring_dedup import substring_dedup
 from factweave.llm.toxicity import toxicity
@@ -66,3 +67,8 @@ def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
 @AREA.query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, root: str) -> DataFrame:
     return toxicity(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
+@AREA.query("op7_pii")
+def op7_pii(spark: SparkSession, root: str) -> DataFrame:
+    return pii(table(spark, root, "documents"))
