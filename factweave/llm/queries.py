@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from factweave.llm import bpe
 from factweave.llm.decontamination import decontamination
 from factweave.llm.pii import pii
+from factweave.llm.quality_rules import quality_rules
 from factweave.llm.shingle_join import similar_groups
 from factweave.llm.substring_dedup import substring_dedup
 from factweave.llm.toxicity import toxicity
@@ -72,3 +73,8 @@ def op3_toxicity(spark: SparkSession, root: str) -> DataFrame:
 @AREA.query("op7_pii")
 def op7_pii(spark: SparkSession, root: str) -> DataFrame:
     return pii(table(spark, root, "documents"))
+
+
+@AREA.query("op5_quality_rules")
+def op5_quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    return quality_rules(table(spark, root, "documents"))
