@@ -303,7 +303,10 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     label = stars.groupBy("b").agg(F.min("a").alias("l"))  # documents under one label are connected
     label = label.join(label.select(F.col("b").alias("l"), F.col("l").alias("up")), "l", "left").select(F.col("b").alias("id"), F.coalesce("up", "l").alias("label"))
     rows = blocks.select("token", "id", "m").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    open_ = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
+    # a block with one label is settled; of blocks with the same members one is enough
+    member = lambda seed: F.sum(F.xxhash64("id", F.lit(seed)).cast("decimal(20,0)"))
+    open_ = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c"), member(1).alias("s1"), member(2).alias("s2")).where("x <> y")
+    open_ = open_.groupBy("c", "s1", "s2").agg(F.min("token").alias("token")).select("token")
     rows = save(rows.join(open_, "token", "left_semi").distinct(), "open")
     parts = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
     piece = F.pmod(F.xxhash64("id"), parts).cast("int")
