@@ -130,8 +130,16 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     weights, bias = np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior)))
     telling = save(_telling(rows, FEATURES), "telling")
     names = np.sort(telling.toArrow()["f"].to_numpy())
-    keep = F.broadcast(telling.agg(F.collect_list("f").alias("keep")))  # one row of FEATURES numbers
-    got = rows.join(keep).select("p", F.array_intersect("buckets", "keep").alias("f")).toArrow().combine_chunks()
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            ok = np.isin(flat, names)
+            ends = np.append(0, np.cumsum(ok))[np.append(0, np.cumsum(sizes))]
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[ok]))], names=["p", "f"])
+
+    got = rows.mapInArrow(chosen, "p int, f array<int>").toArrow().combine_chunks()
     p = got["p"].to_numpy()
     if not len(names) or not p.any() or p.all():
         return weights, bias
