@@ -13,6 +13,7 @@ from factweave.llm.language_id import language_id
 from factweave.llm.pii import pii
 from factweave.llm.quality_rules import quality_rules
 from factweave.llm.shingle_join import similar_groups
+from factweave.llm.site_quality import site_quality
 from factweave.llm.substring_dedup import substring_dedup
 from factweave.llm.toxicity import toxicity
 from factweave.plans.base import Area
@@ -102,3 +103,10 @@ def op6_chat_formatting(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "conversations").select("conv_id", "turn", "role", "text").union(probe)
     out = digest(chat_format(rows))
     return out.select("conv_id", "n_turns", F.sha2("turns_text", 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+
+
+@AREA.query("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, root: str) -> DataFrame:
+    # sites of the table: the source is the host, and its sections by language are the paths, as in the pages' addresses
+    docs = table(spark, root, "documents").select("doc_id", "text", F.col("source").alias("host"), F.concat(F.lit("/"), "lang").alias("path"))
+    return site_quality(docs, table(spark, root, "labels")).select("doc_id", "host", "path", "path_mean", "posterior", "kept")
