@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
 from factweave.llm import words as W
@@ -318,3 +319,16 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     found = connected_components(stars.union(linked).union(copies))
     out = signed.select("doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, with the smallest doc_id of each group; of rows with the same doc_id one stays.
+
+    Rows with a null doc_id all stay.
+    """
+    first = similar_groups(docs, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    known = docs.where("doc_id IS NOT NULL").join(first, F.col("doc_id") == F.col("_first"), "left_semi")
+    # rows of one doc_id are together after the join: no further shuffle
+    place = F.row_number().over(Over.partitionBy("doc_id").orderBy("text"))
+    known = known.withColumn("_place", place).where("_place = 1").drop("_place")
+    return known.unionByName(docs.where("doc_id IS NULL"))

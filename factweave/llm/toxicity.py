@@ -162,25 +162,41 @@ def hash_row(p: int, features: np.ndarray) -> int:
     return int(W.mix(np.sort(features).astype(np.uint64) + np.uint64(p)).sum(dtype=np.uint64))
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    """All rows of docs: their columns and ``_score``; equal texts get equal scores."""
+def _scores(batch: pa.RecordBatch, weights: np.ndarray, bias: float) -> Iterator[tuple[slice, np.ndarray]]:
     present = weights != 0
-    schema = pa.schema([("doc_id", pa.int64()), ("_score", pa.float64())])
+    for c in W.chunks(batch, lower=True):
+        row, bucket = _features(c)
+        ok = present[bucket]
+        key = np.unique(row[ok] * BUCKETS + bucket[ok])
+        z = bias + np.bincount(key // BUCKETS, weights[key % BUCKETS].astype(np.float64), c.rows.stop - c.rows.start)
+        yield c.rows, 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
+    """(doc_id, score) of all rows; equal texts get equal scores."""
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in W.chunks(batch, lower=True):
-                row, bucket = _features(c)
-                ok = present[bucket]
-                key = np.unique(row[ok] * BUCKETS + bucket[ok])
-                n = c.rows.stop - c.rows.start
-                z = bias + np.bincount(key // BUCKETS, weights[key % BUCKETS].astype(np.float64), n)
-                yield pa.record_batch([batch.column(0).slice(c.rows.start, n).cast(pa.int64()), 1 / (1 + np.exp(-np.clip(z, -30, 30)))], schema=schema)
+            for rows, s in _scores(batch, weights, bias):
+                yield pa.record_batch([batch.column(0).slice(rows.start, len(s)).cast(pa.int64()), s], schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose score is below the threshold."""
+    weights, bias = learn(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, s in _scores(batch, weights, bias):
+                yield batch.slice(rows.start, len(s)).filter(pa.array(s < threshold))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, _score double")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 from a score of 0.5)."""
     weights, bias = learn(docs, labels, positives, unlabelled)
-    return score(docs, weights, bias).select("doc_id", held_out(5, 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return score(docs, weights, bias).select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
