@@ -49,11 +49,13 @@ def measures(docs: DataFrame) -> DataFrame:
         F.expr(f"cast({gone(SYMBOLS)} AS bigint)").alias("n_symbols"), F.expr("cast(size(lines) AS bigint)").alias("n_lines"),
         F.expr("cast(size(lines) - size(array_distinct(lines)) AS bigint)").alias("n_dup_lines"), F.expr(f"cast({gone('.!?')} AS bigint)").alias("n_stops"),
         F.expr(f"cast({gone('0123456789')} AS bigint)").alias("n_digits"), F.expr(f"cast({gone(CAPITALS)} AS bigint)").alias("n_capitals"))
-    # windows by hash, then by place: equal ones stand side by side
-    x = pin(x, windows=F.expr("if(size(words) < 3, array(), sort_array(transform(sequence(0, size(words) - 3), i -> named_struct('h', xxhash64(words[i], words[i + 1], words[i + 2]), 'i', i))))")).drop("words")
-    twice = "sort_array(filter(transform(windows, (x, k) -> if(get(windows, k - 1).h <=> x.h OR get(windows, k + 1).h <=> x.h, x.i, NULL)), i -> i IS NOT NULL))"
+    x = pin(x, windows=F.expr("if(size(words) < 3, cast(array() AS array<bigint>), transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])))")).drop("words")
+    # only texts with an equal pair of windows need their places: sorted by hash, then by place, equal ones stand side by side
+    placed = "sort_array(transform(windows, (h, i) -> named_struct('h', h, 'i', i)))"
+    twice = "sort_array(filter(transform(z, (x, k) -> if(get(z, k - 1).h <=> x.h OR get(z, k + 1).h <=> x.h, x.i, NULL)), i -> i IS NOT NULL))"
     covered = f"aggregate({twice}, named_struct('n', 0L, 'end', 0), (s, i) -> named_struct('n', s.n + i + 3 - greatest(i, s.end), 'end', i + 3), s -> s.n)"
-    return x.withColumn("n_repeat_words", F.expr(covered)).drop("windows")
+    repeats = f"CASE WHEN size(array_distinct(windows)) = size(windows) THEN 0L ELSE element_at(transform(array({placed}), z -> {covered}), 1) END"
+    return x.withColumn("n_repeat_words", F.expr(repeats)).drop("windows")
 
 
 def with_votes(counts: DataFrame) -> DataFrame:

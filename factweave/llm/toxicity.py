@@ -7,7 +7,8 @@ from learning its positives by heart. Several such classifiers with different dr
 
 Features are words and word beginnings of 4, 5 and 6 bytes, lower-cased and without outer punctuation, hashed into
 ``BUCKETS`` buckets, present or not. The classifiers are fitted on at most ``POSITIVES`` toxic and ``UNLABELLED`` other
-documents, chosen by the hash of their id and text; the class prior is the share of toxic rows among all usable labels.
+documents, chosen by the hash of their id and text; the class prior is the share of toxic rows among all
+usable labels, or less where the most telling features are rarer among the unlabelled than that share allows.
 All documents are scored.
 
 Defined results: a null or empty text has no features and gets the score of the bias; several labels of one document
@@ -31,6 +32,8 @@ BUCKETS = 1 << 18
 BEGINNINGS = (4, 5, 6)
 #: Bounds of the sample that the classifiers are fitted on, and of the features that they weigh.
 POSITIVES, UNLABELLED, FEATURES = 20_000, 40_000, 8192
+#: Standard errors by which a feature's share among positives must exceed that among the unlabelled; fewer are chance.
+LEAST_Z = 4.0
 CLASSIFIERS, STEPS, BATCH = 3, 800, 1024
 
 
@@ -83,9 +86,9 @@ def _telling(rows: DataFrame, most: int) -> DataFrame:
     n = rows.agg(F.sum("p").alias("np"), F.sum(1 - F.col("p")).alias("nu")).first()
     counts = rows.select("p", F.explode("buckets").alias("f")).groupBy("f").agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("b")).where("a >= 3")
     np_, nu = max(n[0] or 0, 1), max(n[1] or 0, 1)
-    all_ = (F.col("a") + F.col("b")) / (np_ + nu)
-    z = (F.col("a") / np_ - F.col("b") / nu) / F.sqrt(all_ * (1 - all_) + 1e-6)
-    return counts.where(z > 0).orderBy(F.desc(z), "f").limit(most).select("f")
+    both = (F.col("a") + F.col("b")) / (np_ + nu)
+    z = (F.col("a") / np_ - F.col("b") / nu) / F.sqrt(both * (1 - both) * (1 / np_ + 1 / nu) + 1e-9)
+    return counts.where(z >= LEAST_Z).orderBy(F.desc(z), "f").limit(most).select("f", ((F.col("b") / nu) / (F.col("a") / np_)).alias("share"), z.alias("z"))
 
 
 def fit(p: np.ndarray, rows: np.ndarray, columns: np.ndarray, width: int, prior: float, seed: int) -> tuple[np.ndarray, float]:
@@ -129,7 +132,12 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     prior = min(max(prior, 1e-3), 0.5)
     weights, bias = np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior)))
     telling = save(_telling(rows, FEATURES), "telling")
-    names = np.sort(telling.toArrow()["f"].to_numpy())
+    told = telling.toArrow()
+    names = np.sort(told["f"].to_numpy())
+    if len(names):
+        # among the unlabelled a feature is at least prior times as frequent as among positives: labels may overstate the prior
+        best = np.argsort(-told["z"].to_numpy(), kind="stable")[:10]
+        prior = min(prior, max(float(np.median(told["share"].to_numpy()[best])), 1e-3))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
