@@ -273,3 +273,6 @@ CLOSING_TOKEN = r"^\)\s*(%)?$"
 NUMBER_FRAGMENT = r"^[+-]?\d+(?:\.\d+)?$"
 DELIMITER_CELL = r"^:?-{3,}:?$"
 CONTEXT_LINES = 8
+
+# fixed values: the text of a finite number
+NUMBER_TEXT = r"^([+-]?)([0-9]*)[.]?([0-9]*)(?:[eE]([+-]?[0-9]{1,4}))?$"

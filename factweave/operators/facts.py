@@ -11,24 +11,44 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factweave.functions import fixed
+from factweave.functions.columns import pin
 
 NON_FINITE = ["nan", "inf", "-inf", "+inf", "infinity", "-infinity", "+infinity", "snan"]
 
 
-def amount(value: Column = None, scale: Column = None) -> Column:
-    """Exact value x scale; NULL for text that is no finite number."""
-    value = F.col("value") if value is None else value
-    scale = F.col("scale") if scale is None else scale
-    finite = F.when(~F.lower(F.trim(value)).isin(NON_FINITE), value)
-    return finite.try_cast("decimal(20,4)") * F.coalesce(scale, F.lit("1")).try_cast("decimal(16,2)")
+#: Places of an amount: 28 digits before the point and 9 after it, so that sums and differences of two stay exact too.
+AMOUNT_DIGITS, AMOUNT_PLACES = 28, 9
+
+
+def _number(text: Column) -> Column:
+    """Digits (without leading zeros) and power of ten of a number's text; NULL if it is no finite number."""
+    part = lambda i: F.regexp_extract(text, fixed.NUMBER_TEXT, i)
+    digits = F.regexp_replace(F.concat(part(2), part(3)), "^0+", "")
+    power = F.coalesce(F.nullif(part(4), F.lit("")).try_cast("int"), F.lit(0)) - F.length(part(3))
+    good = F.regexp_like(text, F.lit(fixed.NUMBER_TEXT)) & (F.length(F.concat(part(2), part(3))) > 0)
+    return F.when(good, F.struct((part(1) == "-").alias("minus"), digits.alias("digits"), power.alias("power")))
+
+
+def _exact_product(a: Column, b: Column) -> Column:
+    """Product of two numbers as text; NULL if it has more places than an amount."""
+    digits = F.try_multiply(a["digits"].try_cast("decimal(38,0)"), b["digits"].try_cast("decimal(38,0)")).cast("string")
+    zero, power = (a["digits"] == "") | (b["digits"] == ""), a["power"] + b["power"]
+    whole = F.when(power >= 0, F.concat(digits, F.repeat(F.lit("0"), F.least(power, F.lit(40)))))
+    wide = F.lpad(digits, F.greatest(F.length(digits), F.lit(1) - F.greatest(power, F.lit(-99))), "0")
+    cut = F.length(wide) + power
+    fraction = F.regexp_replace(F.substr(wide, cut + 1), "0+$", "")
+    shown = F.coalesce(whole, F.concat(F.substr(wide, F.lit(1), cut), F.lit("."), fraction))
+    fits = (F.length(F.regexp_replace(F.split_part(shown, F.lit("."), F.lit(1)), "^0+", "")) <= AMOUNT_DIGITS) & ((power >= 0) | (F.length(fraction) <= AMOUNT_PLACES)) & power.between(-90, 40)
+    return F.when(zero, "0").when(fits, F.concat(F.when(a["minus"] != b["minus"], "-").otherwise(""), shown))
 
 
 def with_amount(facts: DataFrame) -> DataFrame:
-    text = F.lower(F.trim(F.col("value")))
-    return facts.withColumn("amount", amount()).withColumn(
-        "value_status",
-        F.when(text.isin(NON_FINITE), "nonfinite").when(F.col("amount").isNull(), "invalid_value").otherwise("ok"),
-    )
+    """Adds amount = value x scale, never rounded, and value_status: ok, nonfinite, invalid_value (no number) or not_exact (too many digits)."""
+    text, scale = F.lower(F.trim("value")), F.trim(F.coalesce("scale", F.lit("1")))
+    x = pin(facts, _v=_number(text), _s=_number(scale))
+    x = pin(x, amount=_exact_product(F.col("_v"), F.col("_s")).try_cast(f"decimal({AMOUNT_DIGITS + AMOUNT_PLACES},{AMOUNT_PLACES})"))
+    status = F.when(text.isin(NON_FINITE), "nonfinite").when(F.col("_v").isNull() | F.col("_s").isNull(), "invalid_value").when(F.col("amount").isNull(), "not_exact").otherwise("ok")
+    return x.withColumn("value_status", status).drop("_v", "_s")
 
 
 def consolidated(facts: DataFrame) -> DataFrame:
@@ -137,6 +157,7 @@ def annual_rows(requests: DataFrame, facts: DataFrame) -> DataFrame:
         .when(F.col("a_period_key") != F.col("b_period_key"), "different reporting periods")
         .when(~(F.coalesce(usd("a"), F.lit(False)) & F.coalesce(usd("b"), F.lit(False))), "not in USD")
         .when((F.col("a_value_status") == "invalid_value") | (F.col("b_value_status") == "invalid_value"), "invalid value or scale")
+        .when((F.col("a_value_status") == "not_exact") | (F.col("b_value_status") == "not_exact"), "value not exact")
         .when((F.col("a_value_status") == "nonfinite") | (F.col("b_value_status") == "nonfinite"), "nonfinite measurement")
     )
     return x.withColumn("reason", reason).withColumn("hit", F.col("reason").isNull())
@@ -236,6 +257,11 @@ def candidate_order() -> list[Column]:
             F.length("concept"), F.col("ordinal")]
 
 
+def _latest(end: str) -> Column:
+    """Ascending order that puts the latest end first and a missing one last."""
+    return F.coalesce(-F.unix_date(end), F.lit(2**31 - 1))
+
+
 def scalar_candidates(requests: DataFrame, facts: DataFrame, role: str, with_year: bool = True) -> DataFrame:
     """requests(question_id, ticker, <role>, year, fiscal_period) joined to consolidated facts of that role.
 
@@ -251,7 +277,7 @@ def scalar_candidates(requests: DataFrame, facts: DataFrame, role: str, with_yea
 
 def best_fact(candidates: DataFrame) -> DataFrame:
     """First candidate per question as a map-side combined minimum instead of a full per-question sort."""
-    key = F.struct((-F.unix_date("period.end")).alias("a"), (~F.col("concept").startswith("us-gaap:")).cast("int").alias("b"),
+    key = F.struct(_latest("period.end").alias("a"), (~F.col("concept").startswith("us-gaap:")).cast("int").alias("b"),
                    F.length("concept").alias("c"), F.col("ordinal").alias("d"))
     fact = F.struct("concept", "amount", "unit", "currency", "path", "id", "period", "value_status", period_key().alias("period_key"))
     return candidates.groupBy("question_id").agg(F.min_by(fact, key).alias("fact"), F.count(F.lit(1)).alias("n_candidates"))
@@ -278,7 +304,7 @@ def simple_margin(requests: DataFrame, facts: DataFrame) -> DataFrame:
         (F.col("question_id") == F.col("rq")) & F.col("pk").eqNullSafe(F.col("rpk"))
         & F.col("n_unit").eqNullSafe(F.col("r_unit")) & F.col("n_currency").eqNullSafe(F.col("r_currency")),
     )
-    side = lambda s: [(-F.unix_date(f"{s}_period.end")), (~F.col(f"{s}_concept").startswith("us-gaap:")).cast("int"),
+    side = lambda s: [_latest(f"{s}_period.end"), (~F.col(f"{s}_concept").startswith("us-gaap:")).cast("int"),
                       F.length(f"{s}_concept"), F.col(f"{s}_ordinal")]
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(side("n") + side("r"))])
     best = pair.groupBy("question_id").agg(

@@ -104,8 +104,8 @@ def neighborhood(edges: DataFrame, center: str, hops: int = 2, cap: int = 120) -
 
 
 def node_overlay(nodes: DataFrame, overlay: DataFrame) -> DataFrame:
-    """overlay(id, type, form, preview): given values of filings replace the node's."""
-    o = overlay.where("type = 'finance.filing' and coalesce(id, '') <> ''").groupBy("id").agg(F.max(F.struct("form", "preview")).alias("o"))
+    """overlay(id, position, type, form, preview): given values of filings replace the node's; of several rows the last by position."""
+    o = overlay.where("type = 'finance.filing' and coalesce(id, '') <> ''").groupBy("id").agg(F.max_by(F.struct("form", "preview"), "position").alias("o"))
     x = nodes.join(o, "id", "left")
     return x.withColumn("form", F.coalesce("o.form", "form")).withColumn("preview", F.coalesce(F.nullif("o.preview", F.lit("")), "preview")).drop("o")
 

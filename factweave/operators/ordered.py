@@ -12,6 +12,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _meet(rows: DataFrame, borders: DataFrame, keys: list[str]) -> DataFrame:
+    """Join that keeps rows with a NULL key or chunk."""
+    right = borders.withColumnsRenamed({k: f"_{k}_r" for k in keys})
+    on = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"_{k}_r"))
+        on = same if on is None else on & same
+    return rows.join(right, on, "left").drop(*[f"_{k}_r" for k in keys])
+
+
 def with_neighbors(df: DataFrame, keys: list[str], chunk: Column, order: list[str], payload: list[str]) -> DataFrame:
     """Adds struct columns ``prior`` and ``next`` holding the payload of the neighbouring rows of the key."""
     x = df.withColumn("_chunk", chunk)
@@ -21,7 +31,7 @@ def with_neighbors(df: DataFrame, keys: list[str], chunk: Column, order: list[st
     edge = x.groupBy(*keys, "_chunk").agg(F.min_by(row, F.struct(*order)).alias("_first"), F.max_by(row, F.struct(*order)).alias("_last"))
     wk = W.partitionBy(*keys).orderBy("_chunk")
     edge = edge.select(*keys, "_chunk", F.lag("_last").over(wk).alias("_before"), F.lead("_first").over(wk).alias("_after"))
-    out = inner.join(edge, [*keys, "_chunk"])
+    out = _meet(inner, edge, [*keys, "_chunk"])
     return out.select(*df.columns, F.coalesce("_prev", "_before").alias("prior"), F.coalesce("_next", "_after").alias("next"))
 
 
@@ -32,5 +42,5 @@ def with_running(df: DataFrame, keys: list[str], chunk: Column, order: list[str]
     totals = x.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_t"))
     wk = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(*keys, "_chunk", F.coalesce(F.sum("_t").over(wk), F.lit(0)).alias("_offset"))
-    out = x.withColumn("_s", F.sum("_v").over(w)).join(totals, [*keys, "_chunk"])
+    out = _meet(x.withColumn("_s", F.sum("_v").over(w)), totals, [*keys, "_chunk"])
     return out.select(*df.columns, (F.col("_s") + F.col("_offset")).alias(name))

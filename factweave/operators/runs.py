@@ -146,13 +146,18 @@ def turn_numbers(runs: DataFrame) -> DataFrame:
     return with_running(runs, ["vault"], turn_block(), ["turn"], F.lit(1), "turn_number")
 
 
-def source_versions(evidence: DataFrame) -> DataFrame:
-    """A changed content hash opens a new version; earlier turns keep theirs."""
+def turn_versions(evidence: DataFrame) -> DataFrame:
+    """evidence(vault, source_key, turn, content_hash) with the version of each turn: a changed content hash opens a new one."""
     keys = ["vault", "source_key"]
     x = with_neighbors(evidence, keys, turn_block(), ["turn"], ["content_hash"])
-    x = x.withColumn("changed", (~F.col("prior.content_hash").eqNullSafe(F.col("content_hash"))).cast("int"))
-    x = with_running(x.drop("prior", "next"), keys, turn_block(), ["turn"], F.col("changed"), "version")
-    return x.groupBy(*keys, "version", "content_hash").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count(F.lit(1)).alias("uses"))
+    x = x.withColumn("changed", (F.col("prior").isNull() | ~F.col("prior.content_hash").eqNullSafe(F.col("content_hash"))).cast("int"))
+    return with_running(x.drop("prior", "next"), keys, turn_block(), ["turn"], F.col("changed"), "version")
+
+
+def source_versions(evidence: DataFrame) -> DataFrame:
+    """Versions with their first and last turn; earlier turns keep theirs."""
+    x = turn_versions(evidence)
+    return x.groupBy("vault", "source_key", "version", "content_hash").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count(F.lit(1)).alias("uses"))
 
 
 def turn_graph(runs: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def filing_excerpts(docs: DataFrame, facts: DataFrame, question: str, limit: int
                        F.when(F.size("snippets") > 0, F.concat(F.lit("Business/risk snippets:\n"), F.array_join("snippets", "\n"))))
     best = F.array_join(F.transform(tx.best_chunks(F.col("text"), tx.question_terms(F.lit(question)), 3, splitter), lambda b: b["chunk"]), "\n\n")
     has_parts = F.coalesce(F.col("facts") != "", F.lit(False)) | (F.coalesce(F.size("snippets"), F.lit(0)) > 0)
-    excerpt = F.when(structured & has_parts, sc.trimmed(body, limit)).otherwise(sc.trimmed(best, limit))
+    excerpt = F.when(structured & has_parts, sc.trimmed(body, limit)).when(F.size(tx.question_terms(F.lit(question))) == 0, sc.trimmed(F.col("text"), limit)).otherwise(sc.trimmed(best, limit))
     return x.select("path", F.when(structured & has_parts, "structured").otherwise("paragraphs").alias("kind"), excerpt.alias("excerpt"))
 
 
@@ -76,7 +76,7 @@ def evidence_budget(evidence: DataFrame, filings: int = 3, excerpt: int = 2600,
     """evidence(question_id, position, type, path, preview, excerpt): what is supplied to the answer.
 
     Price text leads; the first three distinct filings with an excerpt count; entities are never supplied.
-    The evidence of one question is at most eight rows, so its window is bounded.
+    The window holds the evidence of one question, which is the list of one answer.
     """
     usable = (F.col("type") == "finance.filing") & (F.coalesce("path", F.lit("")) != "") & (F.coalesce("excerpt", F.lit("")) != "")
     x = evidence.withColumn("_first", usable & (F.row_number().over(W.partitionBy("question_id", "path", usable).orderBy("position")) == 1))

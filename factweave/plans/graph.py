@@ -143,6 +143,8 @@ def node_overlay(spark, d):
     f = pf.filings(spark, d)
     n = f.select("id", "form", F.lit("old").alias("preview"))
     over = f.where("status = 'F'").select("id", F.lit("finance.filing").alias("type"), F.concat("form", F.lit("*")).alias("form"), F.when(F.col("price") > 200000, F.concat(F.lit("new "), "id")).otherwise("").alias("preview"))
+    early = over.select("id", F.lit(0).alias("position"), "type", F.lit("zz").alias("form"), F.lit("zz").alias("preview"))
+    over = over.withColumn("position", F.lit(1)).unionByName(early)
     return op.node_overlay(n, over).select("id", "form", "preview")
 
 

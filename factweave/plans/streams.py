@@ -35,7 +35,7 @@ def stream_metrics_upsert(spark, d):
 
 
 @query("stream_evidence_usage", pr.E_SQL + """
-SELECT vault, source_key, min(turn) AS first_used, max(turn) AS last_used, count(*) AS use_count, CAST(arg_max(cache_hit, (turn, -position)) AS INT) AS cache_hit, arg_max(content_hash, (turn, -position)) AS content_hash FROM ev1 GROUP BY ALL""")
+SELECT vault, source_key, min(turn) AS first_used, max(turn) AS last_used, count(*) AS use_count, CAST(arg_max(cache_hit, (turn, -position)) AS INT) AS cache_hit, arg_max(content_hash, (turn, -position)) AS content_hash FROM (SELECT vault, source_key, turn, arg_max(cache_hit, -position) AS cache_hit, arg_max(content_hash, -position) AS content_hash, min(position) AS position FROM ev1 GROUP BY ALL) GROUP BY ALL""")
 def stream_evidence_usage(spark, d):
     x = jobs.evidence_usage(_evidence(spark, d))
     return x.select("vault", "source_key", "first_used", "last_used", "use_count", F.col("cache_hit").cast("int").alias("cache_hit"), "content_hash")
@@ -66,14 +66,16 @@ def stream_filings(spark, d):
     return jobs.new_filings(f.select("ticker", "accession", "output"), existing)
 
 
-@query("stream_answers", pr.M_SQL + """
-SELECT w.question_id, w.source_turn AS web_turn, l.source_turn AS local_turn, w.total_tokens AS web_tokens, l.total_tokens AS local_tokens FROM metrics w JOIN metrics l ON w.question_id = l.question_id AND w.agent = 'web' AND l.agent = 'local'""")
+@query("stream_answers", pr.M_SQL + """,
+a AS (SELECT question_id, agent, CASE WHEN total_tokens < 60 THEN 'failed' ELSE 'ok' END AS status, source_turn AS turn, total_tokens AS tokens FROM metrics QUALIFY row_number() OVER (PARTITION BY question_id, agent ORDER BY source_turn DESC) = 1)
+SELECT question_id, agent, status, turn, tokens, 'answer' AS event FROM a
+UNION ALL SELECT question_id, NULL, CASE WHEN bool_and(status = 'ok') THEN 'ok' ELSE 'failed' END, NULL, NULL, 'final' FROM a GROUP BY question_id HAVING count(*) = 2""")
 def stream_answers(spark, d):
-    c = lambda role: _conversations(spark, d).where(F.col("role") == role).select(
-        F.concat_ws(".", "conv_id", F.floor(F.col("turn") / 2).cast("string")).alias("question_id"), F.col("turn"), F.length("text").cast("long").alias("tokens"), F.timestamp_seconds(F.col("turn") * 60 + 1700000000).alias("ts"))
-    web = c("user").toDF("question_id", "web_turn", "web_tokens", "one_ts")
-    local = c("assistant").toDF("question_id", "local_turn", "local_tokens", "other_ts")
-    return jobs.complete_answers(web, local, ["question_id"]).select("question_id", "web_turn", "local_turn", "web_tokens", "local_tokens")
+    tokens = F.length("text").cast("long")
+    c = _conversations(spark, d).where("role <> 'system'").select(
+        F.concat_ws(".", "conv_id", F.floor(F.col("turn") / 2).cast("string")).alias("question_id"), F.when(F.col("role") == "user", "web").otherwise("local").alias("agent"),
+        "turn", F.when(tokens < 60, "failed").otherwise("ok").alias("status"), tokens.alias("tokens"))
+    return jobs.answer_events(c, ["question_id"], ["web", "local"])
 
 
 @query("stream_price_bars", """

@@ -179,14 +179,14 @@ def filing_excerpts(spark, d):
 
 
 @query("evidence_budget", pr.E_SQL + """,
-e AS (SELECT vault || ':' || turn AS question_id, position, CASE WHEN position = 1 THEN 'finance.price_source' WHEN position = 2 THEN 'finance.entity' ELSE type END AS type, path, line FROM evidence WHERE position <= 8),
+e AS (SELECT vault || ':' || turn AS question_id, position, CASE WHEN position = 1 THEN 'finance.price_source' WHEN position = 2 THEN 'finance.entity' ELSE type END AS type, path, line FROM evidence),
 u AS (SELECT *, type = 'finance.filing' AND length(line) > 10 AS usable FROM e),
 f AS (SELECT *, usable AND row_number() OVER (PARTITION BY question_id, path, usable ORDER BY position) = 1 AS fst FROM u),
 n AS (SELECT *, sum(CASE WHEN fst THEN 1 ELSE 0 END) OVER (PARTITION BY question_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS n FROM f)
 SELECT question_id, position, CAST(CASE type WHEN 'finance.price_source' THEN TRUE WHEN 'finance.filing' THEN fst AND n <= 3 WHEN 'finance.entity' THEN FALSE ELSE line <> '' END AS INT) AS supplied FROM n""")
 def evidence_budget(spark, d):
     r = pr.runs(spark, d).select("vault", "turn", F.posexplode(F.split("answer", "\n")).alias("p", "line")).select("vault", "turn", (F.col("p") + 1).alias("position"), "line")
-    e = pr.evidence(spark, d).join(r, ["vault", "turn", "position"]).where("position <= 8")
+    e = pr.evidence(spark, d).join(r, ["vault", "turn", "position"])
     kind = F.when(F.col("position") == 1, "finance.price_source").when(F.col("position") == 2, "finance.entity").otherwise(F.col("type"))
     x = e.select(F.concat_ws(":", "vault", F.col("turn").cast("string")).alias("question_id"), F.col("position").cast("long").alias("position"), kind.alias("type"), "path", F.col("line").alias("preview"),
                  F.when(F.length("line") > 10, F.col("line")).alias("excerpt"))

@@ -6,14 +6,12 @@ back as "last batch wins"; no job keeps or rewrites a whole table on the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from factweave.functions import fixed
+from factweave.operators import runs
 from factweave.session import work_dir
 
 
@@ -49,49 +47,31 @@ def metrics_upsert(metrics: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def evidence_usage(evidence: DataFrame) -> DataFrame:
-    """First and last use, count and last state of each source, kept as streaming aggregates."""
-    g = evidence.groupBy("vault", "source_key").agg(
-        F.min("turn").alias("first_used"), F.max("turn").alias("last_used"), F.count(F.lit(1)).alias("use_count"),
-        F.max_by("cache_hit", "at").alias("cache_hit"), F.max_by("content_hash", "at").alias("content_hash"))
-    return current(run_available(g, "evidence", "update"), ["vault", "source_key"])
+    """First and last use, number of turns and last state of each source.
 
+    Each batch writes one partial row per source and turn; a turn counts once however often and in how many batches it comes.
+    """
+    def partial(batch: DataFrame, _: int) -> DataFrame:
+        return batch.groupBy("vault", "source_key", "turn").agg(F.max_by(F.struct("cache_hit", "content_hash"), "at").alias("r"), F.max("at").alias("at"))
 
-def research_reuse(requests: DataFrame) -> DataFrame:
-    """Keyed state holds the second until which stored research may be reused. Rows of a batch are taken in time order."""
+    turns = run_available(evidence, "evidence", prepare=partial).groupBy("vault", "source_key", "turn").agg(F.max_by("r", "at").alias("r"), F.max("at").alias("at"))
+    return turns.groupBy("vault", "source_key").agg(
+        F.min("turn").alias("first_used"), F.max("turn").alias("last_used"), F.count(F.lit(1)).alias("use_count"), F.max_by("r", "at").alias("r")).select("vault", "source_key", "first_used", "last_used", "use_count", "r.*")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        until = state.get[0] if state.exists else -1
-        rows = pd.concat(list(frames)).sort_values(["sec", "ts", "request_id"])
-        hits = []
-        for sec, warned in zip(rows["sec"], rows["warned"]):
-            hit = sec < until
-            hits.append(bool(hit))
-            if not hit:
-                until = int(sec) + (fixed.REUSE_SECONDS_WARNED if warned else fixed.REUSE_SECONDS)
-        state.update((int(until),))
-        yield pd.DataFrame({"request_id": rows["request_id"], "key": key[0], "hit": hits})
 
-    x = requests.withColumn("sec", F.unix_seconds("ts"))
-    out = x.groupBy("key").applyInPandasWithState(step, "request_id long, key string, hit boolean", "until long", "append", GroupStateTimeout.NoTimeout)
-    return run_available(out, "reuse").drop("batch")
+def research_reuse(requests: DataFrame) -> DataFrame:
+    """Requests as a log; hits are found by the batch operator over the log, so they don't depend on how requests arrived."""
+    return runs.research_reuse(run_available(requests, "reuse").drop("batch"))
 
 
 def source_versions(evidence: DataFrame) -> DataFrame:
-    """Keyed state holds the last content hash; a change opens a version. One row per turn, the first line of a turn counts."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, version = state.get if state.exists else ("", 0)
-        rows = pd.concat(list(frames)).sort_values(["turn", "position"]).drop_duplicates("turn")
-        versions = []
-        for digest in rows["content_hash"]:
-            version, last = version + int(digest != last), digest
-            versions.append(version)
-        state.update((last, version))
-        yield pd.DataFrame({"vault": key[0], "source_key": key[1], "turn": rows["turn"], "version": versions})
+    """Evidence as a log of one row per turn and batch (its first line); versions come from the batch operator over the log."""
+    def first_line(batch: DataFrame, _: int) -> DataFrame:
+        return batch.groupBy("vault", "source_key", "turn").agg(F.min_by("content_hash", "position").alias("content_hash"), F.min("position").alias("position"))
 
-    out = evidence.groupBy("vault", "source_key").applyInPandasWithState(
-        step, "vault string, source_key string, turn long, version long", "last string, version long", "append", GroupStateTimeout.NoTimeout)
-    return run_available(out, "versions").drop("batch")
+    log = run_available(evidence, "versions", prepare=first_line)
+    turns = log.groupBy("vault", "source_key", "turn").agg(F.min_by("content_hash", "position").alias("content_hash"))
+    return runs.turn_versions(turns).select("vault", "source_key", "turn", "version")
 
 
 def new_filings(filings: DataFrame, existing: DataFrame) -> DataFrame:
@@ -100,20 +80,24 @@ def new_filings(filings: DataFrame, existing: DataFrame) -> DataFrame:
     return run_available(filings, "filings", prepare=lambda batch, _: batch.join(have, "output", "left_anti")).drop("batch")
 
 
-def complete_answers(one: DataFrame, other: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
-    """Both agents' answers to a question, joined as they arrive. State older than the delay is dropped (our choice of watermark)."""
-    a = one.withWatermark("one_ts", delay)
-    b = other.withWatermark("other_ts", delay).toDF(*[f"o_{c}" if c in keys else c for c in other.columns])
-    cond = [F.col(k) == F.col(f"o_{k}") for k in keys]
-    near = F.col("other_ts").between(F.col("one_ts") - F.expr(f"interval {delay}"), F.col("one_ts") + F.expr(f"interval {delay}"))
-    on = near
-    for c in cond:
-        on = on & c
-    return run_available(a.join(b, on).drop(*[f"o_{k}" for k in keys]), "answers").drop("batch")
+def answer_events(answers: DataFrame, keys: list[str], agents: list[str]) -> DataFrame:
+    """answers(keys, agent, status, ...): each agent's answer as it comes, failed ones too, and one final event per question.
+
+    No answer waits for its partner or is dropped for its delay. A question is final when every agent has answered; its event lists
+    the agents and whether all succeeded. The last answer of an agent counts.
+    """
+    rest = [c for c in answers.columns if c not in (*keys, "agent")]
+    log = run_available(answers, "answers")
+    each = log.groupBy(*keys, "agent").agg(F.max_by(F.struct(*rest), F.struct("batch", *rest)).alias("r")).select(*keys, "agent", "r.*")
+    final = each.where(F.col("agent").isin(agents)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_agents"), F.bool_and(F.col("status") == "ok").alias("_ok"), *[F.lit(None).cast(t).alias(c) for c, t in answers.select(*rest).dtypes if c != "status"])
+    final = final.where(F.col("_agents") == len(agents)).withColumn("status", F.when(F.col("_ok"), "ok").otherwise("failed")).withColumn("agent", F.lit(None).cast("string"))
+    return each.withColumn("event", F.lit("answer")).unionByName(final.select(*keys, "agent", *rest).withColumn("event", F.lit("final")))
+
 
+def price_bars(trades: DataFrame) -> DataFrame:
+    """First price and number of trades per ticker and day, from partial bars of each batch; late trades count like others."""
+    def partial(batch: DataFrame, _: int) -> DataFrame:
+        return batch.groupBy("ticker", F.to_date("ts").alias("date")).agg(F.min(F.struct("ts", "event_id", "value")).alias("first"), F.count(F.lit(1)).alias("volume"))
 
-def price_bars(trades: DataFrame, delay: str = "2 days") -> DataFrame:
-    """First price per ticker and day. Rows more than the delay behind are dropped (our rule, as bars may be re-read)."""
-    g = trades.withWatermark("ts", delay).groupBy("ticker", F.window("ts", "1 day").alias("day")).agg(
-        F.min_by("value", F.struct("ts", "event_id")).alias("open"), F.count(F.lit(1)).alias("volume"))
-    return current(run_available(g.select("ticker", F.to_date("day.start").alias("date"), "open", "volume"), "bars", "update"), ["ticker", "date"])
+    bars = run_available(trades, "bars", prepare=partial).groupBy("ticker", "date").agg(F.min("first").alias("first"), F.sum("volume").alias("volume"))
+    return bars.select("ticker", "date", F.col("first.value").alias("open"), "volume")
