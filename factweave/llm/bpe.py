@@ -26,8 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from factweave.llm.storage import small_batches
+
 #: Distinct words whose ids a worker keeps; a full cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 # The word pattern of the vocabulary file, with its white space spelt out for characters up to U+017F.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\p{L}\p{N}]+")
@@ -83,7 +85,7 @@ class Vocabulary:
         self.bytes = np.frombuffer(b" ".join(strings) + b" ", np.uint8)
         self.widths = np.array([len(s) + 1 for s in strings])
         self.offsets = np.cumsum(self.widths) - self.widths
-        self.follows = functools.lru_cache(1 << 18)(self._follows)
+        self.follows = functools.lru_cache(1 << 16)(self._follows)
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def _follows(self, a: int, b: int) -> bool:
@@ -179,6 +181,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids array<int>, decoded): token ids of each whole text and the text that they decode to."""
+    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.large_string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

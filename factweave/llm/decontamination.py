@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm import words as W
-from factweave.llm.storage import bitmap, in_bitmap, save, slot
+from factweave.llm.storage import bitmap, in_bitmap, save, small_batches
 
 WINDOW = 8
 #: Plain words that a window needs.
@@ -130,6 +130,7 @@ def _bits(windows: DataFrame) -> np.ndarray:
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(d, h, item_id, windows): per document key and contaminating item, the number of the item's windows found."""
+    small_batches(docs.sparkSession)
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("x"), F.lit(0).cast("long").alias("y"), "text").mapInArrow(_found(None, [*range(PLAIN, WINDOW + 1)]), _TYPES)
     items = save(items.select("w", F.col("x").alias("item_id"), F.col("place").alias("at"), F.col("fill").alias("asked")), "items")
     keyed = docs.select(*doc_key(), "text")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm import words as W
+from factweave.llm.storage import small_batches
 from factweave.llm.toxicity import held_out
 
 BUCKETS = 1 << 16
@@ -67,6 +68,7 @@ class Model:
 
 def learn(docs: DataFrame) -> Model:
     """Counts over all rows with a language; the counts are added up by Spark."""
+    small_batches(docs.sparkSession)
     schema = pa.schema([("lang", pa.string()), ("g", pa.int32()), ("n", pa.int64())])
 
     def flush(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from factweave.llm import words as W
 from factweave.llm.components import connected_components
-from factweave.llm.storage import bitmap, in_bitmap, save, slot
+from factweave.llm.storage import bitmap, in_bitmap, save, slot, small_batches
 
 SHINGLE = 5
 PERCENT = 75
@@ -289,6 +289,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
 def similar_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the smallest doc_id reachable by links, itself included."""
+    small_batches(docs.sparkSession)
     signed = save(_signed(docs, k, percent), "signed")
     sets = signed.where("doc_id IS NOT NULL AND n > 0")
     first = sets.groupBy("f1", "f2").agg(F.min("doc_id").alias("a"))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm import words as W
-from factweave.llm.storage import save
+from factweave.llm.storage import save, small_batches
 
 BUCKETS = 1 << 14
 TRAINING = 50_000
@@ -131,6 +131,7 @@ def site_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     own is the tempered evidence of the text in log odds; a site without labels has its host's mean, or the global one.
     """
+    small_batches(docs.sparkSession)
     y = _labels(labels)
     own = save(evidence(docs, feature_counts(docs, y)), "evidence")
     labelled = save(own.join(y, "doc_id"), "labelled")

@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.session import work_dir
 
 #: Bits of a bitmap of keys: a fixed bound on what is sent to all executors, 512 KB at any size of the data.
 BITMAP_BITS = 1 << 22
+#: Rows of a batch that goes to a Python worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker and its task hold at once; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    at = int(spark.conf.get(name))
+    if not 0 < at <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def save(df: DataFrame, name: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm import words as W
+from factweave.llm.storage import small_batches
 
 #: Words in the groups whose smallest hash is the anchor of a window.
 ANCHOR = 8
@@ -145,6 +146,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(d, h, start, stop): word spans covered by windows that occur more than once; spans may overlap."""
     if window < ANCHOR:
         raise ValueError(f"a window has {ANCHOR} words at least")
+    small_batches(docs.sparkSession)
     runs = _identified(docs).select("d", "h", "text").mapInArrow(_runs(window), "anchor long, d long, h long, start int, stop int, prints binary")
     return runs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated(window), "d long, h long, start int, stop int")
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm import words as W
-from factweave.llm.storage import save
+from factweave.llm.storage import save, small_batches
 
 BUCKETS = 1 << 18
 BEGINNINGS = (4, 5, 6)
@@ -128,6 +128,7 @@ def fit(p: np.ndarray, rows: np.ndarray, columns: np.ndarray, width: int, prior:
 
 def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, float]:
     """A weight for each bucket, and the bias."""
+    small_batches(docs.sparkSession)
     rows, prior = sample(docs, labels, positives, unlabelled)
     prior = min(max(prior, 1e-3), 0.5)
     weights, bias = np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior)))

@@ -12,9 +12,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+# freed batches go back to the system: a worker stays small between tasks
+pa.set_memory_pool(pa.system_memory_pool())
+
 U = np.uint64
 #: Bytes of text that are hashed together; a longer document is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Bytes whose running sum is held at once; only a single word can exceed it.
 SEGMENT_BYTES = 1 << 20
 
@@ -107,13 +110,15 @@ class Words:
 
 
 def texts_of(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and int64 offsets of a string column; a null is an empty text."""
+    """Bytes and offsets of a string column, as they lie in the batch; a null is an empty text."""
     col = batch.column(batch.schema.get_field_index(name))
-    if not pa.types.is_large_string(col.type):
-        col = col.cast(pa.large_string())
-    col = col.fill_null("")
+    if col.null_count:
+        col = col.fill_null("")
+    wide = pa.types.is_large_string(col.type)
+    if not wide and not pa.types.is_string(col.type):
+        col = col.cast(pa.string())
     _, offsets, data = col.buffers()
-    off = np.frombuffer(offsets, np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
+    off = np.frombuffer(offsets, np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64) if len(col) else np.zeros(1, np.int64)
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), off
 
 
