@@ -1,8 +1,7 @@
-"""Repair of pipe tables in filings and explicit measurement scales, as one flow without joins.
+"""Repair of pipe tables in filings and explicit measurement scales, as one flow without joins or Python.
 
-Documents are cut into lines and shuffled by doc_id, which serves all windows and groups up to the one Python
-step. Spark forgets the partitioning there, so the row windows and the final grouping shuffle once more each.
-A group is never larger than one document.
+Documents are cut into lines and shuffled by doc_id once, which serves all windows and groups. A group is never larger
+than one document.
 """
 
 from __future__ import annotations
@@ -109,9 +108,8 @@ def repair_structure(tables: DataFrame) -> DataFrame:
     """
     keep = ["doc_id", "seg_no", "is_table", "reason", "doc", "lines", "context"]
     spread = F.transform("rows", lambda r, i: F.when(i == 1, r).otherwise(spread_units(r)))
-    # pinned, as a Python function takes plain columns only
     t = pin(tables, spread=spread).drop("rows")
-    t = t.withColumn("m", ce.merge_tokens("spread")).select(*keep, "width", "m.*")
+    t = pin(t, m=F.when(F.col("spread").isNotNull(), ce.merge_tokens(F.col("spread")))).select(*keep, "width", "m.rows", F.coalesce("m.negatives", F.lit(0)).alias("negatives"), F.coalesce("m.moved", F.lit(0)).alias("moved"))
     t = pin(t, rows2=F.transform("rows", lambda r, i: F.when(i == 1, r).otherwise(F.transform(r, ce.accounting_negative))))
     turned = F.aggregate(F.zip_with("rows", "rows2", lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda d: d))), F.lit(0), lambda a, n: a + n)
     t = pin(t, start=first_data_row(F.col("rows2")), negatives=F.col("negatives") + turned)

@@ -2,6 +2,9 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from factweave.functions import cells as ce
 from factweave.operators import tables as op
 
 CASES = {
@@ -47,3 +50,14 @@ def test_report_counts(repaired):
     assert (r["split tokens"].negatives, r["split tokens"].removed_columns) == (3, 1)
     assert r["spare columns"].moved == 1 and r["broken"].skip_reasons == "inconsistent source row widths"
     assert r["untouched"].changed_tables == 0 and not r["untouched"].changed and r["untouched"].new_body == CASES["untouched"][0]
+
+
+@pytest.mark.parametrize(("row", "cells", "negatives", "moved"), [
+    (["x", "$", "5"], ["x", "", "$5"], 0, 1), (["x", "(", "5", ")"], ["x", "", "-5", ""], 1, 0), (["x", "1", ",", "234"], ["x", "1,234", "", ""], 0, 0),
+    (["x", "$", "(5", ")"], ["x", "", "-$5", ""], 1, 1), (["x", "3", "%"], ["x", "3 %", ""], 0, 0), (["x", "(3", ")%"], ["x", "-3 %", ""], 1, 0), (["x", "$", "", "-7"], ["x", "", "", "-$7"], 0, 1),
+    (["x", "$", "—"], ["x", "", "—"], 0, 0), (["x", "3 %", "%"], ["x", "3 %", ""], 0, 0), (["x", "$ (9", ")", "$", "4"], ["x", "-$9", "", "", "$4"], 1, 1), (["x", "text", ",", "note"], ["x", "text", "", "note"], 0, 0),
+    (["$", "("], ["", ""], 0, 0), (["x", "", "5"], ["x", "", "5"], 0, 0), ([], [], 0, 0),
+])
+def test_signs_join_their_values(spark, row, cells, negatives, moved):
+    r = spark.createDataFrame([(row,)], "r array<string>").select(ce.merged_row(F.col("r")).alias("m")).first().m
+    assert (list(r.cells), r.negatives, r.moved) == (cells, negatives, moved)
