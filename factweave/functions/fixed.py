@@ -142,17 +142,17 @@ FINANCIAL_SOURCE_PATTERN = (
 
 # Sectors by ticker symbol.
 SECTOR_TICKERS = {
-    "Communication Services": "CMCSA DIS GOOG GOOGL META NFLX T TMUS VZ",
-    "Consumer Discretionary": "AMZN BKNG GM HD LOW MCD NKE SBUX TSLA",
-    "Consumer Staples": "CL COST KO MDLZ MO PEP PG PM WMT",
-    "Energy": "COP CVX XOM",
-    "Financials": "AXP BAC BLK BNY BRK-B C COF GS JPM MA MS SCHW USB V WFC",
-    "Health Care": "ABBV ABT AMGN BMY CVS DHR GILD ISRG JNJ LLY MDT MRK PFE TMO UNH",
-    "Industrials": "BA CAT DE EMR FDX GD GE GEV HONA LMT MMM RTX UBER UNP UPS",
-    "Information Technology": "AAPL ACN ADBE AMAT AMD AVGO CRM CSCO IBM INTC INTU LRCX MSFT MU NOW NVDA ORCL PLTR QCOM TXN",
-    "Materials": "LIN",
-    "Real Estate": "AMT SPG",
-    "Utilities": "DUK NEE SO",
+    "Communication Services": ["CMCSA", "DIS", "GOOG", "GOOGL", "META", "NFLX", "T", "TMUS", "VZ"],
+    "Consumer Discretionary": ["AMZN", "BKNG", "GM", "HD", "LOW", "MCD", "NKE", "SBUX", "TSLA"],
+    "Consumer Staples": ["CL", "COST", "KO", "MDLZ", "MO", "PEP", "PG", "PM", "WMT"],
+    "Energy": ["COP", "CVX", "XOM"],
+    "Financials": ["AXP", "BAC", "BLK", "BNY", "BRK-B", "C", "COF", "GS", "JPM", "MA", "MS", "SCHW", "USB", "V", "WFC"],
+    "Health Care": ["ABBV", "ABT", "AMGN", "BMY", "CVS", "DHR", "GILD", "ISRG", "JNJ", "LLY", "MDT", "MRK", "PFE", "TMO", "UNH"],
+    "Industrials": ["BA", "CAT", "DE", "EMR", "FDX", "GD", "GE", "GEV", "HONA", "LMT", "MMM", "RTX", "UBER", "UNP", "UPS"],
+    "Information Technology": ["AAPL", "ACN", "ADBE", "AMAT", "AMD", "AVGO", "CRM", "CSCO", "IBM", "INTC", "INTU", "LRCX", "MSFT", "MU", "NOW", "NVDA", "ORCL", "PLTR", "QCOM", "TXN"],
+    "Materials": ["LIN"],
+    "Real Estate": ["AMT", "SPG"],
+    "Utilities": ["DUK", "NEE", "SO"],
 }
 SECTOR_ACTIVITY = {
     "Communication Services": "provides communications, media, entertainment, advertising, or digital platform services",
@@ -170,14 +170,14 @@ SECTOR_ACTIVITY = {
 
 # Macro series by group.
 MACRO_SERIES = {
-    "growth": "GDP GDPC1 A191RL1Q225SBEA GDI INDPRO CAPUTLG2211S TCU",
-    "inflation": "CPIAUCSL CPILFESL PCEPI PCEPILFE GDPDEF T5YIE T10YIE EXPINF1YR EXPINF10YR",
-    "labor": "UNRATE U6RATE PAYEMS MANEMP ICSA CCSA CIVPART EMRATIO JTSJOL AHETPI CES0500000003",
-    "rates": "FEDFUNDS SOFR DGS1MO DGS3MO DGS1 DGS2 DGS5 DGS10 DGS30 T10Y2Y T10Y3M DFF IORB MORTGAGE30US",
-    "credit": "BAMLC0A0CM BAMLH0A0HYM2 NFCI STLFSI4 DRTSCILM BUSLOANS TOTCI M2SL",
-    "consumer_housing": "RSAFS PCE DSPIC96 PSAVERT UMCSENT HOUST PERMIT CSUSHPINSA MSPUS",
-    "markets_fx_commodities": "SP500 NASDAQCOM DJIA VIXCLS DTWEXBGS DEXUSEU DEXJPUS DCOILWTICO DCOILBRENTEU DHHNGSP GOLDAMGBD228NLBM",
-    "trade_fiscal": "NETEXP EXPGS IMPGS BOPGSTB FYFSD GFDEBTN GFDEGDQ188S WALCL",
+    "growth": ["GDP", "GDPC1", "A191RL1Q225SBEA", "GDI", "INDPRO", "CAPUTLG2211S", "TCU"],
+    "inflation": ["CPIAUCSL", "CPILFESL", "PCEPI", "PCEPILFE", "GDPDEF", "T5YIE", "T10YIE", "EXPINF1YR", "EXPINF10YR"],
+    "labor": ["UNRATE", "U6RATE", "PAYEMS", "MANEMP", "ICSA", "CCSA", "CIVPART", "EMRATIO", "JTSJOL", "AHETPI", "CES0500000003"],
+    "rates": ["FEDFUNDS", "SOFR", "DGS1MO", "DGS3MO", "DGS1", "DGS2", "DGS5", "DGS10", "DGS30", "T10Y2Y", "T10Y3M", "DFF", "IORB", "MORTGAGE30US"],
+    "credit": ["BAMLC0A0CM", "BAMLH0A0HYM2", "NFCI", "STLFSI4", "DRTSCILM", "BUSLOANS", "TOTCI", "M2SL"],
+    "consumer_housing": ["RSAFS", "PCE", "DSPIC96", "PSAVERT", "UMCSENT", "HOUST", "PERMIT", "CSUSHPINSA", "MSPUS"],
+    "markets_fx_commodities": ["SP500", "NASDAQCOM", "DJIA", "VIXCLS", "DTWEXBGS", "DEXUSEU", "DEXJPUS", "DCOILWTICO", "DCOILBRENTEU", "DHHNGSP", "GOLDAMGBD228NLBM"],
+    "trade_fiscal": ["NETEXP", "EXPGS", "IMPGS", "BOPGSTB", "FYFSD", "GFDEBTN", "GFDEGDQ188S", "WALCL"],
 }
 
 # Empty markers of displayed grids.

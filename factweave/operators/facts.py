@@ -262,30 +262,51 @@ def _latest(end: str) -> Column:
     return F.coalesce(-F.unix_date(end), F.lit(2**31 - 1))
 
 
-def scalar_candidates(requests: DataFrame, facts: DataFrame, role: str, with_year: bool = True) -> DataFrame:
-    """requests(question_id, ticker, <role>, year, fiscal_period) joined to consolidated facts of that role.
+ANY = "*"
 
-    The equi-join key is (ticker, role): the year and the period are optional filters after it.
-    """
-    f = consolidated(with_amount(facts)).withColumn("fact_role", F.explode("roles")).withColumnRenamed("ticker", "f_ticker")
-    cond = (F.col("ticker") == F.col("f_ticker")) & (F.col(role) == F.col("fact_role"))
-    x = requests.join(f, cond).drop("f_ticker")
-    if with_year:
-        x = x.where(F.col("year").isNull() | (F.col("year") == F.col("period.fiscal_year")))
-    return x.where(F.col("fiscal_period").isNull() | (F.col("fiscal_period") == F.col("period.fiscal_period")))
+
+def _slots() -> Column:
+    """The four (year, fiscal period) keys under which a fact can be asked for; * stands for a part that is not given."""
+    year, period = F.concat(F.lit("="), F.col("period.fiscal_year").cast("string")), F.concat(F.lit("="), F.col("period.fiscal_period"))
+    both = [F.struct(y.alias("slot_year"), p.alias("slot_period")) for y in (F.lit(ANY), year) for p in (F.lit(ANY), period)]
+    return F.filter(F.array(*both), lambda s: s["slot_year"].isNotNull() & s["slot_period"].isNotNull())
+
+
+def _slotted(facts: DataFrame) -> DataFrame:
+    """Consolidated facts with amount, one row per role and slot: questions meet them on all parts that they give."""
+    f = consolidated(with_amount(facts)).withColumn("fact_role", F.explode("roles")).withColumnRenamed("ticker", "fact_ticker")
+    return f.select("*", F.inline(_slots()))
+
+
+def _asked(requests: DataFrame, role: str) -> DataFrame:
+    """Adds the join keys of requests(ticker, <role>, year, fiscal_period)."""
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(ANY))
+    return requests.select("*", F.col("ticker").alias("fact_ticker"), F.col(role).alias("fact_role"), key("year").alias("slot_year"), key("fiscal_period").alias("slot_period"))
+
+
+SLOT = ["fact_ticker", "fact_role", "slot_year", "slot_period"]
+
+
+def scalar_candidates(requests: DataFrame, facts: DataFrame, role: str) -> DataFrame:
+    """requests(question_id, ticker, <role>, year, fiscal_period) joined to the consolidated facts that fit all given parts."""
+    return _asked(requests, role).join(_slotted(facts), SLOT).drop(*SLOT)
 
 
-def best_fact(candidates: DataFrame) -> DataFrame:
-    """First candidate per question as a map-side combined minimum instead of a full per-question sort."""
-    key = F.struct(_latest("period.end").alias("a"), (~F.col("concept").startswith("us-gaap:")).cast("int").alias("b"),
-                   F.length("concept").alias("c"), F.col("ordinal").alias("d"))
-    fact = F.struct("concept", "amount", "unit", "currency", "path", "id", "period", "value_status", period_key().alias("period_key"))
-    return candidates.groupBy("question_id").agg(F.min_by(fact, key).alias("fact"), F.count(F.lit(1)).alias("n_candidates"))
+def _fact_order() -> Column:
+    return F.struct(_latest("period.end").alias("a"), (~F.col("concept").startswith("us-gaap:")).cast("int").alias("b"), F.length("concept").alias("c"), F.col("ordinal").alias("d"))
+
+
+def _fact() -> Column:
+    return F.struct("concept", "amount", "unit", "currency", "path", "id", "period", "value_status", period_key().alias("period_key"))
+
+
+def best_by_slot(facts: DataFrame) -> DataFrame:
+    """The first fact of each slot: chosen once per slot before any question comes, so a busy company is no product."""
+    return _slotted(facts).groupBy(*SLOT).agg(F.min_by(_fact(), _fact_order()).alias("fact"), F.count(F.lit(1)).alias("n_candidates"))
 
 
 def direct_fact(requests: DataFrame, facts: DataFrame) -> DataFrame:
-    best = best_fact(scalar_candidates(requests, facts, "role"))
-    x = requests.join(best, "question_id", "left")
+    x = _asked(requests, "role").join(best_by_slot(facts), SLOT, "left").drop(*SLOT)
     return x.withColumn(
         "status",
         F.when(F.col("fact").isNull(), "no consolidated fact is bound").when(F.col("fact.value_status") != "ok", "not exact").otherwise("ok"),
@@ -293,29 +314,29 @@ def direct_fact(requests: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def simple_margin(requests: DataFrame, facts: DataFrame) -> DataFrame:
-    """Numerator and revenue with the same full period, unit and currency; the first pair in (numerator, revenue) order."""
-    num = scalar_candidates(requests, facts, "margin_role")
-    rev = scalar_candidates(requests.withColumn("revenue_role", F.lit("revenue")), facts, "revenue_role")
-    cols = ["concept", "amount", "unit", "currency", "period", "ordinal", "value_status"]
-    n = num.select("question_id", *[F.col(c).alias(f"n_{c}") for c in cols], period_key().alias("pk"))
-    r = rev.select(F.col("question_id").alias("rq"), *[F.col(c).alias(f"r_{c}") for c in cols], period_key().alias("rpk"))
-    pair = n.join(
-        r,
-        (F.col("question_id") == F.col("rq")) & F.col("pk").eqNullSafe(F.col("rpk"))
-        & F.col("n_unit").eqNullSafe(F.col("r_unit")) & F.col("n_currency").eqNullSafe(F.col("r_currency")),
-    )
-    side = lambda s: [_latest(f"{s}_period.end"), (~F.col(f"{s}_concept").startswith("us-gaap:")).cast("int"),
-                      F.length(f"{s}_concept"), F.col(f"{s}_ordinal")]
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(side("n") + side("r"))])
-    best = pair.groupBy("question_id").agg(
-        F.min_by(F.struct("n_amount", "r_amount", "n_concept", "r_concept", "n_period", "pk"), key).alias("m")
-    )
-    have = num.select("question_id").distinct().withColumn("have_num", F.lit(True)).join(
-        rev.select("question_id").distinct().withColumn("have_rev", F.lit(True)), "question_id", "full"
-    )
-    x = requests.join(best, "question_id", "left").join(have, "question_id", "left")
+    """Numerator and revenue with the same full period, unit and currency; the first pair in (numerator, revenue) order.
+
+    Facts of one company, period, unit and currency meet in one group, and each of its roles keeps its first revenue; pairs
+    are then reduced to the first one of each slot. Questions join these on all parts that they give.
+    """
+    f = consolidated(with_amount(facts)).withColumn("fact_role", F.explode("roles")).withColumnRenamed("ticker", "fact_ticker")
+    f = f.select("fact_ticker", "fact_role", "concept", "amount", "unit", "currency", "period", "ordinal", period_key().alias("pk"), _fact_order().alias("k"))
+    revenue = F.when(F.col("fact_role") == "revenue", F.struct("amount", "concept", "k"))
+    group = ["fact_ticker", "pk", "unit", "currency"]
+    # a period's facts of one company, unit and currency: as many as a filing has
+    g = f.groupBy(*group).agg(
+        F.first("period").alias("period"), F.min_by(F.struct("amount", "concept", "k"), F.when(F.col("fact_role") == "revenue", F.col("k"))).alias("r"), F.max(revenue.isNotNull()).alias("has_r"),
+        F.collect_list(F.struct("fact_role", "amount", "concept", "k")).alias("facts"))
+    g = g.withColumn("r", F.when(F.col("has_r"), F.col("r")))
+    x = g.select("fact_ticker", "period", "pk", "r", F.explode("facts").alias("n")).select("fact_ticker", "period", "pk", "r", "n", F.col("n.fact_role").alias("fact_role"))
+    pair = F.when(F.col("r").isNotNull(), F.struct(
+        F.col("n.amount").alias("n_amount"), F.col("r.amount").alias("r_amount"), F.col("n.concept").alias("n_concept"), F.col("r.concept").alias("r_concept"), F.col("period").alias("n_period"), "pk"))
+    order = F.when(F.col("r").isNotNull(), F.struct(F.col("n.k").alias("n"), F.col("r.k").alias("r")))
+    slots = x.select("fact_ticker", "fact_role", pair.alias("pair"), order.alias("order"), F.inline(_slots())).groupBy(*SLOT).agg(F.min_by("pair", "order").alias("m"), F.lit(True).alias("have"))
+    rev = slots.where("fact_role = 'revenue'").select("fact_ticker", "slot_year", "slot_period", F.col("have").alias("have_rev"))
+    x = _asked(requests, "margin_role").join(slots, SLOT, "left").join(rev, ["fact_ticker", "slot_year", "slot_period"], "left").drop(*SLOT)
     status = (
-        F.when(F.col("have_num").isNull() | F.col("have_rev").isNull(), "numerator or revenue binding unavailable")
+        F.when(F.col("have").isNull() | F.col("have_rev").isNull(), "numerator or revenue binding unavailable")
         .when(F.col("m").isNull(), "facts do not share an exact reporting period")
         .when(F.col("m.n_amount").isNull() | F.col("m.r_amount").isNull() | (F.col("m.r_amount") == 0), "not exact")
         .otherwise("ok")
@@ -326,17 +347,16 @@ def simple_margin(requests: DataFrame, facts: DataFrame) -> DataFrame:
 
 def period_growth(requests: DataFrame, facts: DataFrame) -> DataFrame:
     """Current fact against the nearest earlier period of the same concept, fiscal period and kind."""
-    cur = best_fact(scalar_candidates(requests, facts, "role"))
-    base = requests.join(cur, "question_id", "left")
-    anyyear = scalar_candidates(base.where("fact is not null"), facts, "role", with_year=False)
-    prior = anyyear.where(
-        (period_key() != F.col("fact.period_key")) & (F.col("concept") == F.col("fact.concept"))
-        & F.col("period.fiscal_period").eqNullSafe(F.col("fact.period.fiscal_period"))
-        & F.col("period.kind").eqNullSafe(F.col("fact.period.kind"))
-        & (F.col("period.end") < F.col("fact.period.end"))
-    ).drop("fact")
-    p = best_fact(prior).select("question_id", F.col("fact").alias("prior"))
-    x = base.join(p, "question_id", "left")
+    base = _asked(requests, "role").join(best_by_slot(facts), SLOT, "left").drop("slot_year", "slot_period", "n_candidates")
+    # one fact per end of a series (company, role, concept, fiscal period, kind), then the end before it
+    f = consolidated(with_amount(facts)).withColumn("fact_role", F.explode("roles")).withColumnRenamed("ticker", "fact_ticker")
+    series = {"s_concept": "concept", "s_period": "period.fiscal_period", "s_kind": "period.kind"}
+    ends = f.where("period.end IS NOT NULL").groupBy("fact_ticker", "fact_role", *[F.col(c).alias(n) for n, c in series.items()], F.col("period.end").alias("s_end")).agg(F.min_by(_fact(), _fact_order()).alias("here"))
+    before = F.lag("here").over(W.partitionBy("fact_ticker", "fact_role", *series).orderBy("s_end"))
+    steps = ends.select("fact_ticker", "fact_role", *series, "s_end", before.alias("prior")).withColumnsRenamed({"fact_ticker": "s_ticker", "fact_role": "s_role"})
+    same = (F.col("fact_ticker") == F.col("s_ticker")) & (F.col("fact_role") == F.col("s_role")) & (F.col("fact.concept") == F.col("s_concept")) & (F.col("fact.period.end") == F.col("s_end"))
+    same = same & F.col("fact.period.fiscal_period").eqNullSafe(F.col("s_period")) & F.col("fact.period.kind").eqNullSafe(F.col("s_kind"))
+    x = base.join(steps, same, "left").drop("s_ticker", "s_role", *series, "s_end", "fact_ticker", "fact_role")
     status = (
         F.when(F.col("fact").isNull(), "two comparable periods are required")
         .when(F.col("prior").isNull(), "no prior comparable period is bound")

@@ -109,26 +109,37 @@ def timeline(filings: DataFrame) -> DataFrame:
     return x.withColumn("prior_filing", F.col("prior.id")).withColumn("next_filing", F.col("next.id")).drop("prior", "next")
 
 
-def retrieval_filings(requests: DataFrame, filings: DataFrame, limit: int) -> DataFrame:
-    """requests(question_id, ticker, years) x filings -> at most ``limit`` annual and quarterly filings per question.
+def retrieval_filings(requests: DataFrame, filings: DataFrame, limit: int, several: int | None = None) -> DataFrame:
+    """requests(question_id, ticker, years) x filings -> at most ``limit`` annual and quarterly filings per question and company.
 
-    Wanted year first, then recency; the newest one and two annual reports lead. All windows are top-k, which
-    Spark prunes before the shuffle.
+    Wanted year first, then recency; the newest one and two annual reports lead. A question that names several companies gets
+    ``several`` filings for each. Filings are reduced to the newest of each company and of each company's year first, as no question
+    can take more; so a busy company brings a few rows to each of its questions.
     """
     f = filings.where(F.upper("form").isin("10-K", "10-Q")).select("id", F.col("ticker").alias("ft"), "form", "fiscal_year", "filing_date", "ordinal")
-    x = requests.join(f, F.col("ticker") == F.col("ft")).drop("ft")
+    newest = lambda df, keys, k: df.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("filing_date"), "ordinal"))).where(F.col("r") <= k).drop("r")
     wanted = F.coalesce(F.array_contains("years", F.col("fiscal_year")).cast("int"), F.lit(0))
     order = [F.desc(wanted), F.desc("filing_date"), F.col("ordinal")]
-    rank = lambda df, k: df.withColumn("r", F.row_number().over(W.partitionBy("question_id", "ticker").orderBy(*order))).where(F.col("r") <= k)
-    top = rank(x, limit + 3)
-    annual = rank(x.where("form = '10-K'"), 2)
+    by_year = requests.select("*", F.explode(F.array_distinct("years")).alias("_year"))
+
+    def ranked(pool, k):
+        some = requests.join(newest(pool, ["ft"], k), F.col("ticker") == F.col("ft"))
+        dated = by_year.join(newest(pool, ["ft", "fiscal_year"], k), (F.col("ticker") == F.col("ft")) & (F.col("_year") == F.col("fiscal_year"))).drop("_year")
+        x = some.unionByName(dated).dropDuplicates(["question_id", "ticker", "id"])
+        return x.withColumn("r", F.row_number().over(W.partitionBy("question_id", "ticker").orderBy(*order))).where(F.col("r") <= k)
+
+    top, annual = ranked(f, limit + 3), ranked(f.where("form = '10-K'"), 2)
     branches = (
         top.select("question_id", "ticker", "id", F.when(F.col("r") == 1, 0).otherwise(F.col("r") + 10).alias("o"))
         .unionByName(annual.select("question_id", "ticker", "id", F.col("r").alias("o")))
     )
     once = branches.groupBy("question_id", "ticker", "id").agg(F.min("o").alias("o"))
     w = W.partitionBy("question_id", "ticker").orderBy("o")
-    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("o")
+    out = once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("o")
+    if several is None:
+        return out
+    named = requests.groupBy("question_id").agg((F.min("ticker") != F.max("ticker")).alias("_several"))
+    return out.join(named, "question_id").where(~F.col("_several") | (F.col("rank") <= several)).drop("_several")
 
 
 def balanced_sample(files: DataFrame, limit: int) -> DataFrame:
@@ -169,7 +180,7 @@ def canonical_paths(wanted: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def sector_lookup(spark) -> DataFrame:
-    rows = [(t, s, fixed.SECTOR_ACTIVITY[s]) for s, ts in fixed.SECTOR_TICKERS.items() for t in ts.split()]
+    rows = [(t, s, fixed.SECTOR_ACTIVITY[s]) for s, ts in fixed.SECTOR_TICKERS.items() for t in ts]
     return spark.createDataFrame(rows, "ticker string, sector string, activity string")
 
 

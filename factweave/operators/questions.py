@@ -164,7 +164,9 @@ def company_mentions(questions: DataFrame, companies: DataFrame, limit: int = fi
     at = F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1)))
     starting = lambda n: F.transform(at, lambda i: F.array_join(F.slice("words", i, n), " "))
     grams = F.array_distinct(F.flatten(F.array(starting(1), starting(2), starting(3))))
-    pairs = q.select("question_id", "question", "q", F.explode(grams).alias("gram")).join(aliases, "gram")
+    # narrow rows meet the aliases; the text comes back for the few that do
+    pairs = q.select("question_id", F.explode(grams).alias("gram")).join(aliases, "gram").select("question_id", "alias", "ticker", "common").distinct()
+    pairs = pairs.join(q.select("question_id", "question", "q"), "question_id")
     quoted = F.concat(F.lit(r"\Q"), F.col("alias"), F.lit(r"\E"))
     pos = F.regexp_instr("q", F.concat(F.lit("(?<![a-z0-9])"), quoted, F.lit("(?![a-z0-9])")))
     symbol = F.regexp_like("question", F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.col("ticker"), F.lit(r"\E(?![A-Za-z0-9])")))

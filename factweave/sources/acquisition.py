@@ -73,9 +73,9 @@ def read_macro(spark: SparkSession, path: str) -> DataFrame:
                       F.try_to_date("realtime_end", "yyyy-MM-dd").alias("realtime_end"))
 
 
-def macro_catalog(spark: SparkSession, groups: dict[str, str]) -> DataFrame:
+def macro_catalog(spark: SparkSession, groups: dict[str, list[str]]) -> DataFrame:
     """(series_id, grp): the first group that names a series keeps it."""
-    rows = [(s, g, i) for i, (s, g) in enumerate((s, g) for g, ids in groups.items() for s in ids.split())]
+    rows = [(s, g, i) for i, (s, g) in enumerate((s, g) for g, ids in groups.items() for s in ids)]
     df = spark.createDataFrame(rows, "series_id string, grp string, ordinal int")
     return df.groupBy("series_id").agg(F.min_by("grp", "ordinal").alias("grp"))
 
