@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -221,25 +223,56 @@ def backfill_runs(runs: DataFrame, evidence: DataFrame, companies: DataFrame) ->
 # ---- reuse --------------------------------------------------------------------------------------------------------
 
 
+DAY = 86_400
+
+
+def _day_exits(points: pd.DataFrame) -> pd.DataFrame:
+    """For one key and day: where reuse stands at the day's end, for each point that may be the day's first miss."""
+    p = points.sort_values("sec")
+    sec, until = p["sec"].to_numpy(), (p["sec"] + p["ttl"]).to_numpy()
+    after, out = np.searchsorted(sec, until), until.copy()
+    for i in range(len(sec) - 1, -1, -1):
+        if after[i] < len(sec):
+            out[i] = out[after[i]]
+    # stored research lives 900 s at most, so the first miss is one of the points up to then or the one after
+    n = int(np.searchsorted(sec, points["day"].iloc[0] * DAY + fixed.REUSE_SECONDS)) + 1
+    return pd.DataFrame({"key": [points["key"].iloc[0]], "day": [points["day"].iloc[0]], "firsts": [sec[:n].tolist()], "exits": [out[:n].tolist()]})
+
+
+def _day_misses(points: pd.DataFrame) -> pd.DataFrame:
+    """Misses of one key and day, given until when reuse stands at its start."""
+    p, found = points.sort_values("sec"), []
+    until = p["entry"].iloc[0]
+    for sec, ttl, first in zip(p["sec"], p["ttl"], p["first_id"], strict=True):
+        if sec >= until:
+            until = sec + ttl
+            found.append(first)
+    return pd.DataFrame({"request_id": found})
+
+
 def research_reuse(requests: DataFrame) -> DataFrame:
     """requests(request_id, key, ts, warned) -> hit flag. A miss is stored for 900 s, or 60 s with warnings; a hit renews nothing.
 
-    The clock has whole seconds: requests of one key in one second are one point. A pause of 900 s always ends
-    reuse, so a key's history falls apart at such pauses and only the points between two pauses meet in a fold.
+    The clock has whole seconds: requests of one key in one second are one point. A key's history is cut into days, each of
+    at most 86,400 points. Each day tells where reuse would stand at its end for every possible start (first pass), one
+    small row a day is folded along the key, and each day is replayed from its true start (second pass).
     """
+    kind = requests.schema["key"].dataType.simpleString()
     x = requests.withColumn("sec", F.unix_seconds(F.col("ts").cast("timestamp")))
-    ttl = F.when(F.col("warned"), fixed.REUSE_SECONDS_WARNED).otherwise(fixed.REUSE_SECONDS)
+    ttl = F.when(F.col("warned"), fixed.REUSE_SECONDS_WARNED).otherwise(fixed.REUSE_SECONDS).cast("long")
     order = F.struct("ts", "request_id")
-    points = x.groupBy("key", "sec").agg(F.min_by(ttl, order).alias("ttl"), F.min_by("request_id", order).alias("first_id"))
-    day = F.floor(F.col("sec") / 86400)
-    p = with_neighbors(points, ["key"], day, ["sec"], ["sec"])
-    start = F.coalesce((F.col("sec") - F.col("prior.sec") >= fixed.REUSE_SECONDS).cast("int"), F.lit(1))
-    p = p.select("key", "sec", "ttl", "first_id", start.alias("start"))
-    p = with_running(p, ["key"], day, ["sec"], F.col("start"), "stretch")
-    g = p.groupBy("key", "stretch").agg(F.array_sort(F.collect_list(F.struct("sec", "ttl", "first_id"))).alias("points"))
-    zero = F.struct(F.lit(-1).cast("long").alias("until"), F.expr("array()").cast("array<bigint>").alias("misses"))
-    step = lambda acc, q: F.when(q["sec"] >= acc["until"], F.struct((q["sec"] + q["ttl"]).alias("until"), F.concat(acc["misses"], F.array(q["first_id"])).alias("misses"))).otherwise(acc)
-    misses = g.select(F.explode(F.aggregate("points", zero, step)["misses"]).alias("request_id")).withColumn("miss", F.lit(True))
+    points = x.groupBy("key", "sec").agg(F.min_by(ttl, order).alias("ttl"), F.min_by("request_id", order).alias("first_id")).withColumn("day", F.floor(F.col("sec") / DAY))
+    exits = points.select("key", "day", "sec", "ttl").groupBy("key", "day").applyInPandas(_day_exits, f"key {kind}, day long, firsts array<long>, exits array<long>")
+    days = exits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("day", "firsts", "exits"))).alias("days"))
+    zero = F.struct(F.lit(-1).cast("long").alias("until"), F.expr("array()").cast("array<struct<day:bigint,entry:bigint>>").alias("starts"))
+
+    def step(s, d):
+        reached = F.get(d["exits"], F.size(F.filter(d["firsts"], lambda first: first < s["until"])))
+        return F.struct(F.coalesce(reached, s["until"]).alias("until"), F.concat(s["starts"], F.array(F.struct(d["day"].alias("day"), s["until"].alias("entry")))).alias("starts"))
+
+    entries = days.select(F.col("key").alias("_key"), F.inline(F.aggregate("days", zero, step)["starts"])).withColumnRenamed("day", "_day")
+    started = points.join(entries, F.col("key").eqNullSafe(F.col("_key")) & (F.col("day") == F.col("_day"))).select("key", "day", "sec", "ttl", "first_id", "entry")
+    misses = started.groupBy("key", "day").applyInPandas(_day_misses, f"request_id {requests.schema['request_id'].dataType.simpleString()}").withColumn("miss", F.lit(True))
     return requests.join(misses, "request_id", "left").select("request_id", "key", F.col("miss").isNull().alias("hit"))
 
 

@@ -396,5 +396,5 @@ SELECT event_id, CAST(sum(CAST(value AS DECIMAL(12,2))) OVER (ORDER BY ts, event
   CAST(sum(CAST(value AS DECIMAL(12,2))) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) >= 70000 AS INT) AS alarm FROM events""")
 def spend_alarm(spark, d):
     e = table(spark, d, "events").select("event_id", "ts", F.col("value").cast("decimal(12,2)").alias("cost"))
-    x = op.spend_alarm(e, F.date_trunc("hour", F.col("ts").cast("timestamp")), ["ts", "event_id"], 100000.0)
+    x = op.spend_alarm(e, F.date_trunc("minute", F.col("ts").cast("timestamp")), ["ts", "event_id"], 100000.0)
     return x.select("event_id", F.col("spent").cast("double").alias("spent"), F.col("alarm").cast("int").alias("alarm"))

@@ -103,3 +103,27 @@ def test_streams_don_t_depend_on_batches(spark, tmp_path):
 def test_turn_versions_start_at_one(spark):
     e = spark.createDataFrame([("v", "s", 1, None), ("v", "s", 2, "a"), ("v", "s", 3, "a")], "vault string, source_key string, turn long, content_hash string")
     assert [r.version for r in runs.turn_versions(e).orderBy("turn").collect()] == [1, 2, 2]
+
+
+def test_reuse_of_a_key_without_pause_over_days(spark):
+    rng = random.Random(3)
+    rows, t = [], 86_400 * 5 - 400
+    while t < 86_400 * 8:
+        t += rng.choice([5, 40, 200, 600])
+        rows += [(len(rows), rng.choice(["a", None]), t, rng.random() < 0.2)]
+    until, want = {}, {}
+    for i, k, sec, warned in rows:
+        want[i] = sec < until.get(k, -1)
+        if not want[i]:
+            until[k] = sec + (60 if warned else 900)
+    r = spark.createDataFrame(rows, "request_id long, key string, sec long, warned boolean").withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
+    assert {x.request_id: x.hit for x in runs.research_reuse(r).collect()} == want
+
+
+def test_filings_of_several_companies(spark):
+    import datetime
+    f = spark.createDataFrame([(f"{t}{i}", t, "10-Q" if i % 4 else "10-K", 2000 + i // 4, datetime.date(2000 + i // 4, 1 + i % 4, 1), i) for t in "AB" for i in range(40)], "id string, ticker string, form string, fiscal_year int, filing_date date, ordinal long")
+    req = spark.createDataFrame([(1, "A", [2003]), (2, "A", []), (2, "B", [])], "question_id long, ticker string, years array<int>")
+    got = filings.retrieval_filings(req, f, 4, 2).collect()
+    by = lambda q, t: [r.id for r in sorted(got, key=lambda r: r["rank"]) if (r.question_id, r.ticker) == (q, t)]
+    assert by(1, "A") == ["A15", "A12", "A36", "A14"] and len(by(2, "A")) == len(by(2, "B")) == 2
