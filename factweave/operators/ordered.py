@@ -24,11 +24,11 @@ def _meet(rows: DataFrame, borders: DataFrame, keys: list[str]) -> DataFrame:
 
 def with_neighbors(df: DataFrame, keys: list[str], chunk: Column, order: list[str], payload: list[str]) -> DataFrame:
     """Adds struct columns ``prior`` and ``next`` holding the payload of the neighbouring rows of the key."""
-    x = df.withColumn("_chunk", chunk)
     row = F.struct(*payload)
     w = W.partitionBy(*keys, "_chunk").orderBy(*order)
-    inner = x.withColumn("_prev", F.lag(row).over(w)).withColumn("_next", F.lead(row).over(w))
-    edge = x.groupBy(*keys, "_chunk").agg(F.min_by(row, F.struct(*order)).alias("_first"), F.max_by(row, F.struct(*order)).alias("_last"))
+    inner = df.withColumn("_chunk", chunk).withColumn("_row", row).withColumn("_prev", F.lag("_row").over(w)).withColumn("_next", F.lead("_row").over(w))
+    # the rows at a chunk's ends come from the same shuffled windows
+    edge = inner.groupBy(*keys, "_chunk").agg(F.first(F.when(F.col("_prev").isNull(), F.col("_row")), ignorenulls=True).alias("_first"), F.first(F.when(F.col("_next").isNull(), F.col("_row")), ignorenulls=True).alias("_last"))
     wk = W.partitionBy(*keys).orderBy("_chunk")
     edge = edge.select(*keys, "_chunk", F.lag("_last").over(wk).alias("_before"), F.lead("_first").over(wk).alias("_after"))
     out = _meet(inner, edge, [*keys, "_chunk"])
@@ -37,10 +37,10 @@ def with_neighbors(df: DataFrame, keys: list[str], chunk: Column, order: list[st
 
 def with_running(df: DataFrame, keys: list[str], chunk: Column, order: list[str], value: Column, name: str) -> DataFrame:
     """Adds the running sum of ``value`` up to and including the row; a running count is the sum of ones."""
-    x = df.withColumn("_chunk", chunk).withColumn("_v", value)
     w = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    totals = x.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_t"))
+    x = df.withColumn("_chunk", chunk).withColumn("_v", value).withColumn("_s", F.sum("_v").over(w))
+    totals = x.groupBy(*keys, "_chunk").agg(F.max_by("_s", F.struct(*order)).alias("_t"))
     wk = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(*keys, "_chunk", F.coalesce(F.sum("_t").over(wk), F.lit(0)).alias("_offset"))
-    out = _meet(x.withColumn("_s", F.sum("_v").over(w)), totals, [*keys, "_chunk"])
+    out = _meet(x, totals, [*keys, "_chunk"])
     return out.select(*df.columns, (F.col("_s") + F.col("_offset")).alias(name))

@@ -140,7 +140,8 @@ def evidence_usage(evidence: DataFrame) -> DataFrame:
         F.max_by("cache_hit", at).alias("cache_hit"), F.max_by("content_hash", at).alias("content_hash"))
 
 
-def turn_block(turn: str = "turn", size: int = 64) -> Column:
+def turn_block(turn: str = "turn", size: int = 4096) -> Column:
+    """Chunks of turns: a key with a billion turns brings some 250,000 border rows, and no window holds more than a chunk."""
     return F.floor(F.col(turn) / size)
 
 
