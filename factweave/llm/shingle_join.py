@@ -40,6 +40,8 @@ FANOUT = 8
 #: Shingles that are put last, the most frequent ones: a bound on what is broadcast (1 MB), not on what is compared.
 FREQUENT = 1 << 17
 BLOCK_ROWS = 8192
+#: At most so many groups (as a power of two) in the points that travel with the rows of blocks.
+MID_BITS = 10
 #: Pairs of boxes whose bounds are computed at once.
 PAIRS_AT_ONCE = 1 << 16
 
@@ -79,12 +81,12 @@ def frequent_shingles(docs: DataFrame, k: int = SHINGLE, most: int = FREQUENT) -
 
 
 def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, f1, f2, point, fine, prefix): set size, 128-bit fingerprint, count vectors, and the shingles that lead to its blocks."""
+    """(doc_id, n, f1, f2, point, mid, fine, prefix): set size, 128-bit fingerprint, count vectors, and the shingles that lead to its blocks."""
     often = frequent_shingles(docs, k).toArrow()  # FREQUENT rows at most
     shingle, count = often["s"].to_numpy().view(np.uint64), often["n"].to_numpy()
     order = np.argsort(shingle)
     shingle, rank = shingle[order], (1 + np.log2(np.maximum(count, 1))).astype(np.uint8)[order]
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("point", pa.binary()), ("fine", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("point", pa.binary()), ("mid", pa.binary()), ("fine", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def prefix(s: np.ndarray) -> np.ndarray:
         keep = len(s) - (percent * len(s) + 99) // 100 + 1
@@ -103,9 +105,9 @@ def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 heads = [prefix(s) for s in sets]
                 offsets = np.append(0, np.cumsum([len(x) for x in heads])).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(heads).view(np.int64)))
-                yield pa.record_batch([ids.slice(c.rows.start, len(sets)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), f1, f2, _points(sets), _fine_points(sets), lists], schema=schema)
+                yield pa.record_batch([ids.slice(c.rows.start, len(sets)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), f1, f2, _points(sets), _fine_points(sets, MID_BITS), _fine_points(sets, 16), lists], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, point binary, fine binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, point binary, mid binary, fine binary, prefix array<long>")
 
 
 def _points(sets: list[np.ndarray]) -> pa.Array:
@@ -114,16 +116,43 @@ def _points(sets: list[np.ndarray]) -> pa.Array:
     return _binary([x.astype(np.uint8 if x.max() < 256 else np.uint32) for x in counts])
 
 
-def _fine_points(sets: list[np.ndarray]) -> pa.Array:
-    """Points of large sets with about three shingles a group, as a few hundred groups say little about them; else null."""
+def _fine_points(sets: list[np.ndarray], most_bits: int) -> pa.Array:
+    """Points of large sets with three shingles a group or more, as a few hundred groups say little about them; else null."""
     found: list[bytes | None] = []
     for s in sets:
-        bits = min(16, max(len(s) // 3, 1).bit_length())
+        bits = min(most_bits, max(len(s) // 3, 1).bit_length())
         x = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if 1 << bits > GROUPS else None
         found.append(x.astype(np.uint8).tobytes() if x is not None and x.max() < 256 else None)
     return pa.array(found, pa.binary())
 
 
+def _mid_bound(mids: list[bytes | None], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bounds of the overlaps of rows i and j by their mid points; the largest number where one has none."""
+    out = np.full(len(i), np.iinfo(np.int64).max)
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    least = 1 << MID_BITS - 1
+    known = np.array([mids[k] is not None for k in used], bool)
+    both = np.flatnonzero(known[at[: len(i)]] & known[at[len(i) :]])
+    if len(both):
+        # the two sizes of mid points meet at the smaller one
+        folded = np.zeros((len(used), least), np.uint16)
+        whole = np.zeros((len(used), 2 * least), np.uint8)
+        wide = np.array([known[k] and len(mids[u]) == 2 * least for k, u in enumerate(used)], bool)
+        for k in np.flatnonzero(known):
+            x = np.frombuffer(mids[used[k]], np.uint8)
+            folded[k] = x.reshape(least, -1).sum(1)
+            if wide[k]:
+                whole[k] = x
+        a, b = at[: len(i)][both], at[len(i) :][both]
+        for part in np.array_split(np.arange(len(both)), len(both) // 8192 + 1):
+            x, y = a[part], b[part]
+            fine = wide[x] & wide[y]
+            bound = np.minimum(folded[x], folded[y]).sum(1, dtype=np.int64)
+            bound[fine] = np.minimum(whole[x[fine]], whole[y[fine]]).sum(1, dtype=np.int64)
+            out[both[part]] = bound
+    return out
+
+
 def _shared_at_most(x: bytes | None, y: bytes | None, coarse: int) -> int:
     """Bound of the overlap by fine points; the finer of the two is folded to the other."""
     if x is None or y is None:
@@ -224,9 +253,9 @@ def _search(percent: int):
         i, j = r_tree_pairs(np.cumsum(new), np.where(col["p"] == col["q"], -1, (col["piece"] == col["q"]).astype(np.int64)), col["n"], col["label"], _matrix(t["point"]), percent)
         a, b = np.minimum(col["id"][i], col["id"][j]), np.maximum(col["id"][i], col["id"][j])
         o = np.lexsort((b, a))
-        a, b = a[o], b[o]
-        once = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
-        return pa.record_batch([a[once], b[once]], schema=schema)
+        o = o[np.append(True, (a[o][1:] != a[o][:-1]) | (b[o][1:] != b[o][:-1]))] if len(o) else o
+        near = _may_match(np.minimum(_mid_bound(t["mid"].to_pylist(), i[o], j[o]), 1 << 40), col["n"][i[o]] + col["n"][j[o]], percent)
+        return pa.record_batch([a[o][near], b[o][near]], schema=schema)
 
     def search(batches):
         held: list[pa.RecordBatch] = []
@@ -313,9 +342,9 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     parts = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
     piece = F.pmod(F.xxhash64("id"), parts).cast("int")
     meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("piece", o).alias("p"), F.greatest("piece", o).alias("q")))
-    rows = rows.join(sets.select(F.col("doc_id").alias("id"), "n", "point"), "id").withColumn("parts", parts).withColumn("piece", piece)
-    rows = rows.select("token", "id", "label", "n", "point", "piece", F.inline(meet)).repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
-    more = rows.select("token", "p", "q", "piece", "id", "n", "label", "point").mapInArrow(_search(percent), "a long, b long").distinct()
+    rows = rows.join(sets.select(F.col("doc_id").alias("id"), "n", "point", "mid"), "id").withColumn("parts", parts).withColumn("piece", piece)
+    rows = rows.select("token", "id", "label", "n", "point", "mid", "piece", F.inline(meet)).repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
+    more = rows.select("token", "p", "q", "piece", "id", "n", "label", "point", "mid").mapInArrow(_search(percent), "a long, b long").distinct()
     linked = _verified(save(_near(save(more, "candidates"), sets, percent), "near"), docs, k, percent)
     found = connected_components(stars.union(linked).union(copies))
     out = signed.select("doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
