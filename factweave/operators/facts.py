@@ -243,6 +243,37 @@ def cash_bindings(facts: DataFrame, keep: int = 6) -> DataFrame:
     )
 
 
+def cash_for_questions(requests: DataFrame, facts: DataFrame, keep: int = 6) -> DataFrame:
+    """requests(question_id, ticker, years): cash flow and income of the latest periods of the question's years, of all years if it names none.
+
+    Periods are reduced to the latest of each company and of each company's year before questions meet them.
+    """
+    roles = ["operating_cash_flow", "net_income"]
+    x = consolidated(with_amount(facts)).where("period.kind = 'duration'").withColumn("role", F.explode("roles")).where(F.col("role").isin(roles))
+    first = lambda r: F.min_by(F.struct("amount", "unit"), F.when(F.col("role") == r, F.col("ordinal"))).alias(r)
+    p = x.groupBy(F.col("ticker").alias("p_ticker"), F.col("period.start").alias("start"), F.col("period.end").alias("end"), F.col("period.fiscal_year").alias("p_year")).agg(*[first(r) for r in roles])
+    latest = lambda df, keys: df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("end"), F.desc("start")))).where(F.col("_r") <= keep).drop("_r")
+    named = requests.where(F.size("years") > 0).select("question_id", "ticker", F.explode(F.array_distinct("years")).alias("year"))
+    dated = named.join(latest(p, ["p_ticker", "p_year"]), (F.col("ticker") == F.col("p_ticker")) & (F.col("year") == F.col("p_year"))).drop("year")
+    # a year's first facts of a period stand for the period: without years they are reduced over all fiscal years first
+    whole = x.groupBy(F.col("ticker").alias("p_ticker"), F.col("period.start").alias("start"), F.col("period.end").alias("end")).agg(F.min("period.fiscal_year").alias("p_year"), *[first(r) for r in roles])
+    plain = requests.where(F.coalesce(F.size("years"), F.lit(0)) <= 0).select("question_id", "ticker").join(latest(whole, ["p_ticker"]), F.col("ticker") == F.col("p_ticker"))
+    top = latest(dated.unionByName(plain), ["question_id", "ticker"])
+    bound = top.where("operating_cash_flow.amount IS NOT NULL AND net_income.amount IS NOT NULL AND operating_cash_flow.unit = net_income.unit")
+    cfo, income = F.col("operating_cash_flow.amount"), F.col("net_income.amount")
+    return bound.select("question_id", "ticker", "start", "end", cfo.alias("cfo"), income.alias("income"), F.when(income == 0, "undefined (zero net income)").otherwise("ok").alias("ratio_status"),
+                        (cfo.cast("double") / F.nullif(income.cast("double"), F.lit(0.0))).alias("ratio"))
+
+
+def grid_cells(rows: DataFrame, table: str, row: str, columns: dict[str, Column], empty: list[str]) -> DataFrame:
+    """(table, row, position, column, value): the cells of each table without the columns that have no value in any row; order is kept."""
+    cells = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("column"), c.cast("string").alias("value")) for i, (n, c) in enumerate(columns.items())])
+    x = rows.select(F.col(table).alias("table"), F.col(row).alias("row"), F.inline(cells))
+    seen = x.where(~F.coalesce(F.lower(F.trim("value")), F.lit("")).isin(empty)).groupBy("table", "place").agg(F.lit(1).alias("_one"))
+    visible = seen.withColumn("position", F.row_number().over(W.partitionBy("table").orderBy("place"))).drop("_one")  # as many as there are columns
+    return x.join(visible, ["table", "place"]).select("table", "row", "position", "column", "value")
+
+
 # ---- single-number programs -------------------------------------------------------------------------------------
 
 

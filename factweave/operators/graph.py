@@ -103,6 +103,20 @@ def neighborhood(edges: DataFrame, center: str, hops: int = 2, cap: int = 120) -
     return found
 
 
+def induced_links(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """The edges between found(id) nodes: what a neighbourhood shows besides its nodes."""
+    ids = found.select("id")
+    inside = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi")
+    return inside.join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target", "rel")
+
+
+def forms_present(filings: DataFrame, known: list[str]) -> DataFrame:
+    """The known forms that some filing has, in their order, and OTHER for all else."""
+    place = F.array_position(F.array(*[F.lit(k) for k in known]), F.upper("form"))
+    return filings.groupBy(F.when(place > 0, place).otherwise(len(known) + 1).cast("int").alias("position")).agg(F.count(F.lit(1)).alias("n_filings")).select(
+        "position", F.element_at(F.array(*[F.lit(k) for k in [*known, "OTHER"]]), F.col("position")).alias("form"), "n_filings")
+
+
 def node_overlay(nodes: DataFrame, overlay: DataFrame) -> DataFrame:
     """overlay(id, position, type, form, preview): given values of filings replace the node's; of several rows the last by position."""
     o = overlay.where("type = 'finance.filing' and coalesce(id, '') <> ''").groupBy("id").agg(F.max_by(F.struct("form", "preview"), "position").alias("o"))

@@ -391,3 +391,34 @@ def fact_grid(spark, d):
         F.count(F.lit(1)).alias("n"), F.count_distinct(F.col("end").cast("string")).alias("n_ends"),
         F.count(F.when(F.size("dimensions") > 0, 1)).alias("n_segment"),
         F.count(F.when(~F.lower(F.trim("value")).isin(empty), 1)).alias("n_value"))
+
+
+@query("fact_grid_cells", F_SQL + """,
+c AS (SELECT ticker, id, unnest([{'p': 1, 'c': 'value', 'v': value}, {'p': 2, 'c': 'scale', 'v': CASE WHEN scale = '1' THEN 'n/a' ELSE scale END}, {'p': 3, 'c': 'segment', 'v': segment}, {'p': 4, 'c': 'period.end', 'v': strftime(p_end, '%Y-%m-%d')}], recursive := true) FROM facts WHERE fiscal_period = 'FY'),
+v AS (SELECT DISTINCT ticker, p FROM c WHERE lower(trim(coalesce(v, ''))) NOT IN ('', '-', '—', '–', 'n/a', 'na', 'null', 'none')),
+n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY p) AS position FROM v)
+SELECT c.ticker, id, CAST(position AS INT) AS position, c.c AS column, c.v AS value FROM c JOIN n USING (ticker, p)""")
+def fact_grid_cells(spark, d):
+    """Cells of each company's yearly facts; a column without any value is left out."""
+    from factweave.functions.fixed import EMPTY_GRID_VALUES as empty
+    x = st.facts(spark, d).where("period.fiscal_period = 'FY'")
+    columns = {"value": F.col("value"), "scale": F.when(F.col("scale") == "1", "n/a").otherwise(F.col("scale")), "segment": F.col("dimensions")["segment"], "period.end": F.col("period.end")}
+    return op.grid_cells(x, "ticker", "id", columns, empty).withColumnsRenamed({"table": "ticker", "row": "id"})
+
+
+@query("cash_questions", F_SQL + """,
+q AS (SELECT o_orderkey AS question_id, 'S' || o_custkey AS ticker, CASE o_orderstatus WHEN 'F' THEN [year(o_orderdate) + 20, year(o_orderdate) + 19] ELSE [] END AS years FROM orders WHERE o_orderpriority = '3-MEDIUM'),
+p AS (
+  SELECT question_id, f.ticker, p_start, p_end, arg_min(struct_pack(a := amount, u := unit), ordinal) FILTER (role = 'operating_cash_flow') AS c, arg_min(struct_pack(a := amount, u := unit), ordinal) FILTER (role = 'net_income') AS i
+  FROM q JOIN facts f ON f.ticker = q.ticker AND (len(years) = 0 OR list_contains(years, fiscal_year)) WHERE segment IS NULL AND kind = 'duration' AND role IN ('operating_cash_flow', 'net_income') GROUP BY question_id, f.ticker, p_start, p_end
+  QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY p_end DESC, p_start DESC) <= 6)
+SELECT question_id, ticker, strftime(p_start, '%Y-%m-%d') AS p_start, strftime(p_end, '%Y-%m-%d') AS p_end, CAST(c.a AS DOUBLE) AS cfo, CAST(i.a AS DOUBLE) AS income,
+  CASE WHEN i.a = 0 THEN 'undefined (zero net income)' ELSE 'ok' END AS ratio_status, CASE WHEN i.a <> 0 THEN round(CAST(c.a AS DOUBLE) / CAST(i.a AS DOUBLE), 6) END AS ratio
+FROM p WHERE c.a IS NOT NULL AND i.a IS NOT NULL AND c.u = i.u""")
+def cash_questions(spark, d):
+    """Cash conversion of the years that a question names, else of the latest periods."""
+    y = F.year("o_orderdate") + 20
+    q = table(spark, d, "orders").where("o_orderpriority = '3-MEDIUM'").select(
+        F.col("o_orderkey").alias("question_id"), F.concat(F.lit("S"), "o_custkey").alias("ticker"), F.when(F.col("o_orderstatus") == "F", F.array(y, y - 1)).otherwise(F.expr("cast(array() AS array<int>)")).alias("years"))
+    x = op.cash_for_questions(q, st.facts(spark, d))
+    return x.select("question_id", "ticker", F.col("start").cast("string").alias("p_start"), F.col("end").cast("string").alias("p_end"), F.col("cfo").cast("double").alias("cfo"), F.col("income").cast("double").alias("income"), "ratio_status", F.round("ratio", 6).alias("ratio"))

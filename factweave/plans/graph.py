@@ -64,8 +64,9 @@ edges AS (SELECT 'entity:' || ticker AS source, 'finance.entity' AS source_type,
 """
 
 
-@query("corpus_counts", GRAPH_SQL + """
-SELECT coalesce(type, 'all') AS type, count(*) AS n_nodes, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_links FROM nodes LEFT JOIN (SELECT source AS id, count(*) AS n FROM edges GROUP BY 1) USING (id) GROUP BY ROLLUP (type)""")
+@query("corpus_counts", GRAPH_SQL + """,
+n AS (SELECT type, count(*) AS c FROM nodes GROUP BY ROLLUP (type)), e AS (SELECT source_type AS type, count(*) AS c FROM edges GROUP BY ROLLUP (source_type))
+SELECT coalesce(n.type, 'all') AS type, n.c AS n_nodes, coalesce(e.c, 0) AS n_links FROM n LEFT JOIN e ON n.type IS NOT DISTINCT FROM e.type""")
 def corpus_counts(spark, d):
     """Node and link totals with their per-type parts: two small aggregates instead of a join of all nodes and edges."""
     n = nodes(spark, d).rollup("type").agg(F.count(F.lit(1)).alias("n_nodes"))
@@ -105,7 +106,7 @@ SELECT n.id, coalesce(arg_min(e.target, e.ordinal) FILTER (e.target IN (SELECT i
 LEFT JOIN edges e ON e.source = n.id AND e.rel = CASE n.type WHEN 'finance.entity' THEN 'has_filing' WHEN 'finance.source' THEN 'belongs_to' WHEN 'finance.fact' THEN 'reported_in' END
 GROUP BY n.id""")
 def context_node(spark, d):
-    n = nodes(spark, d)
+    n = nodes(spark, d).dropDuplicates(["id"])  # a repeated line is one node
     return op.context_node(n.select(F.col("id").alias("question_id"), "id", "type"), edges(spark, d), n).select("id", "context")
 
 
@@ -137,6 +138,26 @@ def neighborhood(spark, d):
     return op.neighborhood(edges(spark, d).where(F.col("rel").isin("has_filing", "filed_by", "reports")), "entity:C5")
 
 
+@query("neighborhood_links", GRAPH_SQL + """,
+own AS (SELECT DISTINCT source, target, rel FROM edges WHERE rel IN ('has_filing', 'filed_by')),
+und AS (SELECT source AS a, target AS b FROM own UNION SELECT target, source FROM own),
+h1 AS (SELECT DISTINCT b AS id, 1 AS hop FROM und WHERE a = 'entity:C5' AND b <> 'entity:C5'),
+t1 AS (SELECT * FROM (SELECT 'entity:C5' AS id, 0 AS hop UNION ALL SELECT * FROM h1) ORDER BY hop, id LIMIT 120),
+h2 AS (SELECT DISTINCT b AS id, 2 AS hop FROM und WHERE a IN (SELECT id FROM t1 WHERE hop = 1) AND b NOT IN (SELECT id FROM t1)),
+f AS (SELECT id FROM (SELECT * FROM t1 UNION ALL SELECT * FROM h2) ORDER BY hop, id LIMIT 120)
+SELECT source, target, rel FROM own WHERE source IN (SELECT id FROM f) AND target IN (SELECT id FROM f)""")
+def neighborhood_links(spark, d):
+    """The company-filing edges among the nodes around one company."""
+    own = edges(spark, d).where(F.col("rel").isin("has_filing", "filed_by")).select("source", "target", "rel").distinct()
+    return op.induced_links(own, op.neighborhood(own, "entity:C5"))
+
+
+@query("form_legend", GRAPH_SQL + """
+SELECT CAST(p AS INT) AS position, ['10-K', '10-Q', '8-K', 'OTHER'][p] AS form, count(*) AS n_filings FROM (SELECT CASE upper(form) WHEN '10-K' THEN 1 WHEN '10-Q' THEN 2 WHEN '8-K' THEN 3 ELSE 4 END AS p FROM filings) GROUP BY p""")
+def form_legend(spark, d):
+    return op.forms_present(pf.filings(spark, d), ["10-K", "10-Q", "8-K"])
+
+
 @query("node_overlay", GRAPH_SQL + """
 SELECT id, CASE WHEN status = 'F' THEN form || '*' ELSE form END AS form, CASE WHEN status = 'F' AND price > 200000 THEN 'new ' || id ELSE 'old' END AS preview FROM filings""")
 def node_overlay(spark, d):
