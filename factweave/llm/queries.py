@@ -12,6 +12,7 @@ from factweave.llm.decontamination import decontamination
 from factweave.llm.language_id import language_id
 from factweave.llm.pii import pii
 from factweave.llm.quality_rules import quality_rules
+from factweave.llm.quality_sql import quality_rules_sql
 from factweave.llm.shingle_join import similar_groups
 from factweave.llm.site_quality import site_quality
 from factweave.llm.substring_dedup import substring_dedup
@@ -78,9 +79,9 @@ def op7_pii(spark: SparkSession, root: str) -> DataFrame:
     return pii(table(spark, root, "documents"))
 
 
-@AREA.query("op5_quality_rules")
+@AREA.query("op5_quality_rules", quality_rules_sql())
 def op5_quality_rules(spark: SparkSession, root: str) -> DataFrame:
-    return quality_rules(table(spark, root, "documents"))
+    return quality_rules(table(spark, root, "documents")).withColumn("posterior", F.round("posterior", 6))
 
 
 @AREA.query("op2_language_id")
