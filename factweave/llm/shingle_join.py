@@ -321,7 +321,9 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     small_batches(docs.sparkSession)
     signed = save(_signed(docs, k, percent), "signed")
     sets = signed.where("doc_id IS NOT NULL AND n > 0")
-    first = sets.groupBy("f1", "f2").agg(F.min("doc_id").alias("a"))
+    # written, so that the join after it can be split where a third of all rows are copies of one text
+    first = sets.groupBy("f1", "f2").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    first = save(first, "firsts")
     copies = sets.select("f1", "f2", F.col("doc_id").alias("b")).join(first, ["f1", "f2"]).where("a <> b").select("a", "b").distinct()
     copies = save(copies, "copies")
     leads = sets.select("doc_id", F.explode("prefix").alias("token"))
