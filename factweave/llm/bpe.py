@@ -128,13 +128,6 @@ class Vocabulary:
                 at -= self.length[token]
         return tuple(found)
 
-    def words(self, text: str) -> Iterator[tuple[str, bool]]:
-        """Words of a text without special tokens, and whether they are spelt in the library's byte letters."""
-        if PLAIN.fullmatch(text):
-            return ((w, False) for w in WORD.findall(text.lower()))
-        library = self.library
-        return ((w, True) for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text)))
-
     def _add(self, out: list[int], text: str) -> None:
         cache = self.cache
         if PLAIN.fullmatch(text):
@@ -142,8 +135,8 @@ class Vocabulary:
                 ids = cache.get(w)
                 out += ids if ids is not None else self._learn(w, w.encode().decode("latin-1"))
             return
-        for w, _ in self.words(text):
-            out += self.word(self._close(w.translate(self.inner)))
+        for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text)):
+            out += self.word(self._close(w.translate(self.inner)))  # spelt in the library's byte letters
 
     @staticmethod
     def _close(symbols: str) -> str:
