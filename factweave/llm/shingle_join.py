@@ -44,6 +44,8 @@ BLOCK_ROWS = 8192
 MID_BITS = 10
 #: Pairs of boxes whose bounds are computed at once.
 PAIRS_AT_ONCE = 1 << 16
+#: Rows of blocks that are searched at once, and pairs that a task remembers so as not to tell them again.
+SEARCHED_ROWS, REMEMBERED = 16_000, 300_000
 
 
 def _sets(c: W.Words, k: int) -> Iterator[np.ndarray]:
@@ -259,22 +261,36 @@ def _search(percent: int):
 
     def search(batches):
         held: list[pa.RecordBatch] = []
+        told: set[tuple[int, int]] = set()  # a pair of long texts shares many blocks; one row of it is enough
+
+        def found(ready: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pairs(pa.Table.from_batches(ready))
+            new = [x for x in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True) if x not in told]
+            if len(told) > REMEMBERED:
+                told.clear()
+            told.update(new)
+            return pa.record_batch([pa.array([x[0] for x in new], pa.int64()), pa.array([x[1] for x in new], pa.int64())], schema=schema)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             k = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in key]
+            # the last block of a batch may go on in the next one
             cut = batch.num_rows - 1
             while cut and all(x[cut] == x[cut - 1] for x in k):
                 cut -= 1
-            whole = not held or any(held[-1].column(held[-1].schema.get_field_index(c))[-1].as_py() != x[0] for c, x in zip(key, k, strict=True))
-            if cut or whole:
-                ready = [*held, batch.slice(0, cut)] if cut else held
-                if ready:
-                    yield pairs(pa.Table.from_batches(ready))
-                held = []
+            if not cut and held and any(held[-1].column(held[-1].schema.get_field_index(c))[-1].as_py() != x[0] for c, x in zip(key, k, strict=True)):
+                if sum(x.num_rows for x in held) >= SEARCHED_ROWS:
+                    yield found(held)
+                    held = []
+            if cut:
+                held.append(batch.slice(0, cut))
+                if sum(x.num_rows for x in held) >= SEARCHED_ROWS:
+                    yield found(held)
+                    held = []
             held.append(batch.slice(cut))
         if held:
-            yield pairs(pa.Table.from_batches(held))
+            yield found(held)
     return search
 
 
