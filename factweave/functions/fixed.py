@@ -276,3 +276,43 @@ CONTEXT_LINES = 8
 
 # fixed values: the text of a finite number
 NUMBER_TEXT = r"^([+-]?)([0-9]*)[.]?([0-9]*)(?:[eE]([+-]?[0-9]{1,4}))?$"
+
+# fixed values: dates, accession numbers, forms and fiscal years in texts and file names
+ISO_DATE = r"\b(\d{4}-\d{2}-\d{2})\b"
+NAMED_DATE = r"\b([A-Za-z]+ \d{1,2})(?:st|nd|rd|th)?[,]? (20\d{2})\b"
+FISCAL_YEAR_NAME = r"(?:^|[-_])FY(\d{4})(?:[-_]|$)"
+ACCESSION_NAME = r"(\d{10}-\d{2}-\d{6})"
+FORM_NAME = r"(?i)-(10-K|10-Q|8-K|DEF-14A)(?:-|\.)"
+
+# fixed values: marks that a preview leaves out, in order, and what stays of them
+PREVIEW_MARKS = [
+    (r"```[\s\S]*?```", " "),
+    (r"(?m)^#+\s*", ""),
+    (r"\[\[([^\]]+)\]\]", "$1"),
+    ("`([^`]+)`", "$1"),
+    (r"\n{2,}", "\n"),
+    (r"^\s+|\s+$", ""),
+]
+
+# fixed values: wording of the annual programs, the first that fits counts
+ANNUAL_INTENT_PHRASES = [
+    ("operating_leverage", ["incremental operating margin", "operating leverage"]),
+    ("gross_margin", ["gross margin"]),
+    ("operating_margin", ["operating margin"]),
+    ("net_margin", ["net margin"]),
+]
+EQUITY_WORDING = r"\bequity[- ](?:research|analyst)\b"
+
+# fixed values: the score of a fact in an excerpt
+FACT_RANK_BASE = 10
+FACT_RANK_TERM = 60
+FACT_RANK_CONSOLIDATED = 25
+FACT_RANK_KEY_FACT = 15
+FACT_RANK_MOST_YEARS = 30
+
+# fixed values: sections and records of text facts in a structured filing
+TEXT_FACTS_START = "text_facts:"
+TEXT_FACTS_END = "calculation_relationships:"
+TEXT_FACT_RECORD = r'(\n\s{4}label:\s*"[^"]+"[\s\S]{0,900}?\n\s{4}value:\s*"(?:[^"\\]|\\.)*")'
+TEXT_FACT_LABEL = r'label:\s*"([^"]+)"'
+TEXT_FACT_VALUE = r'\n\s{4}value:\s*"((?:[^"\\]|\\.)*)"'

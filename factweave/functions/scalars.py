@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factweave.functions import fixed
+
 
 def _trim_chars(c: Column, chars: str) -> Column:
     return F.regexp_replace(c, f"^[{chars}]+|[{chars}]+$", "")
@@ -51,15 +53,15 @@ def year_of(c: Column) -> Column:
 
 def date_in_text(c: Column) -> Column:
     """ISO date, else 'Month D[suffix], YYYY'; NULL if neither reads as a date."""
-    iso = F.nullif(F.regexp_extract(c, r"\b(\d{4}-\d{2}-\d{2})\b", 1), F.lit(""))
-    day = F.regexp_extract(c, r"\b([A-Za-z]+ \d{1,2})(?:st|nd|rd|th)?[,]? (20\d{2})\b", 1)
-    year = F.regexp_extract(c, r"\b([A-Za-z]+ \d{1,2})(?:st|nd|rd|th)?[,]? (20\d{2})\b", 2)
+    iso = F.nullif(F.regexp_extract(c, fixed.ISO_DATE, 1), F.lit(""))
+    day = F.regexp_extract(c, fixed.NAMED_DATE, 1)
+    year = F.regexp_extract(c, fixed.NAMED_DATE, 2)
     named = F.when(day != "", F.try_to_date(F.concat(F.initcap(day), F.lit(" "), year), "MMMM d yyyy"))
     return F.when(iso.isNotNull(), F.try_to_date(iso, "yyyy-MM-dd")).otherwise(named)
 
 
 def fiscal_year_in_name(c: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(c, r"(?:^|[-_])FY(\d{4})(?:[-_]|$)", 1), F.lit("")), F.lit("unknown"))
+    return F.coalesce(F.nullif(F.regexp_extract(c, fixed.FISCAL_YEAR_NAME, 1), F.lit("")), F.lit("unknown"))
 
 
 def run_stamp(ts: Column) -> Column:
@@ -72,11 +74,11 @@ def epoch_date(seconds: Column) -> Column:
 
 
 def accession_in_name(c: Column) -> Column:
-    return F.regexp_extract(c, r"(\d{10}-\d{2}-\d{6})", 1)
+    return F.regexp_extract(c, fixed.ACCESSION_NAME, 1)
 
 
 def form_in_name(c: Column) -> Column:
-    return F.upper(F.regexp_extract(c, r"(?i)-(10-K|10-Q|8-K|DEF-14A)(?:-|\.)", 1))
+    return F.upper(F.regexp_extract(c, fixed.FORM_NAME, 1))
 
 
 def year_in_name(c: Column) -> Column:
@@ -107,11 +109,9 @@ def strip_tags(c: Column) -> Column:
 
 def preview(c: Column, limit: int = 420) -> Column:
     """Plain start of a note: no code fences, heading marks, wiki links or ticks."""
-    t = F.regexp_replace(c, r"```[\s\S]*?```", " ")
-    t = F.regexp_replace(t, r"(?m)^#+\s*", "")
-    t = F.regexp_replace(t, r"\[\[([^\]]+)\]\]", "$1")
-    t = F.regexp_replace(t, "`([^`]+)`", "$1")
-    t = F.regexp_replace(F.regexp_replace(t, r"\n{2,}", "\n"), r"^\s+|\s+$", "")
+    t = c
+    for pattern, kept in fixed.PREVIEW_MARKS:
+        t = F.regexp_replace(t, pattern, kept)
     return F.regexp_replace(F.left(t, F.lit(limit)), r"\s+$", "")
 
 

@@ -64,13 +64,10 @@ def annual_intent(q: Column) -> Column:
     """One of five intents, or NULL where the wording asks for anything else."""
 
     def named(low):
-        return (
-            F.when(F.contains(low, F.lit("cash conversion")) | rx(low, fixed.CASH_CONVERSION_WORDING), "cash_conversion")
-            .when(has_any(low, ["incremental operating margin", "operating leverage"]), "operating_leverage")
-            .when(F.contains(low, F.lit("gross margin")), "gross_margin")
-            .when(F.contains(low, F.lit("operating margin")), "operating_margin")
-            .when(F.contains(low, F.lit("net margin")), "net_margin")
-        )
+        other = F.lit(None).cast("string")
+        for name, phrases in reversed(fixed.ANNUAL_INTENT_PHRASES):
+            other = F.when(has_any(low, phrases), name).otherwise(other)
+        return F.when(F.contains(low, F.lit("cash conversion")) | rx(low, fixed.CASH_CONVERSION_WORDING), "cash_conversion").otherwise(other)
 
     def checked(low):
         def allowed(intent):
@@ -81,7 +78,7 @@ def annual_intent(q: Column) -> Column:
 
         return let(named(low), allowed)
 
-    return let(F.regexp_replace(F.lower(q), r"\bequity[- ](?:research|analyst)\b", "analyst"), checked)
+    return let(F.regexp_replace(F.lower(q), fixed.EQUITY_WORDING, "analyst"), checked)
 
 
 def annual_requests(questions: DataFrame) -> DataFrame:

@@ -26,13 +26,13 @@ def rank_facts(facts: DataFrame, question: str, keep: int = 18) -> DataFrame:
     hit = F.regexp_like(label, F.lit("(?i)" + "|".join(wanted)))
     if not is_inv:
         hit = hit | (tx.term_hits(label, terms) > 0)
-    base = F.lit(10)
+    base = F.lit(fixed.FACT_RANK_BASE)
     for pattern, score in reversed(fixed.LABEL_SCORES):
         base = F.when(F.regexp_like(label, F.lit(pattern)), score).otherwise(base)
     year = F.when(F.regexp_like(g("period.fiscal_year"), F.lit(r"^\d+$")), g("period.fiscal_year").try_cast("int"))
     rank = (
-        base + 60 * tx.term_hits(label, terms) + F.when(g("dimensions").isNull(), 25).otherwise(0)
-        + F.when(F.lower(F.coalesce(g("key_fact"), F.lit(""))) == "true", 15).otherwise(0) + F.coalesce(F.least(year - 2000, F.lit(30)), F.lit(0))
+        base + fixed.FACT_RANK_TERM * tx.term_hits(label, terms) + F.when(g("dimensions").isNull(), fixed.FACT_RANK_CONSOLIDATED).otherwise(0)
+        + F.when(F.lower(F.coalesce(g("key_fact"), F.lit(""))) == "true", fixed.FACT_RANK_KEY_FACT).otherwise(0) + F.coalesce(F.least(year - 2000, F.lit(fixed.FACT_RANK_MOST_YEARS)), F.lit(0))
     )
     blank = lambda c: F.nullif(c, F.lit(""))
     period = F.coalesce(blank(g("period.end")), blank(g("period.instant")), g("period.fiscal_year"), F.lit(""))
@@ -45,12 +45,14 @@ def rank_facts(facts: DataFrame, question: str, keep: int = 18) -> DataFrame:
 
 def text_snippets(docs: DataFrame, keep: int = 4) -> DataFrame:
     """docs(path, text): up to four labelled text facts on business or risk, in file order, in the row."""
-    part = F.element_at(F.split(F.concat("text", F.lit("\ntext_facts:")), "text_facts:"), 2)
-    part = F.element_at(F.split(part, "calculation_relationships:"), 1)
-    records = F.regexp_extract_all(part, F.lit(r'(\n\s{4}label:\s*"[^"]+"[\s\S]{0,900}?\n\s{4}value:\s*"(?:[^"\\]|\\.)*")'), F.lit(1))
-    both = F.transform(records, lambda r: F.struct(F.regexp_extract(r, r'label:\s*"([^"]+)"', 1).alias("label"), F.regexp_extract(r, r'\n\s{4}value:\s*"((?:[^"\\]|\\.)*)"', 1).alias("value")))
+    part = F.element_at(F.split(F.concat("text", F.lit("\n" + fixed.TEXT_FACTS_START)), fixed.TEXT_FACTS_START), 2)
+    part = F.element_at(F.split(part, fixed.TEXT_FACTS_END), 1)
+    records = F.regexp_extract_all(part, F.lit(fixed.TEXT_FACT_RECORD), F.lit(1))
+    both = F.transform(records, lambda r: F.struct(F.regexp_extract(r, fixed.TEXT_FACT_LABEL, 1).alias("label"), F.regexp_extract(r, fixed.TEXT_FACT_VALUE, 1).alias("value")))
     rel = F.filter(both, lambda b: F.regexp_like(b["label"], F.lit(fixed.TEXT_FACT_PATTERN)) | F.regexp_like(b["value"], F.lit(fixed.TEXT_FACT_PATTERN)))
-    clean = lambda v: sc.strip_tags(F.replace(F.replace(v, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"')))
+    # the values are quoted as in JSON, with all its escapes
+    decoded = lambda v: F.coalesce(F.get(F.from_json(F.concat(F.lit('["'), v, F.lit('"]')), "array<string>"), F.lit(0)), v)
+    clean = lambda v: sc.strip_tags(decoded(v))
     lines = F.transform(rel, lambda b: F.struct(b["label"].alias("label"), clean(b["value"]).alias("v")))
     lines = F.slice(F.filter(lines, lambda b: b["v"] != ""), 1, keep)
     return docs.select("path", F.transform(lines, lambda b: F.concat(F.lit("- "), b["label"], F.lit(": "), F.left(b["v"], F.lit(520)))).alias("snippets"))
