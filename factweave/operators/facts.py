@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import fixed
 from factweave.functions.columns import pin
+from factweave.operators.ordered import with_running
 
 NON_FINITE = ["nan", "inf", "-inf", "+inf", "infinity", "-infinity", "+infinity", "snan"]
 
@@ -278,14 +279,11 @@ def grid_cells(rows: DataFrame, table: str, row: str, columns: dict[str, Column]
 
 
 def ranked(facts: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidate order: latest end, us-gaap first, shorter concept, then input order."""
-    w = W.partitionBy(*keys).orderBy(*candidate_order())
-    return facts.withColumn("rank", F.row_number().over(w))
-
-
-def candidate_order() -> list[Column]:
-    return [F.desc(F.col("period.end").cast("string")), F.desc(F.col("concept").startswith("us-gaap:").cast("int")),
-            F.length("concept"), F.col("ordinal")]
+    """Adds the rank in candidate order: latest end, us-gaap first, shorter concept, input order, id. A key's facts are counted in years."""
+    order = {"_end": _latest("period.end"), "_other": (~F.col("concept").startswith("us-gaap:")).cast("int"), "_length": F.length("concept"), "_ordinal": F.col("ordinal"), "_id": F.col("id")}
+    x = facts.withColumns(order)
+    chunk = F.coalesce(-F.year("period.end"), F.lit(2**31 - 1))
+    return with_running(x, keys, chunk, list(order), F.lit(1), "rank").drop(*order)
 
 
 def _latest(end: str) -> Column:

@@ -274,8 +274,8 @@ SELECT id, CAST(row_number() OVER (PARTITION BY ticker, role ORDER BY strftime(p
   length(concept), ordinal, id) AS INT) AS rank FROM facts WHERE segment IS NULL AND fiscal_period = 'FY'""")
 def fact_ranked(spark, d):
     x = op.consolidated(st.facts(spark, d)).where("period.fiscal_period = 'FY'").withColumn("role", F.explode("roles"))
-    w = W.partitionBy("ticker", "role").orderBy(*op.candidate_order(), "id")
-    return x.select("id", F.row_number().over(w).alias("rank"))
+    return op.ranked(x, ["ticker", "role"]).select("id", F.col("rank").cast("int").alias("rank"))
+
 
 
 PROGRAM_SQL = F_SQL + ", " + st.SCALARS_SQL + """,
