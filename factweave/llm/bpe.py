@@ -28,8 +28,8 @@ from tokenizers import Tokenizer
 
 from factweave.llm.storage import small_batches
 
-#: Distinct words whose ids a worker keeps; a full cache starts anew.
-CACHE_WORDS = 200_000
+#: Distinct words whose ids a task keeps; a full cache starts anew.
+CACHE_WORDS = 100_000
 
 # The word pattern of the vocabulary file, with its white space spelt out for characters up to U+017F.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\p{L}\p{N}]+")
@@ -85,7 +85,7 @@ class Vocabulary:
         self.bytes = np.frombuffer(b" ".join(strings) + b" ", np.uint8)
         self.widths = np.array([len(s) + 1 for s in strings])
         self.offsets = np.cumsum(self.widths) - self.widths
-        self.follows = functools.lru_cache(1 << 16)(self._follows)
+        self.follows = functools.lru_cache(1 << 15)(self._follows)
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def _follows(self, a: int, b: int) -> bool:
@@ -192,5 +192,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                     texts = pa.Array.from_buffers(pa.large_string(), len(held), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
                     yield pa.record_batch([batch.column(0).slice(at, len(held)).cast(pa.int64()), lists, texts], schema=schema)
                     at, held, size = i + 1, [], 0
+        v.cache.clear()  # workers live on: what a task has learned goes with it
+        v.follows.cache_clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")

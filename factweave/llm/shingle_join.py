@@ -45,7 +45,7 @@ MID_BITS = 10
 #: Pairs of boxes whose bounds are computed at once.
 PAIRS_AT_ONCE = 1 << 16
 #: Rows of blocks that are searched at once, and pairs that a task remembers so as not to tell them again.
-SEARCHED_ROWS, REMEMBERED = 16_000, 300_000
+SEARCHED_ROWS, REMEMBERED = 4_000, 100_000
 
 
 def _sets(c: W.Words, k: int) -> Iterator[np.ndarray]:

@@ -17,9 +17,9 @@ pa.set_memory_pool(pa.system_memory_pool())
 
 U = np.uint64
 #: Bytes of text that are hashed together; a longer document is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Bytes whose running sum is held at once; only a single word can exceed it.
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**63, 256, dtype=np.int64).view(U) * U(2) + U(1)
