@@ -2,8 +2,9 @@
 
 Every window of ``window`` consecutive words gets a rolling hash. Consecutive windows that share their anchor (the
 smallest hash among the window's short word groups) travel as one row, so equal windows meet in one place although only
-four bytes a window are shuffled: a window is identified by the 64 bits of its anchor and 32 bits of its own hash.
-Windows that repeat inside one chunk of documents are found before the shuffle and sent on once a chunk, so a passage
+eight bytes a window are shuffled: a window is identified by the 64 bits of its anchor and the 64 bits of its own hash.
+An anchor inside a frequent short passage has many different windows; such anchors are dealt out by ``PARTS`` values
+of the window's hash, on which equal windows agree. Windows that repeat inside one chunk of documents are found before the shuffle and sent on once a chunk, so a passage
 that stands in a third of all documents costs one row a chunk.
 
 Defined results: a null text has no words; a text with fewer words than a window loses nothing; equal rows count as
@@ -25,6 +26,12 @@ from factweave.llm.storage import small_batches
 #: Words in the groups whose smallest hash is the anchor of a window.
 ANCHOR = 8
 WINDOW = 35
+#: Anchors that are dealt out, those with most windows: a bound on what is broadcast (512 KB), not on what is compared.
+HOT = 1 << 16
+#: Runs in a chunk of documents from which an anchor may be hot, and runs in all from which it is.
+HOT_IN_CHUNK, HOT_IN_ALL = 4, 2000
+#: A power of two.
+PARTS = 256
 
 _RUN = pa.schema([("anchor", pa.int64()), ("d", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("prints", pa.binary())])
 _SPAN = pa.schema([("d", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
@@ -55,7 +62,44 @@ def _breaks(*columns: np.ndarray, step: np.ndarray) -> np.ndarray:
     return new
 
 
-def _runs(window: int):
+def _anchors(c: W.Words, at: np.ndarray, window: int) -> np.ndarray:
+    """Anchors of the windows that start at the words ``at``."""
+    groups = np.zeros(len(c.hashes) - ANCHOR + 1, np.uint64)
+    for j, x in enumerate(W.coefficients(ANCHOR)):
+        groups += c.hashes[j : len(groups) + j] * x
+    return _smallest(W.mix(groups), window - ANCHOR + 1)[at]
+
+
+def hot_anchors(docs: DataFrame, window: int = WINDOW) -> np.ndarray:
+    """Sorted anchors of most runs of different windows: those found ``HOT_IN_CHUNK`` times in some chunk of documents."""
+    schema = pa.schema([("anchor", pa.int64()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in W.chunks(batch):
+                hashes, at = c.rolling(window)
+                if len(at):
+                    lead = np.sort(np.unique(hashes, return_index=True)[1])
+                    at = at[lead]
+                    anchors = _anchors(c, at, window)
+                    a, n = np.unique(anchors[_breaks(anchors, W.rows_of(c, at), step=at)], return_counts=True)
+                    often = n >= HOT_IN_CHUNK
+                    yield pa.record_batch([a[often].view(np.int64), n[often]], schema=schema)
+
+    found = docs.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    most = found.where(F.col("n") >= HOT_IN_ALL).orderBy(F.desc("n"), "anchor").limit(HOT).toArrow()  # HOT rows at most
+    return np.sort(most["anchor"].to_numpy().view(np.uint64))
+
+
+def _dealt(anchors: np.ndarray, prints: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The anchors, and of hot ones another value for each part of their windows."""
+    if not len(hot):
+        return anchors
+    among = hot[np.minimum(np.searchsorted(hot, anchors), len(hot) - 1)] == anchors
+    return np.where(among, W.mix(anchors + prints % np.uint64(PARTS) + np.uint64(1)), anchors)
+
+
+def _runs(window: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, h = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("d", "h"))
@@ -63,10 +107,6 @@ def _runs(window: int):
                 hashes, at = c.rolling(window)
                 if not len(at):
                     continue
-                groups = np.zeros(len(c.hashes) - ANCHOR + 1, np.uint64)
-                for j, x in enumerate(W.coefficients(ANCHOR)):
-                    groups += c.hashes[j : len(groups) + j] * x
-                anchors = _smallest(W.mix(groups), window - ANCHOR + 1)[at]
                 rows = W.rows_of(c, at)
                 place = at - c.first[rows]
                 _, first, which, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
@@ -74,10 +114,11 @@ def _runs(window: int):
                 yield from _local(again, at, rows, place, d[c.rows], h[c.rows], window)
                 lead = np.zeros(len(at), bool)
                 lead[first] = True
-                at, rows, place, anchors, prints = at[lead], rows[lead], place[lead], anchors[lead], hashes[lead].astype(np.uint32)
+                at, rows, place, prints = at[lead], rows[lead], place[lead], hashes[lead]
+                anchors = _dealt(_anchors(c, at, window), prints, hot)
                 new = np.flatnonzero(_breaks(anchors, rows, step=at))
                 ends = np.append(new[1:], len(at))
-                offsets = np.append(new, len(at)).astype(np.int32) * 4
+                offsets = np.append(new, len(at)).astype(np.int32) * 8
                 blob = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets), pa.py_buffer(prints)])
                 r = rows[new]
                 yield pa.record_batch([anchors[new].view(np.int64), d[c.rows][r], h[c.rows][r], place[new].astype(np.int32), (place[ends - 1] + 1).astype(np.int32), blob], schema=_RUN)
@@ -94,11 +135,20 @@ def _local(again, at, rows, place, d, h, window: int) -> Iterator[pa.RecordBatch
     yield pa.record_batch([W.mix(h[r].view(np.uint64) + place[new].astype(np.uint64)).view(np.int64), d[r], h[r], place[new].astype(np.int32), (place[last] + window).astype(np.int32), pa.nulls(len(new), pa.binary())], schema=_RUN)
 
 
+def _alike(under: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each (under, print) stands first, and which of all stand twice or more."""
+    order = np.lexsort((prints, under))
+    new = np.append(True, (np.diff(under[order]) != 0) | (prints[order][1:] != prints[order][:-1]))
+    twice = np.empty(len(order), bool)
+    twice[order] = ~(new & np.append(new[1:], True))
+    return order[new], twice
+
+
 class _Seen:
     """One window of each print under the anchor that the last batch ended with, for the rows still to come."""
 
     def __init__(self) -> None:
-        self.anchor, self.prints, self.told = None, np.empty(0, np.uint32), np.empty(0, bool)
+        self.anchor, self.prints, self.told = None, np.empty(0, np.uint64), np.empty(0, bool)
         self.d, self.h, self.place = (np.empty(0, np.int64) for _ in range(3))
 
 
@@ -117,7 +167,7 @@ def _repeated(window: int):
             if settled.all():
                 continue
             anchor, d, h, start, stop = (c.to_numpy(zero_copy_only=False)[~settled] for c in batch.columns[:5])
-            prints = np.frombuffer(b"".join(blob.drop_null().to_pylist()), np.uint32)
+            prints = np.frombuffer(b"".join(blob.drop_null().to_pylist()), np.uint64)
             size = stop - start
             row = np.repeat(np.arange(len(start)), size)
             place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + start[row]
@@ -126,18 +176,17 @@ def _repeated(window: int):
                 kept = _Seen()
             rank = np.cumsum(np.append(False, anchor[1:] != anchor[:-1]))
             prints = np.append(kept.prints, prints)
-            key = (np.append(np.zeros(carry, np.int64), rank[row]).astype(np.uint64) << np.uint64(32)) | prints
+            under = np.append(np.zeros(carry, np.int64), rank[row])
             dd, hh, at = np.append(kept.d, d[row]), np.append(kept.h, h[row]), np.append(kept.place, place)
             told = np.append(kept.told, np.zeros(len(row), bool))
-            _, first, which, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            twice = count[which] > 1
+            first, twice = _alike(under, prints)
             tell = np.flatnonzero(twice & ~told)
             if len(tell):
                 new = np.flatnonzero(_breaks(dd[tell], hh[tell], step=at[tell]))
                 last = np.append(new[1:], len(tell)) - 1
                 yield pa.record_batch([dd[tell[new]], hh[tell[new]], at[tell[new]].astype(np.int32), (at[tell[last]] + window).astype(np.int32)], schema=_SPAN)
             told |= twice
-            hold = first[(key[first] >> np.uint64(32)) == np.uint64(rank[-1])]
+            hold = first[under[first] == rank[-1]]
             kept.anchor, kept.prints, kept.told, kept.d, kept.h, kept.place = anchor[-1], prints[hold], told[hold], dd[hold], hh[hold], at[hold]
     return run
 
@@ -147,7 +196,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     if window < ANCHOR:
         raise ValueError(f"a window has {ANCHOR} words at least")
     small_batches(docs.sparkSession)
-    runs = _identified(docs).select("d", "h", "text").mapInArrow(_runs(window), "anchor long, d long, h long, start int, stop int, prints binary")
+    runs = _identified(docs).select("d", "h", "text").mapInArrow(_runs(window, hot_anchors(docs, window)), "anchor long, d long, h long, start int, stop int, prints binary")
     return runs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated(window), "d long, h long, start int, stop int")
 
 

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from factweave.llm import words as W
 from factweave.llm.components import connected_components
 from factweave.llm.shingle_join import one_of_each, r_tree_pairs, similar_groups
 from factweave.llm.substring_dedup import substring_dedup
@@ -97,6 +98,29 @@ def test_substring_dedup(docs, window):
     assert got == dedup(corpus(), window)
 
 
+def test_hot_anchors_are_dealt_out(docs, monkeypatch):
+    import factweave.llm.substring_dedup as module
+
+    monkeypatch.setattr(module, "HOT_IN_CHUNK", 1)
+    monkeypatch.setattr(module, "HOT_IN_ALL", 1)
+    assert len(module.hot_anchors(docs, 12)) > 100
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(docs, 12).collect()), key=str)
+    assert got == dedup(corpus(), 12)
+
+
+def test_different_windows_that_agree_in_half_their_hash(spark):
+    head = [f"h{i}" for i in range(34)]
+    last = [f"x{i}" for i in range(300_000)]
+    data = np.frombuffer(" ".join(head + last).encode(), np.uint8)
+    h, up = W.split(data, np.array([0, len(data)]), slice(0, 1)).hashes, W._power_tables(35)[0]
+    low = W.mix((h[:34] * up[:34]).sum(dtype=np.uint64) + h[34:] * up[34]) & np.uint64(2**32 - 1)
+    order = np.argsort(low)
+    same = np.flatnonzero(np.diff(low[order]) == 0)
+    rows = [(int(k), " ".join([*head, last[k]])) for k in sorted({*order[same].tolist(), *order[same + 1].tolist()})]
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows))).collect()
+    assert len(rows) >= 8 and len(got) == len(rows) and {r.n_removed for r in got} == {0}
+
+
 def test_removed_spans_are_maximal(docs):
     for r in substring_dedup(docs, 12).collect():
         assert sum(b - a for a, b in r.removed) == r.n_removed and all(x[1] < y[0] for x, y in zip(r.removed, r.removed[1:]))
