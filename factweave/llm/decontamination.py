@@ -3,12 +3,13 @@
 Each word loses its outer punctuation and is lower-cased (A-Z); numbers (digits or number words), names (capitalised
 inside a sentence) and units become one token a type. Windows of eight such tokens with at least four plain words
 are hashed; those of documents meet those of the benchmark in an equi-join, after a bitmap of fixed size has dropped the
-windows that no item has. Matches of one document, one item and one shift are a copy of (a part of) the item; its
-slots must be filled consistently: the same filler of the item always became the same filler of the document, and
-different ones stayed different. So a question with other numbers or names is found, and a text that merely has
-numbers in the same places, filled at random, is not.
+windows that no item has. Matches of one document, one item and one shift are a copy of (a part of) the item. In it each
+filler of the item has a usual filler of the document. Where at most one slot, or a third of the slots, have another one,
+all windows count; else those whose slots all have the usual or the item's own filler, and those without slots. Different
+fillers may become equal ones. So a question with other numbers or names is found, and a text in which repeated
+fillers of the item became many different ones is not.
 
-A document is contaminated by an item if consistent copies hold at least ``WINDOWS`` different windows of it (that is
+A document is contaminated by an item if such windows hold at least ``WINDOWS`` different windows of it (that is
 thirteen words), or half of the windows of a shorter item.
 
 Defined results: a null or empty text, and one without a window, is clean; an item with four to seven words is one
@@ -17,6 +18,7 @@ window of all its words, one with fewer plain words than four is never found; eq
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,6 +130,25 @@ def _bits(windows: DataFrame) -> np.ndarray:
     return bitmap(windows.select(F.shiftrightunsigned("w", 42).alias("s")), "s", slots=True)
 
 
+def _counted(windows: list[dict]) -> list[int]:
+    """Places of the item's windows that count in one copy; windows: dicts of at and slots (dicts of p, asked, fill)."""
+    slots = sorted({(x["p"], x["asked"], x["fill"]) for w in windows for x in w["slots"]})
+    times = Counter((asked, fill) for _, asked, fill in slots)
+    usual: dict[int, int] = {}
+    for _, asked, fill in slots:
+        rank = lambda f: (times[asked, f], f == asked)
+        if asked not in usual or rank(fill) > rank(usual[asked]):
+            usual[asked] = fill
+    if sum(usual[asked] != fill for _, asked, fill in slots) <= max(1, len(slots) // 3):
+        return sorted({w["at"] for w in windows})
+    return sorted({w["at"] for w in windows if all(x["fill"] in (x["asked"], usual[x["asked"]]) for x in w["slots"])})
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([*batch.columns[:4], pa.array([_counted(w) for w in batch.column(4).to_pylist()], pa.list_(pa.int32()))], names=["d", "h", "item_id", "shift", "at"])
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(d, h, item_id, windows): per document key and contaminating item, the number of the item's windows found."""
     small_batches(docs.sparkSession)
@@ -137,11 +158,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lengths = sorted(r[0] for r in items.select(F.size("asked")).distinct().collect())  # PLAIN to WINDOW
     here = keyed.select("d", "h", "text").mapInArrow(_found(_bits(items), lengths), _TYPES)
     met = here.join(items, "w").select(F.col("x").alias("d"), F.col("y").alias("h"), "item_id", "at", (F.col("place") - F.col("at")).alias("shift"), "fill", "asked")
-    pairs = F.filter(F.arrays_zip("asked", "fill"), lambda p: p["asked"] != 0)
-    copies = met.select("d", "h", "item_id", "shift", "at", pairs.alias("pairs")).groupBy("d", "h", "item_id", "shift").agg(
-        F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    steady = copies.where((values("asked") == F.size("pairs")) & (values("fill") == F.size("pairs")))
+    slot = F.filter(F.transform("asked", lambda a, i: F.struct((F.col("at") + i).alias("p"), a.alias("asked"), F.get("fill", i).alias("fill"))), lambda x: x["asked"] != 0)
+    # a copy has no more windows than its item
+    copies = met.groupBy("d", "h", "item_id", "shift").agg(F.collect_set(F.struct("at", slot.alias("slots"))).alias("copy"))
+    steady = copies.mapInArrow(_judged, "d long, h long, item_id long, shift int, at array<int>")
     size = items.groupBy("item_id").agg(F.countDistinct("at").alias("size"))
     whole = steady.groupBy("d", "h", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("windows")).join(size, "item_id")
     return whole.where((F.col("windows") >= WINDOWS) | (2 * F.col("windows") >= F.col("size"))).select("d", "h", "item_id", "windows")

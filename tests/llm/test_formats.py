@@ -140,6 +140,22 @@ def test_templates(spark):
     assert clean_only(d, items.limit(0)).count() == 11 and decontamination(d.limit(0), items).count() == 0
 
 
+def found(spark, items, texts):
+    got = decontamination(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    return {r.doc_id: r["items"] for r in got.collect()}
+
+
+def test_slots_that_coincide_or_come_apart(spark):
+    long = " ".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(30))
+    items = {1: f"they carried 5 apples and 5 pears home before {long}", 2: "the farmer keeps 3 cows and 5 sheep on his land all year, how many animals eat there?"}
+    items[3] = "our shop sold 6 pens then 6 books and 6 maps and 6 cups and 6 keys in the morning"
+    texts = {
+        1: items[1].replace("5 pears", "7 pears"), 2: items[2].replace("3", "4").replace("5", "4"), 3: items[3].replace("6 keys", "9 keys"),
+        4: "our shop sold 1 pens then 2 books and 3 maps and 4 cups and 5 keys in the morning",
+    }
+    assert found(spark, items, texts) == {1: [1], 2: [2], 3: [3], 4: []}
+
+
 def test_copies_of_items_are_found_as_by_brute_force(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choices("abcdefg", k=4))
