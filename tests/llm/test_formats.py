@@ -156,6 +156,15 @@ def test_slots_that_coincide_or_come_apart(spark):
     assert found(spark, items, texts) == {1: [1], 2: [2], 3: [3], 4: []}
 
 
+def test_windows_of_few_plain_words_and_other_case(spark):
+    items = {
+        1: "Compute 12 + 7 * 3 - 8 / 2 + 15 - 4 * 6 + 9 - 1 + 33 - 20", 2: "12 plus 7 minus 3", 3: "the guests Anna Müller, Bob Stone, Carl Jones, Dora White, Emil Black, Fay Green, Gus Brown",
+        4: "every day the farmer Élan sends 12 eggs over to his neighbour Bettina and she pays 7 coins for them",
+    }
+    texts = {1: f"foo {items[1]} bar", 2: "xx 12 Plus 7 minus 3 yy", 3: items[3].lower(), 4: items[4].upper(), 5: items[4].lower().replace("12", "31").replace("7", "9"), 6: "12 plus 7 minus 4", 7: items[4].upper().replace("12", "31")}
+    assert found(spark, items, texts) == {1: [1], 2: [2], 3: [3], 4: [4], 5: [4], 6: [], 7: [4]}
+
+
 def test_copies_of_items_are_found_as_by_brute_force(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choices("abcdefg", k=4))
