@@ -332,6 +332,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return save(both.select("a", "b", "a_shingles", "b_shingles").mapInArrow(check, "a long, b long").distinct(), "verified")
 
 
+def _searched(rows: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that link, of different labels, from rows of blocks (token, id, m, label)."""
+    parts = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
+    piece = F.pmod(F.xxhash64("id"), parts).cast("int")
+    meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("piece", o).alias("p"), F.greatest("piece", o).alias("q")))
+    rows = rows.join(sets.select(F.col("doc_id").alias("id"), "n", "point", "mid"), "id").withColumn("parts", parts).withColumn("piece", piece)
+    rows = rows.select("token", "id", "label", "n", "point", "mid", "piece", F.inline(meet)).repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
+    more = rows.select("token", "p", "q", "piece", "id", "n", "label", "point", "mid").mapInArrow(_search(percent), "a long, b long").distinct()
+    return _verified(save(_near(save(more, "candidates"), sets, percent), "near"), docs, k, percent)
+
+
 def similar_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the smallest doc_id reachable by links, itself included."""
     small_batches(docs.sparkSession)
@@ -357,18 +368,33 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     open_ = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c"), member(1).alias("s1"), member(2).alias("s2")).where("x <> y")
     open_ = open_.groupBy("c", "s1", "s2").agg(F.min("token").alias("token")).select("token")
     rows = save(rows.join(open_, "token", "left_semi").distinct(), "open")
-    parts = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
-    piece = F.pmod(F.xxhash64("id"), parts).cast("int")
-    meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("piece", o).alias("p"), F.greatest("piece", o).alias("q")))
-    rows = rows.join(sets.select(F.col("doc_id").alias("id"), "n", "point", "mid"), "id").withColumn("parts", parts).withColumn("piece", piece)
-    rows = rows.select("token", "id", "label", "n", "point", "mid", "piece", F.inline(meet)).repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
-    more = rows.select("token", "p", "q", "piece", "id", "n", "label", "point", "mid").mapInArrow(_search(percent), "a long, b long").distinct()
-    linked = _verified(save(_near(save(more, "candidates"), sets, percent), "near"), docs, k, percent)
+    linked = _searched(rows, sets, docs, k, percent)
     found = connected_components(stars.union(linked).union(copies))
     out = signed.select("doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def link_counts(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All links, of unique doc_ids: (doc_id, n_links) of every row, and (a, b) between the first documents of different sets.
+
+    No pair is spared because its documents are connected already, so a group of near copies costs the square of its different
+    sets; exact copies are one set. A null doc_id has no links.
+    """
+    small_batches(docs.sparkSession)
+    signed = save(_signed(docs, k, percent), "signed")
+    sets = signed.where("doc_id IS NOT NULL AND n > 0")
+    size = save(sets.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("m")), "classes")
+    leads = sets.join(size.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.explode("prefix").alias("token"), F.col("doc_id").alias("id"))
+    rows = leads.join(leads.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "token")
+    pairs = _searched(save(rows.withColumn("label", F.col("id")), "open"), sets, docs, k, percent)
+    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("id")).union(pairs.select(F.col("b").alias("x"), F.col("a").alias("id")))
+    other = ends.join(size.select("id", "m"), "id").groupBy("x").agg(F.sum("m").alias("others"))
+    degree = size.join(other, size["id"] == other["x"], "left").select("f1", "f2", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = sets.select("doc_id", "f1", "f2").join(degree, ["f1", "f2"]).select("doc_id", "n_links")
+    rest = signed.where("doc_id IS NULL OR n = 0").select("doc_id", F.lit(0).cast("long").alias("n_links"))
+    return out.union(rest), pairs
+
+
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, with the smallest doc_id of each group; of rows with the same doc_id one stays.
 

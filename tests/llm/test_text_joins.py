@@ -7,9 +7,9 @@ import pytest
 
 from factweave.llm import words as W
 from factweave.llm.components import connected_components
-from factweave.llm.shingle_join import one_of_each, r_tree_pairs, similar_groups
+from factweave.llm.shingle_join import link_counts, one_of_each, r_tree_pairs, similar_groups
 from factweave.llm.substring_dedup import substring_dedup
-from tests.llm.brute import components, dedup
+from tests.llm.brute import components, dedup, shingles
 
 SCHEMA = "doc_id long, text string, token string, n long"
 
@@ -59,6 +59,17 @@ def test_hot_group_of_near_copies(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == components(rows)
 
 
+def test_link_counts(spark):
+    rows = [x for x in dict(corpus()).items() if x[0] is not None]
+    sets = {d: shingles(t) for d, t in rows}
+    linked = lambda x, y: bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+    want = {d: sum(e != d and linked(x, y) for e, y in sets.items()) for d, x in sets.items()}
+    counts, pairs = link_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert {r.doc_id: r.n_links for r in counts.collect()} == want and max(want.values()) > 5
+    firsts = {min(e for e, y in sets.items() if x == y) for x in sets.values() if x}
+    assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for a in firsts for b in firsts if a < b and linked(sets[a], sets[b])}
+
+
 def test_blocks_cut_into_pieces(docs, monkeypatch):
     import factweave.llm.shingle_join as module
 
