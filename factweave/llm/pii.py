@@ -33,7 +33,7 @@ PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]
 SECRET = r"(?<![A-Z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Z])|(?i:password|passwd|secret|token|api_?key)\s?[=:]\s?[\"']?[A-Za-z0-9+/_.-]{8,}"
 ANY = "|".join([EMAIL, IP, DATE, SSN, SECRET, PHONE, CARD])
 #: Text without any of these can hold none of the above.
-HINT = "[0-9@]|(?i:password|passwd|secret|token|key)"
+HINT = "[0-9@]|AKIA|(?i:password|passwd|secret|token|key)"
 KINDS = ["email", "ip", "date", "ssn", "secret", "phone", "card"]
 
 
