@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["queries"]
+MODULES = ["queries", "vector_queries"]
 
 
 def queries() -> dict:
