@@ -87,14 +87,18 @@ def _summed(vectors: DataFrame, terms) -> dict[int, list[int]]:
 
 
 def pivoted_cholesky(a: np.ndarray) -> np.ndarray:
-    """G with G G' = a, its columns in the order of the largest remaining pivots; as many as the rank."""
+    """G with G G' = a, its columns in the order of the largest remaining pivots; as many as the rank.
+
+    A dimension is spent when what others leave of its own variance is no more than rounding.
+    """
     d = len(a)
     left, g, rest = a.astype(np.float64).copy(), np.zeros((d, d)), np.arange(d)
-    floor = d * np.finfo(np.float64).eps * max(left.diagonal().max(initial=0.0), 0.0)
+    least = d * np.finfo(np.float64).eps * a.diagonal()
     for k in range(d):
-        p = rest[np.argmax(left.diagonal()[rest])]
-        if left[p, p] <= floor:
+        rest = rest[left.diagonal()[rest] > least[rest]]
+        if not len(rest):
             return g[:, :k]
+        p = rest[np.argmax(left.diagonal()[rest])]
         g[rest, k] = left[rest, p] / np.sqrt(left[p, p])
         rest = rest[rest != p]
         left[np.ix_(rest, rest)] -= np.outer(g[rest, k], g[rest, k])
