@@ -40,10 +40,14 @@ FANOUT = 8
 #: Shingles that are put last, the most frequent ones: a bound on what is broadcast (1 MB), not on what is compared.
 FREQUENT = 1 << 17
 BLOCK_ROWS = 8192
-#: At most so many groups (as a power of two) in the points that travel with the rows of blocks.
-MID_BITS = 10
+#: Fine points have two to four groups a shingle, in two bits each, as long as that is at most so many groups (as a power of
+#: two); beyond that one byte for each of a quarter as many. Mid points travel with the rows of blocks, 1 KB at most.
+MID_BITS, FINE_BITS = 12, 18
 #: Pairs of boxes whose bounds are computed at once.
 PAIRS_AT_ONCE = 1 << 16
+#: Rows of blocks with the same smallest label that one task searches at least, so that it meets a pair of long texts, which
+#: share many blocks, as often as it can and tells it once.
+TOGETHER_ROWS = 1 << 16
 #: Rows of blocks that are searched at once, and pairs that a task remembers so as not to tell them again.
 SEARCHED_ROWS, REMEMBERED = 4_000, 100_000
 
@@ -107,7 +111,7 @@ def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 heads = [prefix(s) for s in sets]
                 offsets = np.append(0, np.cumsum([len(x) for x in heads])).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(heads).view(np.int64)))
-                yield pa.record_batch([ids.slice(c.rows.start, len(sets)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), f1, f2, _points(sets), _fine_points(sets, MID_BITS), _fine_points(sets, 16), lists], schema=schema)
+                yield pa.record_batch([ids.slice(c.rows.start, len(sets)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), f1, f2, _points(sets), *_fine_points(sets), lists], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, point binary, mid binary, fine binary, prefix array<long>")
 
@@ -118,52 +122,52 @@ def _points(sets: list[np.ndarray]) -> pa.Array:
     return _binary([x.astype(np.uint8 if x.max() < 256 else np.uint32) for x in counts])
 
 
-def _fine_points(sets: list[np.ndarray], most_bits: int) -> pa.Array:
-    """Points of large sets with three shingles a group or more, as a few hundred groups say little about them; else null."""
-    found: list[bytes | None] = []
-    for s in sets:
-        bits = min(most_bits, max(len(s) // 3, 1).bit_length())
-        x = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if 1 << bits > GROUPS else None
-        found.append(x.astype(np.uint8).tobytes() if x is not None and x.max() < 256 else None)
-    return pa.array(found, pa.binary())
+def _fine_point(s: np.ndarray, most_bits: int) -> bytes | None:
+    """Counts of many groups: how much two-bit counts leave out (four bytes; -1: counts are whole bytes), then the counts."""
+    bits = max(2, (2 * len(s)).bit_length())
+    if bits <= most_bits:
+        x = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        y = np.minimum(x, 3).astype(np.uint8).reshape(-1, 4)
+        return np.int32((x - np.minimum(x, 3)).sum()).tobytes() + (y << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes()
+    x = np.bincount((s >> np.uint64(66 - most_bits)).astype(np.int64), minlength=1 << most_bits - 2)
+    return np.int32(-1).tobytes() + x.astype(np.uint8).tobytes() if x.max() < 256 else None
+
+
+def _fine_points(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """Mid points, and fine points of the sets that are too large for two-bit counts in the mid ones."""
+    small = [(2 * len(s)).bit_length() <= MID_BITS for s in sets]
+    mid = [_fine_point(s, MID_BITS) for s in sets]
+    return pa.array(mid, pa.binary()), pa.array([None if x else _fine_point(s, FINE_BITS) for s, x in zip(sets, small, strict=True)], pa.binary())
+
+
+def _counts(point: bytes) -> tuple[np.ndarray, int]:
+    """The counts of a fine point and how many shingles they leave out."""
+    missing = int(np.frombuffer(point, np.int32, 1)[0])
+    x = np.frombuffer(point, np.uint8, offset=4)
+    return (x, 0) if missing < 0 else ((x[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).ravel(), missing)
 
 
 def _mid_bound(mids: list[bytes | None], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Bounds of the overlaps of rows i and j by their mid points; the largest number where one has none."""
-    out = np.full(len(i), np.iinfo(np.int64).max)
-    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-    least = 1 << MID_BITS - 1
-    known = np.array([mids[k] is not None for k in used], bool)
-    both = np.flatnonzero(known[at[: len(i)]] & known[at[len(i) :]])
-    if len(both):
-        # the two sizes of mid points meet at the smaller one
-        folded = np.zeros((len(used), least), np.uint16)
-        whole = np.zeros((len(used), 2 * least), np.uint8)
-        wide = np.array([known[k] and len(mids[u]) == 2 * least for k, u in enumerate(used)], bool)
-        for k in np.flatnonzero(known):
-            x = np.frombuffer(mids[used[k]], np.uint8)
-            folded[k] = x.reshape(least, -1).sum(1)
-            if wide[k]:
-                whole[k] = x
-        a, b = at[: len(i)][both], at[len(i) :][both]
-        for part in np.array_split(np.arange(len(both)), len(both) // 8192 + 1):
+    """Bounds of the overlaps of rows i and j by their mid points; a very large number where one has none."""
+    out = np.full(len(i), 1 << 40)
+    size = np.array([0 if x is None else (len(x) - 4) * (1 if x[:4] == b"\xff\xff\xff\xff" else 4) for x in mids])
+    groups = np.minimum(size[i], size[j])  # the finer point is folded to the other
+    for g in np.unique(groups[groups > 0]).tolist():
+        pairs = np.flatnonzero(groups == g)
+        used, at = np.unique(np.concatenate([i[pairs], j[pairs]]), return_inverse=True)
+        counts, missing = np.empty((len(used), g), np.uint8), np.empty(len(used), np.int64)
+        for k, u in enumerate(used.tolist()):
+            x, missing[k] = _counts(mids[u])
+            counts[k] = x if len(x) == g else np.minimum(x.reshape(g, -1).sum(1), 255)
+            if len(x) > g:
+                missing[k] += int(x.sum()) - int(counts[k].sum(dtype=np.int64))
+        a, b = at[: len(pairs)], at[len(pairs) :]
+        for part in np.array_split(np.arange(len(pairs)), len(pairs) // 4096 + 1):
             x, y = a[part], b[part]
-            fine = wide[x] & wide[y]
-            bound = np.minimum(folded[x], folded[y]).sum(1, dtype=np.int64)
-            bound[fine] = np.minimum(whole[x[fine]], whole[y[fine]]).sum(1, dtype=np.int64)
-            out[both[part]] = bound
+            out[pairs[part]] = np.minimum(counts[x], counts[y]).sum(1, dtype=np.int64) + missing[x] + missing[y]
     return out
 
 
-def _shared_at_most(x: bytes | None, y: bytes | None, coarse: int) -> int:
-    """Bound of the overlap by fine points; the finer of the two is folded to the other."""
-    if x is None or y is None:
-        return coarse
-    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
-    g = min(len(a), len(b))
-    return int(np.minimum(a.reshape(g, -1).sum(1), b.reshape(g, -1).sum(1)).sum())
-
-
 def _shingles(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(id, shingles) of the documents in wanted(id); a bitmap of fixed size spares most others their hashing."""
     bits = bitmap(wanted, "id")
@@ -256,7 +260,7 @@ def _search(percent: int):
         a, b = np.minimum(col["id"][i], col["id"][j]), np.maximum(col["id"][i], col["id"][j])
         o = np.lexsort((b, a))
         o = o[np.append(True, (a[o][1:] != a[o][:-1]) | (b[o][1:] != b[o][:-1]))] if len(o) else o
-        near = _may_match(np.minimum(_mid_bound(t["mid"].to_pylist(), i[o], j[o]), 1 << 40), col["n"][i[o]] + col["n"][j[o]], percent)
+        near = _may_match(_mid_bound(t["mid"].to_pylist(), i[o], j[o]), col["n"][i[o]] + col["n"][j[o]], percent)
         return pa.record_batch([a[o][near], b[o][near]], schema=schema)
 
     def search(batches):
@@ -301,12 +305,13 @@ def _near(pairs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
     def near(batches):
         for t in batches:
             i = {c: t.column(j) for j, c in enumerate(t.schema.names)}
-            shared = np.minimum(_matrix(i["a_point"]), _matrix(i["b_point"])).sum(1, dtype=np.int64) if t.num_rows else np.zeros(0)
-            shared = np.array([_shared_at_most(x, y, z) for x, y, z in zip(i["a_fine"].to_pylist(), i["b_fine"].to_pylist(), shared.tolist(), strict=True)], np.int64)
+            shared = np.minimum(_matrix(i["a_point"]), _matrix(i["b_point"])).sum(1, dtype=np.int64) if t.num_rows else np.zeros(0, np.int64)
+            places = np.arange(t.num_rows)
+            shared = np.minimum(shared, _mid_bound(i["a_fine"].to_pylist() + i["b_fine"].to_pylist(), places, places + t.num_rows))
             ok = pa.array(_may_match(shared, i["a_n"].to_numpy() + i["b_n"].to_numpy(), percent))
             yield pa.record_batch([i["a"].filter(ok), i["b"].filter(ok)], schema=schema)
 
-    side = lambda x: sized.select(F.col("doc_id").alias(x), F.col("n").alias(f"{x}_n"), F.col("point").alias(f"{x}_point"), F.col("fine").alias(f"{x}_fine"))
+    side = lambda x: sized.select(F.col("doc_id").alias(x), F.col("n").alias(f"{x}_n"), F.col("point").alias(f"{x}_point"), F.coalesce("fine", "mid").alias(f"{x}_fine"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * a_n >= {percent} * b_n AND 100 * b_n >= {percent} * a_n")
     return both.select("a", "b", "a_n", "b_n", "a_point", "b_point", "a_fine", "b_fine").mapInArrow(near, "a long, b long").distinct()
 
@@ -333,12 +338,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
 
 def _searched(rows: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that link, of different labels, from rows of blocks (token, id, m, label)."""
+    """Pairs (a, b) that link, of different labels, from rows of blocks (token, id, m, label, x); x: the smallest label of the block."""
     parts = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
     piece = F.pmod(F.xxhash64("id"), parts).cast("int")
     meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("piece", o).alias("p"), F.greatest("piece", o).alias("q")))
+    # whole blocks are dealt out by their smallest label, in as many lots as its rows fill
+    lots = rows.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / TOGETHER_ROWS).cast("int").alias("lots"))
+    rows = rows.join(lots, "x").withColumn("lot", F.pmod(F.xxhash64("token"), F.col("lots")).cast("int"))
     rows = rows.join(sets.select(F.col("doc_id").alias("id"), "n", "point", "mid"), "id").withColumn("parts", parts).withColumn("piece", piece)
-    rows = rows.select("token", "id", "label", "n", "point", "mid", "piece", F.inline(meet)).repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
+    rows = rows.select("x", "lot", "token", "id", "label", "n", "point", "mid", "piece", F.inline(meet)).repartition("x", "lot", "p", "q").sortWithinPartitions("token", "p", "q")
     more = rows.select("token", "p", "q", "piece", "id", "n", "label", "point", "mid").mapInArrow(_search(percent), "a long, b long").distinct()
     return _verified(save(_near(save(more, "candidates"), sets, percent), "near"), docs, k, percent)
 
@@ -360,14 +368,14 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     blocks = save(blocks.join(copies.select(F.col("b").alias("id")), "id", "left_anti"), "blocks")
     stars = _near(blocks.where("a <> id").select("a", F.col("id").alias("b")).distinct(), sets, percent)
     stars = _verified(save(stars, "stars"), docs, k, percent)
-    label = stars.groupBy("b").agg(F.min("a").alias("l"))  # documents under one label are connected
-    label = label.join(label.select(F.col("b").alias("l"), F.col("l").alias("up")), "l", "left").select(F.col("b").alias("id"), F.coalesce("up", "l").alias("label"))
+    # documents that stars connect have one label, the smallest of them
+    label = connected_components(stars).select(F.col("node").alias("id"), F.col("component").alias("label"))
     rows = blocks.select("token", "id", "m").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     # a block with one label is settled; of blocks with the same members one is enough
     member = lambda seed: F.sum(F.xxhash64("id", F.lit(seed)).cast("decimal(20,0)"))
     open_ = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c"), member(1).alias("s1"), member(2).alias("s2")).where("x <> y")
-    open_ = open_.groupBy("c", "s1", "s2").agg(F.min("token").alias("token")).select("token")
-    rows = save(rows.join(open_, "token", "left_semi").distinct(), "open")
+    open_ = open_.groupBy("c", "s1", "s2").agg(F.min("token").alias("token"), F.min("x").alias("x")).select("token", "x")
+    rows = save(rows.join(open_, "token").distinct(), "open")
     linked = _searched(rows, sets, docs, k, percent)
     found = connected_components(stars.union(linked).union(copies))
     out = signed.select("doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -385,7 +393,7 @@ def link_counts(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tu
     sets = signed.where("doc_id IS NOT NULL AND n > 0")
     size = save(sets.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("m")), "classes")
     leads = sets.join(size.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.explode("prefix").alias("token"), F.col("doc_id").alias("id"))
-    rows = leads.join(leads.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "token")
+    rows = leads.join(leads.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("x")).where("m > 1"), "token")
     pairs = _searched(save(rows.withColumn("label", F.col("id")), "open"), sets, docs, k, percent)
     ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("id")).union(pairs.select(F.col("b").alias("x"), F.col("a").alias("id")))
     other = ends.join(size.select("id", "m"), "id").groupBy("x").agg(F.sum("m").alias("others"))
