@@ -359,13 +359,13 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     # written, so that the join after it can be split where a third of all rows are copies of one text
     first = sets.groupBy("f1", "f2").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     first = save(first, "firsts")
-    copies = sets.select("f1", "f2", F.col("doc_id").alias("b")).join(first, ["f1", "f2"]).where("a <> b").select("a", "b").distinct()
+    copies = sets.select("f1", "f2", F.col("doc_id").alias("b")).join(first, ["f1", "f2"]).where("a <> b").distinct()
     copies = save(copies, "copies")
-    leads = sets.select("doc_id", F.explode("prefix").alias("token"))
+    # of equal sets only the first goes on, with its blocks; the others are linked with it
+    others = copies.select(F.col("b").alias("doc_id"), "f1", "f2")
+    leads = sets.select("doc_id", "f1", "f2", "prefix").join(others, ["doc_id", "f1", "f2"], "left_anti").select("doc_id", F.explode("prefix").alias("token"))
     stats = leads.groupBy("token").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    blocks = leads.join(stats, "token").select("token", F.col("doc_id").alias("id"), "a", "m")
-    # of equal sets the first is kept, which is the first of its blocks where any of them is
-    blocks = save(blocks.join(copies.select(F.col("b").alias("id")), "id", "left_anti"), "blocks")
+    blocks = save(leads.join(stats, "token").select("token", F.col("doc_id").alias("id"), "a", "m"), "blocks")
     stars = _near(blocks.where("a <> id").select("a", F.col("id").alias("b")).distinct(), sets, percent)
     stars = _verified(save(stars, "stars"), docs, k, percent)
     # documents that stars connect have one label, the smallest of them
@@ -377,7 +377,7 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     open_ = open_.groupBy("c", "s1", "s2").agg(F.min("token").alias("token"), F.min("x").alias("x")).select("token", "x")
     rows = save(rows.join(open_, "token").distinct(), "open")
     linked = _searched(rows, sets, docs, k, percent)
-    found = connected_components(stars.union(linked).union(copies))
+    found = connected_components(stars.union(linked).union(copies.select("a", "b")))
     out = signed.select("doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -404,13 +404,20 @@ def link_counts(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tu
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, with the smallest doc_id of each group; of rows with the same doc_id one stays.
+    """The rows of docs, all columns, with the smallest doc_id of each group.
 
-    Rows with a null doc_id all stay.
+    Rows with the same doc_id and text are one. Different texts under one doc_id are documents of their own: each goes only if
+    its own text is in a group with a row that stays. Rows with a null doc_id all stay.
     """
-    first = similar_groups(docs, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    known = docs.where("doc_id IS NOT NULL").join(first, F.col("doc_id") == F.col("_first"), "left_semi")
-    # rows of one doc_id are together after the join: no further shuffle
-    place = F.row_number().over(Over.partitionBy("doc_id").orderBy("text"))
-    known = known.withColumn("_place", place).where("_place = 1").drop("_place")
-    return known.unionByName(docs.where("doc_id IS NULL"))
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min(text).alias("_first"), F.max(text).alias("_last")).where("_first <> _last")
+    several = save(several.select("_id", "_first"), "repeated_ids")  # none where ids are unique
+    apart = F.col("_first").isNotNull() & (text != F.col("_first"))
+    # further texts of an id get a number of their own, beyond the ids in use
+    node = F.when(apart, F.xxhash64("doc_id", text).bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1))).otherwise(F.col("doc_id").cast("long"))
+    known = docs.where("doc_id IS NOT NULL").join(several, F.col("doc_id") == F.col("_id"), "left").withColumn("_node", node).drop("_id", "_first")
+    first = similar_groups(known.select(F.col("_node").alias("doc_id"), "text"), k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    known = known.join(first, F.col("_node") == F.col("_kept"), "left_semi")
+    # rows of one document are together after the join: no further shuffle
+    known = known.withColumn("_place", F.row_number().over(Over.partitionBy("_node").orderBy("text"))).where("_place = 1")
+    return known.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))

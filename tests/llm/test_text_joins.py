@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from factweave.llm import shingle_join
 from factweave.llm import words as W
 from factweave.llm.components import connected_components
 from factweave.llm.shingle_join import link_counts, one_of_each, r_tree_pairs, similar_groups
@@ -47,6 +48,72 @@ def test_one_of_each_keeps_one_row_a_group(docs):
     assert left == sorted({c for _, _, c in components(corpus()) if c is not None}) and one_of_each(docs).columns == docs.columns
 
 
+def test_different_texts_under_one_id_stay(spark):
+    long = lambda seed: " ".join(f"{seed}{i}" for i in range(30))
+    rows = [(5, long("x")), (5, long("y")), (7, long("y") + " end"), (9, long("x") + " end"), (9, long("z")), (9, long("z")), (11, long("z"))]
+    got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    texts = sorted(t for _, t in left)
+    assert len(left) == 3 and [t[0] for t in texts] == ["x", "y", "z"] and (5, long("x")) in left
+
+
+def test_other_text_of_a_copied_id_keeps_its_links(spark):
+    long = lambda seed: " ".join(f"{seed}{i}" for i in range(30))
+    rows = [(1, long("x")), (2, long("x")), (2, long("y")), (3, long("y") + " end")]
+    got = {r.doc_id: r.component_id for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1}
+
+
+@pytest.mark.parametrize("bits", [4, 18])
+def test_fine_points_bound_the_overlap(monkeypatch, bits):
+    monkeypatch.setattr(shingle_join, "MID_BITS", bits)
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 400, dtype=np.int64).view(np.uint64) * np.uint64(2)
+    sets = [np.unique(rng.choice(pool, rng.integers(1, 300))) for _ in range(60)]
+    sets += [np.sort(pool[:40] >> np.uint64(50)), np.sort(pool[10:60] >> np.uint64(50))]  # all in one group
+    mids = shingle_join._fine_points(sets)[0].to_pylist()
+    i, j = np.triu_indices(len(sets), 1)
+    bound = shingle_join._mid_bound(mids, i, j)
+    true = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    assert (bound >= true).all()
+    if bits == 18:
+        assert np.median(bound - true) <= 24  # of up to 300 shingles, most of them not shared
+
+
+def test_search_rows_grow_in_proportion(spark):
+    """A group of near copies and of texts just below the similarity, five times as large: five times the candidates, not 25."""
+    rng, made = random.Random(8), []
+    for size in (120, 600):
+        base = [f"w{i}" for i in range(150)]
+        rows = []
+        for i in range(size):
+            w = list(base)
+            for at in rng.sample(range(150), 1 if i % 4 else 9):
+                w[at] = f"x{i}_{at}"
+            rows.append((i, " ".join(w)))
+        made.append(0)
+        found = shingle_join._search
+
+        def counted(percent, found=found, total=spark.sparkContext.accumulator(0)):
+            counted.total = total
+
+            def search(batches):
+                for b in found(percent)(batches):
+                    total.add(b.num_rows)
+                    yield b
+            return search
+
+        shingle_join._search = counted
+        try:
+            got = similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+        finally:
+            shingle_join._search = found
+        made[-1] = counted.total.value
+        if size == 120:
+            assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == components(rows)
+    assert made[1] <= 12 * max(made[0], 20)
+
+
 def test_hot_group_of_near_copies(spark):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(60)]
