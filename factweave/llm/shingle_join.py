@@ -41,13 +41,14 @@ FANOUT = 8
 FREQUENT = 1 << 17
 BLOCK_ROWS = 8192
 #: Fine points have two to four groups a shingle, in two bits each, as long as that is at most so many groups (as a power of
-#: two); beyond that one byte for each of a quarter as many. Mid points travel with the rows of blocks, 1 KB at most.
-MID_BITS, FINE_BITS = 12, 18
+#: two); beyond that one byte for each of a quarter as many. Mid points of sets that are large for GROUPS travel with the rows of
+#: blocks, 1 KB at most; the others' fine points are fetched for candidates only.
+MID_BITS, FINE_BITS, MID_FROM = 12, 18, 3 * GROUPS
 #: Pairs of boxes whose bounds are computed at once.
 PAIRS_AT_ONCE = 1 << 16
 #: Rows of blocks with the same smallest label that one task searches at least, so that it meets a pair of long texts, which
 #: share many blocks, as often as it can and tells it once.
-TOGETHER_ROWS = 1 << 16
+TOGETHER_ROWS = 1 << 13
 #: Rows of blocks that are searched at once, and pairs that a task remembers so as not to tell them again.
 SEARCHED_ROWS, REMEMBERED = 4_000, 100_000
 
@@ -134,10 +135,10 @@ def _fine_point(s: np.ndarray, most_bits: int) -> bytes | None:
 
 
 def _fine_points(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
-    """Mid points, and fine points of the sets that are too large for two-bit counts in the mid ones."""
-    small = [(2 * len(s)).bit_length() <= MID_BITS for s in sets]
-    mid = [_fine_point(s, MID_BITS) for s in sets]
-    return pa.array(mid, pa.binary()), pa.array([None if x else _fine_point(s, FINE_BITS) for s, x in zip(sets, small, strict=True)], pa.binary())
+    """Mid points of large sets, and fine points where the mid one is missing or no finer one fits into its size."""
+    mid = [_fine_point(s, MID_BITS) if len(s) >= MID_FROM else None for s in sets]
+    fine = [None if x is not None and (2 * len(s)).bit_length() <= MID_BITS else _fine_point(s, FINE_BITS) for s, x in zip(sets, mid, strict=True)]
+    return pa.array(mid, pa.binary()), pa.array(fine, pa.binary())
 
 
 def _counts(point: bytes) -> tuple[np.ndarray, int]:
@@ -359,13 +360,15 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     # written, so that the join after it can be split where a third of all rows are copies of one text
     first = sets.groupBy("f1", "f2").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     first = save(first, "firsts")
-    copies = sets.select("f1", "f2", F.col("doc_id").alias("b")).join(first, ["f1", "f2"]).where("a <> b").distinct()
+    copies = sets.select("f1", "f2", F.col("doc_id").alias("b")).join(first, ["f1", "f2"]).where("a <> b").select("a", "b").distinct()
     copies = save(copies, "copies")
-    # of equal sets only the first goes on, with its blocks; the others are linked with it
-    others = copies.select(F.col("b").alias("doc_id"), "f1", "f2")
-    leads = sets.select("doc_id", "f1", "f2", "prefix").join(others, ["doc_id", "f1", "f2"], "left_anti").select("doc_id", F.explode("prefix").alias("token"))
+    leads = sets.select("doc_id", F.explode("prefix").alias("token"))
     stats = leads.groupBy("token").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    blocks = save(leads.join(stats, "token").select("token", F.col("doc_id").alias("id"), "a", "m"), "blocks")
+    blocks = leads.join(stats, "token").select("token", F.col("doc_id").alias("id"), "a", "m")
+    # of equal sets the first is kept, which is the first of its blocks where any of them is; an id with several sets keeps all blocks
+    several = sets.groupBy(F.col("doc_id").alias("b")).agg(F.min("f1").alias("x"), F.max("f1").alias("y")).where("x <> y")
+    settled = copies.select("b").join(several, "b", "left_anti")
+    blocks = save(blocks.join(settled.select(F.col("b").alias("id")), "id", "left_anti"), "blocks")
     stars = _near(blocks.where("a <> id").select("a", F.col("id").alias("b")).distinct(), sets, percent)
     stars = _verified(save(stars, "stars"), docs, k, percent)
     # documents that stars connect have one label, the smallest of them
@@ -377,7 +380,7 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     open_ = open_.groupBy("c", "s1", "s2").agg(F.min("token").alias("token"), F.min("x").alias("x")).select("token", "x")
     rows = save(rows.join(open_, "token").distinct(), "open")
     linked = _searched(rows, sets, docs, k, percent)
-    found = connected_components(stars.union(linked).union(copies.select("a", "b")))
+    found = connected_components(stars.union(linked).union(copies))
     out = signed.select("doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

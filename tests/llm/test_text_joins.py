@@ -67,6 +67,7 @@ def test_other_text_of_a_copied_id_keeps_its_links(spark):
 @pytest.mark.parametrize("bits", [4, 18])
 def test_fine_points_bound_the_overlap(monkeypatch, bits):
     monkeypatch.setattr(shingle_join, "MID_BITS", bits)
+    monkeypatch.setattr(shingle_join, "MID_FROM", 0)
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 2**63, 400, dtype=np.int64).view(np.uint64) * np.uint64(2)
     sets = [np.unique(rng.choice(pool, rng.integers(1, 300))) for _ in range(60)]
