@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions.scalars import safe_name_dash
+from factweave.session import work_dir
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table below spark.checkpoint.dir and reads it again: its lineage ends there, and lost executors don't matter."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def filing_path(df: DataFrame) -> DataFrame:
