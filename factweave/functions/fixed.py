@@ -316,3 +316,6 @@ TEXT_FACTS_END = "calculation_relationships:"
 TEXT_FACT_RECORD = r'(\n\s{4}label:\s*"[^"]+"[\s\S]{0,900}?\n\s{4}value:\s*"(?:[^"\\]|\\.)*")'
 TEXT_FACT_LABEL = r'label:\s*"([^"]+)"'
 TEXT_FACT_VALUE = r'\n\s{4}value:\s*"((?:[^"\\]|\\.)*)"'
+
+#: Relations that link companies with their filings.
+COMPANY_FILING_RELS = ["has_filing", "filed_by"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import fixed
 from factweave.operators.questions import has_any
+from factweave.sources.sinks import written
 
 
 def compact_edges(edges: DataFrame) -> DataFrame:
@@ -91,23 +92,47 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct(F.col("source").alias("a"), F.col("target").alias("b")), F.struct(F.col("target").alias("a"), F.col("source").alias("b")))).alias("p")).select("p.*")
 
 
-def neighborhood(edges: DataFrame, center: str, hops: int = 2, cap: int = 120) -> DataFrame:
-    """Nodes within ``hops`` of one node, at most ``cap`` by (hop, id). The frontier never exceeds the cap."""
-    spark = edges.sparkSession
-    both = undirected(edges)
-    found = spark.createDataFrame([(center, 0)], "id string, hop int")
+def neighborhoods(edges: DataFrame, centers: DataFrame, hops: int = 2, cap: int = 120, relations: list[str] = fixed.COMPANY_FILING_RELS) -> DataFrame:
+    """edges(source, target, rel, position), centers(center): (center, id, hop, place) of the nodes within hops, all centres at once.
+
+    Nodes are found hop by hop, in the order of the node they are found from, then of the edge that first links both (ties: by
+    id), until a centre has cap nodes, itself included. As a centre never holds more than cap nodes, the first 2 * cap links of a
+    node are all that it can need: a hub is cut to them before it meets the frontier, which has cap rows a centre at most.
+    """
+    own = edges.where(F.col("rel").isin(relations)).select("source", "target", "position")
+    ends = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), "position")
+    both = own.select(F.explode(F.array(ends("source", "target"), ends("target", "source"))).alias("e")).select("e.*").where("a <> b")
+    first = both.groupBy("a", "b").agg(F.min("position").alias("position"))
+    near = first.withColumn("_r", F.row_number().over(W.partitionBy("a").orderBy("position", "b"))).where(F.col("_r") <= 2 * cap).drop("_r")
+    near = written(near, "near_links")
+    found = written(centers.where("center is not null").select("center").distinct().select("center", F.col("center").alias("id"), F.lit(0).alias("hop"), F.lit(1).alias("place")), "found")
     for hop in range(1, hops + 1):
-        frontier = found.where(F.col("hop") == hop - 1).select(F.col("id").alias("a"))
-        nxt = both.join(frontier, "a").select(F.col("b").alias("id")).distinct().join(found.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
-        found = found.unionByName(nxt).orderBy("hop", "id").limit(cap)
+        frontier = found.where(F.col("hop") == hop - 1).select("center", F.col("id").alias("a"), F.col("place").alias("_from"))
+        reached = frontier.join(near, "a").groupBy("center", F.col("b").alias("id")).agg(F.min(F.struct("_from", "position")).alias("_at"))
+        reached = reached.join(found.select("center", "id"), ["center", "id"], "left_anti")
+        room = found.groupBy("center").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+        place = F.row_number().over(W.partitionBy("center").orderBy("_at", "id"))
+        new = reached.withColumn("_p", place).where(F.col("_p") < cap).join(room, "center").where(F.col("_p") + F.col("_n") <= cap)
+        found = written(found.unionByName(new.select("center", "id", F.lit(hop).alias("hop"), (F.col("_p") + F.col("_n")).alias("place"))), "found")
     return found
 
 
-def induced_links(edges: DataFrame, found: DataFrame) -> DataFrame:
-    """The edges between found(id) nodes: what a neighbourhood shows besides its nodes."""
-    ids = found.select("id")
-    inside = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi")
-    return inside.join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target", "rel")
+def neighborhood_links(edges: DataFrame, found: DataFrame, relations: list[str] = fixed.COMPANY_FILING_RELS) -> DataFrame:
+    """(center, source, target, rel): the links between the nodes found(center, id) of each centre.
+
+    Each link is looked up from its end with fewer links, so that a hub's links don't meet all centres that hold the hub.
+    """
+    own = edges.where(F.col("rel").isin(relations)).select("source", "target", "rel").distinct()
+    size = own.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    x = own.join(size.select(F.col("id").alias("source"), F.col("n").alias("_s")), "source").join(size.select(F.col("id").alias("target"), F.col("n").alias("_t")), "target")
+    x = x.withColumn("_few", F.when(F.col("_s") <= F.col("_t"), F.col("source")).otherwise(F.col("target")))
+    met = x.join(found.select("center", F.col("id").alias("_few")), "_few").withColumn("_other", F.when(F.col("_few") == F.col("source"), F.col("target")).otherwise(F.col("source")))
+    return met.join(found.select("center", F.col("id").alias("_other")), ["center", "_other"], "left_semi").select("center", "source", "target", "rel")
+
+
+def neighborhood(edges: DataFrame, center: str, hops: int = 2, cap: int = 120) -> DataFrame:
+    """(id, hop) of the nodes around one centre, in edges(source, target, rel, position)."""
+    return neighborhoods(edges, edges.sparkSession.createDataFrame([(center,)], "center string"), hops, cap).select("id", "hop")
 
 
 def forms_present(filings: DataFrame, known: list[str]) -> DataFrame:
@@ -117,11 +142,26 @@ def forms_present(filings: DataFrame, known: list[str]) -> DataFrame:
         "position", F.element_at(F.array(*[F.lit(k) for k in [*known, "OTHER"]]), F.col("position")).alias("form"), "n_filings")
 
 
+def _overlaid(overlay: DataFrame) -> DataFrame:
+    return overlay.where("type = 'finance.filing' and coalesce(id, '') <> ''")
+
+
 def node_overlay(nodes: DataFrame, overlay: DataFrame) -> DataFrame:
-    """overlay(id, position, type, form, preview): given values of filings replace the node's; of several rows the last by position."""
-    o = overlay.where("type = 'finance.filing' and coalesce(id, '') <> ''").groupBy("id").agg(F.max_by(F.struct("form", "preview"), "position").alias("o"))
+    """overlay(id, position, type, form, preview): given values of filings replace the node's; of several rows the last that gives a field counts for it."""
+    last = lambda c, given: F.max_by(c, F.when(given, F.col("position"))).alias(f"_{c}")
+    o = _overlaid(overlay).groupBy("id").agg(last("form", F.col("form").isNotNull()), last("preview", F.coalesce(F.col("preview") != "", F.lit(False))))
     x = nodes.join(o, "id", "left")
-    return x.withColumn("form", F.coalesce("o.form", "form")).withColumn("preview", F.coalesce(F.nullif("o.preview", F.lit("")), "preview")).drop("o")
+    return x.withColumn("form", F.coalesce("_form", "form")).withColumn("preview", F.coalesce("_preview", "preview")).drop("_form", "_preview")
+
+
+def edge_overlay(edges: DataFrame, overlay: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges(source, target, rel), overlay(id, position, type, edges array of (target, rel)): the last overlay row of a node replaces
+    all its edges, with none if it lists none; rows for unknown nodes don't count, and targets must be nodes."""
+    known = nodes.select(F.col("id"))
+    last = _overlaid(overlay).groupBy("id").agg(F.max_by(F.coalesce("edges", F.array().cast(overlay.schema["edges"].dataType)), F.col("position")).alias("e")).join(known, "id", "left_semi")
+    kept = edges.select("source", "target", "rel").join(last.select(F.col("id").alias("source")), "source", "left_anti")
+    new = last.select(F.col("id").alias("source"), F.explode("e").alias("e")).select("source", F.col("e.target").alias("target"), F.col("e.rel").alias("rel"))
+    return valid_edges(kept.unionByName(new), nodes).select("source", "target", "rel")
 
 
 def corpus_graph(filings: DataFrame, amends: DataFrame) -> DataFrame:
@@ -155,7 +195,10 @@ def undirected_links(edges: DataFrame) -> DataFrame:
 
 
 def node_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    d = undirected(edges).groupBy(F.col("a").alias("id")).agg(F.count_distinct("b").alias("degree"))
+    """Different neighbours of each node by company-filing links between the given nodes."""
+    ids = nodes.select(F.col("id").alias("b"))
+    own = edges.where(F.col("rel").isin(fixed.COMPANY_FILING_RELS))
+    d = undirected(own).join(ids, "b", "left_semi").groupBy(F.col("a").alias("id")).agg(F.count_distinct("b").alias("degree"))
     return nodes.select("id", "type").join(d, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from factweave.functions import fixed
 from factweave.functions import scalars as sc
+from factweave.functions.scalars import slug
 from factweave.operators.graph import first_occurrence, last_occurrence
 from factweave.operators.ordered import with_neighbors, with_running
 
@@ -114,16 +115,21 @@ def copy_check(sources: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def scrub(df: DataFrame, secrets: list[str] = fixed.SECRET_KEYS) -> DataFrame:
-    """Drops secret fields at any depth of the schema: struct fields, struct arrays, and keys of string maps."""
+    """Drops secret fields at any depth: fields of structs, keys of string maps, also inside arrays and map values."""
+
+    def nested(t: T.DataType) -> bool:
+        return isinstance(t, (T.StructType, T.MapType)) or isinstance(t, T.ArrayType) and nested(t.elementType)
 
     def clean(c: Column, t: T.DataType) -> Column:
         if isinstance(t, T.StructType):
             fields = [clean(c.getField(f.name), f.dataType).alias(f.name) for f in t.fields if f.name.lower() not in secrets]
             return F.when(c.isNotNull(), F.struct(*fields)) if fields else F.lit(None)
-        if isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StructType):
+        if isinstance(t, T.ArrayType) and nested(t.elementType):
             return F.transform(c, lambda e: clean(e, t.elementType))
-        if isinstance(t, T.MapType) and isinstance(t.keyType, T.StringType):
-            return F.map_filter(c, lambda k, v: ~F.lower(k).isin(secrets))
+        if isinstance(t, T.MapType):
+            if isinstance(t.keyType, T.StringType):
+                c = F.map_filter(c, lambda k, v: ~F.lower(k).isin(secrets))
+            return F.transform_values(c, lambda k, v: clean(v, t.valueType)) if nested(t.valueType) else c
         return c
 
     return df.select(*[clean(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields if f.name.lower() not in secrets])
@@ -212,13 +218,31 @@ def agent_compare(results: DataFrame, metrics: list[str], agents: list[str]) ->
     return x.groupBy("question_id", "metric").pivot("agent", agents).agg(F.max("shown"))
 
 
-def backfill_runs(runs: DataFrame, evidence: DataFrame, companies: DataFrame) -> DataFrame:
-    """Missing tickers come from the run's evidence, missing company names from the companies; a second pass changes nothing."""
-    t = evidence.where("ticker is not null").groupBy("vault", "turn").agg(F.array_join(F.array_sort(F.collect_set("ticker")), ",").alias("found"), F.min("ticker").alias("first"))
-    x = runs.join(t, ["vault", "turn"], "left").withColumn("tickers", F.coalesce(F.nullif("tickers", F.lit("")), "found", F.lit("")))
-    c = companies.select(F.col("ticker").alias("first"), F.col("title").alias("_title"))
-    x = x.withColumn("first", F.coalesce("first", F.element_at(F.split("tickers", ","), 1))).join(c, "first", "left")
-    return x.withColumn("company", F.coalesce("company", "_title")).drop("found", "first", "_title")
+def backfill_runs(runs: DataFrame, evidence: DataFrame, companies: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """runs(vault, turn, tickers, company): a run with evidence takes the tickers of its evidence, in order, whatever was stored; a
+    missing company name comes from the companies. With results(vault, turn, agent) a run without result_paths gets the path of
+    each agent's result. A second pass changes nothing.
+    """
+    t = evidence.groupBy("vault", "turn").agg(F.array_join(F.array_sort(F.collect_set(F.nullif("ticker", F.lit("")))), ",").alias("found"))
+    x = runs.join(t, ["vault", "turn"], "left").withColumn("tickers", F.coalesce("found", "tickers", F.lit("")))
+    x = x.withColumn("first", F.element_at(F.split("tickers", ","), 1)).join(companies.select(F.col("ticker").alias("first"), F.col("title").alias("_title")), "first", "left")
+    x = x.withColumn("company", F.coalesce("company", "_title")).drop("found", "first", "_title")
+    if results is None:
+        return x
+    name = F.concat(F.lit("results/turn-"), F.when(F.col("turn") < 1000, F.lpad(F.col("turn").cast("string"), 3, "0")).otherwise(F.col("turn").cast("string")), F.lit("-"), slug(F.col("agent")), F.lit(".json"))
+    paths = results.where("coalesce(agent, '') <> ''").groupBy("vault", "turn").agg(F.array_sort(F.collect_set(F.struct("agent", name.alias("path")))).alias("_paths"))
+    x = x.join(paths, ["vault", "turn"], "left")
+    if "result_paths" in runs.columns:
+        return x.withColumn("result_paths", F.when(F.size("result_paths") > 0, F.col("result_paths")).otherwise(F.col("_paths"))).drop("_paths")
+    return x.withColumnRenamed("_paths", "result_paths")
+
+
+def backfill_evidence(evidence: DataFrame, companies: DataFrame) -> DataFrame:
+    """evidence(vault, turn, type, ticker, node_id) and a company node for each ticker of a run that has none, if the company is known."""
+    entity = F.max((F.col("type") == "finance.entity").cast("int"))
+    missing = evidence.where("coalesce(ticker, '') <> ''").groupBy("vault", "turn", "ticker").agg(F.coalesce(entity, F.lit(0)).alias("_has")).where("_has = 0")
+    node = missing.join(companies.select("ticker", "node_id"), "ticker").select("vault", "turn", F.lit("finance.entity").alias("type"), "ticker", "node_id")
+    return evidence.select("vault", "turn", "type", "ticker", "node_id").unionByName(node)
 
 
 # ---- reuse --------------------------------------------------------------------------------------------------------

@@ -128,28 +128,37 @@ def gather_evidence(spark, d):
     return op.gather_evidence(sel, edges(spark, d), n)
 
 
-@query("neighborhood", GRAPH_SQL + """,
-und AS (SELECT source AS a, target AS b FROM edges WHERE rel IN ('has_filing', 'filed_by', 'reports') UNION SELECT target, source FROM edges WHERE rel IN ('has_filing', 'filed_by', 'reports')),
-h1 AS (SELECT DISTINCT b AS id, 1 AS hop FROM und WHERE a = 'entity:C5' AND b <> 'entity:C5'),
-t1 AS (SELECT * FROM (SELECT 'entity:C5' AS id, 0 AS hop UNION ALL SELECT * FROM h1) ORDER BY hop, id LIMIT 120),
-h2 AS (SELECT DISTINCT b AS id, 2 AS hop FROM und WHERE a IN (SELECT id FROM t1 WHERE hop = 1) AND b NOT IN (SELECT id FROM t1))
-SELECT id, CAST(hop AS INT) AS hop FROM (SELECT * FROM t1 UNION ALL SELECT * FROM h2) ORDER BY hop, id LIMIT 120""")
+CENTERS_SQL = GRAPH_SQL + """,
+own AS (SELECT source, target, rel, ordinal FROM edges WHERE rel IN ('has_filing', 'filed_by')),
+near AS (SELECT a, b, min(ordinal) AS p FROM (SELECT source AS a, target AS b, ordinal FROM own UNION ALL SELECT target, source, ordinal FROM own) GROUP BY ALL),
+c AS (SELECT 'entity:C' || c_custkey AS center FROM customer UNION ALL SELECT id FROM filings WHERE ordinal % 40 = 1),
+f0 AS (SELECT center, center AS id, 0 AS hop, 1 AS place FROM c),
+r1 AS (SELECT center, id, row_number() OVER (PARTITION BY center ORDER BY at, id) + 1 AS place FROM (SELECT center, b AS id, min((place, p)) AS at FROM f0 JOIN near ON a = id WHERE b <> center GROUP BY center, b)),
+f1 AS (SELECT * FROM f0 UNION ALL SELECT center, id, 1, place FROM r1 WHERE place <= 120),
+r2 AS (SELECT center, id, row_number() OVER (PARTITION BY center ORDER BY at, id) AS k FROM (
+  SELECT f1.center, b AS id, min((place, p)) AS at FROM f1 JOIN near ON a = f1.id LEFT JOIN (SELECT center, id AS d FROM f1) g ON g.center = f1.center AND d = b WHERE hop = 1 AND d IS NULL GROUP BY f1.center, b)),
+f2 AS (SELECT * FROM f1 UNION ALL SELECT r2.center, id, 2, k + n FROM r2 JOIN (SELECT center, count(*) AS n FROM f1 GROUP BY ALL) USING (center) WHERE k + n <= 120)
+"""
+
+
+def centers(spark, d):
+    """All companies, and each filing with a number 1 beyond a multiple of 40."""
+    own = edges(spark, d).where(F.col("rel").isin(*op.fixed.COMPANY_FILING_RELS)).select("source", "target", "rel", F.col("ordinal").alias("position"))
+    c = table(spark, d, "customer").select(F.concat(F.lit("entity:C"), "c_custkey").alias("center"))
+    return own, c.unionByName(pf.filings(spark, d).where("ordinal % 40 = 1").select(F.col("id").alias("center")))
+
+
+@query("neighborhood", CENTERS_SQL + "SELECT center, id, CAST(hop AS INT) AS hop, CAST(place AS INT) AS place FROM f2")
 def neighborhood(spark, d):
-    return op.neighborhood(edges(spark, d).where(F.col("rel").isin("has_filing", "filed_by", "reports")), "entity:C5")
+    return op.neighborhoods(*centers(spark, d))
 
 
-@query("neighborhood_links", GRAPH_SQL + """,
-own AS (SELECT DISTINCT source, target, rel FROM edges WHERE rel IN ('has_filing', 'filed_by')),
-und AS (SELECT source AS a, target AS b FROM own UNION SELECT target, source FROM own),
-h1 AS (SELECT DISTINCT b AS id, 1 AS hop FROM und WHERE a = 'entity:C5' AND b <> 'entity:C5'),
-t1 AS (SELECT * FROM (SELECT 'entity:C5' AS id, 0 AS hop UNION ALL SELECT * FROM h1) ORDER BY hop, id LIMIT 120),
-h2 AS (SELECT DISTINCT b AS id, 2 AS hop FROM und WHERE a IN (SELECT id FROM t1 WHERE hop = 1) AND b NOT IN (SELECT id FROM t1)),
-f AS (SELECT id FROM (SELECT * FROM t1 UNION ALL SELECT * FROM h2) ORDER BY hop, id LIMIT 120)
-SELECT source, target, rel FROM own WHERE source IN (SELECT id FROM f) AND target IN (SELECT id FROM f)""")
+@query("neighborhood_links", CENTERS_SQL + """
+SELECT DISTINCT x.center, source, target, rel FROM own JOIN f2 x ON source = x.id JOIN f2 y ON target = y.id AND x.center = y.center""")
 def neighborhood_links(spark, d):
-    """The company-filing edges among the nodes around one company."""
-    own = edges(spark, d).where(F.col("rel").isin("has_filing", "filed_by")).select("source", "target", "rel").distinct()
-    return op.induced_links(own, op.neighborhood(own, "entity:C5"))
+    """The company-filing edges among the nodes around each centre."""
+    own, c = centers(spark, d)
+    return op.neighborhood_links(own, op.neighborhoods(own, c))
 
 
 @query("form_legend", GRAPH_SQL + """
@@ -159,13 +168,14 @@ def form_legend(spark, d):
 
 
 @query("node_overlay", GRAPH_SQL + """
-SELECT id, CASE WHEN status = 'F' THEN form || '*' ELSE form END AS form, CASE WHEN status = 'F' AND price > 200000 THEN 'new ' || id ELSE 'old' END AS preview FROM filings""")
+SELECT id, CASE WHEN status = 'F' THEN form || '*' ELSE form END AS form, CASE WHEN status = 'F' AND price > 200000 THEN 'new ' || id WHEN status = 'F' THEN 'zz' ELSE 'old' END AS preview FROM filings""")
 def node_overlay(spark, d):
     f = pf.filings(spark, d)
     n = f.select("id", "form", F.lit("old").alias("preview"))
     over = f.where("status = 'F'").select("id", F.lit("finance.filing").alias("type"), F.concat("form", F.lit("*")).alias("form"), F.when(F.col("price") > 200000, F.concat(F.lit("new "), "id")).otherwise("").alias("preview"))
     early = over.select("id", F.lit(0).alias("position"), "type", F.lit("zz").alias("form"), F.lit("zz").alias("preview"))
-    over = over.withColumn("position", F.lit(1)).unionByName(early)
+    late = over.select("id", F.lit(2).alias("position"), "type", F.lit(None).cast("string").alias("form"), F.lit(None).cast("string").alias("preview"))  # gives nothing
+    over = over.withColumn("position", F.lit(1)).unionByName(early).unionByName(late)
     return op.node_overlay(n, over).select("id", "form", "preview")
 
 
@@ -194,10 +204,23 @@ def merge_links(spark, d):
     return op.undirected_links(corpus(spark, d).withColumn("ordinal", F.lit(0)))
 
 
+@query("edge_overlay", CORPUS_SQL + """
+SELECT source, target, rel FROM corpus WHERE target IN (SELECT id FROM filings) AND source NOT IN (SELECT id FROM filings WHERE status = 'F')
+UNION ALL SELECT id, p, 'amends' FROM (SELECT tl.*, status, price FROM tl JOIN filings USING (id)) WHERE status = 'F' AND price > 200000 AND p IS NOT NULL""")
+def edge_overlay(spark, d):
+    """Finished filings keep one amending edge if they are large, and none otherwise; targets outside the graph go."""
+    c, f = corpus(spark, d), fop.timeline(pf.filings(spark, d))
+    edge = lambda target: F.array(F.struct(F.col(target).alias("target"), F.lit("amends").alias("rel")))
+    over = f.where("status = 'F'").select("id", F.lit(1).alias("position"), F.lit("finance.filing").alias("type"), F.when(F.col("price") > 200000, edge("prior_filing")).alias("edges"))
+    over = over.unionByName(over.select("id", F.lit(0).alias("position"), "type", edge("id").alias("edges")))
+    return op.edge_overlay(c, over, f)
+
+
 @query("node_degree", CORPUS_SQL + """,
-und AS (SELECT source AS a, target AS b FROM corpus UNION SELECT target, source FROM corpus),
+own AS (SELECT source, target FROM corpus WHERE rel IN ('has_filing', 'filed_by')),
+und AS (SELECT source AS a, target AS b FROM own UNION SELECT target, source FROM own),
 n AS (SELECT id, 'finance.filing' AS type FROM filings UNION ALL SELECT 'entity:C' || c_custkey, 'finance.entity' FROM customer)
-SELECT id, type, count(b) AS degree FROM n LEFT JOIN und ON a = id GROUP BY ALL""")
+SELECT n.id, type, count(b) AS degree FROM n LEFT JOIN (SELECT * FROM und WHERE b IN (SELECT id FROM n)) und ON a = n.id GROUP BY ALL""")
 def node_degree(spark, d):
     n = nodes(spark, d).where(F.col("type").isin("finance.filing", "finance.entity"))
     return op.node_degree(n, corpus(spark, d))

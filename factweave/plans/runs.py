@@ -371,13 +371,25 @@ def agent_compare(spark, d):
 
 
 @query("backfill_runs", E_SQL + """,
-t AS (SELECT vault, turn, string_agg(DISTINCT ticker, ',' ORDER BY ticker) AS found, min(ticker) AS f FROM evidence WHERE ticker IS NOT NULL GROUP BY ALL),
-x AS (SELECT r.vault, r.turn, coalesce(nullif(r.tickers, ''), found, '') AS tickers, coalesce(f, string_split(coalesce(nullif(r.tickers, ''), found, ''), ',')[1]) AS f FROM runs r LEFT JOIN t USING (vault, turn))
-SELECT vault, turn, tickers, s_name AS company FROM x LEFT JOIN supplier ON 'T' || s_suppkey = f""")
+t AS (SELECT vault, turn, coalesce(string_agg(DISTINCT ticker, ',' ORDER BY ticker), '') AS found FROM evidence GROUP BY ALL),
+x AS (SELECT r.vault, r.turn, coalesce(found, r.tickers, '') AS tickers FROM runs r LEFT JOIN t USING (vault, turn))
+SELECT vault, turn, tickers, s_name AS company, 'results/turn-' || CASE WHEN turn < 1000 THEN lpad(CAST(turn AS VARCHAR), 3, '0') ELSE CAST(turn AS VARCHAR) END || '-local-agent.json' AS result_path
+FROM x LEFT JOIN supplier ON 'T' || s_suppkey = string_split(tickers, ',')[1]""")
 def backfill_runs(spark, d):
+    """Runs with stored tickers that their evidence corrects, and runs without."""
     r = runs(spark, d).select("vault", "turn", "tickers", F.lit(None).cast("string").alias("company"))
     comp = table(spark, d, "supplier").select(F.concat(F.lit("T"), "s_suppkey").alias("ticker"), F.col("s_name").alias("title"))
-    return op.backfill_runs(r, evidence(spark, d), comp)
+    results = r.select("vault", "turn", F.lit("Local Agent").alias("agent"))
+    out = op.backfill_runs(r, evidence(spark, d), comp, results)
+    return out.select("vault", "turn", "tickers", "company", F.element_at("result_paths", 1)["path"].alias("result_path"))
+
+
+@query("backfill_evidence", E_SQL + """
+SELECT vault, turn, type, ticker, node_id FROM evidence
+UNION ALL SELECT DISTINCT vault, turn, 'finance.entity', ticker, 'entity:' || ticker FROM evidence JOIN supplier ON ticker = 'T' || s_suppkey""")
+def backfill_evidence(spark, d):
+    comp = table(spark, d, "supplier").select(F.concat(F.lit("T"), "s_suppkey").alias("ticker")).withColumn("node_id", F.concat(F.lit("entity:"), "ticker"))
+    return op.backfill_evidence(evidence(spark, d), comp)
 
 
 @query("research_reuse", """

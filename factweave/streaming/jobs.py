@@ -6,10 +6,12 @@ back as "last batch wins"; no job keeps or rewrites a whole table on the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from factweave.operators import runs
 from factweave.session import work_dir
@@ -21,20 +23,25 @@ def read_table_stream(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append", prepare: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
-    """Runs the stream over all data at hand; returns the written rows with their ``batch``."""
+def run_available(stream: DataFrame, name: str, mode: str = "append", prepare: Callable[[DataFrame, int], DataFrame] | None = None, base: str | None = None, parts: tuple[str, ...] = ()) -> DataFrame:
+    """Runs the stream over all data at hand; returns the written rows with their ``batch``. With the base of an earlier run it goes on there."""
     spark = stream.sparkSession
-    base = work_dir(spark, name)
+    base = base or work_dir(spark, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         out = prepare(batch, batch_id) if prepare else batch
-        out.write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id}")
+        out.write.mode("overwrite").partitionBy(*parts).parquet(f"{base}/rows/batch={batch_id}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
     return spark.read.parquet(f"{base}/rows")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def current(log: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """Latest row of each key in the batch log."""
     rest = [c for c in log.columns if c not in keys]
@@ -74,24 +81,82 @@ def source_versions(evidence: DataFrame) -> DataFrame:
     return runs.turn_versions(turns).select("vault", "source_key", "turn", "version")
 
 
-def new_filings(filings: DataFrame, existing: DataFrame) -> DataFrame:
-    """Filings as they arrive; outputs that exist are skipped per batch, the checkpoint remembers the files read."""
-    have = existing.select("output").distinct()
-    return run_available(filings, "filings", prepare=lambda batch, _: batch.join(have, "output", "left_anti")).drop("batch")
+#: Hash buckets of the registry of outputs.
+BUCKETS = 64
+
+
+def new_filings(filings: DataFrame, existing: DataFrame, base: str | None = None) -> DataFrame:
+    """Filings as they arrive, each output once: not if it exists, came in an earlier batch, or came before in its own batch.
+
+    The registry is what the batches have written, cut into buckets by the hash of the output; a batch reads only the buckets that
+    it touches, of batches before it, so a replay gives the same rows. Of one output in a batch the least row stays.
+    """
+    spark = filings.sparkSession
+    base = base or work_dir(spark, "filings")
+    bucket = F.pmod(F.xxhash64("output"), F.lit(BUCKETS)).cast("int")
+    if not exists(spark, f"{base}/existing"):
+        existing.select("output").distinct().withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{base}/existing")
+    rest = [c for c in filings.columns if c != "output"]
+
+    def unseen(batch: DataFrame, batch_id: int) -> DataFrame:
+        new = batch.groupBy("output").agg(F.min(F.struct(*rest)).alias("r")).select("output", "r.*").withColumn("bucket", bucket)
+        touched = F.col("bucket").isin([r[0] for r in new.select("bucket").distinct().collect()])  # BUCKETS at most
+        schema = "output string, bucket int"
+        seen = spark.read.schema(schema).parquet(f"{base}/existing").where(touched).select("output")
+        if exists(spark, f"{base}/rows"):
+            seen = seen.union(spark.read.schema(f"{schema}, batch int").parquet(f"{base}/rows").where(touched & (F.col("batch") < batch_id)).select("output"))
+        return new.join(seen, "output", "left_anti")
+
+    return run_available(filings, "filings", prepare=unseen, base=base, parts=("bucket",)).select(*filings.columns)
+
+
+def answer_log(answers: DataFrame, keys: list[str], agents: list[str], base: str | None = None) -> DataFrame:
+    """answers(keys, agent, status, ...) -> events as they come: each answer in the batch that brings it, and a final event in the
+    batch in which the last agent answers; with the ``batch``.
+
+    The state of a question holds the status of each agent, marks of the answers told and the final status told. An answer that comes
+    again is not told again; a later answer of an agent is an event of its own, and a new final event follows only if it changes the outcome.
+    """
+    rest = [c for c in answers.columns if c not in (*keys, "agent")]
+    columns = [*keys, "agent", *rest, "event"]
+    types = dict(answers.dtypes) | {"event": "string"}
+    whole = {c for c, t in types.items() if t in ("tinyint", "smallint", "int", "bigint")}
+
+    def plain(name: str, value):
+        return None if pd.api.types.is_scalar(value) and pd.isna(value) else int(value) if name in whole else value
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        told, names, statuses, final = state.get if state.exists else ([], [], [], None)
+        told, status, events = set(told), dict(zip(names, statuses, strict=True)), []
+        new = [{c: plain(c, v) for c, v in r.items()} for frame in frames for r in frame.to_dict("records")]  # one question in one batch
+        for r in sorted(new, key=lambda r: [(r[c] is not None, r[c]) for c in rest]):
+            if r["_mark"] not in told:
+                told.add(r["_mark"])
+                status[r["agent"]] = r["status"]
+                events.append([*[r[c] for c in columns[:-1]], "answer"])
+        if all(a in status for a in agents):
+            now = "ok" if all(status[a] == "ok" for a in agents) else "failed"
+            if now != final:
+                final = now
+                events.append([*[new[0][k] for k in keys], None, *[now if c == "status" else None for c in rest], "final"])
+        state.update((sorted(told), list(status), list(status.values()), final))
+        yield pd.DataFrame(events, columns=columns, dtype=object)
+
+    marked = answers.select(*keys, "agent", *rest, F.xxhash64("agent", *rest).alias("_mark"))
+    events = marked.groupBy(*keys).applyInPandasWithState(
+        step, ", ".join(f"`{c}` {types[c]}" for c in columns), "told array<bigint>, names array<string>, statuses array<string>, final string", "append", GroupStateTimeout.NoTimeout)
+    return run_available(events, "answers", base=base)
 
 
 def answer_events(answers: DataFrame, keys: list[str], agents: list[str]) -> DataFrame:
-    """answers(keys, agent, status, ...): each agent's answer as it comes, failed ones too, and one final event per question.
+    """The events of answer_log as they stand at the end: the last answer of each agent, failed ones too, and the final event.
 
-    No answer waits for its partner or is dropped for its delay. A question is final when every agent has answered; its event lists
-    the agents and whether all succeeded. The last answer of an agent counts.
+    No answer waits for its partner or is dropped for its delay.
     """
     rest = [c for c in answers.columns if c not in (*keys, "agent")]
-    log = run_available(answers, "answers")
-    each = log.groupBy(*keys, "agent").agg(F.max_by(F.struct(*rest), F.struct("batch", *rest)).alias("r")).select(*keys, "agent", "r.*")
-    final = each.where(F.col("agent").isin(agents)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_agents"), F.bool_and(F.col("status") == "ok").alias("_ok"), *[F.lit(None).cast(t).alias(c) for c, t in answers.select(*rest).dtypes if c != "status"])
-    final = final.where(F.col("_agents") == len(agents)).withColumn("status", F.when(F.col("_ok"), "ok").otherwise("failed")).withColumn("agent", F.lit(None).cast("string"))
-    return each.withColumn("event", F.lit("answer")).unionByName(final.select(*keys, "agent", *rest).withColumn("event", F.lit("final")))
+    log = answer_log(answers, keys, agents)
+    last = log.groupBy(*keys, "agent", "event").agg(F.max_by(F.struct(*rest), F.struct("batch", *rest)).alias("r"))
+    return last.select(*keys, "agent", "r.*", "event")
 
 
 def price_bars(trades: DataFrame) -> DataFrame:
