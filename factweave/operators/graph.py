@@ -62,22 +62,49 @@ def fact_score(question: Column, hay: Column, kind: Column) -> Column:
     return words * 4 + F.when(kind == "finance.fact", 1).otherwise(0)
 
 
+def word_mask(text: Column) -> Column:
+    """Which of the score words a text holds, one bit each."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return sum((F.contains(low, F.lit(w)).cast("int") * F.lit(1 << i) for i, w in enumerate(fixed.FACT_SCORE_WORDS)), F.lit(0))
+
+
+def best_linked_facts(asked: DataFrame, edges: DataFrame, nodes: DataFrame, keep: int = 4) -> DataFrame:
+    """asked(node, mask), each once: the best ``keep`` linked facts of a node for a question with those score words.
+
+    Facts with the same words and kind score alike for every question, so a node keeps the best few of each such group: what
+    questions meet is bounded by the sets of words, not by the links of a node. Ties: larger title, earlier link, smaller id.
+    """
+    n = nodes.select(F.col("id").alias("target"), (F.col("type") == "finance.fact").cast("int").alias("kind"), "title", word_mask(F.col("hay")).alias("words"))
+    order = [F.desc("title"), "ordinal", "target"]
+    linked = edges.where(F.col("rel").isin(fixed.LINKED_FACT_RELS)).select(F.col("source").alias("node"), "target", "ordinal").join(n, "target")
+    linked = linked.join(asked.select("node").distinct(), "node", "left_semi")
+    top = linked.withColumn("_r", F.row_number().over(W.partitionBy("node", "words", "kind").orderBy(*order))).where(F.col("_r") <= keep).drop("_r")
+    met = asked.join(top, "node").withColumn("score", F.bit_count(F.col("mask").bitwiseAND(F.col("words"))) * 4 + F.col("kind"))
+    return met.withColumn("_r", F.row_number().over(W.partitionBy("node", "mask").orderBy(F.desc("score"), *order))).where(F.col("_r") <= keep).select("node", "mask", "target", "score", "title", "ordinal")
+
+
 def gather_evidence(selected: DataFrame, edges: DataFrame, nodes: DataFrame, limit: int = 8) -> DataFrame:
-    """selected(question_id, question, id, type): node, its context, four best facts, their sources; at most eight."""
+    """selected(question_id, question, id, type): node, its context, four best facts, their sources; at most eight.
+
+    Neither facts nor sources of a node meet its questions one by one: questions pick among the best facts for their score words,
+    and among the first four sources of a node.
+    """
     ctx = context_node(selected, edges, nodes)
     base = ctx.select("question_id", "question", F.explode(F.array(F.struct(F.lit(0).alias("o"), F.col("id").alias("node")), F.struct(F.lit(1).alias("o"), F.col("context").alias("node")))).alias("b"))
-    base = base.groupBy("question_id", "question", F.col("b.node").alias("node")).agg(F.min("b.o").alias("o"))
+    base = base.groupBy("question_id", "question", F.col("b.node").alias("node")).agg(F.min("b.o").alias("o")).withColumn("mask", word_mask(F.col("question")))
     n = nodes.select(F.col("id").alias("target"), "type", "title", "hay")
-    facts = edges.where(F.col("rel").isin(fixed.LINKED_FACT_RELS)).join(base, F.col("source") == F.col("node")).join(n, "target")
-    facts = facts.withColumn("score", fact_score(F.col("question"), F.col("hay"), F.col("type")))
+    facts = base.join(best_linked_facts(base.select("node", "mask").distinct(), edges, nodes), ["node", "mask"])
     own = selected.where("type = 'finance.fact'").join(n.drop("type"), F.col("id") == F.col("target"))
     own = own.select("question_id", "question", "target", fact_score(F.col("question"), F.col("hay"), F.col("type")).alias("score"), "title", F.lit(2).alias("o"), F.lit(0).cast("long").alias("ordinal"))
     cols = ["question_id", "question", "target", "score", "title", "o", "ordinal"]
     w = W.partitionBy("question_id").orderBy(F.desc("score"), F.desc("title"), "o", "ordinal", "target")
     best = facts.select(cols).unionByName(own).withColumn("r", F.row_number().over(w)).where("r <= 4")
+    base = base.drop("mask")
     chosen = base.unionByName(best.select("question_id", "question", F.col("target").alias("node"), (F.col("r") + 1).alias("o")))
     chosen = chosen.groupBy("question_id", "question", "node").agg(F.min("o").alias("o"))
-    links = edges.where(F.col("rel").isin(fixed.LINKED_SOURCE_RELS)).join(chosen, F.col("source") == F.col("node"))
+    first = edges.where(F.col("rel").isin(fixed.LINKED_SOURCE_RELS)).select("source", "target", "ordinal")
+    first = first.withColumn("_r", F.row_number().over(W.partitionBy("source").orderBy("ordinal", "target"))).where("_r <= 4").drop("_r")
+    links = first.join(chosen, F.col("source") == F.col("node"))
     ws = W.partitionBy("question_id").orderBy("o", "ordinal", "target")
     cap = F.when(has_any(F.lower("question"), fixed.SOURCE_TERMS), 4).otherwise(2)
     src = links.withColumn("r", F.row_number().over(ws)).where("r <= 4").where(F.col("r") <= cap)

@@ -133,10 +133,10 @@ own AS (SELECT source, target, rel, ordinal FROM edges WHERE rel IN ('has_filing
 near AS (SELECT a, b, min(ordinal) AS p FROM (SELECT source AS a, target AS b, ordinal FROM own UNION ALL SELECT target, source, ordinal FROM own) GROUP BY ALL),
 c AS (SELECT 'entity:C' || c_custkey AS center FROM customer UNION ALL SELECT id FROM filings WHERE ordinal % 40 = 1),
 f0 AS (SELECT center, center AS id, 0 AS hop, 1 AS place FROM c),
-r1 AS (SELECT center, id, row_number() OVER (PARTITION BY center ORDER BY at, id) + 1 AS place FROM (SELECT center, b AS id, min((place, p)) AS at FROM f0 JOIN near ON a = id WHERE b <> center GROUP BY center, b)),
+r1 AS (SELECT center, id, row_number() OVER (PARTITION BY center ORDER BY w, id) + 1 AS place FROM (SELECT center, b AS id, min((place, p)) AS w FROM f0 JOIN near ON a = id WHERE b <> center GROUP BY center, b)),
 f1 AS (SELECT * FROM f0 UNION ALL SELECT center, id, 1, place FROM r1 WHERE place <= 120),
-r2 AS (SELECT center, id, row_number() OVER (PARTITION BY center ORDER BY at, id) AS k FROM (
-  SELECT f1.center, b AS id, min((place, p)) AS at FROM f1 JOIN near ON a = f1.id LEFT JOIN (SELECT center, id AS d FROM f1) g ON g.center = f1.center AND d = b WHERE hop = 1 AND d IS NULL GROUP BY f1.center, b)),
+r2 AS (SELECT center, id, row_number() OVER (PARTITION BY center ORDER BY w, id) AS k FROM (
+  SELECT f1.center, b AS id, min((place, p)) AS w FROM f1 JOIN near ON a = f1.id LEFT JOIN (SELECT center, id AS d FROM f1) g ON g.center = f1.center AND d = b WHERE hop = 1 AND d IS NULL GROUP BY f1.center, b)),
 f2 AS (SELECT * FROM f1 UNION ALL SELECT r2.center, id, 2, k + n FROM r2 JOIN (SELECT center, count(*) AS n FROM f1 GROUP BY ALL) USING (center) WHERE k + n <= 120)
 """
 

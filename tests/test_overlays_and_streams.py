@@ -3,6 +3,7 @@
 
 import random
 
+from factweave.functions import fixed
 from factweave.operators import graph, runs
 from factweave.streaming import jobs
 
@@ -119,3 +120,26 @@ def test_neighborhoods_of_all_centres(spark):
         assert got == want
         pairs = {(r.center, r.source, r.target) for r in graph.neighborhood_links(edges, found).collect()}
         assert pairs == {(n, s, t) for n in names for s, t in links if s in dict(want[n]) and t in dict(want[n])}
+
+
+def test_evidence_of_many_questions_at_a_hub(spark):
+    rng = random.Random(9)
+    words = fixed.FACT_SCORE_WORDS
+    some = lambda n: " ".join(rng.sample(words, n))
+    facts = {f"f{i}": (rng.choice(["finance.fact", "finance.metric"]), f"title {rng.randrange(60)}", some(rng.randrange(4))) for i in range(400)}
+    nodes = [("hub", "finance.filing", "hub", "")] + [(k, *v) for k, v in facts.items()]
+    links = [("hub", k, rng.choice(fixed.LINKED_FACT_RELS), i) for i, k in enumerate(facts)] + [("hub", "f0", "other", 1)]
+    asked = {q: f"what about {some(rng.randrange(6))}?" for q in range(300)}
+    hay = {k: v[2] for k, v in facts.items()}
+    edges = spark.createDataFrame(links, "source string, target string, rel string, ordinal long")
+    n = spark.createDataFrame(nodes, "id string, type string, title string, hay string")
+    got = graph.gather_evidence(spark.createDataFrame([(q, t, "hub", "finance.filing") for q, t in asked.items()], "question_id long, question string, id string, type string"), edges, n)
+    told = {}
+    for r in got.orderBy("question_id", "position").collect():
+        told.setdefault(r.question_id, []).append(r.node)
+    score = lambda q, k: 4 * sum(w in asked[q] and w in hay[k] for w in words) + (facts[k][0] == "finance.fact")
+    place = {t: o for _, t, r, o in links if r != "other"}
+    for q in asked:
+        order = sorted(facts, key=lambda k: place[k])
+        order.sort(key=lambda k: (score(q, k), facts[k][1]), reverse=True)  # stable: earlier links first on ties
+        assert told[q] == ["hub", *order[:4]]
