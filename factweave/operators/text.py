@@ -12,35 +12,48 @@ from factweave.functions import text as tx
 from factweave.operators.questions import has_any
 
 
-def rank_facts(facts: DataFrame, question: str, keep: int = 18) -> DataFrame:
-    """facts(path, fields map) of structured filings -> the best ``keep`` rows per filing, repeated lines once.
+def _asked(requests: DataFrame) -> DataFrame:
+    """requests(question_id, question, path) with what decides a rank: the terms and whether the question is about investing."""
+    low = F.lower(F.coalesce("question", F.lit("")))
+    return requests.select("question_id", "path", tx.question_terms(low).alias("terms"), has_any(low, fixed.INVESTMENT_TERMS).alias("investing"))
 
-    Ties go to the larger line text. The window is a top-k.
-    """
+
+def _ranked_lines(facts: DataFrame, keys: list[str], keep: int) -> DataFrame:
+    """facts(keys, fact_no, fields, terms, investing) -> the best ``keep`` lines of each key, repeated lines once."""
     g = lambda k: F.element_at("fields", k)
-    terms = tx.question_terms(F.lit(question))
-    label = g("label")
-    low = F.lower(label)
-    wanted = fixed.LABEL_WANTED
-    is_inv = any(t in question.lower() for t in fixed.INVESTMENT_TERMS)
-    hit = F.regexp_like(label, F.lit("(?i)" + "|".join(wanted)))
-    if not is_inv:
-        hit = hit | (tx.term_hits(label, terms) > 0)
+    label, terms = g("label"), F.col("terms")
+    hits = tx.term_hits(label, terms)
+    hit = F.regexp_like(label, F.lit("(?i)" + "|".join(fixed.LABEL_WANTED))) | (~F.col("investing") & (hits > 0))
     base = F.lit(fixed.FACT_RANK_BASE)
     for pattern, score in reversed(fixed.LABEL_SCORES):
         base = F.when(F.regexp_like(label, F.lit(pattern)), score).otherwise(base)
     year = F.when(F.regexp_like(g("period.fiscal_year"), F.lit(r"^\d+$")), g("period.fiscal_year").try_cast("int"))
     rank = (
-        base + fixed.FACT_RANK_TERM * tx.term_hits(label, terms) + F.when(g("dimensions").isNull(), fixed.FACT_RANK_CONSOLIDATED).otherwise(0)
+        base + fixed.FACT_RANK_TERM * hits + F.when(g("dimensions").isNull(), fixed.FACT_RANK_CONSOLIDATED).otherwise(0)
         + F.when(F.lower(F.coalesce(g("key_fact"), F.lit(""))) == "true", fixed.FACT_RANK_KEY_FACT).otherwise(0) + F.coalesce(F.least(year - 2000, F.lit(fixed.FACT_RANK_MOST_YEARS)), F.lit(0))
     )
     blank = lambda c: F.nullif(c, F.lit(""))
     period = F.coalesce(blank(g("period.end")), blank(g("period.instant")), g("period.fiscal_year"), F.lit(""))
     line = F.concat(F.lit("- "), label, F.lit(": "), F.coalesce(blank(g("display_value")), g("value"), F.lit("n/a")), F.lit(" ("), period, F.lit(")"))
-    x = facts.where(F.coalesce(label, F.lit("")) != "").where(hit & ~has_any(low, fixed.LABEL_EXCLUDED)).select("path", "fact_no", rank.alias("score"), line.alias("line"))
-    w = W.partitionBy("path").orderBy(F.desc("score"), F.desc("line"), "fact_no")
+    x = facts.where(F.coalesce(label, F.lit("")) != "").where(hit & ~has_any(F.lower(label), fixed.LABEL_EXCLUDED)).select(*keys, "fact_no", rank.alias("score"), line.alias("line"))
+    w = W.partitionBy(*keys).orderBy(F.desc("score"), F.desc("line"), "fact_no")
     top = x.withColumn("position", F.row_number().over(w)).where(F.col("position") <= keep)
-    return top.groupBy("path", "line").agg(F.min("position").alias("position"), F.max("score").alias("score"))
+    return top.groupBy(*keys, "line").agg(F.min("position").alias("position"), F.max("score").alias("score"))
+
+
+def rank_facts(facts: DataFrame, question: str | DataFrame, keep: int = 18) -> DataFrame:
+    """facts(path, fields map) of structured filings -> the best ``keep`` rows per filing, repeated lines once.
+
+    One question for all filings, or requests(question_id, question, path) with the filings that each question is asked of:
+    questions with the same terms are ranked once a filing, and meet only the filings that they name. Ties go to the larger line
+    text. The window is a top-k.
+    """
+    if isinstance(question, str):
+        one = facts.withColumn("terms", tx.question_terms(F.lit(question))).withColumn("investing", F.lit(any(t in question.lower() for t in fixed.INVESTMENT_TERMS)))
+        return _ranked_lines(one, ["path"], keep)
+    asked, kind = _asked(question), ["path", "terms", "investing"]
+    lines = _ranked_lines(facts.join(asked.select(*kind).distinct(), "path"), kind, keep)
+    return asked.distinct().join(lines, kind).select("question_id", "path", "line", "position", "score")
 
 
 def text_snippets(docs: DataFrame, keep: int = 4) -> DataFrame:
@@ -58,20 +71,43 @@ def text_snippets(docs: DataFrame, keep: int = 4) -> DataFrame:
     return docs.select("path", F.transform(lines, lambda b: F.concat(F.lit("- "), b["label"], F.lit(": "), F.left(b["v"], F.lit(520)))).alias("snippets"))
 
 
-def filing_excerpts(docs: DataFrame, facts: DataFrame, question: str, limit: int = 6000, splitter: str = r"\n\s*\n") -> DataFrame:
-    """docs(path, text): structured filings give header, best facts and snippets; others their best paragraphs."""
+#: Questions with different terms that read one copy of a text.
+ASKED_TOGETHER = 64
+
+
+def _excerpt(x: DataFrame, terms: Column, best: Column, limit: int) -> tuple[Column, Column]:
+    """kind and excerpt of rows with text, facts (lines) and snippets."""
     structured = F.col("text").startswith('schema_version: "')
-    f = rank_facts(facts, question)
-    lines = f.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda r: r["line"]), "\n").alias("facts"))
     prop = lambda k: F.nullif(F.regexp_extract("text", rf'(?m)^\s*{k}:\s*"?([^"\n]+)"?\s*$', 1), F.lit(""))
     head = F.concat(F.lit("Structured filing summary: "), F.concat_ws(" ", prop("title"), prop("form"), prop("filing_date")))
-    x = docs.join(lines, "path", "left").join(text_snippets(docs.where(structured)), "path", "left")
     body = F.concat_ws("\n\n", F.trim(head), F.when(F.col("facts") != "", F.concat(F.lit("Financial highlights:\n"), "facts")),
                        F.when(F.size("snippets") > 0, F.concat(F.lit("Business/risk snippets:\n"), F.array_join("snippets", "\n"))))
-    best = F.array_join(F.transform(tx.best_chunks(F.col("text"), tx.question_terms(F.lit(question)), 3, splitter), lambda b: b["chunk"]), "\n\n")
     has_parts = F.coalesce(F.col("facts") != "", F.lit(False)) | (F.coalesce(F.size("snippets"), F.lit(0)) > 0)
-    excerpt = F.when(structured & has_parts, sc.trimmed(body, limit)).when(F.size(tx.question_terms(F.lit(question))) == 0, sc.trimmed(F.col("text"), limit)).otherwise(sc.trimmed(best, limit))
-    return x.select("path", F.when(structured & has_parts, "structured").otherwise("paragraphs").alias("kind"), excerpt.alias("excerpt"))
+    excerpt = F.when(structured & has_parts, sc.trimmed(body, limit)).when(F.size(terms) == 0, sc.trimmed(F.col("text"), limit)).otherwise(sc.trimmed(best, limit))
+    return F.when(structured & has_parts, "structured").otherwise("paragraphs").alias("kind"), excerpt.alias("excerpt")
+
+
+def filing_excerpts(docs: DataFrame, facts: DataFrame, question: str | DataFrame, limit: int = 6000, splitter: str = r"\n\s*\n") -> DataFrame:
+    """docs(path, text): structured filings give header, best facts and snippets; others their best paragraphs.
+
+    One question for all texts, or requests(question_id, question, path): a text is read once for ASKED_TOGETHER sets of terms that
+    are asked of it, and by no other question.
+    """
+    joined = lambda rows: F.array_join(F.transform(F.array_sort(rows), lambda r: r["line"]), "\n").alias("facts")
+    best = lambda terms: F.array_join(F.transform(tx.best_chunks(F.col("text"), terms, 3, splitter), lambda b: b["chunk"]), "\n\n")
+    snippets = text_snippets(docs.where(F.col("text").startswith('schema_version: "')))
+    if isinstance(question, str):
+        lines = rank_facts(facts, question).groupBy("path").agg(joined(F.collect_list(F.struct("position", "line"))))
+        x, terms = docs.join(lines, "path", "left").join(snippets, "path", "left"), tx.question_terms(F.lit(question))
+        return x.select("path", *_excerpt(x, terms, best(terms), limit))
+    asked, kind = _asked(question).distinct(), ["path", "terms", "investing"]
+    kinds = asked.select(*kind).distinct()
+    lines = _ranked_lines(facts.join(kinds, "path"), kind, 18).groupBy(*kind).agg(joined(F.collect_list(F.struct("position", "line"))))
+    lots = kinds.join(kinds.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / ASKED_TOGETHER).cast("int").alias("lots")), "path")
+    lots = lots.groupBy("path", F.pmod(F.xxhash64("terms", "investing"), F.col("lots")).alias("lot")).agg(F.collect_list(F.struct("terms", "investing")).alias("asks"))
+    read = docs.join(lots, "path").select("path", "text", F.inline(F.transform("asks", lambda a: F.struct(a["terms"].alias("terms"), a["investing"].alias("investing"), best(a["terms"]).alias("best")))))
+    x = read.join(lines, kind, "left").join(snippets, "path", "left")
+    return asked.join(x.select(*kind, *_excerpt(x, F.col("terms"), F.col("best"), limit)), kind).select("question_id", "path", "kind", "excerpt")
 
 
 def evidence_budget(evidence: DataFrame, filings: int = 3, excerpt: int = 2600, preview: int = 260) -> DataFrame:

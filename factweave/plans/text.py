@@ -178,6 +178,41 @@ def filing_excerpts(spark, d):
     return op.filing_excerpts(docs, acq.structured_facts(docs), FACT_QUESTION, splitter=r"\n")
 
 
+QUESTIONS = {"q0": (FACT_QUESTION, ["segment", "revenue", "operating income", "show", "total", "equity", "growth", "tion"]), "q1": ("Which sales?", ["which", "sales"]), "q2": ("Why is it so?", [])}
+
+
+def requests(spark, d):
+    """Each filing is asked one of three questions, each fifth one another besides."""
+    f = pf.filings(spark, d).select(F.col("accession").alias("path"), "ordinal")
+    asked = f.select("path", F.concat(F.lit("q"), F.col("ordinal") % 3).alias("question_id")).unionByName(f.where("ordinal % 5 = 0").select("path", F.lit("q1").alias("question_id"))).distinct()
+    text = F.element_at(F.create_map(*[F.lit(x) for k, v in QUESTIONS.items() for x in (k, v[0])]), F.col("question_id"))
+    return asked.withColumn("question", text)
+
+
+REQUEST_SQL = pf.W_SQL + f""",
+q(question_id, terms) AS (VALUES {", ".join(f"('{k}', {v[1] or '[]::VARCHAR[]'})" for k, v in QUESTIONS.items())}),
+asked AS (SELECT accession AS path, 'q' || (ordinal % 3) AS question_id FROM filings UNION SELECT accession, 'q1' FROM filings WHERE ordinal % 5 = 0),
+x AS (SELECT question_id, path, '- ' || label || ': ' || ordinal || ' (' || strftime(filing_date, '%Y-%m-%d') || ')' AS line, wanted, n, {HITS(terms="terms", c="label")} AS hits,
+  base + more + fiscal_year - 2000 AS score FROM asked JOIN q USING (question_id) JOIN filings ON accession = path, (VALUES ('Net sales', 90, 25, TRUE, 0), ('Net income', 85, 0, TRUE, 1), ('Other item', 10, 25, FALSE, 3), ('Total equity', 10, 40, FALSE, 4), ('Net sales', 90, 25, TRUE, 5)) v(label, base, more, wanted, n)),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id, path ORDER BY score + 60 * hits DESC, line DESC, n) AS position FROM x WHERE wanted OR hits > 0),
+lines AS (SELECT question_id, path, line, min(position) AS position, max(score + 60 * hits) AS score FROM r GROUP BY ALL)
+"""
+
+
+@query("fact_rank_questions", REQUEST_SQL + "SELECT question_id, path, line, CAST(position AS INT) AS position, CAST(score AS INT) AS score FROM lines")
+def fact_rank_questions(spark, d):
+    return op.rank_facts(acq.structured_facts(structured(spark, d)), requests(spark, d))
+
+
+@query("excerpts_of_questions", REQUEST_SQL + """,
+t AS (SELECT question_id, path, string_agg(line, chr(10) ORDER BY position) AS t FROM lines GROUP BY ALL)
+SELECT question_id, path, 'structured' AS kind, 'Structured filing summary: ' || ticker || ' ' || form || ' ' || strftime(filing_date, '%Y-%m-%d') || chr(10) || chr(10) || 'Financial highlights:' || chr(10) || t || chr(10) || chr(10)
+  || 'Business/risk snippets:' || chr(10) || '- Risk factors: Some risk text' AS excerpt FROM t JOIN filings ON accession = path""")
+def excerpts_of_questions(spark, d):
+    docs = structured(spark, d)
+    return op.filing_excerpts(docs, acq.structured_facts(docs), requests(spark, d))
+
+
 @query("evidence_budget", pr.E_SQL + """,
 e AS (SELECT vault || ':' || turn AS question_id, position, CASE WHEN position = 1 THEN 'finance.price_source' WHEN position = 2 THEN 'finance.entity' ELSE type END AS type, path, line FROM evidence),
 u AS (SELECT *, type = 'finance.filing' AND length(line) > 10 AS usable FROM e),
