@@ -188,3 +188,28 @@ def test_copies_of_items_are_found_as_by_brute_force(spark):
     assert {r.doc_id: r["items"] for r in got.collect()} == want and sum(map(bool, want.values())) > 10
 
 
+
+
+def _first_turn_alone(turns):
+    """A preamble before the first turn, which must be a user's; others are plain."""
+    if turns and turns[0][0] != "user":
+        raise ValueError("a user speaks first")
+    return "".join(f"{'[begin] ' if k == 0 else ''}{r}: {t}\n" for k, (r, t) in enumerate(turns))
+
+
+@pytest.mark.parametrize("n", [1, 64, 65, 66, 67, 300])
+@pytest.mark.parametrize("template", [lambda turns: "".join(f"{k}. {r}: {t}\n" for k, (r, t) in enumerate(turns)), _first_turn_alone])
+def test_long_conversations_of_templates_that_know_the_place(template, n):
+    turns = [(("user", "assistant")[k % 2], f"text {k * k}") for k in range(n)]
+    whole, spans = locate(turns, template)
+    assert whole == template(turns) and [whole[a:b] for _, _, a, b in spans] == [t for _, t in turns]
+    assert spans[0][0] == 0 and spans[-1][1] == len(whole) and all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
+@pytest.mark.parametrize("n", [64, 66, 300])
+def test_long_conversations_with_a_rewritten_history(n):
+    turns = [("user", f"text {k}") for k in range(n)]
+    assert locate(turns, lambda x: "".join(f"{t}\n" for _, t in x[-10:]))[1] is None
+    assert locate(turns, lambda x: f"{len(x)} turns\n" + "".join(f"{t}\n" for _, t in x))[1] is None
+    calls = []
+    assert locate(turns, lambda x: calls.append(len(x)) or "".join(f"{r}: {t}\n" for r, t in x))[1] and max(sorted(calls)[:-1]) <= 65
