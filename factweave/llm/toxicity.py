@@ -6,10 +6,11 @@ taken off their risk as negatives, and the corrected part may not fall below zer
 from learning its positives by heart. Several such classifiers with different draws of batches are averaged in weight.
 
 Features are words and word beginnings of 4, 5 and 6 bytes, lower-cased and without outer punctuation, hashed into
-``BUCKETS`` buckets, present or not. The classifiers are fitted on at most ``POSITIVES`` toxic and ``UNLABELLED`` other
-documents, chosen by the hash of their id and text; the class prior is the share of toxic rows among all
-usable labels, or less where the most telling features are rarer among the unlabelled than that share allows.
-All documents are scored.
+``BUCKETS`` buckets, present or not. Which features are telling, and how far the prior is corrected, follows from their shares
+among at most ``POSITIVES`` toxic documents and among all documents that aren't held out, counted in one pass. Only the
+gradient steps take their unlabelled rows from a sample, ``UNLABELLED`` documents chosen by the hash of their id. The class prior
+is the share of toxic rows among all usable labels, or less where the most telling features are rarer among the
+unlabelled than that share allows. All documents are scored.
 
 Defined results: a null or empty text has no features and gets the score of the bias; several labels of one document
 count as toxic if one is; labels without id or value are ignored; without toxic labels every score is the prior; equal
@@ -56,14 +57,20 @@ def _features(c: W.Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), (np.concatenate(found) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
+def _first_by_hash(ids: DataFrame, most: int) -> DataFrame:
+    """At most so many ids, the first by hash. The count tells where to cut, so that only about that many rows are sorted."""
+    place = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 40))
+    cut = min(1.0, (1.1 * most + 1000) / max(ids.count(), 1))
+    return ids.where(place < int(cut * (1 << 40))).orderBy(place, "doc_id").limit(most)
+
+
 def sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> tuple[DataFrame, float]:
     """(p, buckets) of the rows to learn from, p = 1 for confirmed toxic ones, and the class prior."""
     usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     usable = usable.where(~held_out(5, 0))
     share = usable.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
-    order = F.xxhash64("doc_id", F.lit("toxicity"))
-    chosen = usable.where("toxic = 1").orderBy(order, "doc_id").limit(positives).select("doc_id", F.lit(1).alias("p"))
-    others = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~held_out(5, 0)).orderBy(order, "doc_id").limit(unlabelled)
+    chosen = _first_by_hash(usable.where("toxic = 1").select("doc_id"), positives).select("doc_id", F.lit(1).alias("p"))
+    others = _first_by_hash(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~held_out(5, 0)), unlabelled)
     both = save(chosen.union(others.distinct().select("doc_id", F.lit(0).alias("p"))), "sample")  # the unlabelled hold positives too
     schema = pa.schema([("p", pa.int32()), ("buckets", pa.list_(pa.int32()))])
 
@@ -81,11 +88,35 @@ def sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int)
     return save(rows.mapInArrow(run, "p int, buckets array<int>"), "features"), float(share)
 
 
-def _telling(rows: DataFrame, most: int) -> DataFrame:
-    """The features whose share among positives exceeds that among the unlabelled most, in standard errors."""
-    n = rows.agg(F.sum("p").alias("np"), F.sum(1 - F.col("p")).alias("nu")).first()
-    counts = rows.select("p", F.explode("buckets").alias("f")).groupBy("f").agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("b")).where("a >= 3")
-    np_, nu = max(n[0] or 0, 1), max(n[1] or 0, 1)
+def _counted(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(f, b): in how many documents that aren't held out each wanted bucket occurs; f = -1 counts the documents. Tasks add up first."""
+    schema = pa.schema([("f", pa.int32()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(BUCKETS, np.int64), 0
+        for batch in batches:
+            for c in W.chunks(batch, lower=True):
+                row, bucket = _features(c)
+                ok = wanted[bucket]
+                key = np.unique(row[ok] * BUCKETS + bucket[ok])
+                total += np.bincount(key % BUCKETS, minlength=BUCKETS)
+                n += c.rows.stop - c.rows.start
+        found = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(np.append(-1, found).astype(np.int32)), pa.array(np.append(n, total[found]))], schema=schema)
+
+    rest = docs.where(F.col("doc_id").isNotNull() & ~held_out(5, 0)).select("text")
+    return rest.mapInArrow(run, "f int, b long").groupBy("f").agg(F.sum("b").alias("b"))
+
+
+def _telling(rows: DataFrame, docs: DataFrame, most: int) -> DataFrame:
+    """The features whose share among positives exceeds that among all documents most, in standard errors."""
+    positives = rows.where("p = 1")
+    counts = save(positives.select(F.explode("buckets").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("a")).where("a >= 3"), "positive_features")
+    wanted = np.zeros(BUCKETS, bool)
+    wanted[counts.select("f").toArrow()["f"].to_numpy()] = True  # BUCKETS rows at most
+    among = save(_counted(docs, wanted), "shares")
+    np_, nu = max(positives.count(), 1), max(sum(r["b"] for r in among.where("f = -1").collect()), 1)  # one row, none without documents
+    counts = counts.join(among, "f", "left").withColumn("b", F.coalesce("b", F.lit(0)))
     both = (F.col("a") + F.col("b")) / (np_ + nu)
     z = (F.col("a") / np_ - F.col("b") / nu) / F.sqrt(both * (1 - both) * (1 / np_ + 1 / nu) + 1e-9)
     return counts.where(z >= LEAST_Z).orderBy(F.desc(z), "f").limit(most).select("f", ((F.col("b") / nu) / (F.col("a") / np_)).alias("share"), z.alias("z"))
@@ -132,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     rows, prior = sample(docs, labels, positives, unlabelled)
     prior = min(max(prior, 1e-3), 0.5)
     weights, bias = np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior)))
-    telling = save(_telling(rows, FEATURES), "telling")
+    telling = save(_telling(rows, docs, FEATURES), "telling")
     told = telling.toArrow()
     names = np.sort(told["f"].to_numpy())
     if len(names):
