@@ -9,12 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from factweave.operators import runs
+from factweave.operators.ordered import with_neighbors, with_running
 from factweave.session import work_dir
+from factweave.streaming.blocks import keep, kept, newest
 
 
 def read_table_stream(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -71,14 +74,44 @@ def research_reuse(requests: DataFrame) -> DataFrame:
     return runs.research_reuse(run_available(requests, "reuse").drop("batch"))
 
 
-def source_versions(evidence: DataFrame) -> DataFrame:
-    """Evidence as a log of one row per turn and batch (its first line); versions come from the batch operator over the log."""
-    def first_line(batch: DataFrame, _: int) -> DataFrame:
-        return batch.groupBy("vault", "source_key", "turn").agg(F.min_by("content_hash", "position").alias("content_hash"), F.min("position").alias("position"))
+def source_versions(evidence: DataFrame, base: str | None = None) -> DataFrame:
+    """Version of each source and turn, whatever order the lines arrive in; the first line of a turn counts.
 
-    log = run_available(evidence, "versions", prepare=first_line)
-    turns = log.groupBy("vault", "source_key", "turn").agg(F.min_by("content_hash", "position").alias("content_hash"))
-    return runs.turn_versions(turns).select("vault", "source_key", "turn", "version")
+    Turns are kept in blocks of 4096 with a summary per source: first and last content, changes inside, where a change at a border
+    follows from two neighbours. A new line costs its own block; versions are the changes before a block, composed of the
+    summaries, and those inside it. A later run with the same base goes on where the last one ended.
+    """
+    spark = evidence.sparkSession
+    base = base or work_dir(spark, "versions")
+    keys = ["vault", "source_key"]
+    part = F.concat_ws("-", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("string"), runs.turn_block().cast("string"))
+
+    def merge(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys, "turn").agg(F.min_by("content_hash", "position").alias("content_hash"), F.min("position").alias("position"))
+
+    def inside(rows: DataFrame) -> DataFrame:
+        """Changes up to each turn of a block; the block's first turn has none."""
+        w = Window.partitionBy(*keys, "part").orderBy("turn")
+        changed = (F.lag(F.struct("content_hash")).over(w).isNotNull() & ~F.lag("content_hash").over(w).eqNullSafe(F.col("content_hash"))).cast("int")
+        return rows.withColumn("changed", changed).withColumn("local", F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def summary(rows: DataFrame) -> DataFrame:
+        first = F.min_by(F.struct("content_hash"), "turn")["content_hash"]
+        last = F.max_by(F.struct("content_hash"), "turn")["content_hash"]
+        return inside(rows).groupBy(*keys, "part", runs.turn_block().alias("block")).agg(first.alias("first"), last.alias("last"), F.max("local").alias("changes"))
+
+    lines = evidence.select(*keys, "turn", "content_hash", "position")
+    run_available(lines, "versions", base=base, prepare=lambda batch, n: keep(batch, n, base, part, merge, summary, not exists(spark, f"{base}/blocks")))
+    now = newest(spark, base)
+    made = T.StructType([*[lines.schema[k] for k in keys], T.StructField("block", T.LongType()), *[T.StructField(c, lines.schema["content_hash"].dataType) for c in ("first", "last")], T.StructField("changes", T.LongType())])
+    block = F.floor(F.col("block") / 4096)
+    borders = with_neighbors(kept(spark, base, "summaries", made, now), keys, block, ["block"], ["last"])
+    borders = borders.withColumn("opens", (F.col("prior").isNull() | ~F.col("prior.last").eqNullSafe(F.col("first"))).cast("long"))
+    borders = with_running(borders.drop("prior", "next"), keys, block, ["block"], F.col("opens") + F.col("changes"), "upto")
+    before = borders.select(*keys, "block", (F.col("upto") - F.col("changes")).alias("start"))
+    rows = inside(kept(spark, base, "blocks", lines.schema, now).withColumn("part", part)).withColumn("block", runs.turn_block())
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "block")]
+    return rows.join(before.withColumnsRenamed({k: f"_{k}" for k in (*keys, "block")}), same).select(*keys, "turn", (F.col("start") + F.col("local")).alias("version"))
 
 
 #: Hash buckets of the registry of outputs.

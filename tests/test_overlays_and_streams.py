@@ -143,3 +143,32 @@ def test_evidence_of_many_questions_at_a_hub(spark):
         order = sorted(facts, key=lambda k: place[k])
         order.sort(key=lambda k: (score(q, k), facts[k][1]), reverse=True)  # stable: earlier links first on ties
         assert told[q] == ["hub", *order[:4]]
+
+
+def test_versions_kept_in_blocks(spark, tmp_path):
+    rng, base, schema = random.Random(6), str(tmp_path / "base"), "vault string, source_key string, turn int, position int, content_hash string"
+    rows = [(v, s, t, p, rng.choice(["a", "a", "b", None])) for v, s in (("v", "s"), ("v", "t"), (None, "s")) for t in range(0, 13_000, 7) for p in range(rng.choice([1, 2]))]
+    rng.shuffle(rows)
+
+    def want(lines):
+        first = {}
+        for v, s, t, p, h in lines:
+            first[v, s, t] = min(first.get((v, s, t), (p, h)), (p, h), key=lambda x: x[0])
+        out, last = {}, {}
+        for v, s, t in sorted(first, key=lambda k: (str(k[:2]), k[2])):
+            n, h = last.get((v, s), (0, object()))
+            n += h != first[v, s, t][1]
+            last[v, s] = out[v, s, t] = (n, first[v, s, t][1])
+        return {k: n for k, (n, _) in out.items()}
+
+    told = lambda df: {(r.vault, r.source_key, r.turn): r.version for r in df.collect()}
+    for part in (rows[:2000], rows[2000:-3]):
+        s = _add(spark, tmp_path / "in", part, schema)
+    assert told(jobs.source_versions(s, base)) == want(rows[:-3])
+    gens = {p.name for p in (tmp_path / "base" / "blocks").glob("gen=*")}
+    new = [*rows[-3:-2], ("v", "s", rows[-3][2], 9, "late")] if rows[-3][:2] == ("v", "s") else [("v", "s", 5001, 0, "new")]
+    s = _add(spark, tmp_path / "in", new, schema)
+    assert told(jobs.source_versions(s, base)) == want(rows[:-3] + new)
+    (added,) = {p for p in (tmp_path / "base" / "blocks").glob("gen=*") if p.name not in gens}
+    assert len(list(added.glob("part=*"))) == 1 and len(list((tmp_path / "base" / "summaries" / added.name).glob("part=*"))) == 1
+    assert told(jobs.source_versions(s, base)) == want(rows[:-3] + new)  # a run without new rows changes nothing
