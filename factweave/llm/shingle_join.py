@@ -163,7 +163,7 @@ def _mid_bound(mids: list[bytes | None], i: np.ndarray, j: np.ndarray) -> np.nda
             if len(x) > g:
                 missing[k] += int(x.sum()) - int(counts[k].sum(dtype=np.int64))
         a, b = at[: len(pairs)], at[len(pairs) :]
-        for part in np.array_split(np.arange(len(pairs)), len(pairs) // 4096 + 1):
+        for part in np.array_split(np.arange(len(pairs)), len(pairs) * g // (1 << 21) + 1):
             x, y = a[part], b[part]
             out[pairs[part]] = np.minimum(counts[x], counts[y]).sum(1, dtype=np.int64) + missing[x] + missing[y]
     return out

@@ -36,6 +36,8 @@ POSITIVES, UNLABELLED, FEATURES = 20_000, 40_000, 8192
 #: Standard errors by which a feature's share among positives must exceed that among the unlabelled; fewer are chance.
 LEAST_Z = 4.0
 CLASSIFIERS, STEPS, BATCH = 3, 800, 1024
+#: Bytes of text whose features are held at once.
+CHUNK = 1 << 17
 
 
 def held_out(divisor: int, remainder: int) -> Column:
@@ -76,7 +78,7 @@ def sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in W.chunks(batch, lower=True):
+            for c in W.chunks(batch, lower=True, limit=CHUNK):
                 row, bucket = _features(c)
                 key = np.unique(row * BUCKETS + bucket)
                 ends = np.searchsorted(key, np.arange(c.rows.stop - c.rows.start + 1) * BUCKETS)
@@ -95,11 +97,11 @@ def _counted(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for c in W.chunks(batch, lower=True):
+            for c in W.chunks(batch, lower=True, limit=CHUNK):
                 row, bucket = _features(c)
                 ok = wanted[bucket]
-                key = np.unique(row[ok] * BUCKETS + bucket[ok])
-                total += np.bincount(key % BUCKETS, minlength=BUCKETS)
+                f, times = np.unique(np.unique(row[ok] * BUCKETS + bucket[ok]) % BUCKETS, return_counts=True)
+                total[f] += times
                 n += c.rows.stop - c.rows.start
         found = np.flatnonzero(total)
         yield pa.record_batch([pa.array(np.append(-1, found).astype(np.int32)), pa.array(np.append(n, total[found]))], schema=schema)
@@ -204,7 +206,7 @@ def hash_row(p: int, features: np.ndarray) -> int:
 
 def _scores(batch: pa.RecordBatch, weights: np.ndarray, bias: float) -> Iterator[tuple[slice, np.ndarray]]:
     present = weights != 0
-    for c in W.chunks(batch, lower=True):
+    for c in W.chunks(batch, lower=True, limit=CHUNK):
         row, bucket = _features(c)
         ok = present[bucket]
         key = np.unique(row[ok] * BUCKETS + bucket[ok])
