@@ -1,13 +1,14 @@
-"""Repair of pipe tables in filings and explicit measurement scales, as one flow without joins or Python.
+"""Repair of pipe tables in filings and explicit measurement scales, inside the row of each document.
 
-Documents are cut into lines and shuffled by doc_id once, which serves all windows and groups. A group is never larger
-than one document.
+A document stays one row: its segments are an array of structs, and every step maps that array, so nothing is shuffled,
+sorted or joined. ``each_segment``, ``each_row`` and ``each_cell`` unfold what a step has found.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factweave.functions import cells as ce
@@ -17,22 +18,37 @@ from factweave.functions.columns import let, pin
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, body) -> one row per line; a final line break opens no line. The first line carries hash and final break."""
-    body = F.regexp_replace("body", rf"(?:{LINE_BREAK})\z", "")
-    x = docs.withColumn("d", F.struct(F.sha2("body", 256).alias("source_sha256"), F.when(F.col("body").endswith("\n"), "\n").otherwise("").alias("tail")))
-    x = x.select("doc_id", "d", F.posexplode(F.split(body, LINE_BREAK)).alias("line_no", "line"))
-    return x.select("doc_id", "line_no", "line", F.when(F.col("line_no") == 0, F.col("d")).alias("doc"))
+def lines_of(body: Column) -> Column:
+    """Lines of a text; a final line break opens no line."""
+    return F.split(F.regexp_replace(body, rf"(?:{LINE_BREAK})\z", ""), LINE_BREAK)
+
+
+def segments_of(body: Column) -> Column:
+    """Alternating text and table segments of a text: (is_table, first_line, lines)."""
+    def cut(lines):
+        def at(flags):
+            heads = F.filter(F.sequence(F.lit(0), F.size(flags) - 1), lambda i: (i == 0) | (F.get(flags, i) != F.get(flags, i - 1)))
+            part = lambda h: F.transform(h, lambda i, k: F.struct(
+                F.get(flags, i).alias("is_table"), i.alias("first_line"), F.slice(lines, i + 1, F.coalesce(F.get(h, k + 1), F.size(flags)) - i).alias("lines")))
+            return let(heads, part)
+        return let(F.transform(lines, lambda l: F.regexp_like(l, F.lit(r"(?U)^\s*\|"))), at)
+    return F.when(body.isNotNull(), let(lines_of(body), cut))
 
 
 def segments(docs: DataFrame) -> DataFrame:
-    """Alternating text and table segments per document: (doc_id, seg_no, is_table, first_line, lines)."""
-    w = W.partitionBy("doc_id").orderBy("line_no")
-    x = lines(docs).withColumn("is_table", F.regexp_like("line", F.lit(r"(?U)^\s*\|")))
-    x = x.withColumn("_new", (~F.lag("is_table").over(w).eqNullSafe(F.col("is_table"))).cast("int"))
-    x = x.withColumn("seg_no", F.sum("_new").over(w))
-    g = x.groupBy("doc_id", "seg_no", "is_table").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("r"), F.first("doc", ignorenulls=True).alias("doc"))
-    return g.select("doc_id", "seg_no", "is_table", "doc", F.col("r")[0]["line_no"].alias("first_line"), F.transform("r", lambda r: r["line"]).alias("lines"))
+    """docs(doc_id, body) -> doc_id, body, segs. A null body has null segs."""
+    return pin(docs.select("doc_id", "body"), segs=segments_of(F.col("body")))
+
+
+def _extended(d: DataFrame, keep: list[str], step: Callable[..., Column], names: list[str]) -> DataFrame:
+    """segs with the named fields of step(segment, number) behind the kept ones."""
+    grown = lambda s, k: let(step(s, k), lambda x: F.struct(*[s[n].alias(n) for n in keep], *[x[n].alias(n) for n in names]))
+    return pin(d, segs=F.transform("segs", grown))
+
+
+def each_segment(d: DataFrame) -> DataFrame:
+    """One row per segment: doc_id, seg_no (from 1) and the fields found so far."""
+    return d.select("doc_id", F.posexplode("segs").alias("_at", "s")).select("doc_id", (F.col("_at") + 1).alias("seg_no"), "s.*")
 
 
 def context_of(text_lines: Column) -> Column:
@@ -49,10 +65,15 @@ def context_of(text_lines: Column) -> Column:
     return F.coalesce(F.array_join(F.reverse(block), " "), F.lit(""))
 
 
-def with_context(segs: DataFrame) -> DataFrame:
-    w = W.partitionBy("doc_id").orderBy("seg_no")
-    above = segs.withColumn("_above", F.lag("lines").over(w))
-    return pin(above, context=F.when(F.col("is_table"), context_of(F.col("_above")))).drop("_above")
+FOUND = ["is_table", "first_line", "lines"]
+PARSED = [*FOUND, "context", "rows", "width", "reason"]
+REPAIRED = [*FOUND, "context", "reason", "rows", "removed_columns", "negatives", "moved"]
+
+
+def with_context(d: DataFrame) -> DataFrame:
+    """Adds the context of each table."""
+    above = F.col("segs")
+    return _extended(d, FOUND, lambda s, k: F.struct(F.when(s["is_table"], context_of(F.get(above, k - 1)["lines"])).alias("context")), ["context"])
 
 
 def row_cells(line: Column) -> Column:
@@ -63,19 +84,19 @@ def row_cells(line: Column) -> Column:
     return let(F.regexp_replace(line, r"(?U)^\s+|\s+$", ""), cut)
 
 
-def parse_tables(segs: DataFrame) -> DataFrame:
+def parse_tables(d: DataFrame) -> DataFrame:
     """Adds rows and width of sound tables, and the reason why a table is left alone. Text segments get neither."""
-    t = pin(segs, rows=F.when(F.col("is_table"), F.transform("lines", row_cells)))
-    whole = ~F.exists("rows", lambda r: r.isNull())
-    width = F.size(F.col("rows")[0])
-    same = F.forall("rows", lambda r: F.size(r) == width)
-    delim = F.transform("rows", lambda r: F.forall(r, lambda c: ce.like(ce.clean(c), fixed.DELIMITER_CELL)))
-    only_second = F.forall(F.transform(delim, lambda d, i: d == (i == 1)), lambda ok: ok)
-    reason = F.when(F.col("is_table"), F.when(~whole, "not a complete pipe table row").when(~same, "inconsistent source row widths")
-                    .when((width < 2) | (F.size("rows") < 3), "not a complete Markdown table").when(~only_second, "missing or nonstandard delimiter row"))
-    t = pin(t, width=width, reason=reason)
-    sound = F.col("is_table") & F.col("reason").isNull()
-    return t.withColumn("rows", F.when(sound, F.col("rows"))).withColumn("width", F.when(sound, F.col("width")))
+    def judge(rows):
+        whole = ~F.exists(rows, lambda r: r.isNull())
+        width = F.size(rows[0])
+        same = F.forall(rows, lambda r: F.size(r) == width)
+        delim = lambda r: F.forall(r, lambda c: ce.like(ce.clean(c), fixed.DELIMITER_CELL))
+        only_second = F.forall(F.transform(rows, lambda r, i: delim(r) == (i == 1)), lambda ok: ok)
+        reason = (F.when(~whole, "not a complete pipe table row").when(~same, "inconsistent source row widths")
+                  .when((width < 2) | (F.size(rows) < 3), "not a complete Markdown table").when(~only_second, "missing or nonstandard delimiter row"))
+        return let(reason, lambda why: F.struct(F.when(why.isNull(), rows).alias("rows"), F.when(why.isNull(), width).alias("width"), why.alias("reason")))
+
+    return _extended(d, [*FOUND, "context"], lambda s, k: F.when(s["is_table"], let(F.transform(s["lines"], row_cells), judge)), ["rows", "width", "reason"])
 
 
 def spread_units(row: Column) -> Column:
@@ -101,114 +122,169 @@ def merged_header(target: Column, sources: Column) -> Column:
     return F.aggregate(sources, target, step)
 
 
-def repair_structure(tables: DataFrame) -> DataFrame:
-    """Sound tables: units spread, tokens merged, negatives rewritten, empty columns removed with their headers kept.
-
-    Other segments pass through with NULL rows, so nothing has to be joined or united later.
-    """
-    keep = ["doc_id", "seg_no", "is_table", "reason", "doc", "lines", "context"]
-    spread = F.transform("rows", lambda r, i: F.when(i == 1, r).otherwise(spread_units(r)))
-    t = pin(tables, spread=spread).drop("rows")
-    t = pin(t, m=F.when(F.col("spread").isNotNull(), ce.merge_tokens(F.col("spread")))).select(*keep, "width", "m.rows", F.coalesce("m.negatives", F.lit(0)).alias("negatives"), F.coalesce("m.moved", F.lit(0)).alias("moved"))
-    t = pin(t, rows2=F.transform("rows", lambda r, i: F.when(i == 1, r).otherwise(F.transform(r, ce.accounting_negative))))
-    turned = F.aggregate(F.zip_with("rows", "rows2", lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda d: d))), F.lit(0), lambda a, n: a + n)
-    t = pin(t, start=first_data_row(F.col("rows2")), negatives=F.col("negatives") + turned)
-    body = F.when(F.col("start") < F.size("rows2"), F.slice("rows2", F.col("start") + 1, F.size("rows2"))).otherwise(F.slice("rows2", 3, F.size("rows2")))
-    t = pin(t, body=body, index=F.sequence(F.lit(0), F.col("width") - 1))
-    t = pin(t, kept=F.filter("index", lambda c: (c == 0) | F.exists("body", lambda r: F.get(r, c) != "")))
-    # a removed column goes to the next kept one on its right, else to the last kept one
-    t = pin(t, goes_to=F.transform("index", lambda c: F.coalesce(F.get(F.filter("kept", lambda k: k >= c), F.lit(0)), F.element_at("kept", -1))))
-
-    def squeeze(r, i):
-        head = (i == 0) | ((i >= 2) & (i < F.col("start")))
-        gone = lambda k: F.transform(F.filter("index", lambda c: (c != k) & (F.get(F.col("goes_to"), c) == k)), lambda c: F.get(r, c))
-        return F.transform("kept", lambda k: F.when(head, merged_header(F.get(r, k), gone(k))).otherwise(F.get(r, k)))
-
-    final = F.transform("rows2", lambda r, i: F.when(i == 1, F.transform("kept", lambda k: F.lit("---"))).otherwise(squeeze(r, i)))
-    t = pin(t.drop("rows"), rows=final, removed_columns=F.col("width") - F.size("kept"))
-    return t.select(*keep, "rows", "removed_columns", "negatives", "moved")
-
-
-def with_policy(t: DataFrame) -> DataFrame:
-    """Table-wide scale, share scale, exceptions, currency habit and one descriptor per column."""
-    t = pin(t, start=first_data_row(F.col("rows")))
-    t = pin(t, heads=F.when(F.col("start") > 2, F.slice("rows", 3, F.col("start") - 2)).otherwise(F.slice("rows", 1, 0)))
-    stubs = F.filter(F.transform("heads", lambda r: F.get(r, F.lit(0))), lambda c: c != "")
-    parts = F.concat(F.array("context", F.array_join(F.get("rows", F.lit(0)), " ")), stubs)
-    declared = F.filter(F.transform(F.concat(F.array(F.get(F.get("rows", F.lit(0)), F.lit(0))), stubs), ce.scale_in), lambda s: s.isNotNull())
-    describe = F.transform(F.sequence(F.lit(0), F.size(F.get("rows", F.lit(0))) - 1), lambda c: F.array_join(F.array_distinct(F.filter(
-        F.transform(F.concat(F.array(F.get("rows", F.lit(0))), F.col("heads")), lambda r: ce.plain(F.get(r, c))), lambda v: v != "")), " "))
-    t = pin(t, combined=F.array_join(parts, " "), declared=declared, descriptors=describe)
-    t = pin(t, default_scale=F.coalesce(F.when(F.size("declared") > 0, F.element_at("declared", -1)), ce.scale_in(F.col("context"))), share_scale=ce.share_scale_in(F.col("combined")),
-            exceptions=ce.exceptions_in(F.col("combined")), currency_default=ce.like(F.col("combined"), fixed.DOLLAR_WORDING))
-    return t.drop("context", "heads", "combined", "declared")
-
-
-def table_rows(t: DataFrame) -> DataFrame:
-    """One row per table row with its label and the last label-only row above it (the section)."""
-    # what belongs to the whole segment rides on its first row, so it is not copied to every row and cell
-    ride = F.struct("is_table", "reason", "doc", "lines", "removed_columns", "negatives", "moved")
-    items = F.coalesce(F.transform("rows", lambda r, i: F.struct(r.alias("cells"), F.when(i == 0, ride).alias("segment"))),
-                       F.array(F.struct(F.lit(None).cast("array<string>").alias("cells"), ride.alias("segment"))))
-    policy = ["doc_id", "seg_no", "start", "default_scale", "share_scale", "exceptions", "currency_default", "descriptors"]
-    x = t.select(*policy, F.posexplode(items).alias("row_no", "r")).select(*policy, "row_no", "r.*")
-    some = F.exists(F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))), lambda c: ce.is_value(c) | (ce.like(c, r"\d") & ce.like(c, fixed.PERCENT)))
-    x = pin(x, label=ce.plain(F.get("cells", F.lit(0))), has_values=some)
-    w = W.partitionBy("doc_id", "seg_no").orderBy("row_no").rowsBetween(W.unboundedPreceding, -1)
-    opens = (F.col("row_no") >= 2) & (F.col("label") != "") & ~F.col("has_values")
-    x = x.withColumn("opens", opens)
-    return x.withColumn("section", F.coalesce(F.last(F.when(F.col("opens"), F.col("label")), ignorenulls=True).over(w), F.lit("")))
-
-
-def table_cells(rows: DataFrame) -> DataFrame:
-    """One row per cell with chosen scale and new text."""
-    items = F.coalesce(F.transform("cells", lambda c, j: F.struct(c.alias("value"), F.when(j == 0, F.col("segment")).alias("segment"))),
-                       F.array(F.struct(F.lit(None).cast("string").alias("value"), F.col("segment").alias("segment"))))
-    rest = [c for c in rows.columns if c not in ("cells", "segment")]
-    x = rows.select(*rest, F.posexplode(items).alias("col_no", "v")).select(*rest, "col_no", "v.*")
-    wc = W.partitionBy("doc_id", "seg_no", "col_no")
-    data = (F.col("row_no") >= F.col("start")) & (F.col("col_no") >= 1)
-    x = x.withColumn("currency_column", F.max((data & ce.has_currency(F.col("value"))).cast("int")).over(wc) == 1)
-    x = x.withColumn("row_text", F.concat_ws(" ", F.nullif("section", F.lit("")), F.nullif("label", F.lit("")))).withColumn("col_text", F.get("descriptors", F.col("col_no")))
-    policy = {n: F.col(n) for n in ("default_scale", "share_scale", "exceptions", "currency_default")}
-    live = data & (F.col("row_no") >= 2) & ~F.col("opens")
-    x = pin(x, scale=F.when(live, ce.choose_scale(F.col("value"), F.col("row_text"), F.col("col_text"), policy)))
-    semantic = F.concat("row_text", F.lit(" "), "col_text")
-    money = ~ce.like(semantic, fixed.SHARE_COUNT) & (F.col("currency_default") | F.col("currency_column") | ce.like(semantic, fixed.MONETARY))
-    return pin(x, new_value=F.when(F.col("scale").isNotNull(), ce.scaled(F.col("value"), F.col("scale"), money)).otherwise(F.col("value")))
+def structure_of(rows: Column, width: Column) -> Column:
+    """(rows, removed_columns, negatives, moved): units spread, tokens merged, negatives rewritten, empty columns removed with their headers kept."""
+    spread = F.transform(rows, lambda r, i: F.when(i == 1, r).otherwise(spread_units(r)))
+    index = F.sequence(F.lit(0), width - 1)
+
+    def negatives(m):
+        signed = F.transform(m["rows"], lambda r, i: F.when(i == 1, r).otherwise(F.transform(r, ce.accounting_negative)))
+
+        def columns(rows2):
+            turned = F.aggregate(F.zip_with(m["rows"], rows2, lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda d: d))), F.lit(0), lambda a, n: a + n)
+
+            def squeezed(start):
+                body = F.when(start < F.size(rows2), F.slice(rows2, start + 1, F.size(rows2))).otherwise(F.slice(rows2, 3, F.size(rows2)))
+                kept = let(body, lambda b: F.filter(index, lambda c: (c == 0) | F.exists(b, lambda r: F.get(r, c) != "")))
+
+                def build(kept):
+                    # a removed column goes to the next kept one on its right, else to the last kept one
+                    goes_to = F.transform(index, lambda c: F.coalesce(F.get(F.filter(kept, lambda k: k >= c), F.lit(0)), F.element_at(kept, -1)))
+
+                    def final(goes_to):
+                        gone = lambda r, k: F.transform(F.filter(index, lambda c: (c != k) & (F.get(goes_to, c) == k)), lambda c: F.get(r, c))
+                        head = lambda i: (i == 0) | ((i >= 2) & (i < start))
+                        line = lambda r, i: F.transform(kept, lambda k: F.when(i == 1, F.lit("---")).when(head(i), merged_header(F.get(r, k), gone(r, k))).otherwise(F.get(r, k)))
+                        return F.struct(F.transform(rows2, line).alias("rows"), (width - F.size(kept)).alias("removed_columns"), (m["negatives"] + turned).alias("negatives"), m["moved"].alias("moved"))
+                    return let(goes_to, final)
+                return let(kept, build)
+            return let(first_data_row(rows2), squeezed)
+        return let(signed, columns)
+    return let(let(spread, ce.merge_tokens), negatives)
+
+
+def repair_structure(d: DataFrame) -> DataFrame:
+    """Sound tables in their repaired structure; other segments have NULL rows."""
+    return _extended(d, [*FOUND, "context", "reason"], lambda s, k: F.when(s["rows"].isNotNull(), structure_of(s["rows"], s["width"])), REPAIRED[5:])
+
+
+def policy_of(rows: Column, context: Column) -> Column:
+    """Table-wide scale, share scale, exceptions, currency habit, one descriptor per column, and the first data row."""
+    top = F.get(rows, F.lit(0))
+
+    def from_heads(start):
+        heads = F.when(start > 2, F.slice(rows, 3, start - 2)).otherwise(F.slice(rows, 1, 0))
+
+        def found(heads):
+            stubs = F.filter(F.transform(heads, lambda r: F.get(r, F.lit(0))), lambda c: c != "")
+            combined = F.array_join(F.concat(F.array(context, F.array_join(top, " ")), stubs), " ")
+            declared = F.filter(F.transform(F.concat(F.array(F.get(top, F.lit(0))), stubs), ce.scale_in), lambda s: s.isNotNull())
+            describe = F.transform(F.sequence(F.lit(0), F.size(top) - 1), lambda c: F.array_join(F.array_distinct(F.filter(
+                F.transform(F.concat(F.array(top), heads), lambda r: ce.plain(F.get(r, c))), lambda v: v != "")), " "))
+            return let(F.struct(combined.alias("text"), declared.alias("declared")), lambda x: F.struct(
+                start.alias("start"), F.coalesce(F.when(F.size(x["declared"]) > 0, F.element_at(x["declared"], -1)), ce.scale_in(context)).alias("default_scale"),
+                ce.share_scale_in(x["text"]).alias("share_scale"), ce.exceptions_in(x["text"]).alias("exceptions"),
+                ce.like(x["text"], fixed.DOLLAR_WORDING).alias("currency_default"), describe.alias("descriptors")))
+        return let(heads, found)
+    return let(first_data_row(rows), from_heads)
+
+
+def with_policy(d: DataFrame) -> DataFrame:
+    """Adds the policy of each sound table as the field policy."""
+    return _extended(d, REPAIRED, lambda s, k: F.struct(F.when(s["rows"].isNotNull(), policy_of(s["rows"], s["context"])).alias("policy")), ["policy"])
+
+
+def columns_of(rows: Column, policy: Column) -> Column:
+    """What all cells of a column share: (text, plain_text, scale, change, currency)."""
+    data = F.slice(rows, policy["start"] + 1, F.size(rows))
+
+    def column(text, c):
+        currency = (c >= 1) & F.exists(data, lambda r: ce.has_currency(F.get(r, c)))
+        clean = F.regexp_replace(ce.plain(text), fixed.UNITS_EXCEPTION_CLAUSE, "")
+        return F.struct(text.alias("text"), clean.alias("plain_text"), ce.scale_in(text).alias("scale"), ce.like(ce.plain(text), fixed.CHANGE_COLUMN).alias("change"), currency.alias("currency"))
+    return F.transform(policy["descriptors"], column)
+
+
+def sections_of(rows: Column) -> Column:
+    """Rows with their label, whether they open a section, and the last label that opened one above: (cells, label, opens, section)."""
+    def described(r, i):
+        some = F.exists(F.slice(r, 2, F.greatest(F.size(r), F.lit(1))), lambda c: ce.is_value(c) | (ce.like(c, r"\d") & ce.like(c, fixed.PERCENT)))
+        return let(ce.plain(F.get(r, F.lit(0))), lambda label: F.struct(r.alias("cells"), label.alias("label"), ((i >= 2) & (label != "") & ~some).alias("opens")))
+
+    def blocks(rs):
+        # a block ends with the row that opens the next section
+        ends = F.filter(F.sequence(F.lit(0), F.size(rs) - 1), lambda i: F.get(rs, i)["opens"])
+
+        def split(b):
+            def block(last, k):
+                section = F.coalesce(F.get(rs, last)["label"], F.lit(""))
+                part = F.slice(rs, last + 2, F.coalesce(F.get(b, k + 1), F.size(rs) - 1) - last)
+                return F.transform(part, lambda r: F.struct(r["cells"].alias("cells"), r["label"].alias("label"), r["opens"].alias("opens"), section.alias("section")))
+            return F.flatten(F.transform(b, block))
+        return let(F.concat(F.array(F.lit(-1)), ends), split)
+    return let(F.transform(rows, described), blocks)
+
+
+def scaled_rows(rows: Column, policy: Column, columns: Column) -> Column:
+    """sections_of(rows) with cells as (value, scale, new_value)."""
+    def scaled(r, i):
+        same = lambda c: F.struct(c.alias("value"), F.lit(None).cast("string").alias("scale"), c.alias("new_value"))
+        text = F.concat_ws(" ", F.nullif(r["section"], F.lit("")), F.nullif(r["label"], F.lit("")))
+
+        def live(x):
+            def cell(v, j):
+                col = F.get(columns, j)
+
+                def chosen(scale):
+                    semantic = F.concat(x["text"], F.lit(" "), col["text"])
+                    money = ~ce.like(semantic, fixed.SHARE_COUNT) & (policy["currency_default"] | col["currency"] | ce.like(semantic, fixed.MONETARY))
+                    return F.struct(v.alias("value"), scale.alias("scale"), F.when(scale.isNotNull(), ce.scaled(v, scale, money)).otherwise(v).alias("new_value"))
+                return F.when(j == 0, same(v)).otherwise(let(ce.choose_scale(v, x["text"], x["scale"], col, policy), chosen))
+            return F.transform(r["cells"], cell)
+        cells = F.when((i >= policy["start"]) & (i >= 2) & ~r["opens"], let(text, lambda t: let(F.struct(t.alias("text"), ce.scale_in(t).alias("scale")), live)))
+        return F.struct(F.coalesce(cells, F.transform(r["cells"], same)).alias("cells"), r["label"].alias("label"), r["opens"].alias("opens"), r["section"].alias("section"))
+    return let(sections_of(rows), lambda rs: F.transform(rs, scaled))
+
+
+def scale_cells(d: DataFrame) -> DataFrame:
+    """Adds table (rows with label, section and scaled cells) and columns to each sound table."""
+    def step(s, k):
+        both = lambda cols: F.struct(cols.alias("columns"), scaled_rows(s["rows"], s["policy"], cols).alias("table"))
+        return F.when(s["rows"].isNotNull(), let(columns_of(s["rows"], s["policy"]), both))
+    return _extended(d, [*REPAIRED, "policy"], step, ["columns", "table"])
+
+
+def each_row(d: DataFrame) -> DataFrame:
+    """One row per table row: doc_id, seg_no, row_no, cells, label, opens, section, columns."""
+    x = each_segment(d).select("doc_id", "seg_no", "columns", F.posexplode("table").alias("row_no", "r"))
+    return x.select("doc_id", "seg_no", "row_no", "r.*", "columns")
+
+
+def each_cell(d: DataFrame) -> DataFrame:
+    """One row per cell: doc_id, seg_no, row_no, col_no, value, scale, new_value, currency_column."""
+    x = each_row(d).select("doc_id", "seg_no", "row_no", "columns", F.posexplode("cells").alias("col_no", "c"))
+    return x.select("doc_id", "seg_no", "row_no", "col_no", "c.*", F.get("columns", F.col("col_no"))["currency"].alias("currency_column"))
 
 
 COUNTS = ["removed_columns", "negatives", "moved", "added_k", "added_m", "added_b", "added_t"]
 
 
 def repair_tables(docs: DataFrame) -> DataFrame:
-    """Every segment of every document with its old and new lines and the repair counts."""
-    cells = table_cells(table_rows(with_policy(repair_structure(parse_tables(with_context(segments(docs)))))))
-    count = lambda s: F.count_if((F.col("scale") == s) & (F.col("new_value") != F.col("value"))).alias(f"added_{s.lower()}")
-    by_row = cells.groupBy("doc_id", "seg_no", "row_no").agg(
-        F.array_sort(F.collect_list(F.struct("col_no", "new_value"))).alias("c"), F.first("segment", ignorenulls=True).alias("segment"), *[count(s) for s in "KMBT"])
-    text = F.concat(F.lit("| "), F.array_join(F.transform("c", lambda c: F.regexp_replace(c["new_value"], r"(?U)^\s+|\s+$", "")), " | "), F.lit(" |"))
-    by_table = by_row.withColumn("text", text).groupBy("doc_id", "seg_no").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("row_no", "text"))), lambda r: r["text"]).alias("new_lines"), F.first("segment", ignorenulls=True).alias("s"),
-        *[F.sum(f"added_{s}").alias(f"added_{s}") for s in "kmbt"])
-    sound = F.col("s.is_table") & F.col("s.reason").isNull()
-    out = by_table.select("doc_id", "seg_no", "s.*", F.when(sound, F.col("new_lines")).otherwise(F.col("s.lines")).alias("new_lines"), *COUNTS[3:])
-    return out.withColumn("changed", F.col("new_lines") != F.col("lines"))
+    """docs(doc_id, body) -> doc_id, body, segs with old and new lines and the repair counts of each segment."""
+    d = scale_cells(with_policy(repair_structure(parse_tables(with_context(segments(docs))))))
+
+    def step(s, k):
+        text = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r["cells"], lambda c: F.regexp_replace(c["new_value"], r"(?U)^\s+|\s+$", "")), " | "), F.lit(" |"))
+        added = F.filter(F.flatten(F.transform(s["table"], lambda r: r["cells"])), lambda c: c["scale"].isNotNull() & (c["new_value"] != c["value"]))
+        done = F.struct(F.coalesce(F.transform(s["table"], text), s["lines"]).alias("lines"), F.transform(added, lambda c: c["scale"]).alias("added"))
+        count = lambda x, v: F.size(F.filter(x["added"], lambda a: a == v)).alias(f"added_{v.lower()}")
+        return let(done, lambda x: F.struct(x["lines"].alias("new_lines"), (x["lines"] != s["lines"]).alias("changed"), *[count(x, v) for v in "KMBT"]))
+    return _extended(d, ["is_table", "first_line", "lines", "reason", *COUNTS[:3]], step, ["new_lines", "changed", *COUNTS[3:]])
 
 
 def repair_documents(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, body) -> repaired text, hashes before and after, report columns."""
-    s = repair_tables(docs)
-    if_changed = lambda c: F.sum(F.when(F.col("changed") & F.col("is_table"), F.coalesce(c, F.lit(0))).otherwise(0))
-    g = s.groupBy("doc_id").agg(
-        F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "new_lines"))), lambda r: r["new_lines"])), "\n").alias("text"),
-        F.first("doc", ignorenulls=True).alias("doc"),
-        F.count_if(F.col("changed") & F.col("is_table")).alias("changed_tables"), F.count_if(~F.col("changed") & F.col("reason").isNotNull()).alias("skipped_tables"),
-        *[if_changed(c).alias(c) for c in COUNTS],
-        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("changed"), F.col("reason")))), "; ").alias("skip_reasons"))
-    x = g.withColumn("new_body", F.concat("text", "doc.tail"))
-    x = x.withColumn("source_sha256", F.col("doc.source_sha256")).withColumn("output_sha256", F.sha2("new_body", 256))
-    return x.withColumn("changed", F.col("source_sha256") != F.col("output_sha256")).drop("text", "doc")
+    """docs(doc_id, body) -> repaired text, hashes before and after, report columns. A null body stays null and unchanged."""
+    x = repair_tables(docs)
+    tables = lambda test: F.filter("segs", lambda s: s["is_table"] & test(s))
+    total = lambda c: F.aggregate(tables(lambda s: s["changed"]), F.lit(0).cast("long"), lambda n, s: n + F.coalesce(s[c], F.lit(0))).alias(c)
+    number = lambda segs: F.size(segs).cast("long")
+    text = F.array_join(F.flatten(F.transform("segs", lambda s: s["new_lines"])), "\n")
+    left = tables(lambda s: ~s["changed"] & s["reason"].isNotNull())
+    x = x.select("doc_id", "body", F.concat(text, F.when(F.col("body").endswith("\n"), "\n").otherwise("")).alias("new_body"),
+                 number(tables(lambda s: s["changed"])).alias("changed_tables"), number(left).alias("skipped_tables"), *[total(c) for c in COUNTS],
+                 F.array_join(F.array_sort(F.array_distinct(F.transform(left, lambda s: s["reason"]))), "; ").alias("skip_reasons"))
+    x = x.withColumn("source_sha256", F.sha2("body", 256)).withColumn("output_sha256", F.sha2("new_body", 256))
+    return x.withColumn("changed", ~F.col("source_sha256").eqNullSafe(F.col("output_sha256"))).drop("body")
 
 
 def labelled_measures(repaired: DataFrame, labels: list[str]) -> DataFrame:

@@ -32,7 +32,9 @@ REPAIRED = {
 
 
 def docs(spark, d):
-    o = table(spark, d, "orders")
+    # short rows grow to documents of many lines, and a small file is one task: they are spread before they grow
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority").repartition(parts, "o_orderkey")
     slot = {"{p}": F.format_number("o_totalprice", 2), "{k}": F.concat(F.col("o_custkey").cast("string"), F.lit(".5")), "{q}": (F.col("o_custkey") % 90 + 10).cast("string"), "{id}": F.col("o_orderkey").cast("string")}
     body = F.lit(None).cast("string")
     for kind, shape in SHAPES.items():
@@ -65,47 +67,56 @@ def parsed(spark, d):
 
 
 def structure(spark, d):
-    return op.repair_structure(parsed(spark, d)).where("rows is not null")
+    return op.repair_structure(parsed(spark, d))
+
+
+def sound(repaired):
+    """Segments that are sound tables."""
+    return op.each_segment(repaired).where("rows is not null")
+
+
+def scaled(spark, d):
+    return op.scale_cells(op.with_policy(structure(spark, d)))
 
 
 def cells(spark, d):
-    return op.table_cells(op.table_rows(op.with_policy(structure(spark, d))))
+    return op.each_cell(scaled(spark, d))
 
 
 @query("table_blocks", LINES_SQL + "SELECT doc_id, CAST(first_line AS INT) AS first_line, CAST(n_lines AS INT) AS n_lines FROM blocks")
 def table_blocks(spark, d):
-    return op.segments(docs(spark, d)).where("is_table").select("doc_id", "first_line", F.size("lines").alias("n_lines"))
+    return op.each_segment(op.segments(docs(spark, d))).where("is_table").select("doc_id", "first_line", F.size("lines").alias("n_lines"))
 
 
 @query("table_context", LINES_SQL + """
 SELECT doc_id, CAST(first_line AS INT) AS first_line, CASE WHEN kind = '1-URGENT' THEN 'Cash table' WHEN kind = '4-NOT SPECIFIED' THEN 'Before' WHEN kind = '5-LOW' THEN CASE WHEN block = 1 THEN 'Intro' ELSE '' END
   WHEN kind = '2-HIGH' THEN '(in millions, except per share data and ratios)' ELSE 'Activity (in millions, except number of shares, which are reflected in thousands):' END AS context FROM blocks""")
 def table_context(spark, d):
-    return op.with_context(op.segments(docs(spark, d))).where("is_table").select("doc_id", "first_line", "context")
+    return op.each_segment(op.with_context(op.segments(docs(spark, d)))).where("is_table").select("doc_id", "first_line", "context")
 
 
 @query("table_cells", LINES_SQL + """
 SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(generate_subscripts(c, 1) - 1 AS INT) AS col_no, trim(unnest(c)) AS cell FROM (SELECT doc_id, line_no, string_split(substring(trim(line), 2, length(trim(line)) - 2), '|') AS c FROM lines WHERE starts_with(line, '|'))""")
 def table_cells(spark, d):
-    x = op.lines(docs(spark, d)).where(F.ltrim("line").startswith("|")).select("doc_id", "line_no", F.posexplode(op.row_cells(F.col("line"))).alias("col_no", "cell"))
+    x = docs(spark, d).select("doc_id", F.posexplode(op.lines_of(F.col("body"))).alias("line_no", "line")).where(F.ltrim("line").startswith("|")).select("doc_id", "line_no", F.posexplode(op.row_cells(F.col("line"))).alias("col_no", "cell"))
     return x.select("doc_id", "line_no", "col_no", "cell")
 
 
 @query("table_validity", LINES_SQL + """
 SELECT doc_id, CAST(first_line AS INT) AS first_line, CASE WHEN kind = '5-LOW' THEN CASE WHEN block = 1 THEN 'inconsistent source row widths' ELSE 'not a complete Markdown table' END ELSE 'ok' END AS state FROM blocks""")
 def table_validity(spark, d):
-    return parsed(spark, d).where("is_table").select("doc_id", "first_line", F.coalesce("reason", F.lit("ok")).alias("state"))
+    return op.each_segment(parsed(spark, d)).where("is_table").select("doc_id", "first_line", F.coalesce("reason", F.lit("ok")).alias("state"))
 
 
 @query("units_propagate", DOCS_SQL + "SELECT doc_id, '|(In millions)|(In millions)' AS units_row FROM docs WHERE kind = '1-URGENT'")
 def units_propagate(spark, d):
-    x = parsed(spark, d).select("doc_id", F.explode("rows").alias("r")).select("doc_id", "r", F.explode(F.array(op.spread_units(F.col("r")))).alias("filled"))
+    x = op.each_segment(parsed(spark, d)).select("doc_id", F.explode("rows").alias("r")).select("doc_id", "r", F.explode(F.array(op.spread_units(F.col("r")))).alias("filled"))
     return x.where("filled <> r").select("doc_id", F.array_join("filled", "|").alias("units_row"))
 
 
 @query("token_merge", DOCS_SQL + "SELECT doc_id, CAST(CASE kind WHEN '2-HIGH' THEN 3 ELSE 0 END AS INT) AS negatives, CAST(0 AS INT) AS moved FROM docs WHERE kind <> '5-LOW'")
 def token_merge(spark, d):
-    return structure(spark, d).select("doc_id", "negatives", "moved")
+    return sound(structure(spark, d)).select("doc_id", "negatives", "moved")
 
 
 @query("accounting_negatives", """
@@ -118,28 +129,28 @@ def accounting_negatives(spark, d):
 
 @query("first_data_row", DOCS_SQL + "SELECT doc_id, CAST(CASE WHEN kind IN ('1-URGENT', '3-MEDIUM') THEN 3 ELSE 2 END AS INT) AS start FROM docs WHERE kind <> '5-LOW'")
 def first_data_row(spark, d):
-    return structure(spark, d).select("doc_id", op.first_data_row(F.col("rows")).alias("start"))
+    return sound(structure(spark, d)).select("doc_id", op.first_data_row(F.col("rows")).alias("start"))
 
 
 @query("drop_empty_columns", DOCS_SQL + "SELECT doc_id, CAST(CASE kind WHEN '2-HIGH' THEN 1 ELSE 0 END AS INT) AS removed_columns, CASE kind WHEN '1-URGENT' THEN 'As of|Cost|Fair Value' WHEN '2-HIGH' THEN 'Line|2020|2019|Change' WHEN '3-MEDIUM' THEN 'Period|Shares purchased|Total cost' ELSE 'Year|Revenue' END AS header FROM docs WHERE kind <> '5-LOW'")
 def drop_empty_columns(spark, d):
-    return structure(spark, d).select("doc_id", "removed_columns", F.array_join(F.col("rows")[0], "|").alias("header"))
+    return sound(structure(spark, d)).select("doc_id", "removed_columns", F.array_join(F.col("rows")[0], "|").alias("header"))
 
 
 @query("column_descriptors", DOCS_SQL + "SELECT doc_id, CASE kind WHEN '1-URGENT' THEN 'As of;Cost (In millions);Fair Value (In millions)' WHEN '2-HIGH' THEN 'Line;2020;2019;Change' WHEN '3-MEDIUM' THEN 'Period Total:;Shares purchased;Total cost' ELSE 'Year;Revenue' END AS descriptors FROM docs WHERE kind <> '5-LOW'")
 def column_descriptors(spark, d):
-    return op.with_policy(structure(spark, d)).select("doc_id", F.array_join("descriptors", ";").alias("descriptors"))
+    return sound(op.with_policy(structure(spark, d))).select("doc_id", F.array_join("policy.descriptors", ";").alias("descriptors"))
 
 
 @query("scale_policy", DOCS_SQL + """
 SELECT doc_id, CASE WHEN kind IN ('2-HIGH', '3-MEDIUM') THEN 'M' END AS default_scale, CASE kind WHEN '3-MEDIUM' THEN 'K' END AS share_scale, CASE kind WHEN '2-HIGH' THEN 'per_share,ratio' ELSE '' END AS exceptions, 0 AS currency_default FROM docs WHERE kind <> '5-LOW'""")
 def scale_policy(spark, d):
-    return op.with_policy(structure(spark, d)).select("doc_id", "default_scale", "share_scale", F.array_join("exceptions", ",").alias("exceptions"), F.col("currency_default").cast("int").alias("currency_default"))
+    return sound(op.with_policy(structure(spark, d))).select("doc_id", "policy.default_scale", "policy.share_scale", F.array_join("policy.exceptions", ",").alias("exceptions"), F.col("policy.currency_default").cast("int").alias("currency_default"))
 
 
 @query("section_context", DOCS_SQL + "SELECT doc_id, CAST(unnest([3, 4]) AS INT) AS row_no, 'Total:' AS section FROM docs WHERE kind = '3-MEDIUM'")
 def section_context(spark, d):
-    return op.table_rows(op.with_policy(structure(spark, d))).where("section <> ''").select("doc_id", "row_no", "section")
+    return op.each_row(scaled(spark, d)).where("section <> ''").select("doc_id", "row_no", "section")
 
 
 @query("currency_columns", DOCS_SQL + "SELECT doc_id, CAST(unnest(CASE kind WHEN '2-HIGH' THEN [1, 2] WHEN '3-MEDIUM' THEN [2] ELSE [1] END) AS INT) AS col_no FROM docs WHERE kind <> '5-LOW'")
