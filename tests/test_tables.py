@@ -61,3 +61,16 @@ def test_report_counts(repaired):
 def test_signs_join_their_values(spark, row, cells, negatives, moved):
     r = spark.createDataFrame([(row,)], "r array<string>").select(ce.merged_row(F.col("r")).alias("m")).first().m
     assert (list(r.cells), r.negatives, r.moved) == (cells, negatives, moved)
+
+def test_texts_without_lines_or_tables(spark):
+    df = spark.createDataFrame([("null", None), ("empty", ""), ("break", "\n"), ("long", "a\n" * 20_000 + "| x | y |\n| --- | --- |\n" + "| r | 1 |\n" * 500)], "doc_id string, body string")
+    r = {x.doc_id: x for x in op.repair_documents(df).collect()}
+    assert r["null"].new_body is None and not r["null"].changed
+    assert [r[n].new_body for n in ("empty", "break")] == ["", "\n"]
+    assert r["long"].new_body.count("\n") == 20_502 and r["long"].skipped_tables == 0
+
+
+def test_repair_stays_in_the_row(spark):
+    df = spark.createDataFrame([("a", "| x | y |\n")], "doc_id string, body string")
+    plan = op.repair_documents(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
