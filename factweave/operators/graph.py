@@ -221,11 +221,12 @@ def undirected_links(edges: DataFrame) -> DataFrame:
     return first_occurrence(x, ["lo", "hi"], ["ordinal", "source", "rel"]).select("source", "target", "rel")
 
 
-def node_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Different neighbours of each node by company-filing links between the given nodes."""
-    ids = nodes.select(F.col("id").alias("b"))
-    own = edges.where(F.col("rel").isin(fixed.COMPANY_FILING_RELS))
-    d = undirected(own).join(ids, "b", "left_semi").groupBy(F.col("a").alias("id")).agg(F.count_distinct("b").alias("degree"))
+def node_degree(nodes: DataFrame, edges: DataFrame, relations: list[str] | None = fixed.COMPANY_FILING_RELS) -> DataFrame:
+    """Different neighbours of each node by company-filing links between the given nodes; without relations by all links to any node."""
+    both = undirected(edges)
+    if relations is not None:
+        both = undirected(edges.where(F.col("rel").isin(relations))).join(nodes.select(F.col("id").alias("b")), "b", "left_semi")
+    d = both.groupBy(F.col("a").alias("id")).agg(F.count_distinct("b").alias("degree"))
     return nodes.select("id", "type").join(d, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 

@@ -217,13 +217,12 @@ def edge_overlay(spark, d):
 
 
 @query("node_degree", CORPUS_SQL + """,
-own AS (SELECT source, target FROM corpus WHERE rel IN ('has_filing', 'filed_by')),
-und AS (SELECT source AS a, target AS b FROM own UNION SELECT target, source FROM own),
+und AS (SELECT source AS a, target AS b FROM corpus UNION SELECT target, source FROM corpus),
 n AS (SELECT id, 'finance.filing' AS type FROM filings UNION ALL SELECT 'entity:C' || c_custkey, 'finance.entity' FROM customer)
-SELECT n.id, type, count(b) AS degree FROM n LEFT JOIN (SELECT * FROM und WHERE b IN (SELECT id FROM n)) und ON a = n.id GROUP BY ALL""")
+SELECT id, type, count(b) AS degree FROM n LEFT JOIN und ON a = id GROUP BY ALL""")
 def node_degree(spark, d):
     n = nodes(spark, d).where(F.col("type").isin("finance.filing", "finance.entity"))
-    return op.node_degree(n, corpus(spark, d))
+    return op.node_degree(n, corpus(spark, d), relations=None)
 
 
 @query("node_search", GRAPH_SQL + "SELECT id, title FROM nodes WHERE contains(lower(concat_ws(' ', title, ticker)), 'fy2019 10-k') ORDER BY id LIMIT 40")

@@ -31,6 +31,19 @@ def test_degree_counts_company_filing_links(spark):
     assert {r.id: r.degree for r in graph.node_degree(nodes, edges).collect()} == {"e": 2, "f": 1, "g": 1, "lone": 0}
 
 
+def test_degree_query_counts_all_links(spark, tmp_path):
+    """Two filings of one company, next to each other in time, and one of another company: timeline links count besides company links."""
+    from factweave.plans.registry import queries
+
+    spark.sql("select * from values (1L, 'C1'), (2L, 'C2') t(c_custkey, c_name)").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("select * from values (1L, 'p') t(p_partkey, p_name)").write.parquet(f"{tmp_path}/part.parquet")
+    spark.sql("select * from values (10L, 1L, 1L, 1, 'N') t(l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    o = "(10L, 1L, 'F', 1000.0D, date'1995-01-01', '5-LOW'), (11L, 1L, 'F', 1000.0D, date'1995-02-01', '5-LOW'), (13L, 2L, 'F', 1000.0D, date'1995-03-01', '5-LOW')"
+    spark.sql(f"select * from values {o} t(o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority)").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.id: r.degree for r in queries()["node_degree"](spark, str(tmp_path)).collect()}
+    assert got == {"entity:C1": 2, "entity:C2": 1, "filing:10": 2, "filing:11": 2, "filing:13": 1}
+
+
 def test_tickers_of_the_evidence_replace_stored_ones(spark):
     r = spark.createDataFrame([("v", 1, "OLD", None), ("v", 2, "KEEP", "Kept Inc."), ("v", 3, "OLD", None), ("w", 1200, None, None)], "vault string, turn int, tickers string, company string")
     e = spark.createDataFrame([("v", 1, "finance.fact", "MSFT", "n1"), ("v", 1, "finance.fact", "AAPL", "n2"), ("v", 1, "finance.entity", "MSFT", "n3"), ("v", 3, "finance.source", None, "n4"), ("v", 1, "finance.fact", "NEW", "n5")], "vault string, turn int, type string, ticker string, node_id string")
