@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factweave.functions import fixed
-from factweave.functions.columns import let, pin
+from factweave.functions.columns import let, pin, shuffled
 
 
 def has_any(text: Column, terms: list[str]) -> Column:
@@ -162,8 +162,8 @@ def company_mentions(questions: DataFrame, companies: DataFrame, limit: int = fi
     starting = lambda n: F.transform(at, lambda i: F.array_join(F.slice("words", i, n), " "))
     grams = F.array_distinct(F.flatten(F.array(starting(1), starting(2), starting(3))))
     # narrow rows meet the aliases; the text comes back for the few that do
-    pairs = q.select("question_id", F.explode(grams).alias("gram")).join(aliases, "gram").select("question_id", "alias", "ticker", "common").distinct()
-    pairs = pairs.join(q.select("question_id", "question", "q"), "question_id")
+    pairs = q.select("question_id", F.explode(grams).alias("gram")).join(shuffled(aliases), "gram").select("question_id", "alias", "ticker", "common").distinct()
+    pairs = pairs.join(shuffled(q.select("question_id", "question", "q")), "question_id")
     quoted = F.concat(F.lit(r"\Q"), F.col("alias"), F.lit(r"\E"))
     pos = F.regexp_instr("q", F.concat(F.lit("(?<![a-z0-9])"), quoted, F.lit("(?![a-z0-9])")))
     symbol = F.regexp_like("question", F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.col("ticker"), F.lit(r"\E(?![A-Za-z0-9])")))
@@ -172,7 +172,7 @@ def company_mentions(questions: DataFrame, companies: DataFrame, limit: int = fi
     pairs = pairs.where(~word_like | symbol)
     hits = pairs.groupBy("question_id", "ticker").agg(F.min("position").alias("position"))
     # at most one row per question remains without a hit: the selected company
-    none = questions.join(hits.select("question_id").distinct(), "question_id", "left_anti")
+    none = questions.join(shuffled(hits.select("question_id").distinct()), "question_id", "left_anti")
     none = none.where(F.col("selected").isNotNull()).select("question_id", F.upper("selected").alias("ticker"), F.lit(-1).alias("position"))
     w = W.partitionBy("question_id").orderBy("position", "ticker")
     ranked = hits.unionByName(none).withColumn("rank", F.row_number().over(w))
