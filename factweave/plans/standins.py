@@ -83,7 +83,7 @@ def facts(spark: SparkSession, root: str) -> DataFrame:
         row(8, yes, "us-gaap:NetCashProvidedByUsedInOperatingActivities", "operating_cash_flow",
             F.when(~F.col("is_fy") & (F.col("cfo") < 0), F.lit("NaN")).otherwise(txt("cfo"))),
     )
-    x = g.select("*", F.explode(F.filter(rows, lambda r: r["keep"])).alias("f"))
+    x = g.select("*", F.explode(rows).alias("f")).where("f.keep")  # no lambda: rows are made in generated code
     month = F.when(F.col("short"), F.lit(4)).otherwise(F.coalesce(F.col("q") * 3 - 2, F.lit(1)))
     start = F.make_date("fy", month, F.lit(1))
     end = F.last_day(F.make_date("fy", F.coalesce(F.col("q") * 3, F.lit(12)), F.lit(1)))

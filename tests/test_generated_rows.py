@@ -60,3 +60,22 @@ def test_excerpts_of_questions_sort(spark, tmp_path):
     got = text.filing_excerpts(docs, structured_facts(docs), requests)
     assert sends_nothing(got)
     assert [(r.path, r.kind, r.excerpt.splitlines()[-1]) for r in got.collect()] == [("p0", "structured", "- Net sales: 5 (2020-01-01)")]
+
+
+def test_bootstrap_spreads_clusters_and_draws_without_lambdas(spark):
+    c = spark.sql("select cast(id as string) as cluster, id * 10 as total, 2L as n from range(20)")
+    got = certify.cluster_bootstrap(c, 50)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "lambda" not in plan
+    low, high = got.select("low", "high").first()
+    assert got.first().replicates == 50 and 0 < low < 47.5 < high < 95
+
+
+def test_fact_rows_are_made_without_lambdas(spark, tmp_path):
+    from factweave.plans import standins
+
+    line = "select 1L as l_suppkey, date'1996-05-05' as l_shipdate, 'R' as l_returnflag, 100.0D as l_extendedprice, 0.1D as l_discount, 0.05D as l_tax, 5.0D as l_quantity"
+    spark.sql(line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = standins.facts(spark, str(tmp_path)).select("id", "value")
+    assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in got.where("id like 'S1:2016:FY:all:%'").collect()) == [f"S1:2016:FY:all:{i}" for i in (1, 2, 3, 4, 5, 6, 7, 8)]
