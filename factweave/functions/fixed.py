@@ -206,6 +206,8 @@ SECRET_KEYS = ["api_key", "authorization", "headers"]
 
 # Filing tables: marks, scale words and wording patterns.
 INVISIBLE = "\u200b\ufeff\u2060"
+ASCII_BLANKS = "\t\n\x0b\x0c\r "
+NOT_PLAIN = r"(?U)[*_`<]|\s\s|[^\S ]"
 TOKEN_CELLS = ["$", "(", ")", ",", "%"]
 DASHES = ["—", "–", "-"]
 SCALE_WORDS = r"thousands?|millions?|billions?|trillions?"
@@ -228,8 +230,10 @@ SHARE_SCALE_PATTERNS = [
     rf"\b(?:number\s+of\s+)?shares?[^.;:|)]{{0,90}}?(?:reflected\s+|reported\s+)?in\s+({SCALE_WORDS})\b",
     rf"\b({SCALE_WORDS})\s+of\s+shares?\b",
 ]
-CELL_VALUE = r"(?i)^(\s*(?:[-+]\s*)?(?:[$€£]\s*)?)(\d[\d,]*(?:\.\d+)?)(\s*[KMBT])?(\s*(?:\([A-Za-z0-9]+\)|\[[^\]]+\]|\*+))?\s*$"
-CELL_YEAR = r"^(?:19|20)\d{2}$"
+CELL_TAIL = r"(\s*[KMBT])?(\s*(?:\([A-Za-z0-9]+\)|\[[^\]]+\]|\*+))?\s*$"
+CELL_VALUE = r"(?i)^(\s*(?:[-+]\s*)?(?:[$€£]\s*)?)(\d[\d,]*(?:\.\d+)?)" + CELL_TAIL
+CELL_YEAR = r"(?i)^(?:19|20)\d{2}" + CELL_TAIL
+CELL_CURRENCY = r"(?i)^\s*(?:[-+]\s*)?[$€£]\s*\d[\d,]*(?:\.\d+)?" + CELL_TAIL
 PERCENT = r"(?i)%|\bpercent(?:age)?s?\b|\bbasis\s+points?\b|\bbps\b"
 PER_SHARE = r"(?i)\bper[ -]?share\b|\bper\s+common\s+share\b|\beps\b"
 TIME_METRIC = (
@@ -264,6 +268,11 @@ EXCEPTION_TERMS = {
     "employee": r"(?i)employee|advisor|headcount|personnel",
     "time": r"(?i)contractual life|years?|months?|days?",
 }
+# Every match of a pattern has one of these words, in lower case.
+WORDS_OF = {
+    "SCALE_WORDS": ["illion", "thousand"], "SHARE_COUNT": ["share", "stock", "award"], "PER_SHARE": ["share", "eps"], "PERCENT": ["%", "percent", "basis", "bps"],
+    "TIME_METRIC": ["life", "term", "date", "fiscal"], "CHANGE_COLUMN": ["change", "variance"],
+}
 DOLLAR_WORDING = r"(?i)\b(?:dollars?|[$€£])\b"
 ACCOUNTING_PERCENT = r"^\(\s*([+-]?[\d,]+(?:\.\d+)?)\s*\)\s*(%)$"
 ACCOUNTING_NUMBER = r"^([$€£])?\s*\(\s*([$€£])?\s*([+-]?[\d,]+(?:\.\d+)?)\s*\)$"

@@ -53,15 +53,13 @@ def each_segment(d: DataFrame) -> DataFrame:
 
 def context_of(text_lines: Column) -> Column:
     """Last text block above a table: trailing blanks skipped, then up to eight lines back to a blank line or '---'."""
-    strip = lambda l: F.regexp_replace(l, r"(?U)^\s+|\s+$", "")
-
     def last_block(up):
         first = F.array_position(F.transform(up, lambda l: l != ""), True)
         rest = F.when(first > 0, F.slice(up, first.cast("int"), F.size(up)))
         return let(rest, lambda r: let(F.array_position(F.transform(r, lambda l: (l == "") | (l == "---")), True).cast("int"), lambda stop: F.slice(
             r, F.lit(1), F.least(F.when(stop > 0, stop - 1).otherwise(F.size(r)), F.lit(fixed.CONTEXT_LINES)))))
 
-    block = let(F.reverse(F.transform(text_lines, strip)), last_block)
+    block = let(F.reverse(F.transform(text_lines, ce.strip)), last_block)
     return F.coalesce(F.array_join(F.reverse(block), " "), F.lit(""))
 
 
@@ -80,8 +78,8 @@ def row_cells(line: Column) -> Column:
     """Cells of a complete pipe row, else NULL."""
     def cut(v):
         inner = F.substring(v, F.lit(2), F.length(v) - 2)
-        return F.when(v.startswith("|") & v.endswith("|"), F.transform(F.split(inner, r"(?<!\\)\|"), lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")))
-    return let(F.regexp_replace(line, r"(?U)^\s+|\s+$", ""), cut)
+        return F.when(v.startswith("|") & v.endswith("|"), F.transform(F.split(inner, r"(?<!\\)\|"), ce.strip))
+    return let(ce.strip(line), cut)
 
 
 def parse_tables(d: DataFrame) -> DataFrame:
@@ -190,8 +188,11 @@ def columns_of(rows: Column, policy: Column) -> Column:
 
     def column(text, c):
         currency = (c >= 1) & F.exists(data, lambda r: ce.has_currency(F.get(r, c)))
-        clean = F.regexp_replace(ce.plain(text), fixed.UNITS_EXCEPTION_CLAUSE, "")
-        return F.struct(text.alias("text"), clean.alias("plain_text"), ce.scale_in(text).alias("scale"), ce.like(ce.plain(text), fixed.CHANGE_COLUMN).alias("change"), currency.alias("currency"))
+
+        def worded(x):
+            clean = F.when(F.contains(x["low"], F.lit("except")), F.regexp_replace(x["plain"], fixed.UNITS_EXCEPTION_CLAUSE, "")).otherwise(x["plain"])
+            return F.struct(text.alias("text"), clean.alias("plain_text"), ce.scale_in(text).alias("scale"), ce.worded(x["plain"], x["low"], "CHANGE_COLUMN").alias("change"), currency.alias("currency"))
+        return let(let(ce.plain(text), lambda t: F.struct(t.alias("plain"), F.lower(t).alias("low"))), worded)
     return F.transform(policy["descriptors"], column)
 
 
@@ -227,7 +228,7 @@ def scaled_rows(rows: Column, policy: Column, columns: Column) -> Column:
 
                 def chosen(scale):
                     semantic = F.concat(x["text"], F.lit(" "), col["text"])
-                    money = ~ce.like(semantic, fixed.SHARE_COUNT) & (policy["currency_default"] | col["currency"] | ce.like(semantic, fixed.MONETARY))
+                    money = ~ce.worded(semantic, F.lower(semantic), "SHARE_COUNT") & (policy["currency_default"] | col["currency"] | ce.like(semantic, fixed.MONETARY))
                     return F.struct(v.alias("value"), scale.alias("scale"), F.when(scale.isNotNull(), ce.scaled(v, scale, money)).otherwise(v).alias("new_value"))
                 return F.when(j == 0, same(v)).otherwise(let(ce.choose_scale(v, x["text"], x["scale"], col, policy), chosen))
             return F.transform(r["cells"], cell)
@@ -264,7 +265,7 @@ def repair_tables(docs: DataFrame) -> DataFrame:
     d = scale_cells(with_policy(repair_structure(parse_tables(with_context(segments(docs))))))
 
     def step(s, k):
-        text = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r["cells"], lambda c: F.regexp_replace(c["new_value"], r"(?U)^\s+|\s+$", "")), " | "), F.lit(" |"))
+        text = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r["cells"], lambda c: ce.strip(c["new_value"])), " | "), F.lit(" |"))
         added = F.filter(F.flatten(F.transform(s["table"], lambda r: r["cells"])), lambda c: c["scale"].isNotNull() & (c["new_value"] != c["value"]))
         done = F.struct(F.coalesce(F.transform(s["table"], text), s["lines"]).alias("lines"), F.transform(added, lambda c: c["scale"]).alias("added"))
         count = lambda x, v: F.size(F.filter(x["added"], lambda a: a == v)).alias(f"added_{v.lower()}")
