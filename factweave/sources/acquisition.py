@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,6 +138,17 @@ def structured_facts(docs: DataFrame) -> DataFrame:
 
         return let(let(F.split(r, "\n"), pairs), last_wins)
 
+    def plain_fields(r):
+        """The same for a record without odd blanks and with each key once: its lines need no pattern but one."""
+        lines = F.filter(F.split(F.concat(F.lit("\n"), r), "\n    "), lambda l: F.regexp_like(l, F.lit(r"^(?:[A-Za-z0-9_.-]+|  (?:end|instant|fiscal_year)):")))
+        key = lambda k: F.when(k.startswith("  "), F.concat(F.lit("period."), F.substring(k, F.lit(3), F.length(k)))).otherwise(k)
+        value = lambda l: F.btrim(F.trim(F.substring(l, F.locate(":", l) + 1, F.length(l))), F.lit('"'))
+        both = let(lines, lambda ls: F.struct(F.transform(ls, lambda l: key(F.substring_index(l, ":", 1))).alias("keys"), F.transform(ls, lambda l: value(F.substring_index(l, "\n", 1))).alias("values")))
+        return let(both, lambda b: F.when(F.size(F.array_distinct(b["keys"])) == F.size(b["keys"]), F.map_from_arrays(b["keys"], b["values"])).otherwise(fields(r)))
+
     # parsed inside the generator, so that no later expression parses a record again
-    parsed = F.transform(F.slice(records, 2, F.greatest(F.size(records) - 1, F.lit(1))), fields)
+    after_first = lambda records: F.slice(records, 2, F.greatest(F.size(records) - 1, F.lit(1)))
+    plain_records = F.split(F.substring_index(F.concat(F.lit("\n"), "text"), "\ntext_facts:", 1), "\n  - fact_id:")
+    odd = reduce(lambda a, b: a | b, [F.contains("text", F.lit(c)) for c in "\t\x0b\f\r\x85\u2028\u2029"])
+    parsed = F.when(~odd, F.transform(after_first(plain_records), plain_fields)).otherwise(F.transform(after_first(records), fields))
     return docs.select("path", F.posexplode(parsed).alias("fact_no", "fields"))
