@@ -285,6 +285,9 @@ CONTEXT_LINES = 8
 
 # fixed values: the text of a finite number
 NUMBER_TEXT = r"^([+-]?)([0-9]*)[.]?([0-9]*)(?:[eE]([+-]?[0-9]{1,4}))?$"
+# Values and scales whose product always fits an amount: 19 and 6 digits, 4 and 3 digits before and after the point.
+PLAIN_VALUE = r"^[+-]?[0-9]{1,19}(?:[.][0-9]{1,6})?\z"
+PLAIN_SCALE = r"^[+-]?[0-9]{1,4}(?:[.][0-9]{1,3})?\z"
 
 # fixed values: dates, accession numbers, forms and fiscal years in texts and file names
 ISO_DATE = r"\b(\d{4}-\d{2}-\d{2})\b"

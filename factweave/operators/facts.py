@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factweave.functions import fixed
-from factweave.functions.columns import pin
+from factweave.functions.columns import let, pin
 from factweave.operators.ordered import with_running
 
 NON_FINITE = ["nan", "inf", "-inf", "+inf", "infinity", "-infinity", "+infinity", "snan"]
@@ -19,6 +19,7 @@ NON_FINITE = ["nan", "inf", "-inf", "+inf", "infinity", "-infinity", "+infinity"
 
 #: Places of an amount: 28 digits before the point and 9 after it, so that sums and differences of two stay exact too.
 AMOUNT_DIGITS, AMOUNT_PLACES = 28, 9
+AMOUNT = f"decimal({AMOUNT_DIGITS + AMOUNT_PLACES},{AMOUNT_PLACES})"
 
 
 def _number(text: Column) -> Column:
@@ -46,10 +47,22 @@ def _exact_product(a: Column, b: Column) -> Column:
 def with_amount(facts: DataFrame) -> DataFrame:
     """Adds amount = value x scale, never rounded, and value_status: ok, nonfinite, invalid_value (no number) or not_exact (too many digits)."""
     text, scale = F.lower(F.trim("value")), F.trim(F.coalesce("scale", F.lit("1")))
-    x = pin(facts, _v=_number(text), _s=_number(scale))
-    x = pin(x, amount=_exact_product(F.col("_v"), F.col("_s")).try_cast(f"decimal({AMOUNT_DIGITS + AMOUNT_PLACES},{AMOUNT_PLACES})"))
-    status = F.when(text.isin(NON_FINITE), "nonfinite").when(F.col("_v").isNull() | F.col("_s").isNull(), "invalid_value").when(F.col("amount").isNull(), "not_exact").otherwise("ok")
-    return x.withColumn("value_status", status).drop("_v", "_s")
+    plain_scale = F.regexp_like(scale, F.lit(fixed.PLAIN_SCALE))
+    x = pin(facts, _t=text, _p=F.coalesce(F.regexp_like(text, F.lit(fixed.PLAIN_VALUE)) & plain_scale, F.lit(False)), _s=scale)
+
+    def any_form(n):
+        """Numbers of any form, taken apart by patterns; in a lambda, so that the step for plain ones stays small."""
+        return let(F.struct(_number(n["t"]).alias("v"), _number(n["s"]).alias("s")), lambda p: F.struct(
+            _exact_product(p["v"], p["s"]).try_cast(AMOUNT).alias("amount"), (p["v"].isNotNull() & p["s"].isNotNull()).alias("number")))
+
+    # not finite and no scale of zero, whose product with anything is zero
+    none = F.coalesce(F.col("_t").isin(NON_FINITE) & F.regexp_like("_s", F.lit(fixed.PLAIN_SCALE)) & (F.col("_s").try_cast("decimal(7,3)") != 0), F.lit(False))
+    other = F.when(~F.col("_p") & ~none, F.array(F.struct(F.col("_t").alias("t"), F.col("_s").alias("s"))))
+    x = pin(x, _o=F.get(F.transform(other, any_form), F.lit(0)))
+    product = F.col("_t").try_cast("decimal(25,6)") * F.col("_s").try_cast("decimal(7,3)")
+    x = x.withColumn("amount", F.when(F.col("_p"), product.cast(AMOUNT)).otherwise(F.col("_o.amount")))
+    status = F.when(F.col("_p"), "ok").when(F.col("_t").isin(NON_FINITE), "nonfinite").when(~F.col("_o.number"), "invalid_value").when(F.col("_o.amount").isNull(), "not_exact").otherwise("ok")
+    return x.withColumn("value_status", status).drop("_t", "_p", "_s", "_o")
 
 
 def consolidated(facts: DataFrame) -> DataFrame:

@@ -97,3 +97,21 @@ def test_calculation_key_follows_the_evidence(spark):
     key = lambda rows: {r.ticker: r.calc_key for r in op.calculation_key(op.annual_report(qop.annual_requests(q), spark.createDataFrame(rows, schemas.FACTS))).collect()}
     one, two = key(base("A") + base("B")), key(base("A") + base("B", last="20"))
     assert one["A"] == two["A"] and one["B"] != two["B"] and one["A"].startswith("annual-v1:")
+
+
+def test_plain_numbers_are_not_taken_apart(spark):
+    import decimal
+
+    from factweave.functions import fixed
+
+    rows = [("1.5", None), ("-0012.340", "0.01"), ("1" * 19 + ".123456", "9999.999"), ("2e3", "1"), ("9" * 20, "1"), ("nan", "1"), ("nan", "0"), ("1.5", "0.0000000001"), ("x", "1"), (None, "1"), ("1 ", "1")]
+    got = op.with_amount(spark.createDataFrame(rows, "value string, scale string"))
+    # numbers of other forms alone are taken apart by patterns, inside a lambda, out of the generated code of the step
+    lines = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if fixed.NUMBER_TEXT in x]
+    assert lines and all("lambda" in x for x in lines)
+    d = decimal.Decimal
+    with decimal.localcontext(prec=60):
+        big = d("1" * 19 + ".123456") * d("9999.999")
+    assert [(r.amount, r.value_status) for r in got.collect()] == [
+        (d("1.5"), "ok"), (d("-0.1234"), "ok"), (big, "ok"), (d(2000), "ok"), (d("9" * 20), "ok"), (None, "nonfinite"), (d(0), "nonfinite"), (None, "not_exact"),
+        (None, "invalid_value"), (None, "invalid_value"), (d(1), "ok")]
