@@ -351,12 +351,13 @@ WHERE n.role = 'net_income' AND r.role = 'revenue' AND n.segment IS NULL AND r.s
 QUALIFY row_number() OVER (PARTITION BY n.id ORDER BY starts_with(r.concept, 'us-gaap:') DESC, length(r.concept), r.ordinal) = 1""")
 def margin_bind(spark, d):
     """Net margin of every period: numerator and denominator meet on the whole period, unit and currency."""
-    f = op.consolidated(op.with_amount(st.facts(spark, d))).withColumn("role", F.explode("roles")).withColumn("pk", op.period_key())
-    n = f.where("role = 'net_income'").select("ticker", "pk", "unit", "currency", F.col("id").alias("n_id"), F.col("amount").alias("na"))
-    r = f.where("role = 'revenue'").select("ticker", "pk", "unit", "currency", F.col("id").alias("r_id"), F.col("amount").alias("ra"), "concept", "ordinal")
+    keys = ["ticker", "pk", "unit", "currency"]
+    # both roles are read and dealt out once; a part without a value meets nothing
+    f = op.consolidated(st.facts(spark, d)).withColumn("role", F.explode("roles")).where(F.col("role").isin("net_income", "revenue")).dropna(subset=["ticker", "unit", "currency"])
+    f = op.with_amount(f).select(*keys[:1], op.period_key().alias("pk"), *keys[2:], "role", "id", "amount", "concept", "ordinal")
     key = F.struct((~F.col("concept").startswith("us-gaap:")).cast("int").alias("a"), F.length("concept").alias("b"), F.col("ordinal").alias("c"))
-    best = r.groupBy("ticker", "pk", "unit", "currency").agg(F.min_by(F.struct("r_id", "ra"), key).alias("r"))
-    x = n.join(best, ["ticker", "pk", "unit", "currency"])
+    best = F.min_by(F.struct(F.col("id").alias("r_id"), F.col("amount").alias("ra")), F.when(F.col("role") == "revenue", key)).over(W.partitionBy(*keys))
+    x = f.withColumn("r", best).where("role = 'net_income' AND r IS NOT NULL").select(F.col("id").alias("n_id"), F.col("amount").alias("na"), "r")
     return x.select("n_id", "r.r_id", F.round(F.col("na").cast("double") / F.nullif(F.col("r.ra").cast("double"), F.lit(0.0)) * 100, 6).alias("margin"))
 
 

@@ -79,3 +79,28 @@ def test_fact_rows_are_made_without_lambdas(spark, tmp_path):
     got = standins.facts(spark, str(tmp_path)).select("id", "value")
     assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.id for r in got.where("id like 'S1:2016:FY:all:%'").collect()) == [f"S1:2016:FY:all:{i}" for i in (1, 2, 3, 4, 5, 6, 7, 8)]
+
+
+LINES = "select 1L as l_suppkey, timestamp'1996-05-05 00:00:00' as l_shipdate, 'R' as l_returnflag, 100.0D as l_extendedprice, 0.1D as l_discount, 0.05D as l_tax, 0.5D as l_quantity"
+
+
+def test_margin_bind_reads_lines_once(spark, tmp_path):
+    from factweave.plans import facts
+
+    spark.sql(LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = facts.margin_bind(spark, str(tmp_path))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    # 100 * (0.1 - 0.05) - 10 * 0.5 = 0 of 100; of the three revenues of the year row 2 comes first
+    assert {tuple(r) for r in got.collect()} == {("S1:2016:FY:all:7", "S1:2016:FY:all:2", 0.0), ("S1:2016:Q2:all:7", "S1:2016:Q2:all:2", 0.0)}
+
+
+def test_cash_questions_parse_only_their_roles(spark):
+    from factweave import schemas
+    from factweave.functions import fixed
+    from factweave.operators import facts as op
+
+    facts = spark.createDataFrame([], schemas.FACTS)
+    requests = spark.createDataFrame([], "question_id long, ticker string, years array<int>")
+    lines = op.cash_for_questions(requests, facts)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    parsed, roles = ([i for i, x in enumerate(lines) if t in x] for t in (fixed.PLAIN_VALUE, "IN (operating_cash_flow,net_income)"))
+    assert parsed and max(roles) > max(parsed)
