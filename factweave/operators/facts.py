@@ -263,7 +263,8 @@ def cash_for_questions(requests: DataFrame, facts: DataFrame, keep: int = 6) ->
     Periods are reduced to the latest of each company and of each company's year before questions meet them.
     """
     roles = ["operating_cash_flow", "net_income"]
-    x = consolidated(with_amount(facts)).where("period.kind = 'duration'").withColumn("role", F.explode("roles")).where(F.col("role").isin(roles))
+    x = consolidated(facts).where("period.kind = 'duration'").withColumn("role", F.explode("roles")).where(F.col("role").isin(roles))
+    x = with_amount(x)  # of the facts that are asked for
     first = lambda r: F.min_by(F.struct("amount", "unit"), F.when(F.col("role") == r, F.col("ordinal"))).alias(r)
     p = x.groupBy(F.col("ticker").alias("p_ticker"), F.col("period.start").alias("start"), F.col("period.end").alias("end"), F.col("period.fiscal_year").alias("p_year")).agg(*[first(r) for r in roles])
     latest = lambda df, keys: df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("end"), F.desc("start")))).where(F.col("_r") <= keep).drop("_r")
