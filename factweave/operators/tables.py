@@ -1,19 +1,18 @@
 """Repair of pipe tables in filings and explicit measurement scales, inside the row of each document.
 
-A document stays one row: its segments are an array of structs, and every step maps that array, so nothing is shuffled,
-sorted or joined. ``each_segment``, ``each_row`` and ``each_cell`` unfold what a step has found.
+A document stays one row: its segments are an array of structs, and every step maps that array in plain Python
+(``functions/sheets.py``), so nothing is shuffled, sorted or joined. Steps that follow each other are one pass: Spark hands what
+one has found to the next as it is. ``each_segment``, ``each_row`` and ``each_cell`` unfold what a step has found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions import cells as ce
-from factweave.functions import fixed
-from factweave.functions.columns import let, pin
+from factweave.functions import fixed, sheets
+from factweave.functions.columns import let
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
@@ -23,55 +22,41 @@ def lines_of(body: Column) -> Column:
     return F.split(F.regexp_replace(body, rf"(?:{LINE_BREAK})\z", ""), LINE_BREAK)
 
 
-def segments_of(body: Column) -> Column:
-    """Alternating text and table segments of a text: (is_table, first_line, lines)."""
-    def cut(lines):
-        def at(flags):
-            heads = F.filter(F.sequence(F.lit(0), F.size(flags) - 1), lambda i: (i == 0) | (F.get(flags, i) != F.get(flags, i - 1)))
-            part = lambda h: F.transform(h, lambda i, k: F.struct(
-                F.get(flags, i).alias("is_table"), i.alias("first_line"), F.slice(lines, i + 1, F.coalesce(F.get(h, k + 1), F.size(flags)) - i).alias("lines")))
-            return let(heads, part)
-        return let(F.transform(lines, lambda l: F.regexp_like(l, F.lit(r"(?U)^\s*\|"))), at)
-    return F.when(body.isNotNull(), let(lines_of(body), cut))
-
-
-def segments(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, body) -> doc_id, body, segs. A null body has null segs."""
-    return pin(docs.select("doc_id", "body"), segs=segments_of(F.col("body")))
-
+CELL = "struct<value:string,scale:string,new_value:string>"
+COLUMN = "struct<text:string,plain_text:string,scale:string,change:boolean,currency:boolean>"
+FOUND = "is_table:boolean,first_line:int,lines:array<string>"
+COUNTED = "removed_columns:int,negatives:int,moved:int"
+PARSED = f"{FOUND},context:string,rows:array<array<string>>,width:int,reason:string"
+REPAIRED = f"{FOUND},context:string,reason:string,rows:array<array<string>>,{COUNTED}"
+POLICY = f"{REPAIRED},policy:struct<start:int,default_scale:string,share_scale:string,exceptions:array<string>,currency_default:boolean,descriptors:array<string>>"
+SCALED = f"{POLICY},columns:array<{COLUMN}>,table:array<struct<cells:array<{CELL}>,label:string,opens:boolean,section:string>>"
+REWRITTEN = f"{FOUND},reason:string,{COUNTED},new_lines:array<string>,changed:boolean,added_k:int,added_m:int,added_b:int,added_t:int"
 
-def _extended(d: DataFrame, keep: list[str], step: Callable[..., Column], names: list[str]) -> DataFrame:
-    """segs with the named fields of step(segment, number) behind the kept ones."""
-    grown = lambda s, k: let(step(s, k), lambda x: F.struct(*[s[n].alias(n) for n in keep], *[x[n].alias(n) for n in names]))
-    return pin(d, segs=F.transform("segs", grown))
 
+def _many(fields: str) -> str:
+    return f"array<struct<{fields}>>"
 
-def each_segment(d: DataFrame) -> DataFrame:
-    """One row per segment: doc_id, seg_no (from 1) and the fields found so far."""
-    return d.select("doc_id", F.posexplode("segs").alias("_at", "s")).select("doc_id", (F.col("_at") + 1).alias("seg_no"), "s.*")
 
+def _step(step, d: DataFrame, fields: str) -> DataFrame:
+    """segs with what the step finds."""
+    return d.withColumn("segs", F.udf(step, _many(fields), useArrow=True)("segs"))
 
-def context_of(text_lines: Column) -> Column:
-    """Last text block above a table: trailing blanks skipped, then up to eight lines back to a blank line or '---'."""
-    def last_block(up):
-        first = F.array_position(F.transform(up, lambda l: l != ""), True)
-        rest = F.when(first > 0, F.slice(up, first.cast("int"), F.size(up)))
-        return let(rest, lambda r: let(F.array_position(F.transform(r, lambda l: (l == "") | (l == "---")), True).cast("int"), lambda stop: F.slice(
-            r, F.lit(1), F.least(F.when(stop > 0, stop - 1).otherwise(F.size(r)), F.lit(fixed.CONTEXT_LINES)))))
 
-    block = let(F.reverse(F.transform(text_lines, ce.strip)), last_block)
-    return F.coalesce(F.array_join(F.reverse(block), " "), F.lit(""))
+def segments(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, body) -> doc_id, body, segs: alternating text and table segments (is_table, first_line, lines). A null body has null segs."""
+    cut = F.udf(sheets.segments, _many(FOUND), useArrow=True)
+    return docs.select("doc_id", "body", cut(F.make_valid_utf8("body")).alias("segs"))
 
 
-FOUND = ["is_table", "first_line", "lines"]
-PARSED = [*FOUND, "context", "rows", "width", "reason"]
-REPAIRED = [*FOUND, "context", "reason", "rows", "removed_columns", "negatives", "moved"]
+def each_segment(d: DataFrame) -> DataFrame:
+    """One row per segment: doc_id, seg_no (from 1) and the fields found so far."""
+    whole = F.when(F.col("segs").isNotNull(), F.col("segs"))  # a filter that Spark infers from a plain column would find the segments twice
+    return d.select("doc_id", F.posexplode(whole).alias("_at", "s")).select("doc_id", (F.col("_at") + 1).alias("seg_no"), "s.*")
 
 
 def with_context(d: DataFrame) -> DataFrame:
-    """Adds the context of each table."""
-    above = F.col("segs")
-    return _extended(d, FOUND, lambda s, k: F.struct(F.when(s["is_table"], context_of(F.get(above, k - 1)["lines"])).alias("context")), ["context"])
+    """Adds the context of each table: the last text block above it."""
+    return _step(sheets.with_context, d, f"{FOUND},context:string")
 
 
 def row_cells(line: Column) -> Column:
@@ -84,17 +69,7 @@ def row_cells(line: Column) -> Column:
 
 def parse_tables(d: DataFrame) -> DataFrame:
     """Adds rows and width of sound tables, and the reason why a table is left alone. Text segments get neither."""
-    def judge(rows):
-        whole = ~F.exists(rows, lambda r: r.isNull())
-        width = F.size(rows[0])
-        same = F.forall(rows, lambda r: F.size(r) == width)
-        delim = lambda r: F.forall(r, lambda c: ce.like(ce.clean(c), fixed.DELIMITER_CELL))
-        only_second = F.forall(F.transform(rows, lambda r, i: delim(r) == (i == 1)), lambda ok: ok)
-        reason = (F.when(~whole, "not a complete pipe table row").when(~same, "inconsistent source row widths")
-                  .when((width < 2) | (F.size(rows) < 3), "not a complete Markdown table").when(~only_second, "missing or nonstandard delimiter row"))
-        return let(reason, lambda why: F.struct(F.when(why.isNull(), rows).alias("rows"), F.when(why.isNull(), width).alias("width"), why.alias("reason")))
-
-    return _extended(d, [*FOUND, "context"], lambda s, k: F.when(s["is_table"], let(F.transform(s["lines"], row_cells), judge)), ["rows", "width", "reason"])
+    return _step(sheets.parsed, d, PARSED)
 
 
 def spread_units(row: Column) -> Column:
@@ -113,148 +88,40 @@ def first_data_row(rows: Column) -> Column:
     return F.when(found > 0, found.cast("int") - 1).otherwise(F.size(rows))
 
 
-def merged_header(target: Column, sources: Column) -> Column:
-    """Header texts of removed columns go in front of the kept one; equal texts once."""
-    def step(acc, s):
-        return F.when((s == "") | s.isin(fixed.TOKEN_CELLS) | (F.lower(s) == F.lower(acc)), acc).when(acc == "", s).otherwise(F.concat(s, F.lit("<br>"), acc))
-    return F.aggregate(sources, target, step)
-
-
-def structure_of(rows: Column, width: Column) -> Column:
-    """(rows, removed_columns, negatives, moved): units spread, tokens merged, negatives rewritten, empty columns removed with their headers kept."""
-    spread = F.transform(rows, lambda r, i: F.when(i == 1, r).otherwise(spread_units(r)))
-    index = F.sequence(F.lit(0), width - 1)
-
-    def negatives(m):
-        signed = F.transform(m["rows"], lambda r, i: F.when(i == 1, r).otherwise(F.transform(r, ce.accounting_negative)))
-
-        def columns(rows2):
-            turned = F.aggregate(F.zip_with(m["rows"], rows2, lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda d: d))), F.lit(0), lambda a, n: a + n)
-
-            def squeezed(start):
-                body = F.when(start < F.size(rows2), F.slice(rows2, start + 1, F.size(rows2))).otherwise(F.slice(rows2, 3, F.size(rows2)))
-                kept = let(body, lambda b: F.filter(index, lambda c: (c == 0) | F.exists(b, lambda r: F.get(r, c) != "")))
-
-                def build(kept):
-                    # a removed column goes to the next kept one on its right, else to the last kept one
-                    goes_to = F.transform(index, lambda c: F.coalesce(F.get(F.filter(kept, lambda k: k >= c), F.lit(0)), F.element_at(kept, -1)))
-
-                    def final(goes_to):
-                        gone = lambda r, k: F.transform(F.filter(index, lambda c: (c != k) & (F.get(goes_to, c) == k)), lambda c: F.get(r, c))
-                        head = lambda i: (i == 0) | ((i >= 2) & (i < start))
-                        line = lambda r, i: F.transform(kept, lambda k: F.when(i == 1, F.lit("---")).when(head(i), merged_header(F.get(r, k), gone(r, k))).otherwise(F.get(r, k)))
-                        return F.struct(F.transform(rows2, line).alias("rows"), (width - F.size(kept)).alias("removed_columns"), (m["negatives"] + turned).alias("negatives"), m["moved"].alias("moved"))
-                    return let(goes_to, final)
-                return let(kept, build)
-            return let(first_data_row(rows2), squeezed)
-        return let(signed, columns)
-    return let(let(spread, ce.merge_tokens), negatives)
-
-
 def repair_structure(d: DataFrame) -> DataFrame:
     """Sound tables in their repaired structure; other segments have NULL rows."""
-    return _extended(d, [*FOUND, "context", "reason"], lambda s, k: F.when(s["rows"].isNotNull(), structure_of(s["rows"], s["width"])), REPAIRED[5:])
-
-
-def policy_of(rows: Column, context: Column) -> Column:
-    """Table-wide scale, share scale, exceptions, currency habit, one descriptor per column, and the first data row."""
-    top = F.get(rows, F.lit(0))
-
-    def from_heads(start):
-        heads = F.when(start > 2, F.slice(rows, 3, start - 2)).otherwise(F.slice(rows, 1, 0))
-
-        def found(heads):
-            stubs = F.filter(F.transform(heads, lambda r: F.get(r, F.lit(0))), lambda c: c != "")
-            combined = F.array_join(F.concat(F.array(context, F.array_join(top, " ")), stubs), " ")
-            declared = F.filter(F.transform(F.concat(F.array(F.get(top, F.lit(0))), stubs), ce.scale_in), lambda s: s.isNotNull())
-            describe = F.transform(F.sequence(F.lit(0), F.size(top) - 1), lambda c: F.array_join(F.array_distinct(F.filter(
-                F.transform(F.concat(F.array(top), heads), lambda r: ce.plain(F.get(r, c))), lambda v: v != "")), " "))
-            return let(F.struct(combined.alias("text"), declared.alias("declared")), lambda x: F.struct(
-                start.alias("start"), F.coalesce(F.when(F.size(x["declared"]) > 0, F.element_at(x["declared"], -1)), ce.scale_in(context)).alias("default_scale"),
-                ce.share_scale_in(x["text"]).alias("share_scale"), ce.exceptions_in(x["text"]).alias("exceptions"),
-                ce.like(x["text"], fixed.DOLLAR_WORDING).alias("currency_default"), describe.alias("descriptors")))
-        return let(heads, found)
-    return let(first_data_row(rows), from_heads)
+    return _step(sheets.repaired, d, REPAIRED)
 
 
 def with_policy(d: DataFrame) -> DataFrame:
-    """Adds the policy of each sound table as the field policy."""
-    return _extended(d, REPAIRED, lambda s, k: F.struct(F.when(s["rows"].isNotNull(), policy_of(s["rows"], s["context"])).alias("policy")), ["policy"])
-
-
-def columns_of(rows: Column, policy: Column) -> Column:
-    """What all cells of a column share: (text, plain_text, scale, change, currency)."""
-    data = F.slice(rows, policy["start"] + 1, F.size(rows))
-
-    def column(text, c):
-        currency = (c >= 1) & F.exists(data, lambda r: ce.has_currency(F.get(r, c)))
-
-        def worded(x):
-            clean = F.when(F.contains(x["low"], F.lit("except")), F.regexp_replace(x["plain"], fixed.UNITS_EXCEPTION_CLAUSE, "")).otherwise(x["plain"])
-            return F.struct(text.alias("text"), clean.alias("plain_text"), ce.scale_in(text).alias("scale"), ce.worded(x["plain"], x["low"], "CHANGE_COLUMN").alias("change"), currency.alias("currency"))
-        return let(let(ce.plain(text), lambda t: F.struct(t.alias("plain"), F.lower(t).alias("low"))), worded)
-    return F.transform(policy["descriptors"], column)
-
-
-def sections_of(rows: Column) -> Column:
-    """Rows with their label, whether they open a section, and the last label that opened one above: (cells, label, opens, section)."""
-    def described(r, i):
-        some = F.exists(F.slice(r, 2, F.greatest(F.size(r), F.lit(1))), lambda c: ce.is_value(c) | (ce.like(c, r"\d") & ce.like(c, fixed.PERCENT)))
-        return let(ce.plain(F.get(r, F.lit(0))), lambda label: F.struct(r.alias("cells"), label.alias("label"), ((i >= 2) & (label != "") & ~some).alias("opens")))
-
-    def blocks(rs):
-        # a block ends with the row that opens the next section
-        ends = F.filter(F.sequence(F.lit(0), F.size(rs) - 1), lambda i: F.get(rs, i)["opens"])
-
-        def split(b):
-            def block(last, k):
-                section = F.coalesce(F.get(rs, last)["label"], F.lit(""))
-                part = F.slice(rs, last + 2, F.coalesce(F.get(b, k + 1), F.size(rs) - 1) - last)
-                return F.transform(part, lambda r: F.struct(r["cells"].alias("cells"), r["label"].alias("label"), r["opens"].alias("opens"), section.alias("section")))
-            return F.flatten(F.transform(b, block))
-        return let(F.concat(F.array(F.lit(-1)), ends), split)
-    return let(F.transform(rows, described), blocks)
-
-
-def scaled_rows(rows: Column, policy: Column, columns: Column) -> Column:
-    """sections_of(rows) with cells as (value, scale, new_value)."""
-    def scaled(r, i):
-        same = lambda c: F.struct(c.alias("value"), F.lit(None).cast("string").alias("scale"), c.alias("new_value"))
-        text = F.concat_ws(" ", F.nullif(r["section"], F.lit("")), F.nullif(r["label"], F.lit("")))
-
-        def live(x):
-            def cell(v, j):
-                col = F.get(columns, j)
-
-                def chosen(scale):
-                    semantic = F.concat(x["text"], F.lit(" "), col["text"])
-                    money = ~ce.worded(semantic, F.lower(semantic), "SHARE_COUNT") & (policy["currency_default"] | col["currency"] | ce.like(semantic, fixed.MONETARY))
-                    return F.struct(v.alias("value"), scale.alias("scale"), F.when(scale.isNotNull(), ce.scaled(v, scale, money)).otherwise(v).alias("new_value"))
-                return F.when(j == 0, same(v)).otherwise(let(ce.choose_scale(v, x["text"], x["scale"], col, policy), chosen))
-            return F.transform(r["cells"], cell)
-        cells = F.when((i >= policy["start"]) & (i >= 2) & ~r["opens"], let(text, lambda t: let(F.struct(t.alias("text"), ce.scale_in(t).alias("scale")), live)))
-        return F.struct(F.coalesce(cells, F.transform(r["cells"], same)).alias("cells"), r["label"].alias("label"), r["opens"].alias("opens"), r["section"].alias("section"))
-    return let(sections_of(rows), lambda rs: F.transform(rs, scaled))
+    """Adds the field policy to sound tables: table-wide scale, share scale, exceptions, currency habit, one descriptor per column, first data row."""
+    return _step(sheets.with_policy, d, POLICY)
 
 
 def scale_cells(d: DataFrame) -> DataFrame:
     """Adds table (rows with label, section and scaled cells) and columns to each sound table."""
-    def step(s, k):
-        both = lambda cols: F.struct(cols.alias("columns"), scaled_rows(s["rows"], s["policy"], cols).alias("table"))
-        return F.when(s["rows"].isNotNull(), let(columns_of(s["rows"], s["policy"]), both))
-    return _extended(d, [*REPAIRED, "policy"], step, ["columns", "table"])
+    return _step(sheets.scaled_tables, d, SCALED)
+
+
+def _unfolded(d: DataFrame, result, of: str, fields: dict[str, str], also: dict[str, str]) -> DataFrame:
+    """A row for each element of the fields, which are lists of the same length, with the other fields beside them."""
+    found = F.udf(result, "struct<" + ",".join([*[f"{n}:array<{t}>" for n, t in fields.items()], *[f"{n}:{t}" for n, t in also.items()]]) + ">", useArrow=True)(of)
+    x = d.select("doc_id", found.alias("_found"))
+    return x.select("doc_id", *[f"_found.{n}" for n in also], F.inline(F.arrays_zip(*[F.col(f"_found.{n}") for n in fields])))
 
 
 def each_row(d: DataFrame) -> DataFrame:
     """One row per table row: doc_id, seg_no, row_no, cells, label, opens, section, columns."""
-    x = each_segment(d).select("doc_id", "seg_no", "columns", F.posexplode("table").alias("row_no", "r"))
-    return x.select("doc_id", "seg_no", "row_no", "r.*", "columns")
+    text = "array<string>"
+    fields = {"seg_no": "int", "row_no": "int", "value": text, "scale": text, "new_value": text, "label": "string", "opens": "boolean", "section": "string", "_at": "int"}
+    x = _unfolded(d, sheets.rows_of, "segs", fields, {"_columns": f"array<array<{COLUMN}>>"})
+    return x.select("doc_id", "seg_no", "row_no", F.arrays_zip("value", "scale", "new_value").alias("cells"), "label", "opens", "section", F.get("_columns", F.col("_at")).alias("columns"))
 
 
 def each_cell(d: DataFrame) -> DataFrame:
     """One row per cell: doc_id, seg_no, row_no, col_no, value, scale, new_value, currency_column."""
-    x = each_row(d).select("doc_id", "seg_no", "row_no", "columns", F.posexplode("cells").alias("col_no", "c"))
-    return x.select("doc_id", "seg_no", "row_no", "col_no", "c.*", F.get("columns", F.col("col_no"))["currency"].alias("currency_column"))
+    fields = {"seg_no": "int", "row_no": "int", "col_no": "int", "value": "string", "scale": "string", "new_value": "string", "currency_column": "boolean"}
+    return _unfolded(d, sheets.cells_of, "segs", fields, {})
 
 
 COUNTS = ["removed_columns", "negatives", "moved", "added_k", "added_m", "added_b", "added_t"]
@@ -262,36 +129,23 @@ COUNTS = ["removed_columns", "negatives", "moved", "added_k", "added_m", "added_
 
 def repair_tables(docs: DataFrame) -> DataFrame:
     """docs(doc_id, body) -> doc_id, body, segs with old and new lines and the repair counts of each segment."""
-    d = scale_cells(with_policy(repair_structure(parse_tables(with_context(segments(docs))))))
-
-    def step(s, k):
-        text = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r["cells"], lambda c: ce.strip(c["new_value"])), " | "), F.lit(" |"))
-        added = F.filter(F.flatten(F.transform(s["table"], lambda r: r["cells"])), lambda c: c["scale"].isNotNull() & (c["new_value"] != c["value"]))
-        done = F.struct(F.coalesce(F.transform(s["table"], text), s["lines"]).alias("lines"), F.transform(added, lambda c: c["scale"]).alias("added"))
-        count = lambda x, v: F.size(F.filter(x["added"], lambda a: a == v)).alias(f"added_{v.lower()}")
-        return let(done, lambda x: F.struct(x["lines"].alias("new_lines"), (x["lines"] != s["lines"]).alias("changed"), *[count(x, v) for v in "KMBT"]))
-    return _extended(d, ["is_table", "first_line", "lines", "reason", *COUNTS[:3]], step, ["new_lines", "changed", *COUNTS[3:]])
+    return _step(sheets.rewritten, scale_cells(with_policy(repair_structure(parse_tables(with_context(segments(docs)))))), REWRITTEN)
 
 
 def repair_documents(docs: DataFrame) -> DataFrame:
     """docs(doc_id, body) -> repaired text, hashes before and after, report columns. A null body stays null and unchanged."""
-    x = repair_tables(docs)
-    tables = lambda test: F.filter("segs", lambda s: s["is_table"] & test(s))
-    total = lambda c: F.aggregate(tables(lambda s: s["changed"]), F.lit(0).cast("long"), lambda n, s: n + F.coalesce(s[c], F.lit(0))).alias(c)
-    number = lambda segs: F.size(segs).cast("long")
-    text = F.array_join(F.flatten(F.transform("segs", lambda s: s["new_lines"])), "\n")
-    left = tables(lambda s: ~s["changed"] & s["reason"].isNotNull())
-    x = x.select("doc_id", "body", F.concat(text, F.when(F.col("body").endswith("\n"), "\n").otherwise("")).alias("new_body"),
-                 number(tables(lambda s: s["changed"])).alias("changed_tables"), number(left).alias("skipped_tables"), *[total(c) for c in COUNTS],
-                 F.array_join(F.array_sort(F.array_distinct(F.transform(left, lambda s: s["reason"]))), "; ").alias("skip_reasons"))
+    report = ["changed_tables", "skipped_tables", *COUNTS]
+    found = F.udf(sheets.summed_up, f"struct<text:string,{','.join(f'{c}:bigint' for c in report)},skip_reasons:string>", useArrow=True)
+    x = repair_tables(docs).select("doc_id", "body", found("segs").alias("_r"))
+    x = x.select("doc_id", "body", F.concat("_r.text", F.when(F.col("body").endswith("\n"), "\n").otherwise("")).alias("new_body"), *[f"_r.{c}" for c in report], "_r.skip_reasons")
     x = x.withColumn("source_sha256", F.sha2("body", 256)).withColumn("output_sha256", F.sha2("new_body", 256))
     return x.withColumn("changed", ~F.col("source_sha256").eqNullSafe(F.col("output_sha256"))).drop("body")
 
 
 def labelled_measures(repaired: DataFrame, labels: list[str]) -> DataFrame:
     """Rows with an exact label whose other cells are all '$ n,nnnM'; repeats of a label in a document must agree."""
-    x = repaired.select("doc_id", F.posexplode(F.split("new_body", "\n")).alias("line_no", "line")).withColumn("cells", row_cells(F.col("line")))
-    x = x.where(F.col("cells")[0].isin(labels) & F.forall(F.slice("cells", 2, F.size("cells")), lambda c: ce.like(c, r"^\$ [\d,]+(?:\.\d+)?M$")))
-    nums = F.transform(F.slice("cells", 2, F.size("cells")), lambda c: F.regexp_replace(c, "[$ ,M]", "").try_cast("decimal(20,2)"))
-    x = x.select("doc_id", "line_no", F.col("cells")[0].alias("label"), nums.alias("values"))
+    x = _unfolded(repaired, lambda text: sheets.labelled_rows(text, labels), "new_body", {"line_no": "int", "label": "string", "cells": "array<string>"}, {})
+    x = x.where(F.forall("cells", lambda c: ce.like(c, r"^\$ [\d,]+(?:\.\d+)?M$")))
+    nums = F.transform("cells", lambda c: F.regexp_replace(c, "[$ ,M]", "").try_cast("decimal(20,2)"))
+    x = x.select("doc_id", "line_no", "label", nums.alias("values"))
     return x.groupBy("doc_id", "label").agg(F.min_by("values", "line_no").alias("values"), (F.min("values") != F.max("values")).alias("conflict"), F.count(F.lit(1)).alias("n_rows"))
