@@ -339,8 +339,11 @@ def _fact_order() -> Column:
     return F.struct(_latest("period.end").alias("a"), (~F.col("concept").startswith("us-gaap:")).cast("int").alias("b"), F.length("concept").alias("c"), F.col("ordinal").alias("d"))
 
 
+FACT = ["concept", "amount", "unit", "currency", "path", "id", "period", "value_status"]
+
+
 def _fact() -> Column:
-    return F.struct("concept", "amount", "unit", "currency", "path", "id", "period", "value_status", period_key().alias("period_key"))
+    return F.struct(*FACT, period_key().alias("period_key"))
 
 
 def best_by_slot(facts: DataFrame) -> DataFrame:
@@ -390,16 +393,27 @@ def simple_margin(requests: DataFrame, facts: DataFrame) -> DataFrame:
 
 def period_growth(requests: DataFrame, facts: DataFrame) -> DataFrame:
     """Current fact against the nearest earlier period of the same concept, fiscal period and kind."""
-    base = _asked(requests, "role").join(best_by_slot(facts), SLOT, "left").drop("slot_year", "slot_period", "n_candidates")
-    # one fact per end of a series (company, role, concept, fiscal period, kind), then the end before it
+    asked = _asked(requests, "role")
+    # roles and given parts that questions ask by, a few rows: no other fact is dealt out, and under no other key
+    kinds = F.broadcast(asked.select("fact_role", (F.col("slot_year") != ANY).alias("_by_year"), (F.col("slot_period") != ANY).alias("_by_period")).distinct())
     f = consolidated(with_amount(facts)).withColumn("fact_role", F.explode("roles")).withColumnRenamed("ticker", "fact_ticker")
+    slots = f.join(kinds, "fact_role").withColumns({
+        "slot_year": F.when(F.col("_by_year"), F.concat(F.lit("="), F.col("period.fiscal_year").cast("string"))).otherwise(ANY),
+        "slot_period": F.when(F.col("_by_period"), F.concat(F.lit("="), F.col("period.fiscal_period"))).otherwise(ANY)})
+    best = slots.groupBy(*SLOT).agg(F.min_by(F.struct(*FACT), _fact_order()).alias("fact"))
+    base = asked.join(best, SLOT, "left").drop("slot_year", "slot_period")
+    # one fact per end of a series (company, role, concept, fiscal period, kind), then the end before it; a missing end is the last one and meets
+    # nothing, without a filter of its own, so that Spark deals out the rows under the facts once for both
     series = {"s_concept": "concept", "s_period": "period.fiscal_period", "s_kind": "period.kind"}
-    ends = f.where("period.end IS NOT NULL").groupBy("fact_ticker", "fact_role", *[F.col(c).alias(n) for n, c in series.items()], F.col("period.end").alias("s_end")).agg(F.min_by(_fact(), _fact_order()).alias("here"))
-    before = F.lag("here").over(W.partitionBy("fact_ticker", "fact_role", *series).orderBy("s_end"))
+    ends = f.join(kinds, "fact_role", "left_semi").groupBy("fact_ticker", "fact_role", *[F.col(c).alias(n) for n, c in series.items()], F.col("period.end").alias("s_end")).agg(F.min_by(F.struct(*FACT), _fact_order()).alias("here"))
+    before = F.lag("here").over(W.partitionBy("fact_ticker", "fact_role", *series).orderBy(F.asc_nulls_last("s_end")))
     steps = ends.select("fact_ticker", "fact_role", *series, "s_end", before.alias("prior")).withColumnsRenamed({"fact_ticker": "s_ticker", "fact_role": "s_role"})
     same = (F.col("fact_ticker") == F.col("s_ticker")) & (F.col("fact_role") == F.col("s_role")) & (F.col("fact.concept") == F.col("s_concept")) & (F.col("fact.period.end") == F.col("s_end"))
     same = same & F.col("fact.period.fiscal_period").eqNullSafe(F.col("s_period")) & F.col("fact.period.kind").eqNullSafe(F.col("s_kind"))
     x = base.join(steps, same, "left").drop("s_ticker", "s_role", *series, "s_end", "fact_ticker", "fact_role")
+    # the key of a period is long and read off the period: it is added last
+    for c in ("fact", "prior"):
+        x = x.withColumn(c, F.when(F.col(c).isNotNull(), F.struct(*[F.col(f"{c}.{n}").alias(n) for n in FACT], period_key(f"{c}.period").alias("period_key"))))
     status = (
         F.when(F.col("fact").isNull(), "two comparable periods are required")
         .when(F.col("prior").isNull(), "no prior comparable period is bound")
