@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import cells as ce
 from factweave.functions import fixed, sheets
-from factweave.functions.columns import let
+from factweave.functions.columns import let, pin
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
@@ -136,7 +136,7 @@ def repair_documents(docs: DataFrame) -> DataFrame:
     """docs(doc_id, body) -> repaired text, hashes before and after, report columns. A null body stays null and unchanged."""
     report = ["changed_tables", "skipped_tables", *COUNTS]
     found = F.udf(sheets.summed_up, f"struct<text:string,{','.join(f'{c}:bigint' for c in report)},skip_reasons:string>", useArrow=True)
-    x = repair_tables(docs).select("doc_id", "body", found("segs").alias("_r"))
+    x = pin(repair_tables(docs).select("doc_id", "body", found("segs").alias("_r")), _r=F.col("_r"))  # a filter on the results would find them twice
     x = x.select("doc_id", "body", F.concat("_r.text", F.when(F.col("body").endswith("\n"), "\n").otherwise("")).alias("new_body"), *[f"_r.{c}" for c in report], "_r.skip_reasons")
     x = x.withColumn("source_sha256", F.sha2("body", 256)).withColumn("output_sha256", F.sha2("new_body", 256))
     return x.withColumn("changed", ~F.col("source_sha256").eqNullSafe(F.col("output_sha256"))).drop("body")

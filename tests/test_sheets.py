@@ -58,3 +58,10 @@ def test_kept_segments_go_on(spark):
         assert sorted(map(str, unfold(kept).collect())) == sorted(map(str, unfold(d).collect()))
     assert [(r.row_no, r.col_no, r.value, r.scale, r.new_value) for r in op.each_cell(d).where("scale is not null").collect()] == [(2, 1, "5", "M", "$ 5M"), (3, 1, "$ 6", "M", "$ 6M")]
     assert [[c.new_value for c in r.cells] for r in op.each_row(d).collect()] == [["a", "b"], ["---", "---"], ["Cash", "$ 5M"], ["x\\|y", "$ 6M"]]
+
+
+def test_filters_on_repaired_texts_are_one_pass(spark):
+    df = spark.createDataFrame([(1, "| a | b |\n| --- | --- |\n| (in millions) |  |\n| Cash | (5) |\n"), (2, None), (3, "no table")], "doc_id int, body string")
+    x = op.repair_documents(df)
+    assert x.where("changed")._jdf.queryExecution().executedPlan().toString().count("EvalPython [") == 1
+    assert {r.doc_id: (r.changed, r.changed_tables, r.negatives) for r in x.collect()} == {1: (True, 1, 1), 2: (False, None, None), 3: (False, 0, 0)}
